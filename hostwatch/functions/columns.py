@@ -28,9 +28,13 @@ def ratio(num: Column, den: Column, default: float = 0.0) -> Column:
 
 
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column (and drop negative zero) for stable comparison."""
+    """Round every double column for stable comparison.
+
+    A nudge far below the last kept place moves values off exact rounding ties, where
+    the last bit of a sum would decide; adding zero drops negative zero.
+    """
     return df.select(*[
-        (F.round(F.col(f.name), places) + F.lit(0.0)).alias(f.name)
+        (F.round(F.col(f.name) + F.lit(1e-9), places) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ])

@@ -182,3 +182,292 @@ QUERIES["window_features"] = (
 QUERIES["label_windows"] = "SELECT host, window_id, stage, split FROM v_labelled"
 QUERIES["scored_windows"] = "SELECT host, window_id, split, stage, y, score_a, score_b FROM v_scored"
 QUERIES["alerts"] = "SELECT host, window_start, probability, stage, technique, technique_name FROM v_alerts"
+
+# -- evaluation ---------------------------------------------------------------
+CTES["v_budgets"] = "SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE]) AS budget"
+CTES["v_cand"] = """
+SELECT model, split, score, (SELECT count(*) FROM v_long b WHERE b.model=c.model AND b.split=c.split AND b.y=0
+   AND b.score>=c.score) AS n_false,
+  (SELECT count(*) FROM v_long b WHERE b.model=c.model AND b.split=c.split AND b.y=0) AS n_benign
+FROM (SELECT DISTINCT model, split, score FROM v_long) c
+"""
+CTES["v_thr"] = """
+SELECT model, split, budget, max(n_benign) AS n_benign,
+  coalesce(min(score) FILTER (n_false/CAST(n_benign AS DOUBLE)<=budget), max(score)+1e-16) AS threshold
+FROM v_cand, v_budgets GROUP BY 1,2,3
+"""
+CTES["v_valthr"] = "SELECT model, budget, threshold FROM v_thr WHERE split='val'"
+RATES = """
+CASE WHEN tp+fp>0 THEN tp/CAST(tp+fp AS DOUBLE) ELSE 0 END AS precision,
+CASE WHEN tp+fn>0 THEN tp/CAST(tp+fn AS DOUBLE) ELSE 0 END AS recall,
+CASE WHEN 2*tp+fp+fn>0 THEN 2*tp/CAST(2*tp+fp+fn AS DOUBLE) ELSE 0 END AS f1,
+CASE WHEN fp+tn>0 THEN fp/CAST(fp+tn AS DOUBLE) ELSE 0 END AS fpr, tp+fp AS n_alerts"""
+
+
+def rates(src):
+    return f"SELECT *, {RATES} FROM ({src})"
+
+
+def confusion(by, src):
+    return f"""SELECT {by}, max(threshold) AS threshold,
+  count(*) FILTER (score>=threshold AND y=1) AS tp, count(*) FILTER (score>=threshold AND y=0) AS fp,
+  count(*) FILTER (score<threshold AND y=1) AS fn, count(*) FILTER (score<threshold AND y=0) AS tn
+  FROM {src} GROUP BY ALL"""
+
+
+CTES["v_points"] = rates(confusion("model, split, budget", "v_long JOIN v_valthr USING (model)"))
+CTES["v_auroc"] = """
+SELECT model, split, CASE WHEN p>0 AND q>0 THEN (rs - p*(p+1)/2.0::DOUBLE)/(p*q) ELSE 0.5::DOUBLE END AS auroc,
+  p AS n_attack, p+q AS n_rows
+FROM (SELECT model, split, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1-y) AS BIGINT) AS q,
+    sum(CASE WHEN y=1 THEN r ELSE 0 END) AS rs
+  FROM (SELECT *, rank() OVER (PARTITION BY model, split ORDER BY score)
+      + (count(*) OVER (PARTITION BY model, split, score)-1)/2.0::DOUBLE AS r FROM v_long) GROUP BY 1,2)
+"""
+BIN = "+".join(f"CAST(score>={(1.0 / 15) * i!r}::DOUBLE AS INTEGER)" for i in range(1, 15))
+CTES["v_rel"] = f"""
+SELECT model, split, {BIN} AS bin, count(*) AS n, avg(score) AS confidence, avg(y) AS accuracy FROM v_long GROUP BY 1,2,3
+"""
+CTES["v_ece"] = """SELECT model, split, sum(n*abs(accuracy-confidence))/sum(n) AS ece FROM v_rel GROUP BY 1,2"""
+
+
+def leads(tags, fired, runs, grace=0):
+    on = " AND ".join(f"f.{t}=r.{t}" for t in tags)
+    cols = ", ".join(f"r.{t}" for t in tags)
+    return f"""
+SELECT *, coalesce(greatest(end_s-first_alert,0),0)::DOUBLE AS lead_seconds,
+  CAST(first_alert IS NOT NULL AS INTEGER) AS detected FROM (
+SELECT {cols}, e.split, e.host, e.episode_no, e.start_s, e.end_s, min(f.window_start) AS first_alert
+FROM v_episodes e JOIN {runs} r ON r.split=e.split
+LEFT JOIN {fired} f ON {on} AND f.split=e.split AND f.host=e.host
+  AND f.window_start BETWEEN e.start_s-{grace} AND e.end_s
+GROUP BY {cols}, e.split, e.host, e.episode_no, e.start_s, e.end_s)"""
+
+
+def lead_summary(tags, src):
+    return f"""SELECT {', '.join(tags)}, split, quantile_cont(lead_seconds,0.5) AS lead_median,
+  quantile_cont(lead_seconds,0.25) AS lead_q25, quantile_cont(lead_seconds,0.75) AS lead_q75,
+  CAST(sum(detected) AS BIGINT) AS episodes_detected, count(*) AS episodes_total FROM ({src}) GROUP BY ALL"""
+
+
+RUNS = "(SELECT DISTINCT model, split FROM v_long)"
+CTES["v_results"] = f"""
+SELECT p.*, lead_median, lead_q25, lead_q75, episodes_detected, episodes_total, auroc, n_attack, n_rows, ece,
+  p.n_alerts/(n_rows*{S}/86400.0::DOUBLE) AS alerts_per_host_day
+FROM v_points p JOIN v_auroc USING (model, split) JOIN v_ece USING (model, split) LEFT JOIN (
+{lead_summary(['model', 'budget'], leads(['model', 'budget'],
+   "(SELECT * FROM v_long JOIN v_valthr USING (model) WHERE score>=threshold)",
+   "(SELECT DISTINCT model, split, budget FROM v_points)"))}) l USING (model, budget, split)
+WHERE split IN ('val','test')
+"""
+
+
+def rnd(cols_round, others, src, order=""):
+    cols = [*others, *[f"round({c},6)+0.0 AS {c}" for c in cols_round]]
+    return f"SELECT {', '.join(cols)} FROM {src} {order}"
+
+
+QUERIES["threshold_at_fpr"] = rnd(["threshold"], ["model", "split", "budget", "n_benign"], "v_thr")
+QUERIES["operating_points"] = """
+SELECT t.model, t.split, budget, round(threshold,6)+0.0 AS threshold, n_benign,
+  round((SELECT count(*) FROM v_long l WHERE l.model=t.model AND l.split=t.split AND l.y=0 AND l.score>=t.threshold)
+    /CAST(n_benign AS DOUBLE),6)+0.0 AS achieved_fpr, round(1.0::DOUBLE/n_benign,6)+0.0 AS finest_expressible_fpr,
+  CAST(budget>=1.0::DOUBLE/n_benign AS INTEGER) AS budget_expressible FROM v_thr t"""
+R4 = ["precision", "recall", "f1", "fpr"]
+QUERIES["classification_at_threshold"] = rnd(
+    ["threshold", *R4], ["model", "split", "budget", "tp", "fp", "fn", "tn", "n_alerts"], "v_points")
+QUERIES["auroc"] = rnd(["auroc"], ["model", "split", "n_attack", "n_rows"], "v_auroc")
+QUERIES["calibration"] = rnd(["confidence", "accuracy"], ["model", "split", "bin", "n"], "v_rel")
+QUERIES["calibration_error"] = rnd(["ece"], ["model", "split"], "v_ece")
+FIRED5 = "(SELECT * FROM v_long WHERE score>=0.5)"
+QUERIES["lead_time"] = leads(["model"], FIRED5, RUNS, S)
+LQ = ["lead_median", "lead_q25", "lead_q75"]
+QUERIES["lead_time_summary"] = rnd(LQ, ["model", "split", "episodes_detected", "episodes_total"],
+                                   f"({lead_summary(['model'], leads(['model'], FIRED5, RUNS))})")
+QUERIES["alerts_per_host_day"] = f"""
+SELECT *, round(n_alerts/(n_windows*{S}/86400.0::DOUBLE),6)+0.0 AS rate FROM (SELECT model, split,
+  count(*) FILTER (score>=0.5) AS n_alerts, count(*) AS n_windows FROM v_long GROUP BY 1,2)"""
+RES_D = ["threshold", *R4, *LQ, "auroc", "ece", "alerts_per_host_day"]
+RES_I = ["model", "split", "budget", "tp", "fp", "fn", "tn", "n_alerts", "episodes_detected", "episodes_total",
+         "n_attack", "n_rows"]
+QUERIES["evaluation_results"] = rnd(RES_D, RES_I, "v_results")
+CTES["v_rep"] = """
+SELECT * EXCLUDE (score), round(score/(1+copy)+1e-9,6) AS score
+FROM (SELECT *, unnest(range(0, window_id%3+1)) AS copy FROM v_long)
+"""
+DEDUP = """(SELECT model, split, host, window_id, {pick} AS score, max(y) AS y, count(*) AS multiplicity
+  FROM v_rep GROUP BY 1,2,3,4)"""
+QUERIES["dedup_host_windows"] = rnd(["score"], ["model", "split", "host", "window_id", "y", "multiplicity"],
+                                    DEDUP.format(pick="max(score)"))
+QUERIES["dedup_host_windows_mean"] = rnd(["score"], ["model", "split", "host", "window_id", "y", "multiplicity"],
+                                         DEDUP.format(pick="avg(score)"))
+QUERIES["multiplicity_report"] = f"""
+SELECT model, split, y, count(*) AS n_windows, round(avg(multiplicity),6)+0.0 AS mean_rows,
+  max(multiplicity) AS max_rows FROM {DEDUP.format(pick="max(score)")} GROUP BY 1,2,3"""
+
+
+def phash(seed, *cols):
+    joined = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"CAST('0x' || substr(sha256(concat_ws(':', '{seed}', {joined})),1,13) AS BIGINT)"
+
+
+RANDOM = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY
+   {phash(1337, 'host', 'window_id')}, host, window_id) AS rn,
+   count(*) FILTER (score>=0.5) OVER (PARTITION BY model, split) AS n_alerts FROM v_long) WHERE rn<=n_alerts)"""
+QUERIES["random_baseline"] = rnd(LQ, ["model", "split", "episodes_detected", "episodes_total"],
+                                 f"({lead_summary(['model'], leads(['model'], RANDOM, RUNS))})")
+QUERIES["label_agreement"] = """
+SELECT CAST(k AS INTEGER) AS k, count(*) AS n_rows, round(avg(CAST(a.y=b.y AS INTEGER)),6)+0.0 AS agreement
+FROM v_scored a, (SELECT unnest([1,4,8]) AS k) ks JOIN v_scored b ON b.host=a.host AND b.window_id=a.window_id+k GROUP BY 1"""
+QUERIES["shift_target"] = """
+SELECT a.host, a.window_id, b.stage, a.score_a FROM v_scored a JOIN v_scored b ON b.host=a.host AND b.window_id=a.window_id+4"""
+QUERIES["spearman"] = """
+SELECT split, round(corr(ra, rb),6)+0.0 AS spearman, count(*) AS n FROM (SELECT split,
+  rank() OVER (PARTITION BY split ORDER BY score_a) + (count(*) OVER (PARTITION BY split, score_a)-1)/2.0::DOUBLE AS ra,
+  rank() OVER (PARTITION BY split ORDER BY score_b) + (count(*) OVER (PARTITION BY split, score_b)-1)/2.0::DOUBLE AS rb
+  FROM v_scored) GROUP BY 1"""
+QUERIES["per_episode_report"] = """
+SELECT model, split, host, episode_no, start_s, end_s, n_windows, n_fired, first_s-start_s AS first_offset,
+  end_s-first_s AS lead_seconds, max_score
+FROM (SELECT model, split, host, episode_no, start_s, end_s, count(*) AS n_windows,
+  count(*) FILTER (score>=threshold) AS n_fired, min(window_start) FILTER (score>=threshold) AS first_s,
+  max(score) AS max_score
+FROM v_long JOIN v_episodes e USING (split, host) JOIN v_valthr t USING (model)
+WHERE window_start BETWEEN e.start_s AND e.end_s AND budget=0.05
+GROUP BY model, split, host, episode_no, start_s, end_s)"""
+CTES["v_policy"] = """
+SELECT model, budget, threshold, CASE split WHEN 'val' THEN 'shipped' ELSE 'oracle' END AS policy
+FROM v_thr WHERE split IN ('val','test')
+"""
+CTES["v_transfer"] = f"""
+SELECT p.*, episodes_detected, lead_median FROM ({rates(confusion("model, split, policy, budget",
+  "v_long JOIN v_policy USING (model) WHERE split='test'"))}) p LEFT JOIN (
+{lead_summary(['model', 'policy', 'budget'], leads(['model', 'policy', 'budget'],
+  "(SELECT * FROM v_long JOIN v_policy USING (model) WHERE split='test' AND score>=threshold)",
+  "(SELECT DISTINCT model, 'test' AS split, policy, budget FROM v_policy)"))}) USING (model, policy, budget, split)
+"""
+TC = ["threshold", "recall", "fpr", "lead_median"]
+QUERIES["threshold_transfer"] = f"""
+SELECT model, budget, {", ".join(f"round(max({c}) FILTER (policy='{p}'),6)+0.0 AS {c}_{p}" for p in ("shipped", "oracle") for c in TC)},
+  max(episodes_detected) FILTER (policy='shipped') AS episodes_detected_shipped,
+  max(episodes_detected) FILTER (policy='oracle') AS episodes_detected_oracle,
+  round(max(threshold) FILTER (policy='shipped')/greatest(max(threshold) FILTER (policy='oracle'),1e-12),6)+0.0 AS ratio,
+  CASE WHEN max(episodes_detected) FILTER (policy='oracle')>max(episodes_detected) FILTER (policy='shipped')
+    OR max(recall) FILTER (policy='oracle')>max(recall) FILTER (policy='shipped')+0.05 THEN 'TRANSFER GAP'
+    ELSE 'transfers OK' END AS verdict FROM v_transfer GROUP BY 1,2"""
+QUERIES["score_distribution"] = """
+SELECT model, split, y, count(*) AS n, min(score) AS min, max(score) AS max, round(avg(score),6)+0.0 AS mean,
+  round(quantile_cont(score,0.5),6)+0.0 AS median, round(quantile_cont(score,0.99),6)+0.0 AS p99 FROM v_long GROUP BY 1,2,3"""
+QUERIES["confusion_from_rates"] = f"""
+SELECT model, split, budget, tp, fp, fn, tn, tp+fp AS n_alerts, {", ".join(f"round({c},6)+0.0 AS {c}" for c in R4)},
+  round((tp+tn)/CAST(tp+fp+fn+tn AS DOUBLE),6)+0.0 AS accuracy FROM v_results"""
+QUERIES["comparison_table"] = f"""
+SELECT model, split, {", ".join(f"round({c},6)+0.0 AS {c}" for c in ("f1", "precision", "recall", "auroc", "ece",
+  "lead_median", "alerts_per_host_day"))}, round(fpr,6)+0.0 AS fpr_achieved,
+  CASE WHEN episodes_total>=8 THEN round(lead_q25,6)+0.0 END AS lead_q25,
+  CASE WHEN episodes_total>=8 THEN round(lead_q75,6)+0.0 END AS lead_q75, episodes_detected, episodes_total
+FROM v_results WHERE budget=0.05 AND split='test'"""
+GC = ["f1", "recall", "auroc", "lead_median"]
+QUERIES["split_gap_table"] = f"""
+SELECT v.model, {", ".join(f"round(v.{c},6)+0.0 AS val_{c}, round(t.{c},6)+0.0 AS test_{c}, round(t.{c}-v.{c},6)+0.0 AS gap_{c}" for c in GC)}
+FROM v_results v JOIN v_results t ON v.model=t.model AND v.budget=t.budget AND v.split='val' AND t.split='test'
+WHERE v.budget=0.05"""
+QUERIES["select_by_validation"] = """
+SELECT b.model, round(b.auroc,6)+0.0 AS val_auroc, round(t.auroc,6)+0.0 AS test_auroc, round(a.auroc,6)+0.0 AS bar,
+  CAST(b.auroc>a.auroc AS INTEGER) AS promote
+FROM v_auroc b JOIN v_auroc t ON t.model=b.model AND t.split='test' JOIN v_auroc a ON a.model='a' AND a.split='val'
+WHERE b.split='val' AND b.model<>'a'"""
+GROUPS = f"""(SELECT l.*, coalesce('episode:' || (SELECT max(episode_no) FROM v_episodes e WHERE e.host=l.host
+   AND l.window_start+{{k}}*{S} BETWEEN e.start_s AND e.end_s) || ':' || host, 'host:' || host) AS group_id FROM v_long l)"""
+QUERIES["episode_groups"] = f"SELECT host, window_id, group_id FROM {GROUPS.format(k=2)} WHERE model='a'"
+CTES["v_grouped"] = "SELECT * FROM " + GROUPS.format(k=0)
+CTES["v_groupno"] = f"""
+SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY {phash(1337, 'group_id')}, group_id) AS group_no,
+  count(*) OVER (PARTITION BY model, split) AS n_groups FROM (SELECT DISTINCT model, split, group_id FROM v_grouped)
+"""
+CTES["v_draws"] = f"""
+SELECT d.model, d.split, d.replicate, g.group_id, count(*) AS w FROM (
+  SELECT model, split, r AS replicate, {phash(1337, 'r', 'group_no')} % n_groups + 1 AS pick
+  FROM v_groupno, range(1, 41) t(r)) d JOIN v_groupno g ON g.model=d.model AND g.split=d.split AND g.group_no=d.pick
+GROUP BY 1,2,3,4
+"""
+CTES["v_resampled"] = """
+SELECT d.replicate, l.* FROM v_grouped l JOIN v_draws d USING (model, split, group_id), range(0, 1000) c(i) WHERE c.i<d.w
+"""
+
+
+def boot(by, value_sql, point_sql):
+    cols = ", ".join(by)
+    return f"""
+SELECT {", ".join("s." + b for b in by)}, round(p.point,6)+0.0 AS point, round(i.low,6)+0.0 AS low, round(i.high,6)+0.0 AS high,
+  0.95::DOUBLE AS level, s.n_groups, 40 AS n_resamples, i.n_usable
+FROM (SELECT model, split, max(n_groups) AS n_groups FROM v_groupno GROUP BY 1,2) s
+JOIN ({point_sql}) p USING (model, split) JOIN (
+  SELECT {cols}, quantile_cont(value,0.025) AS low, quantile_cont(value,0.975) AS high, count(value) AS n_usable
+  FROM ({value_sql}) GROUP BY ALL) i USING ({cols})"""
+
+
+def auc(by, src, name):
+    return f"""SELECT {by}, CASE WHEN sum(y)>0 AND sum(1-y)>0 THEN
+  (sum(CASE WHEN y=1 THEN r ELSE 0 END) - sum(y)*(sum(y)+1)/2.0::DOUBLE)/(CAST(sum(y) AS DOUBLE)*sum(1-y)) END AS {name}
+  FROM (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY score)
+     + (count(*) OVER (PARTITION BY {by}, score)-1)/2.0::DOUBLE AS r FROM {src}) GROUP BY {by}"""
+
+
+def f1s(by, src, name, thr="0.5"):
+    t = lambda c: f"(count(*) FILTER ({c}))"
+    tp, fp, fn = t(f"score>={thr} AND y=1"), t(f"score>={thr} AND y=0"), t(f"score<{thr} AND y=1")
+    return f"""SELECT {by}, CASE WHEN sum(y)>0 AND sum(y)<count(*) THEN
+  CASE WHEN 2*{tp}+{fp}+{fn}>0 THEN 2*{tp}/CAST(2*{tp}+{fp}+{fn} AS DOUBLE) ELSE 0 END END AS {name} FROM {src} GROUP BY {by}"""
+
+
+MSR = "model, split, replicate"
+QUERIES["bootstrap_auroc"] = boot(["model", "split"], auc(MSR, "v_resampled", "value"), auc("model, split", "v_long", "point"))
+QUERIES["bootstrap_f1"] = boot(["model", "split"], f1s(MSR, "v_resampled", "value"), f1s("model, split", "v_long", "point"))
+QUERIES["bootstrap_mean_score"] = boot(
+    ["model", "split"], f"SELECT {MSR}, avg(score) AS value FROM v_resampled GROUP BY {MSR}",
+    "SELECT model, split, avg(score) AS point FROM v_long GROUP BY 1,2")
+MSB = "model, split, budget"
+QUERIES["annotate_intervals"] = f"""
+SELECT 'auroc' AS statistic, CAST(NULL AS DOUBLE) AS budget, *, CAST(NULL AS VARCHAR) AS unavailable FROM ({QUERIES["bootstrap_auroc"]})
+UNION ALL BY NAME
+SELECT 'f1' AS statistic, i.budget, p.model, p.split, round(p.point,6)+0.0 AS point, round(i.low,6)+0.0 AS low,
+  round(i.high,6)+0.0 AS high, 0.95::DOUBLE AS level, s.n_groups, 40 AS n_resamples, i.n_usable, CAST(NULL AS VARCHAR) AS unavailable
+FROM (SELECT model, split, max(n_groups) AS n_groups FROM v_groupno GROUP BY 1,2) s
+JOIN ({f1s(MSB, "v_long JOIN v_valthr USING (model)", "point", "threshold")}) p USING (model, split)
+JOIN (SELECT {MSB}, quantile_cont(value,0.025) AS low, quantile_cont(value,0.975) AS high, count(value) AS n_usable
+  FROM ({f1s(MSB + ", replicate", "v_resampled JOIN v_valthr USING (model)", "value", "threshold")}) GROUP BY ALL) i
+USING (model, split, budget)"""
+QUERIES["align_scores"] = """
+SELECT split, host, window_id, y, score_a, score_b FROM v_scored"""
+QUERIES["fuse_mean"] = "SELECT host, window_id, round((score_a+score_b)/2,6)+0.0 AS score FROM v_scored"
+PCT = """(rank() OVER (PARTITION BY split ORDER BY {c}) + (count(*) OVER (PARTITION BY split, {c})-1)/2.0::DOUBLE)
+  / count(*) OVER (PARTITION BY split)"""
+QUERIES["rank_fusion"] = f"""
+SELECT split, host, window_id, round(({PCT.format(c='score_a')} + {PCT.format(c='score_b')})/2,6)+0.0 AS score FROM v_scored"""
+ECDF = """(SELECT count(*) FROM v_scored f WHERE f.split='val' AND f.{c}<=s.{c})/CAST((SELECT count(*) FROM v_scored WHERE split='val') AS DOUBLE)"""
+QUERIES["causal_fusion"] = f"""
+SELECT split, host, window_id, round(({ECDF.format(c='score_a')} + {ECDF.format(c='score_b')})/2,6)+0.0 AS score FROM v_scored s"""
+QUERIES["attack_intervals"] = """
+SELECT name, stage, start_s, end_s, CASE WHEN attacker=victim THEN attacker ELSE attacker || '|' || victim END AS parties FROM v_timeline"""
+QUERIES["attacker_episodes"] = "SELECT * EXCLUDE (episode_no) FROM v_episodes"
+FAMILY = """CASE WHEN lower(name) LIKE '%brute%' THEN 'bruteforce' WHEN lower(name) LIKE '%ddos%' THEN 'ddos'
+  WHEN lower(name) LIKE 'dos%' THEN 'dos' WHEN lower(name) LIKE '%infiltration%' THEN 'infiltration'
+  WHEN lower(name) LIKE '%bot%' THEN 'bot' WHEN lower(name) LIKE '%web%' OR lower(name) LIKE '%xss%' OR lower(name) LIKE '%sql%'
+  THEN 'web' ELSE 'other' END"""
+QUERIES["attack_family"] = f"SELECT {FAMILY} AS family, count(*) AS n_attacks, count(DISTINCT date) AS n_days FROM v_timeline GROUP BY 1"
+QUERIES["drop_family"] = f"""
+SELECT day, stage, count(*) AS n FROM v_scored WHERE NOT (stage<>'benign' AND day IN
+  (SELECT date FROM v_timeline WHERE {FAMILY}='bruteforce')) GROUP BY 1,2"""
+QUERIES["class_counts"] = """
+SELECT CAST(i AS INTEGER) AS stage_no, st AS stage, train, val, test, train+val+test AS total, CAST(train+val+test=0 AS INTEGER) AS absent,
+  CAST(train+val+test BETWEEN 1 AND 499 AS INTEGER) AS small FROM (SELECT n.i, n.st,
+  count(s.host) FILTER (split='train') AS train, count(s.host) FILTER (split='val') AS val, count(s.host) FILTER (split='test') AS test
+  FROM (SELECT unnest(['benign','recon','initial_access','lateral_movement','c2','exfiltration','impact']) AS st, unnest(range(7)) AS i) n
+  LEFT JOIN v_scored s ON s.stage=n.st GROUP BY 1,2)"""
+QUERIES["union_splits"] = """
+SELECT split, count(*) AS n_rows, count(DISTINCT day) AS n_days, CAST(sum(sent_bytes) AS BIGINT) AS sent_bytes
+FROM v_windows JOIN v_splits USING (day) GROUP BY 1"""
+QUERIES["split_overlap"] = """
+SELECT host || '@' || window_id AS item, CAST(2 AS BIGINT) AS n_splits FROM v_windows WHERE day='2024-01-16'
+UNION ALL SELECT '2024-01-16', 2"""

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import PACKET_FIELDS
 from ..functions.columns import round_doubles
 from ..operators import alerts as AL
+from ..operators import bootstrap as BS
 from ..operators import flows as FL
+from ..operators import fusion as FU
 from ..operators import labels as LB
+from ..operators import metrics as ME
 from ..operators import packets as PK
 from ..operators import windows as WN
 from .views import GRID, KEY, OFFSET_HOURS, RULES, SETTINGS, SPLITS, Views
@@ -67,3 +69,251 @@ def scored_windows(v):
 @query
 def alerts(v):
     return v.alerts().drop("window_id")
+
+
+# -- evaluation -----------------------------------------------------------------
+
+BUDGETS = (0.01, 0.05)
+MS = ["model", "split"]
+RESAMPLES = 40
+
+
+def _results(v):
+    return v._stage("results", lambda: ME.evaluate(v.scores_long(), v.episodes(), GRID, BUDGETS))
+
+
+@query
+def threshold_at_fpr(v):
+    return ME.threshold_at_fpr(v.scores_long(), MS, BUDGETS).drop("n_false")
+
+
+@query
+def operating_points(v):
+    return ME.operating_points(v.scores_long(), MS, BUDGETS)
+
+
+@query
+def classification_at_threshold(v):
+    s = v.scores_long()
+    fitted = ME.threshold_at_fpr(s.filter("split = 'val'"), ["model"], BUDGETS)
+    return ME.classification(s, fitted, ["model"], MS, ["budget"])
+
+
+@query
+def auroc(v):
+    return ME.auroc(v.scores_long(), MS)
+
+
+@query
+def calibration(v):
+    return ME.reliability(v.scores_long(), MS)
+
+
+@query
+def calibration_error(v):
+    return ME.calibration_error(v.scores_long(), MS)
+
+
+@query
+def lead_time(v):
+    s = v.scores_long()
+    runs = s.select("model", "split").distinct()
+    return ME.lead_times(s.filter("score >= 0.5"), v.episodes(), runs, GRID, ["model"],
+                         grace_seconds=GRID.stride_seconds).drop("name")
+
+
+@query
+def lead_time_summary(v):
+    s = v.scores_long()
+    runs = s.select("model", "split").distinct()
+    return ME.lead_summary(ME.lead_times(s.filter("score >= 0.5"), v.episodes(), runs, GRID, ["model"]), ["model"])
+
+
+@query
+def alerts_per_host_day(v):
+    s = v.scores_long().groupBy("model", "split").agg(
+        F.count_if(F.col("score") >= 0.5).alias("n_alerts"), F.count(F.lit(1)).alias("n_windows"))
+    return s.withColumn("rate", ME.alerts_per_host_day(F.col("n_alerts"), F.col("n_windows"), GRID))
+
+
+@query
+def evaluation_results(v):
+    return ME.evaluate(v.scores_long(), v.episodes(), GRID, BUDGETS)
+
+
+def _repeated(v):
+    """Scores with the repeated (host, window) rows of overlapping captures."""
+    s = v.scores_long().withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("window_id") % 3).cast("int"))))
+    return s.withColumn("score", F.round(F.col("score") / (1 + F.col("copy")) + 1e-9, 6))
+
+
+@query
+def dedup_host_windows(v):
+    return ME.dedup_host_windows(_repeated(v), MS, "max")
+
+
+@query
+def dedup_host_windows_mean(v):
+    return ME.dedup_host_windows(_repeated(v), MS, "mean")
+
+
+@query
+def multiplicity_report(v):
+    return ME.multiplicity_report(_repeated(v), MS)
+
+
+@query
+def random_baseline(v):
+    s = v.scores_long()
+    n = s.filter("score >= 0.5").groupBy(*MS).agg(F.count(F.lit(1)).alias("n_alerts"))
+    fired = ME.random_baseline(s, n, MS)
+    return ME.lead_summary(ME.lead_times(fired, v.episodes(), s.select(*MS).distinct(), GRID, ["model"]), ["model"])
+
+
+@query
+def label_agreement(v):
+    return LB.label_agreement(v.scored(), (1, 4, 8))
+
+
+@query
+def shift_target(v):
+    return LB.shift_target(v.scored(), 4).select("host", "window_id", "stage", "score_a")
+
+
+@query
+def spearman(v):
+    return ME.spearman(v.scored(), ["split"], "score_a", "score_b")
+
+
+@query
+def per_episode_report(v):
+    s = v.scores_long()
+    fitted = ME.threshold_at_fpr(s.filter("split = 'val'"), ["model"], (0.05,))
+    return ME.per_episode_report(s, v.episodes(), fitted, GRID)
+
+
+@query
+def threshold_transfer(v):
+    return ME.threshold_transfer(v.scores_long(), v.episodes(), GRID, BUDGETS)
+
+
+@query
+def score_distribution(v):
+    return ME.score_distribution(v.scores_long(), [*MS, "y"])
+
+
+@query
+def confusion_from_rates(v):
+    return ME.confusion_from_rates(_results(v))
+
+
+@query
+def comparison_table(v):
+    return ME.comparison_table(_results(v), 0.05, "test")
+
+
+@query
+def split_gap_table(v):
+    return ME.split_gap_table(_results(v), 0.05)
+
+
+@query
+def select_by_validation(v):
+    return ME.select_by_validation(_results(v), "a", 0.05)
+
+
+@query
+def episode_groups(v):
+    return LB.episode_groups(v.scores_long().filter("model = 'a'"), v.episodes(), GRID, 2).select(
+        "host", "window_id", "group_id")
+
+
+def _grouped(v):
+    return LB.episode_groups(v.scores_long(), v.episodes(), GRID)
+
+
+@query
+def bootstrap_auroc(v):
+    return BS.auroc_interval(_grouped(v), MS, RESAMPLES).drop("unavailable")
+
+
+@query
+def bootstrap_f1(v):
+    rows = _grouped(v).withColumn("threshold", F.lit(0.5))
+    return BS.f1_interval(rows, MS, RESAMPLES).drop("unavailable")
+
+
+@query
+def bootstrap_mean_score(v):
+    per = _grouped(v).groupBy(*MS, "group_id").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"))
+    stat = lambda w: F.sum(w * F.col("s")) / F.sum(w * F.col("n"))
+    return BS.cluster_bootstrap(per, MS, stat, RESAMPLES).drop("unavailable")
+
+
+@query
+def annotate_intervals(v):
+    fitted = ME.threshold_at_fpr(v.scores_long().filter("split = 'val'"), ["model"], BUDGETS)
+    return BS.annotate_intervals(_grouped(v), fitted, RESAMPLES)
+
+
+@query
+def align_scores(v):
+    s = v.scores_long()
+    return FU.align_scores(s.filter("model = 'a'"), s.filter("model = 'b'"))
+
+
+@query
+def fuse_mean(v):
+    return FU.fuse_mean(v.scored(), ["score_a", "score_b"]).select("host", "window_id", "score")
+
+
+@query
+def rank_fusion(v):
+    return FU.rank_fusion(v.scored(), ["score_a", "score_b"]).select("split", "host", "window_id", "score")
+
+
+@query
+def causal_fusion(v):
+    return FU.causal_fusion(v.scored(), ["score_a", "score_b"]).select("split", "host", "window_id", "score")
+
+
+@query
+def attack_intervals(v):
+    return v.intervals().select("name", "stage", "start_s", "end_s", F.array_join("hosts", "|").alias("parties"))
+
+
+@query
+def attacker_episodes(v):
+    return v.episodes().drop("episode_no")
+
+
+@query
+def attack_family(v):
+    from ..functions.rules import attack_family as family
+    return v.timeline().groupBy(family("name").alias("family")).agg(
+        F.count(F.lit(1)).alias("n_attacks"), F.count_distinct("date").alias("n_days"))
+
+
+@query
+def drop_family(v):
+    kept = LB.drop_family(v.scored(), v.timeline(), "bruteforce", check=False)
+    return kept.groupBy("day", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def class_counts(v):
+    return LB.class_counts(v.scored(), SPLITS)
+
+
+@query
+def union_splits(v):
+    return WN.union_splits(v.windows(), v.split_map()).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("day").alias("n_days"),
+        F.sum("sent_bytes").alias("sent_bytes"))
+
+
+@query
+def split_overlap(v):
+    """Windows tagged by a split map that wrongly lists one day twice."""
+    twice = v.split_map().unionByName(v.split_map().filter("day = '2024-01-16'").withColumn("split", F.lit("train")))
+    return WN.split_overlap(v.windows().join(twice, "day"))
