@@ -65,3 +65,8 @@ def portable_hash(seed, *cols: str | Column) -> Column:
     """Uniform 52-bit integer from a seed and columns; same value in any SQL engine."""
     text = F.concat_ws(":", F.lit(str(seed)), *[as_col(c).cast("string") for c in cols])
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long")
+
+
+def pseudonym_plain(host: str | Column, key: bytes) -> Column:
+    """16-hex keyed pseudonym without a domain prefix, as ledger records use it."""
+    return F.substring(hmac_sha256_hex(key, host), 1, PSEUDONYM_CHARS)

@@ -471,3 +471,264 @@ FROM v_windows JOIN v_splits USING (day) GROUP BY 1"""
 QUERIES["split_overlap"] = """
 SELECT host || '@' || window_id AS item, CAST(2 AS BIGINT) AS n_splits FROM v_windows WHERE day='2024-01-16'
 UNION ALL SELECT '2024-01-16', 2"""
+
+# -- packet statistics, flows ---------------------------------------------------
+def some(*names):
+    return f"SELECT src_ip, window_id, {feat_list(names)} FROM v_pkt_feat"
+
+
+QUERIES["ttl_stats"] = some("ttl_mean", "ttl_var")
+QUERIES["tcp_win_stats"] = some("tcp_win_mean", "tcp_win_var")
+QUERIES["payload_histogram"] = some(*[f"payload_hist_{i}" for i in range(8)])
+QUERIES["port_spread"] = some("distinct_dst_ports", "port_entropy")
+QUERIES["sequential_port_ratio"] = some("sequential_port_ratio")
+CTES["v_marked"] = """
+SELECT * EXCLUDE (is_retrans, ok, rn), CAST(ok AND rn>1 AS INTEGER) AS is_retrans FROM (
+  SELECT *, row_number() OVER (PARTITION BY ok, src_ip, dst_ip, src_port, dst_port, seq, payload_len ORDER BY ts_us, packet_no) AS rn
+  FROM (SELECT * REPLACE (payload_len%3 AS payload_len, dst_port%2 AS dst_port),
+    protocol=6 AND is_frag=0 AND (payload_len%3>0 OR syn=1 OR fin=1) AS ok FROM v_packets))
+"""
+QUERIES["frag_and_retrans_counts"] = f"""
+SELECT src_ip, {fdiv('ts_us', SU)} - o.o AS window_id, CAST(sum(is_frag) AS BIGINT) AS frag_flag_count,
+  CAST(sum(is_retrans) AS BIGINT) AS retransmission_count FROM v_marked, (SELECT unnest(range({NB})) AS o) o GROUP BY 1,2"""
+QUERIES["mark_retransmissions"] = """
+SELECT src_ip, protocol, count(*) AS n, CAST(sum(is_retrans) AS BIGINT) AS n_retrans,
+  CAST(sum(CASE WHEN is_retrans=1 THEN packet_no ELSE 0 END) AS BIGINT) AS retrans_no_sum FROM v_marked GROUP BY 1,2"""
+QUERIES["merge_features"] = """
+SELECT src_ip, window_id, round(coalesce(a.ttl_mean,0),6)+0.0 AS ttl_mean, coalesce(a.distinct_dst_ports,0) AS distinct_dst_ports,
+  coalesce(b.sent_pkts,0) AS sent_pkts, coalesce(b.distinct_dst_ips,0) AS distinct_dst_ips
+FROM (SELECT src_ip, window_id, avg(ttl) AS ttl_mean, count(DISTINCT dst_port) AS distinct_dst_ports FROM v_px WHERE protocol=6 GROUP BY 1,2) a
+FULL OUTER JOIN (SELECT src_ip, window_id, count(*) AS sent_pkts, count(DISTINCT dst_ip) AS distinct_dst_ips FROM v_px WHERE protocol=17 GROUP BY 1,2) b
+USING (src_ip, window_id)"""
+QUERIES["time_order"] = """
+SELECT src_ip, ts_us, packet_no, row_number() OVER (ORDER BY ts_us, packet_no) AS position FROM v_packets"""
+CTES["v_conv"] = """
+SELECT * REPLACE (CASE WHEN back THEN dst_ip ELSE src_ip END AS src_ip, CASE WHEN back THEN src_ip ELSE dst_ip END AS dst_ip,
+  CASE WHEN back THEN dst_port ELSE src_port END AS src_port, CASE WHEN back THEN src_port ELSE dst_port END AS dst_port)
+FROM (SELECT * REPLACE (40000+src_port%2 AS src_port, 80+dst_port%3 AS dst_port), packet_no%3=0 AS back FROM v_packets)
+"""
+CTES["v_pflows"] = """
+SELECT start_us, CASE WHEN flo THEN lo_ip ELSE hi_ip END AS src_ip, CASE WHEN flo THEN hi_ip ELSE lo_ip END AS dst_ip,
+  CAST(CASE WHEN flo THEN lo%65536 ELSE hi%65536 END AS INTEGER) AS src_port,
+  CAST(CASE WHEN flo THEN hi%65536 ELSE lo%65536 END AS INTEGER) AS dst_port, protocol,
+  CAST(end_us-start_us AS DOUBLE) AS duration,
+  CAST(CASE WHEN flo THEN lo_b ELSE hi_b END AS DOUBLE) AS fwd_bytes, CAST(CASE WHEN flo THEN hi_b ELSE lo_b END AS DOUBLE) AS bwd_bytes,
+  CASE WHEN flo THEN lo_n ELSE hi_n END AS fwd_pkts, CASE WHEN flo THEN hi_n ELSE lo_n END AS bwd_pkts,
+  syn, ack, fin, rst, psh, urg, coalesce(iat_mean,0) AS iat_mean, coalesce(iat_std,0) AS iat_std, coalesce(iat_max,0)::DOUBLE AS iat_max,
+  coalesce(CASE WHEN flo THEN lo_w ELSE hi_w END, -1) AS init_win_fwd, coalesce(CASE WHEN flo THEN hi_w ELSE lo_w END, -1) AS init_win_bwd,
+  'unlabeled' AS label
+FROM (SELECT lo, hi, protocol, flow_no, lo//65536 AS lo_ip, hi//65536 AS hi_ip, arg_min(flo, o) AS flo,
+    min(ts_us) AS start_us, max(ts_us) AS end_us, CAST(sum(CASE WHEN flo THEN payload_len ELSE 0 END) AS BIGINT) AS lo_b,
+    CAST(sum(CASE WHEN NOT flo THEN payload_len ELSE 0 END) AS BIGINT) AS hi_b,
+    count(*) FILTER (flo) AS lo_n, count(*) FILTER (NOT flo) AS hi_n,
+    CAST(sum(syn) AS BIGINT) AS syn, CAST(sum(ack) AS BIGINT) AS ack, CAST(sum(fin) AS BIGINT) AS fin,
+    CAST(sum(rst) AS BIGINT) AS rst, CAST(sum(psh) AS BIGINT) AS psh, CAST(sum(urg) AS BIGINT) AS urg,
+    avg(iat) AS iat_mean, stddev_pop(iat) AS iat_std, max(iat) AS iat_max,
+    arg_min(tcp_win, o) FILTER (flo AND syn=1) AS lo_w, arg_min(tcp_win, o) FILTER (NOT flo AND syn=1) AS hi_w
+  FROM (SELECT *, CASE WHEN gap<=43200000000 THEN gap END AS iat, ts_us::HUGEINT*100000000+packet_no AS o,
+      sum(CASE WHEN gap<=43200000000 THEN 0 ELSE 1 END) OVER (PARTITION BY lo, hi, protocol ORDER BY ts_us, packet_no) AS flow_no
+    FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY lo, hi, protocol ORDER BY ts_us, packet_no) AS gap
+      FROM (SELECT *, least(a,b) AS lo, greatest(a,b) AS hi, a<=b AS flo
+        FROM (SELECT *, src_ip*65536+src_port AS a, dst_ip*65536+dst_port AS b FROM v_conv)))) GROUP BY 1,2,3,4)
+"""
+FLOW_I = ("start_us src_ip dst_ip src_port dst_port protocol fwd_pkts bwd_pkts syn ack fin rst psh urg init_win_fwd "
+          "init_win_bwd label").split()
+QUERIES["assemble_flows"] = rnd(["duration", "fwd_bytes", "bwd_bytes", "iat_mean", "iat_std", "iat_max"], FLOW_I,
+    """(SELECT * REPLACE (duration/1e6 AS duration, iat_mean/1e6 AS iat_mean, iat_std/1e6 AS iat_std, iat_max/1e6 AS iat_max)
+    FROM v_pflows)""")
+CTES["v_lflows"] = """
+SELECT epoch_us(l_shipdate)+(l_orderkey%86400)*1000000 AS start_us, 167772160+l_suppkey AS src_ip,
+  167837696+l_partkey%200 AS dst_ip, CASE l_linenumber WHEN 1 THEN 443 WHEN 2 THEN 22 ELSE 1024+l_linenumber END AS src_port,
+  l_orderkey%1024 AS dst_port, CASE WHEN l_linenumber=7 THEN 0 ELSE l_quantity*600000000 END AS duration,
+  l_extendedprice AS fwd_bytes, CAST(l_quantity AS BIGINT) AS fwd_pkts,
+  CAST(l_returnflag='R' AS INTEGER) AS syn, CAST(l_returnflag='A' AS INTEGER) AS ack, CAST(l_returnflag='N' AS INTEGER) AS fin,
+  CAST(l_linestatus='O' AS INTEGER) AS rst, CAST(l_linestatus='F' AS INTEGER) AS psh, 0 AS urg,
+  CASE WHEN l_returnflag='R' THEN 8192+l_linenumber ELSE -1 END AS init_win_fwd FROM lineitem
+"""
+CTES["v_spread"] = f"""
+SELECT *, CASE WHEN duration>0 THEN (least(start_us+duration, window_id*{SU}+{WU})-greatest(start_us, window_id*{SU}))/duration
+  ELSE 1.0::DOUBLE END AS frac
+FROM (SELECT *, {fdiv('start_us', SU)} AS b, unnest(CASE WHEN duration>0
+  THEN range({fdiv(f'start_us-{WU}', SU)}, {fdiv('start_us+CAST(duration AS BIGINT)', SU)}+2)
+  ELSE range({fdiv('start_us', SU)}-{NB - 1}, {fdiv('start_us', SU)}+1) END) AS window_id FROM v_lflows)
+"""
+CTES["v_lwin"] = f"""
+SELECT src_ip, window_id, sum(fwd_bytes*frac) AS sent_bytes, sum(fwd_pkts*frac) AS sent_pkts,
+  {", ".join(f"sum({f}*frac) AS {f}" for f in ("syn", "ack", "fin", "rst", "psh", "urg"))},
+  greatest(coalesce(avg(CASE WHEN init_win_fwd>=0 THEN init_win_fwd END),0),0) AS syn_win_mean,
+  greatest(avg(init_win_fwd),0) AS sentinel_mean,
+  avg(CASE WHEN src_port IN (20,21,22,23,25,53,80,110,143,443,445,993,995,3306,3389,8080) THEN 1.0::DOUBLE ELSE 0 END) AS server_port_ratio,
+  count(DISTINCT dst_ip) AS distinct_dst_ips FROM v_spread WHERE frac>0 GROUP BY 1,2
+"""
+QUERIES["flows_to_windows"] = rnd(["sent_bytes", "sent_pkts", "syn", "ack", "fin", "rst", "psh", "urg", "syn_win_mean",
+                                   "server_port_ratio"], ["src_ip", "window_id", "distinct_dst_ips"], "v_lwin")
+QUERIES["flows_to_windows_sentinel"] = "SELECT src_ip, window_id, round(sentinel_mean,6)+0.0 AS syn_win_mean FROM v_lwin"
+QUERIES["flow_window_features"] = f"""
+SELECT {ip_text('src_ip')} AS host, window_id, strftime(make_timestamp(window_id*{SU}), '%Y-%m-%d') AS day,
+  0.0::DOUBLE AS ttl_mean, 0.0::DOUBLE AS port_entropy, round(sent_bytes,6)+0.0 AS sent_bytes, round(sent_pkts,6)+0.0 AS sent_pkts,
+  CAST({INTERNAL.format(c='src_ip')} AS INTEGER) AS internal, {net24(ip_text('src_ip'))} AS net24_bucket FROM v_lwin"""
+QUERIES["role_features"] = f"""
+SELECT {ip_text('ip')} AS host, CAST({INTERNAL.format(c='ip')} AS INTEGER) AS internal, {net24(ip_text('ip'))} AS net24_bucket,
+  round(r,6)+0.0 AS server_port_ratio FROM (SELECT ip, avg(CASE WHEN port IN
+  (20,21,22,23,25,53,80,110,143,443,445,993,995,3306,3389,8080) THEN 1.0::DOUBLE ELSE 0 END) AS r FROM
+  (SELECT src_ip AS ip, src_port AS port FROM v_lflows UNION ALL SELECT dst_ip, dst_port FROM v_lflows) GROUP BY 1)"""
+QUERIES["address_forms"] = f"""
+SELECT ip, n, {ip_text('ip')} AS text, ip AS back, CAST({INTERNAL.format(c='ip')} AS INTEGER) AS internal
+FROM (SELECT ip, count(*) AS n FROM (SELECT src_ip AS ip FROM v_packets UNION ALL SELECT dst_ip FROM v_packets) GROUP BY 1)"""
+HPLAIN = f"substr({hmac_hex(KEY, chr(40) + chr(39) + 'node:' + chr(39) + ' || host)')},1,16)"
+HHELD = f"substr({hmac_hex(KEY, chr(40) + chr(39) + 'node-heldout:' + chr(39) + ' || host)')},1,16)"
+QUERIES["pseudonymise"] = f"""
+SELECT host, split, {HPLAIN} AS pseudonym, CASE WHEN split='train' THEN {HPLAIN} ELSE {HHELD} END AS heldout_pseudonym,
+  {net24('host')} AS net24_bucket FROM (SELECT DISTINCT host, split FROM v_windows JOIN v_splits USING (day))"""
+
+# -- alerts -------------------------------------------------------------------
+QUERIES["infer_stage"] = f"SELECT split, {STAGE_CASE} AS rule_stage, count(*) AS n FROM v_scored GROUP BY 1,2"
+QUERIES["map_technique"] = """
+SELECT stage, technique, technique_name, count(*) AS n FROM (SELECT stage,
+  CASE stage WHEN 'recon' THEN 'T1046' WHEN 'initial_access' THEN 'T1110' WHEN 'lateral_movement' THEN
+    CASE WHEN distinct_dst_ports>9 OR sequential_port_ratio>0.1 THEN 'T1046' ELSE 'T1021' END WHEN 'c2' THEN 'T1071'
+    WHEN 'exfiltration' THEN CASE WHEN sent_bytes>3000 THEN 'T1048' ELSE 'T1041' END WHEN 'impact' THEN 'T1498' END AS technique,
+  CASE stage WHEN 'recon' THEN CASE WHEN sequential_port_ratio>0.1 THEN 'Network Service Discovery (sequential port sweep)' ELSE '' END
+    WHEN 'lateral_movement' THEN CASE WHEN distinct_dst_ports>9 THEN 'Network Service Discovery (internal sweep)'
+      WHEN sequential_port_ratio>0.1 THEN 'Network Service Discovery (internal sequential sweep)' ELSE 'Remote Services' END
+    WHEN 'c2' THEN 'Command and Control' WHEN 'exfiltration' THEN CASE WHEN sent_bytes>3000 THEN
+      'Exfiltration Over Alternative Protocol (large outbound transfer)' ELSE '' END
+    WHEN 'impact' THEN 'Network Denial of Service' ELSE '' END AS technique_name FROM v_scored) GROUP BY 1,2,3"""
+QUERIES["apply_thresholds"] = """
+SELECT model, split, host, count(*) FILTER (score>=threshold) AS n_alerts, count(*) AS n_windows
+FROM v_long JOIN (SELECT * FROM v_valthr WHERE budget=0.05) USING (model) GROUP BY 1,2,3"""
+QUERIES["exclude_host"] = """
+SELECT 'flows' AS what, CAST(dst_port AS VARCHAR) AS item, count(*) AS n FROM v_pflows
+WHERE src_ip<>3405803777 AND dst_ip<>3405803777 GROUP BY 1,2
+UNION ALL SELECT 'windows', host, count(*) FROM v_scored WHERE host<>'203.0.113.1' GROUP BY 1,2"""
+QUERIES["exclusion_report"] = f"""
+SELECT host, na AS alerts_before, na-coalesce(ar,0) AS alerts_after, -coalesce(ar,0) AS alert_delta,
+  nf AS flows_before, nf-coalesce(fr,0) AS flows_after
+FROM (SELECT {ip_text('ip')} AS host, count(*) AS fr FROM (SELECT src_ip AS ip FROM v_pflows
+    UNION ALL SELECT dst_ip FROM v_pflows WHERE dst_ip<>src_ip) GROUP BY 1) f
+FULL OUTER JOIN (SELECT host, count(*) AS ar FROM v_alerts GROUP BY 1) a USING (host),
+(SELECT count(*) AS na FROM v_alerts), (SELECT count(*) AS nf FROM v_pflows)"""
+QUERIES["check_contract"] = """
+SELECT count(*) AS n_alerts, CAST(0 AS BIGINT) AS missing_key, count(*) FILTER (window_id%11=0) AS bad_probability,
+  count(*) FILTER (window_id%13=0) AS bad_stage FROM v_alerts"""
+QUERIES["hosts_pseudonymised"] = """
+SELECT count(*) AS n_hosts, 0 AS pseudonymised, 'plain' AS which FROM v_alerts
+UNION ALL SELECT count(*), 1, 'keyed' FROM v_alerts UNION ALL SELECT 0, 0, 'empty'"""
+QUERIES["flagged_flows"] = f"""
+SELECT host, window_start, dst_port, protocol, bytes, syn, duration_us, CAST(rn AS INTEGER) AS rank FROM (
+  SELECT a.host, a.window_start, f.dst_port, f.protocol, fwd_bytes+bwd_bytes AS bytes, f.syn, f.duration AS duration_us,
+    row_number() OVER (PARTITION BY a.host, a.window_start ORDER BY fwd_bytes+bwd_bytes DESC, start_us, f.dst_port, f.protocol, f.syn, f.duration) AS rn
+  FROM v_alerts a JOIN v_pflows f ON {ip_text('f.src_ip')}=a.host AND f.start_us>=a.window_start*1000000
+    AND f.start_us<(a.window_start+{W})*1000000) WHERE rn<=5"""
+QUERIES["top_contributing_windows"] = f"""
+SELECT host, window_start, CAST(rn AS INTEGER) AS rank, context_start, probability, window_start-context_start AS seconds_before_alert FROM (
+  SELECT a.host, a.window_start, s.window_start AS context_start, s.score_a AS probability, row_number() OVER (
+    PARTITION BY a.host, a.window_start ORDER BY s.score_a DESC, s.window_start DESC) AS rn
+  FROM v_alerts a JOIN v_scored s ON s.host=a.host AND s.window_start BETWEEN a.window_start-12*{S} AND a.window_start) WHERE rn<=3"""
+CTES["v_peak"] = "SELECT host, max(probability) AS peak_prob, count(*) AS n_alerts FROM v_alerts GROUP BY 1"
+CTES["v_edges"] = f"""
+SELECT src, dst, weight, coalesce(peak_prob,0) AS risk FROM (SELECT {ip_text('src_ip')} AS src, {ip_text('dst_ip')} AS dst,
+  count(*) AS weight FROM v_pflows GROUP BY 1,2) LEFT JOIN v_peak ON host=src
+"""
+CTES["v_nodes"] = """
+SELECT host, coalesce(peak_prob,0) AS peak_prob, coalesce(n_alerts,0) AS n_alerts, internal
+FROM (SELECT src AS host FROM v_edges UNION SELECT dst FROM v_edges UNION SELECT host FROM v_peak)
+LEFT JOIN v_peak USING (host) LEFT JOIN (SELECT host, max(internal) AS internal FROM v_windows GROUP BY 1) USING (host)
+"""
+CTES["v_top"] = """
+SELECT n.*, coalesce(degree,0) AS degree, (SELECT count(*) FROM v_nodes) AS total FROM v_nodes n LEFT JOIN (
+  SELECT host, CAST(sum(weight) AS BIGINT) AS degree FROM (SELECT src AS host, weight FROM v_edges UNION ALL SELECT dst, weight FROM v_edges) GROUP BY 1) USING (host)
+ORDER BY peak_prob DESC, n_alerts DESC, degree DESC, host LIMIT 18
+"""
+QUERIES["host_graph_nodes"] = "SELECT * FROM v_nodes"
+QUERIES["host_graph_edges"] = "SELECT * FROM v_edges"
+QUERIES["graph_top_nodes"] = "SELECT *, CAST(total>18 AS INTEGER) AS truncated FROM v_top"
+QUERIES["graph_top_edges"] = "SELECT * FROM v_edges WHERE src IN (SELECT host FROM v_top) AND dst IN (SELECT host FROM v_top)"
+QUERIES["network_timeline"] = """
+SELECT window_start, probability, host, stage FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY probability DESC, host) AS rn FROM v_alerts) WHERE rn=1"""
+QUERIES["host_ranking"] = """
+SELECT host, peak_prob AS peak_probability, n_alerts AS alerts, stage FROM v_peak JOIN (
+  SELECT host, stage FROM (SELECT host, stage, row_number() OVER (PARTITION BY host ORDER BY count(*) DESC, stage) AS rn FROM v_alerts GROUP BY 1,2) WHERE rn=1)
+USING (host) ORDER BY peak_prob DESC, host LIMIT 10"""
+QUERIES["top_alert_per_host"] = """
+SELECT host, probability, window_start, stage, technique FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY probability DESC, window_start) AS rn FROM v_alerts) WHERE rn=1"""
+QUERIES["run_summary"] = """
+SELECT (SELECT count(*) FROM v_pflows) AS n_flows, (SELECT count(*) FROM v_windows) AS n_host_windows,
+  (SELECT count(*) FROM v_alerts) AS n_alerts, 0.4::DOUBLE AS threshold, CAST(NULL AS BIGINT) AS unparsed_frames,
+  0 AS hosts_pseudonymised, 0 AS role_features_degraded"""
+
+# -- sequences and forecasts ----------------------------------------------------
+CTES["v_gaps"] = """
+SELECT host, window_id, split, lag(window_id) OVER (PARTITION BY host ORDER BY window_id) AS pw FROM v_scored WHERE sent_pkts%3<>0
+"""
+QUERIES["gap_features"] = """
+SELECT host, window_id, CASE WHEN window_id-pw>0 THEN least(window_id-pw,12) ELSE 1 END AS gap, CAST(pw IS NOT NULL AS INTEGER) AS has_previous FROM v_gaps"""
+QUERIES["gap_stats"] = f"""
+SELECT split, count(*) AS n_gaps, {", ".join(f"round(quantile_cont(g,{q}),6)+0.0 AS p{n}" for q, n in ((.5, 50), (.9, 90), (.95, 95), (.99, 99)))},
+  max(g) AS max_gap, {", ".join(f"round(avg(CAST(g>{t} AS INTEGER)),6)+0.0 AS frac_gt_{t}" for t in (10, 100, 1000))}
+FROM (SELECT split, window_id-pw AS g FROM v_gaps WHERE pw IS NOT NULL) GROUP BY 1"""
+CTES["v_segs"] = """
+SELECT host, (rn-1)//16 AS segment_no, count(*) AS n_real, string_agg(CAST(window_id AS VARCHAR), '|' ORDER BY rn) AS ids,
+  string_agg(CAST(y AS VARCHAR), '|' ORDER BY rn) AS ys, CAST(sum(sent_pkts+2*syn) AS DOUBLE) AS x_sum
+FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY window_id) AS rn FROM v_scored) GROUP BY 1,2
+"""
+QUERIES["segment"] = """
+SELECT host, segment_no, CAST(n_real AS INTEGER) AS n_real, ids || repeat('|-', CAST(16-n_real AS INTEGER)) AS ids,
+  ys || repeat('|0', CAST(16-n_real AS INTEGER)) AS ys, CAST(16-n_real AS INTEGER) AS n_pad, x_sum FROM v_segs"""
+QUERIES["segment_scatter_back"] = "SELECT host, window_id, round(sent_pkts+syn/4.0::DOUBLE,6)+0.0 AS score FROM v_scored"
+QUERIES["padding_stats"] = """
+SELECT count(*) AS n_segments, round(1-sum(n_real)/(count(*)*16.0::DOUBLE),6)+0.0 AS pad_share,
+  round(avg(CAST(n_real=16 AS INTEGER)),6)+0.0 AS full_share, round(avg(CAST(n_real*2<16 AS INTEGER)),6)+0.0 AS mostly_pad_share,
+  round(avg(n_real),6)+0.0 AS mean_length, round(quantile_cont(n_real,0.5),6)+0.0 AS median_length,
+  round(quantile_cont(n_real,0.1),6)+0.0 AS p10_length FROM v_segs"""
+CTES["v_recent"] = "SELECT *, row_number() OVER (PARTITION BY host ORDER BY window_id DESC) AS recency FROM v_scored"
+QUERIES["host_sequences"] = """
+SELECT host, string_agg(CAST(window_id AS VARCHAR), '|' ORDER BY window_id) AS ids, CAST(48-count(*) AS INTEGER) AS n_pad,
+  CAST(sum(sent_pkts+2*syn) AS DOUBLE) AS x_sum FROM v_recent WHERE recency<=48 GROUP BY 1"""
+QUERIES["source_windows"] = "SELECT host, window_id, CAST(recency AS INTEGER) AS recency FROM v_recent WHERE recency<=12"
+CTES["v_fc"] = f"""
+SELECT host, window_start, stage, CASE stage WHEN 'recon' THEN 'T1046' WHEN 'initial_access' THEN 'T1110'
+  WHEN 'lateral_movement' THEN 'T1046' WHEN 'exfiltration' THEN 'T1048' WHEN 'impact' THEN 'T1498' END AS technique,
+  CAST(k AS INTEGER) AS k, k*{float(S)}::DOUBLE AS seconds_ahead, p AS probability, t AS threshold, CAST(p>=t AS INTEGER) AS alert
+FROM (SELECT *, round(score_a*m+1e-9,6) AS p FROM (SELECT * EXCLUDE (stage), {STAGE_CASE} AS stage FROM v_recent WHERE recency<=12),
+  (SELECT unnest([1,4,8]) AS k, unnest([0.95::DOUBLE,0.8::DOUBLE,0.6::DOUBLE]) AS m, unnest([0.3::DOUBLE,0.25::DOUBLE,0.2::DOUBLE]) AS t))
+"""
+CTES["v_fcnew"] = "SELECT f.* FROM v_fc f JOIN (SELECT host, max(window_start) AS window_start FROM v_fc GROUP BY 1) USING (host, window_start)"
+QUERIES["kstep_forecast"] = "SELECT * FROM v_fc"
+QUERIES["per_host_curve"] = "SELECT host, k, seconds_ahead, probability, alert FROM v_fcnew"
+QUERIES["kstep_detail"] = "SELECT host, k, seconds_ahead, probability, alert, threshold, stage, technique FROM v_fcnew"
+QUERIES["kstep_hosts"] = "SELECT host, max(probability) AS peak FROM v_fcnew GROUP BY 1 ORDER BY peak DESC, host LIMIT 10"
+CTES["v_hz"] = """
+SELECT CAST(k AS INTEGER) AS k, a.split, a.host, a.window_id, a.window_start, b.y, a.score_a AS score
+FROM v_scored a, (SELECT unnest([1,4,8]) AS k) ks JOIN v_scored b ON b.host=a.host AND b.window_id=a.window_id+k
+"""
+CTES["v_hzthr"] = """
+SELECT k, 0.05::DOUBLE AS budget, min(score) AS threshold FROM (SELECT DISTINCT k, score FROM v_hz WHERE split='val') c
+WHERE (SELECT count(*) FROM v_hz b WHERE b.k=c.k AND b.split='val' AND b.y=0 AND b.score>=c.score)
+  <= 0.05::DOUBLE*(SELECT count(*) FROM v_hz b WHERE b.k=c.k AND b.split='val' AND b.y=0) GROUP BY 1
+"""
+HZL = " UNION ALL ".join(leads(["k"], f"(SELECT h.* FROM v_hz h JOIN v_hzthr t ON h.k=t.k AND h.k={k} AND h.score>=t.threshold)",
+                               f"(SELECT {k} AS k, 'test' AS split)", k * S) for k in (1, 4, 8))
+QUERIES["horizon_table"] = rnd(["threshold", *R4, "auroc", *LQ], ["k", "split", "budget", "tp", "fp", "fn", "tn", "n_alerts",
+    "n_attack", "n_rows", "episodes_detected", "episodes_total", f"k*{S} AS seconds_ahead"],
+    f"""({rates(confusion("k, split, budget", "v_hz JOIN v_hzthr USING (k) WHERE split='test'"))})
+    JOIN ({auc("k, split", "(SELECT * FROM v_hz WHERE split='test')", "auroc")}) USING (k, split)
+    JOIN (SELECT k, split, CAST(sum(y) AS BIGINT) AS n_attack, count(*) AS n_rows FROM v_hz GROUP BY 1,2) USING (k, split)
+    JOIN ({lead_summary(["k"], HZL)}) USING (k, split)""")
+QUERIES["epoch_node_ids"] = f"""
+SELECT host, row_number() OVER (ORDER BY {phash('1337:3', 'p')}, p)-1 AS node_id FROM (
+  SELECT host, {HPLAIN} AS p FROM (SELECT DISTINCT host FROM v_windows))"""
+CTES["v_fev"] = f"""
+SELECT host, start_us+CAST(duration AS BIGINT) AS end_us, fwd_bytes+bwd_bytes AS bytes, CAST(fwd_pkts+bwd_pkts AS DOUBLE) AS pkts,
+  duration/1e6 AS duration_s, CAST(syn AS DOUBLE) AS syn, CAST(rst AS DOUBLE) AS rst, start_us, src_ip, dst_ip, src_port, dst_port
+FROM (SELECT *, unnest([{ip_text('src_ip')}, {ip_text('dst_ip')}]) AS host FROM v_pflows)
+"""
+QUERIES["host_state_asof"] = f"""
+SELECT host, window_id, coalesce(bytes,0)::DOUBLE AS bytes, coalesce(pkts,0)::DOUBLE AS pkts, round(coalesce(duration_s,0),6)+0.0 AS duration_s,
+  coalesce(syn,0)::DOUBLE AS syn, coalesce(rst,0)::DOUBLE AS rst FROM (
+  SELECT w.host, w.window_id, f.*  EXCLUDE (host), row_number() OVER (PARTITION BY w.host, w.window_id
+    ORDER BY end_us DESC NULLS LAST, start_us DESC, src_ip DESC, dst_ip DESC, src_port DESC, dst_port DESC) AS rn
+  FROM v_windows w LEFT JOIN v_fev f ON f.host=w.host AND f.end_us<w.window_id*{SU}+{WU}) WHERE rn=1"""
+QUERIES["neighbour_agg"] = f"""
+SELECT w.host, w.window_id, count(f.end_us) AS n_flows, {", ".join(f"round(coalesce(avg(f.{c}),0),6)+0.0 AS mean_{c}" for c in ("bytes", "pkts", "duration_s", "syn", "rst"))}
+FROM v_windows w LEFT JOIN v_fev f ON f.host=w.host AND f.end_us>=w.window_id*{SU} AND f.end_us<w.window_id*{SU}+{WU} GROUP BY 1,2"""

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
 from ..operators import alerts as AL
+from ..operators import asof as AO
 from ..operators import bootstrap as BS
 from ..operators import flows as FL
+from ..operators import forecast as FC
 from ..operators import fusion as FU
 from ..operators import labels as LB
 from ..operators import metrics as ME
 from ..operators import packets as PK
+from ..operators import sequences as SQ
 from ..operators import windows as WN
 from .views import GRID, KEY, OFFSET_HOURS, RULES, SETTINGS, SPLITS, Views
 
@@ -317,3 +320,329 @@ def split_overlap(v):
     """Windows tagged by a split map that wrongly lists one day twice."""
     twice = v.split_map().unionByName(v.split_map().filter("day = '2024-01-16'").withColumn("split", F.lit("train")))
     return WN.split_overlap(v.windows().join(twice, "day"))
+
+
+# -- packet statistics, flows ------------------------------------------------------
+
+def _some_features(v, *names):
+    return PK.packet_window_features(v.packets(), GRID).select("src_ip", "window_id", *names)
+
+
+@query
+def ttl_stats(v):
+    return _some_features(v, "ttl_mean", "ttl_var")
+
+
+@query
+def tcp_win_stats(v):
+    return _some_features(v, "tcp_win_mean", "tcp_win_var")
+
+
+@query
+def frag_and_retrans_counts(v):
+    return PK.packet_window_features(v.marked_packets(), GRID).select(
+        "src_ip", "window_id", "frag_flag_count", "retransmission_count")
+
+
+@query
+def payload_histogram(v):
+    return _some_features(v, *[f"payload_hist_{i}" for i in range(8)])
+
+
+@query
+def port_spread(v):
+    return PK.port_window_features(v.packets(), GRID)
+
+
+@query
+def sequential_port_ratio(v):
+    return _some_features(v, "sequential_port_ratio")
+
+
+@query
+def mark_retransmissions(v):
+    return v.marked_packets().groupBy("src_ip", "protocol").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("is_retrans").alias("n_retrans"),
+        F.sum(F.when(F.col("is_retrans") == 1, F.col("packet_no")).otherwise(0)).alias("retrans_no_sum"))
+
+
+@query
+def merge_features(v):
+    """Full outer join of features over disjoint packet subsets (TCP statistics, UDP sends)."""
+    p = v.packets()
+    return PK.merge_features(PK.packet_window_features(p.filter("protocol = 6"), GRID),
+                             PK.sent_window_features(p.filter("protocol = 17"), GRID)).select(
+        "src_ip", "window_id", "ttl_mean", "distinct_dst_ports", "sent_pkts", "distinct_dst_ips")
+
+
+@query
+def time_order(v):
+    """Stable time order of each capture's packets as an explicit position."""
+    from ..functions.columns import floor_div
+    from ..operators.ordered import row_numbers
+    p = v.packets().select("src_ip", "ts_us", "packet_no")
+    return row_numbers(p, [], floor_div("ts_us", 86_400_000_000), [F.col("ts_us"), F.col("packet_no")], "position")
+
+
+@query
+def assemble_flows(v):
+    flows = FL.assemble_flows(v.conversations(), SETTINGS.flow_timeout_seconds)
+    for c in ("duration", "iat_mean", "iat_std", "iat_max"):  # microseconds shown as seconds
+        flows = flows.withColumn(c, F.col(c) / 1e6)
+    return flows
+
+
+@query
+def flows_to_windows(v):
+    return FL.flows_to_windows(v.lineitem_flows(), GRID)
+
+
+@query
+def flows_to_windows_sentinel(v):
+    return FL.flows_to_windows(v.lineitem_flows(), GRID, average_sentinel=True).select(
+        "src_ip", "window_id", "syn_win_mean")
+
+
+@query
+def flow_window_features(v):
+    """Flow input through the shared matrix: packet statistics 0, roles added."""
+    return WN.mask_flow_only(WN.finish_features(FL.flows_to_windows(v.lineitem_flows(), GRID), SETTINGS, KEY)).select(
+        "host", "window_id", "day", "ttl_mean", "port_entropy", "sent_bytes", "sent_pkts", "internal", "net24_bucket")
+
+
+@query
+def role_features(v):
+    return FL.role_features(v.lineitem_flows(), KEY)
+
+
+@query
+def address_forms(v):
+    """LONG address, dotted text and back, CIDR membership."""
+    from ..functions import net
+    p = v.packets().select(F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
+    return p.groupBy("ip").agg(F.count(F.lit(1)).alias("n")).select(
+        "ip", "n", net.ip_to_text("ip").alias("text"), net.text_to_ip(net.ip_to_text("ip")).alias("back"),
+        net.is_internal("ip").cast("int").alias("internal"))
+
+
+@query
+def pseudonymise(v):
+    from ..functions import crypto
+    hosts = v.windows().join(v.split_map(), "day").select("host", "split").distinct()
+    return hosts.select("host", "split", crypto.pseudonym("host", KEY).alias("pseudonym"),
+                        crypto.pseudonym("host", KEY, heldout=True, split=F.col("split")).alias("heldout_pseudonym"),
+                        crypto.net24_bucket("host", KEY).alias("net24_bucket"))
+
+
+# -- alerts -----------------------------------------------------------------------
+
+@query
+def infer_stage(v):
+    from ..functions.rules import infer_stage as rule
+    return v.scored().groupBy("split", rule(RULES).alias("rule_stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def map_technique(v):
+    """Techniques of the timeline stages (a different path from the inferred stages)."""
+    from ..functions.rules import map_technique as rule
+    s = v.scored().withColumn("t", rule("stage", RULES, SETTINGS.techniques, set(SETTINGS.feature_columns())))
+    return s.groupBy("stage", F.col("t.technique").alias("technique"), F.col("t.name").alias("technique_name")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query
+def apply_thresholds(v):
+    s = v.scores_long()
+    t = ME.threshold_at_fpr(s.filter("split = 'val'"), ["model"], (0.05,))
+    return AL.apply_thresholds(s, t, ["model"]).groupBy("model", "split", "host").agg(
+        F.count_if("alert").alias("n_alerts"), F.count(F.lit(1)).alias("n_windows"))
+
+
+@query
+def exclude_host(v):
+    flows, wf = AL.exclude_host(v.packet_flows(), v.scored(), 3405803777, "203.0.113.1")
+    one = F.count(F.lit(1))
+    return flows.groupBy(F.lit("flows").alias("what"), F.col("dst_port").cast("string").alias("item")).agg(
+        one.alias("n")).unionByName(wf.groupBy(F.lit("windows").alias("what"), F.col("host").alias("item")).agg(
+            one.alias("n")))
+
+
+@query
+def exclusion_report(v):
+    return AL.exclusion_report(v.packet_flows(), v.alerts())
+
+
+@query
+def check_contract(v):
+    return AL.contract_violations(v.alerts().withColumn(
+        "probability", F.when(F.col("window_id") % 11 == 0, 1.5).otherwise(F.col("probability"))).withColumn(
+        "stage", F.when(F.col("window_id") % 13 == 0, "odd").otherwise(F.col("stage"))))
+
+
+@query
+def hosts_pseudonymised(v):
+    from ..functions.crypto import pseudonym
+    plain = AL.hosts_pseudonymised(v.alerts().select("host")).withColumn("which", F.lit("plain"))
+    keyed = AL.hosts_pseudonymised(v.alerts().select(pseudonym("host", KEY).alias("host"))).withColumn(
+        "which", F.lit("keyed"))
+    none = AL.hosts_pseudonymised(v.alerts().filter("probability > 2").select("host")).withColumn(
+        "which", F.lit("empty"))
+    return plain.unionByName(keyed).unionByName(none).withColumn("pseudonymised", F.col("pseudonymised").cast("int"))
+
+
+@query
+def flagged_flows(v):
+    return AL.flagged_flows(v.alerts(), v.packet_flows(), GRID).drop("window_id")
+
+
+@query
+def top_contributing_windows(v):
+    return AL.top_contributing_windows(v.scored(), v.alerts(), GRID, "score_a", 12 * GRID.stride_seconds)
+
+
+@query
+def host_graph_nodes(v):
+    return AL.host_graph(v.packet_flows(), v.alerts(), v.windows())[0]
+
+
+@query
+def host_graph_edges(v):
+    return AL.host_graph(v.packet_flows(), v.alerts(), v.windows())[1]
+
+
+@query
+def graph_top_nodes(v):
+    nodes, edges = AL.host_graph(v.packet_flows(), v.alerts(), v.windows())
+    return AL.graph_top_nodes(nodes, edges, 18)[0].withColumn("truncated", F.col("truncated").cast("int"))
+
+
+@query
+def graph_top_edges(v):
+    nodes, edges = AL.host_graph(v.packet_flows(), v.alerts(), v.windows())
+    return AL.graph_top_nodes(nodes, edges, 18)[1]
+
+
+@query
+def network_timeline(v):
+    return AL.network_timeline(v.alerts())
+
+
+@query
+def host_ranking(v):
+    return AL.host_ranking(v.alerts())
+
+
+@query
+def top_alert_per_host(v):
+    return AL.top_alert_per_host(v.alerts()).select("host", "probability", "window_start", "stage", "technique")
+
+
+@query
+def run_summary(v):
+    return AL.run_summary(v.packet_flows(), v.windows(), v.alerts(), None, 0.4, keyed=True)
+
+
+# -- sequences and forecasts --------------------------------------------------------
+
+SEQ_FEATURES = ["sent_pkts", "syn"]
+SEGMENT = 16
+
+
+@query
+def gap_features(v):
+    sparse = v.scored().filter("sent_pkts % 3 <> 0")
+    return SQ.gap_features(sparse, clamp=12).select(
+        "host", "window_id", "gap", F.col("has_previous").cast("int").alias("has_previous"))
+
+
+@query
+def gap_stats(v):
+    return SQ.gap_stats(v.scored().filter("sent_pkts % 3 <> 0"), ["split"])
+
+
+def _segments(v):
+    return SQ.segment(v.scored(), SEQ_FEATURES, SEGMENT)
+
+
+def _text(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), "|", "-")
+
+
+@query
+def segment(v):
+    return _segments(v).select(
+        "host", "segment_no", "n_real", _text("window_ids").alias("ids"), _text("y").alias("ys"),
+        F.size(F.filter("pad_mask", lambda m: m)).alias("n_pad"),
+        F.aggregate("x", F.lit(0.0), lambda a, x: a + x[0] + x[1] * 2).alias("x_sum"))
+
+
+@query
+def segment_scatter_back(v):
+    s = _segments(v).withColumn("v", F.transform("x", lambda x: x[0] + x[1] / 4))
+    return SQ.scatter_back(s, "v")
+
+
+@query
+def padding_stats(v):
+    return SQ.padding_stats(_segments(v), SEGMENT)
+
+
+@query
+def host_sequences(v):
+    return SQ.host_sequences(v.scored(), SEQ_FEATURES, 48).select(
+        "host", _text("window_ids").alias("ids"), F.size(F.filter("pad_mask", lambda m: m)).alias("n_pad"),
+        F.aggregate("x", F.lit(0.0), lambda a, x: a + x[0] + x[1] * 2).alias("x_sum"))
+
+
+@query
+def source_windows(v):
+    return FC.source_windows(v.scored()).select("host", "window_id", "recency")
+
+
+def _forecast(v):
+    heads = {k: (F.round(F.col("score_a") * (1 - 0.05 * k) + 1e-9, 6), t) for k, t in ((1, .3), (4, .25), (8, .2))}
+    return FC.kstep_forecast(FC.source_windows(v.scored().drop("stage")), heads, SETTINGS)
+
+
+@query
+def kstep_forecast(v):
+    return _forecast(v).withColumn("alert", F.col("alert").cast("int"))
+
+
+@query
+def per_host_curve(v):
+    return FC.per_host_curve(_forecast(v)).select("host", F.inline("points")).withColumn(
+        "alert", F.col("alert").cast("int"))
+
+
+@query
+def kstep_detail(v):
+    fc = _forecast(v)
+    return FC.kstep_detail(FC.per_host_curve(fc), fc, GRID.stride_seconds).withColumn(
+        "alert", F.col("alert").cast("int"))
+
+
+@query
+def kstep_hosts(v):
+    return FC.kstep_hosts(_forecast(v))
+
+
+@query
+def horizon_table(v):
+    return FC.horizon_table(v.scored(), v.episodes(), GRID, 0.05, score="score_a")
+
+
+@query
+def epoch_node_ids(v):
+    return SQ.epoch_node_ids(v.windows(), KEY, epoch=3)
+
+
+@query
+def host_state_asof(v):
+    return AO.host_state_asof(v.windows(), v.packet_flows(), GRID)
+
+
+@query
+def neighbour_agg(v):
+    return AO.neighbour_agg(v.windows(), v.packet_flows(), GRID)
