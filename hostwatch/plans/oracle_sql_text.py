@@ -732,3 +732,187 @@ SELECT host, window_id, coalesce(bytes,0)::DOUBLE AS bytes, coalesce(pkts,0)::DO
 QUERIES["neighbour_agg"] = f"""
 SELECT w.host, w.window_id, count(f.end_us) AS n_flows, {", ".join(f"round(coalesce(avg(f.{c}),0),6)+0.0 AS mean_{c}" for c in ("bytes", "pkts", "duration_s", "syn", "rst"))}
 FROM v_windows w LEFT JOIN v_fev f ON f.host=w.host AND f.end_us>=w.window_id*{SU} AND f.end_us<w.window_id*{SU}+{WU} GROUP BY 1,2"""
+
+# -- sources and stores -----------------------------------------------------------
+DEC_OK = "packet_no%19<>0 AND packet_no%13<>0 AND packet_no%17<>0 AND NOT (packet_no%40=0)"
+QUERIES["decode_frames"] = f"""
+SELECT packet_no, ts_us, src_ip, dst_ip, CASE WHEN late THEN 0 ELSE src_port END AS src_port, CASE WHEN late THEN 0 ELSE dst_port END AS dst_port,
+  protocol, ttl, CASE WHEN late OR protocol<>6 THEN 0 ELSE tcp_win END AS tcp_win, is_frag,
+  payload_len + CASE WHEN NOT late THEN 0 WHEN protocol=6 THEN 20 ELSE 8 END AS payload_len, 0 AS is_retrans,
+  {", ".join(f"CASE WHEN late OR protocol<>6 THEN 0 ELSE {f} END AS {f}" for f in ("syn", "ack", "fin", "rst", "psh", "urg"))},
+  CASE WHEN late OR protocol<>6 THEN 0 ELSE seq END AS seq
+FROM (SELECT *, packet_no%22=0 AS late FROM v_packets WHERE {DEC_OK})"""
+QUERIES["frame_coverage"] = """
+SELECT r AS drop_reason, count(reason) AS n, (SELECT count(*) FROM v_packets) AS n_frames,
+  round(count(reason)/CAST((SELECT count(*) FROM v_packets) AS DOUBLE),6)+0.0 AS fraction
+FROM (SELECT unnest(['short_frame','ipv6','non_ipv4_ethertype','truncated_ip_header']) AS r) LEFT JOIN (
+  SELECT CASE WHEN packet_no%19=0 THEN 'short_frame' WHEN packet_no%13=0 THEN 'ipv6' WHEN packet_no%17=0 THEN 'non_ipv4_ethertype'
+    WHEN packet_no%40=0 THEN 'truncated_ip_header' END AS reason FROM v_packets) ON reason=r GROUP BY 1"""
+QUERIES["read_flow_csv"] = """
+SELECT CASE WHEN syn=1 THEN 'Attack' ELSE 'Benign' END AS "Label", count(*) AS n, round(sum(fwd_bytes)/1e6,6)+0.0 AS fwd_megabytes,
+  count(*) FILTER (dst_port%50>1) AS n_iat, round(CAST(sum(CASE WHEN dst_port%50>1 THEN fwd_pkts END) AS DOUBLE),6)+0.0 AS iat_sum,
+  CAST(sum(dst_port) AS BIGINT) AS port_sum FROM v_lflows GROUP BY 1"""
+QUERIES["to_canonical"] = """
+SELECT strftime(make_timestamp(start_us), '%Y-%m') AS month, count(*) AS n, CAST(sum(start_us//1000000) AS BIGINT) AS start_sum,
+  count(DISTINCT src_ip) AS n_src, CAST(sum(fwd_pkts) AS BIGINT) AS fwd_pkts FROM v_lflows GROUP BY 1"""
+QUERIES["read_operator_log"] = """
+SELECT strftime(make_timestamp(start_s*1000000), '%Y-%m-%d') AS date, stage, start_s, end_s,
+  CASE WHEN attacker=victim THEN attacker ELSE attacker || '|' || victim END AS parties
+FROM v_timeline WHERE end_s>start_s AND end_s//86400=start_s//86400"""
+CTES["v_tlhosts"] = "SELECT date AS day, attacker AS host FROM v_timeline UNION SELECT date, victim FROM v_timeline"
+QUERIES["sample_hosts"] = f"""
+SELECT DISTINCT day, host, 'timeline' AS reason FROM v_windows JOIN v_tlhosts USING (day, host)
+UNION ALL SELECT day, host, 'sampled' FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY {phash(1337, 'day', 'host')}, host) AS rn
+  FROM (SELECT DISTINCT day, host FROM v_windows WHERE (day, host) NOT IN (SELECT day, host FROM v_tlhosts))) WHERE rn<=3"""
+QUERIES["missing_victims"] = """
+SELECT DISTINCT date AS day, victim AS host FROM v_timeline WHERE (date, victim) NOT IN (SELECT day, host FROM v_windows)"""
+QUERIES["feature_store"] = """
+SELECT day, internal AS capture_id, count(*) AS n, CAST(sum(sent_bytes) AS BIGINT) AS sent_bytes FROM v_windows
+WHERE day IN ('2024-01-16','2024-01-17') GROUP BY 1,2"""
+QUERIES["score_store"] = """
+SELECT model, split, count(*) AS n, round(sum(score),6)+0.0 AS score_sum FROM v_long WHERE model='b' GROUP BY 1,2"""
+FLOWS_PER = f"""(SELECT a.host, a.window_start, least(count(f.start_us),5) AS nf FROM v_alerts a LEFT JOIN v_pflows f
+  ON {ip_text('f.src_ip')}=a.host AND f.start_us>=a.window_start*1000000 AND f.start_us<(a.window_start+{W})*1000000 GROUP BY 1,2)"""
+WINS_PER = f"""(SELECT a.host, a.window_start, least(count(*),3) AS nw FROM v_alerts a JOIN v_scored s ON s.host=a.host
+  AND s.window_start BETWEEN a.window_start-12*{S} AND a.window_start GROUP BY 1,2)"""
+QUERIES["write_alerts"] = f"""
+SELECT host, count(*) AS n, CAST(sum(nw) AS BIGINT) AS n_windows, CAST(sum(nf) AS BIGINT) AS n_flows, max(probability) AS peak,
+  (SELECT count(*) FROM v_alerts) AS n_alerts FROM v_alerts JOIN {FLOWS_PER} USING (host, window_start)
+  JOIN {WINS_PER} USING (host, window_start) GROUP BY 1"""
+HEADW = {"sent_pkts": 0.8, "sent_bytes": -0.3, "syn": 0.5, "rst": 1.1, "port_entropy": -0.2, "ttl_mean": 0.4}
+CTES["v_headstats"] = "SELECT " + ", ".join(
+    f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in HEADW) + " FROM v_scored WHERE split='train'"
+CTES["v_explain"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host, window_start ORDER BY abs(contribution) DESC, feature) AS rank FROM (" + \
+    " UNION ALL ".join(f"SELECT host, window_start, '{f}' AS feature, ({f}-m_{f})/s_{f} AS value, {w}::DOUBLE*(({f}-m_{f})/s_{f}) AS contribution "
+                       f"FROM v_scored, v_headstats WHERE score_a>=0.4" for f, w in HEADW.items()) + ")) WHERE rank<=3"
+QUERIES["explain_top_features"] = """
+SELECT host, window_start, CAST(rank AS INTEGER) AS rank, feature, round(value,6)+0.0 AS value, round(contribution,6)+0.0 AS contribution FROM v_explain"""
+QUERIES["alert_objects"] = f"""
+SELECT host, window_start, 3 AS n_features, CAST(nw AS INTEGER) AS n_windows, CAST(nf AS INTEGER) AS n_flows, feature AS first_feature
+FROM {FLOWS_PER} JOIN {WINS_PER} USING (host, window_start) JOIN (SELECT * FROM v_explain WHERE rank=1) USING (host, window_start)"""
+QUERIES["read_results"] = """
+SELECT model, round(auroc,6)+0.0 AS auroc, round(f1,6)+0.0 AS f1, round(recall,6)+0.0 AS recall FROM v_results WHERE budget=0.05 AND split='test'"""
+
+# -- what-if transforms ---------------------------------------------------------------
+CTES["v_att"] = "SELECT unnest([3405803777, 3405803783, 3405803789]) AS ip"
+ATT = "src_ip IN (SELECT ip FROM v_att)"
+CTES["v_perm"] = f"""
+SELECT p.* EXCLUDE (pos) REPLACE (q.dst_port AS dst_port) FROM
+ (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, src_port ORDER BY ts_us, packet_no) AS pos FROM v_packets WHERE {ATT}) p
+ JOIN (SELECT src_ip, dst_ip, src_port, dst_port, row_number() OVER (PARTITION BY src_ip, dst_ip, src_port
+   ORDER BY {phash(1337, 'packet_no')}, packet_no) AS pos FROM v_packets WHERE {ATT}) q USING (src_ip, dst_ip, src_port, pos)
+UNION ALL BY NAME SELECT * FROM v_packets WHERE NOT {ATT}
+"""
+QUERIES["permute_ports"] = "SELECT src_ip, dst_ip, src_port, dst_port, count(*) AS n FROM v_packets GROUP BY 1,2,3,4"
+QUERIES["permuted_port_order"] = "SELECT packet_no, dst_port FROM v_perm"
+
+
+def paced(factor, src="v_packets"):
+    return f"""SELECT * EXCLUDE (t0) REPLACE (CASE WHEN {ATT} THEN t0+(ts_us-t0)*{factor} ELSE ts_us END AS ts_us)
+ FROM (SELECT *, min(ts_us) OVER (PARTITION BY src_ip) AS t0 FROM {src})"""
+
+
+QUERIES["pace"] = f"SELECT packet_no, ts_us FROM ({paced(5)})"
+
+
+def rechunked(src):
+    return f"""SELECT * EXCLUDE (n, k) REPLACE (payload_len//n + CASE WHEN k<payload_len%n THEN 1 ELSE 0 END AS payload_len,
+  packet_no*1048576+k AS packet_no) FROM (SELECT *, unnest(range(0,n)) AS k FROM
+  (SELECT *, CASE WHEN {ATT} AND payload_len>=512 THEN (payload_len-1)//511+1 ELSE 1 END AS n FROM {src}))"""
+
+
+QUERIES["rechunk_payload"] = f"SELECT src_ip, payload_len, count(*) AS n FROM ({rechunked('v_packets')}) GROUP BY 1,2"
+
+
+def header(field, lo, hi, src="v_packets"):
+    mask = ATT + (" AND protocol=6" if field == "tcp_win" else "")
+    return f"""SELECT * REPLACE (CASE WHEN {mask} THEN CAST({lo}+{phash(f'1337:{field}', 'packet_no')}%{hi - lo} AS INTEGER) ELSE {field} END AS {field}) FROM {src}"""
+
+
+QUERIES["randomise_header"] = f"SELECT packet_no, ttl, tcp_win FROM ({header('ttl', 32, 65, '(' + header('tcp_win', 8192, 65536) + ')')})"
+COMBINED = header("tcp_win", 8192, 65536, f"({header('ttl', 32, 65, '(' + rechunked('v_perm') + ')')})")
+VARIANT_SQL = [("baseline", "SELECT * FROM v_packets"), ("port_random", "SELECT * FROM v_perm"), ("pace_5x", paced(5)),
+               ("pace_15x", paced(15)), ("pad_payload", rechunked("v_packets")), ("ttl_random", header("ttl", 32, 65)),
+               ("win_random", header("tcp_win", 8192, 65536)), ("combined", paced(15, f"({COMBINED})"))]
+CTES["v_variants"] = " UNION ALL BY NAME ".join(f"(SELECT '{n}' AS variant, x.* FROM ({q}) x WHERE {ATT})" for n, q in VARIANT_SQL)
+EDGES = [(0, 64), (64, 128), (128, 256), (256, 512), (512, 1024), (1024, 1460), (1460, 8192), (8192, 1 << 40)]
+CTES["v_vwin"] = f"""
+SELECT variant, src_ip, window_id, count(*) AS sent_pkts, CAST(sum(payload_len) AS BIGINT) AS sent_bytes, var_pop(ttl) AS ttl_var,
+  coalesce(var_pop(CASE WHEN protocol=6 THEN tcp_win END),0) AS win_var, count(DISTINCT dst_ip) AS distinct_dst_ips,
+  count(DISTINCT dst_port) AS distinct_dst_ports, sum(syn) AS syn, sum(ack) AS ack, 0 AS internal,
+  CASE WHEN count(*)>=2 THEN count(*) FILTER (dst_port-prev=1)/CAST(count(*)-1 AS DOUBLE) ELSE 0 END AS sequential_port_ratio,
+  {", ".join(f"count(*) FILTER (payload_len>={a} AND payload_len<{b}) AS h{i}" for i, (a, b) in enumerate(EDGES))}
+FROM (SELECT *, lag(dst_port) OVER (PARTITION BY variant, src_ip, window_id ORDER BY ts_us, packet_no) AS prev FROM
+  (SELECT v.*, {fdiv('ts_us', SU)} - o.o AS window_id FROM v_variants v, (SELECT unnest(range({NB})) AS o) o)) GROUP BY 1,2,3
+"""
+STAGES8 = ["benign", "recon", "initial_access", "lateral_movement", "c2", "exfiltration", "impact", "unclassified"]
+QUERIES["evasion_table"] = f"""
+SELECT variant, round(span,6)+0.0 AS span_s, pkts, bytes, reach, sockets, windows, round(ttl_var,6)+0.0 AS ttl_var,
+  round(win_var,6)+0.0 AS win_var, round(seq_ratio,6)+0.0 AS seq_ratio, peak_pkts, peak_bytes,
+  {", ".join(f"hist_{i}" for i in range(8))}, {", ".join(f"stage_{s}" for s in STAGES8)}
+FROM (SELECT variant, (max(ts_us)-min(ts_us))/1e6 AS span, count(*) AS pkts, CAST(sum(payload_len) AS BIGINT) AS bytes,
+    count(DISTINCT (dst_ip, dst_port)) AS reach, count(DISTINCT (dst_ip, src_port, dst_port)) AS sockets FROM v_variants GROUP BY 1)
+JOIN (SELECT variant, count(*) AS windows, max(ttl_var) AS ttl_var, max(win_var) AS win_var, max(sequential_port_ratio) AS seq_ratio,
+    max(sent_pkts) AS peak_pkts, max(sent_bytes) AS peak_bytes, {", ".join(f"CAST(sum(h{i}) AS BIGINT) AS hist_{i}" for i in range(8))},
+    {", ".join(f"count(*) FILTER (stage='{s}') AS stage_{s}" for s in STAGES8)}
+  FROM (SELECT *, {STAGE_CASE} AS stage FROM v_vwin) GROUP BY 1) USING (variant)"""
+
+# -- audit ledger -------------------------------------------------------------------
+LHOST = f"substr({hmac_hex(KEY, 'host')},1,16)"
+CTES["v_records"] = f"""
+SELECT *, '{{"host":"' || ph || '","prev":"' AS b4, '","probability":' || printf('%.6f', probability) || ',"seq":' || seq || ',"stage":"' || stage
+  || '","technique":' || coalesce('"' || technique || '"', 'null') || ',"window_start":' || window_start || '}}' AS aft,
+  seq//64 AS block_no, CASE WHEN seq//64=0 THEN repeat('0',64) ELSE sha256(chain || ':' || seq//64) END AS start
+FROM (SELECT *, {LHOST} AS ph, CASE WHEN window_start%86400<43200 THEN 'am' ELSE 'pm' END AS chain,
+  row_number() OVER (PARTITION BY CASE WHEN window_start%86400<43200 THEN 'am' ELSE 'pm' END ORDER BY window_start, host)-1 AS seq FROM v_alerts)
+"""
+CHAIN = """v_chain AS (
+  SELECT chain, block_no, seq, ph AS host, probability, stage, technique, window_start, start AS prev, sha256(start || b4 || start || aft) AS hash
+  FROM v_records WHERE seq%64=0
+  UNION ALL SELECT r.chain, r.block_no, r.seq, r.ph, r.probability, r.stage, r.technique, r.window_start, c.hash, sha256(c.hash || r.b4 || c.hash || r.aft)
+  FROM v_chain c JOIN v_records r ON r.chain=c.chain AND r.seq=c.seq+1 AND r.seq%64<>0)"""
+QUERIES["append_chain"] = f"WITH RECURSIVE {CHAIN} SELECT * FROM v_chain"
+QUERIES["verify_chain"] = "SELECT chain, count(*) AS n_records, CAST(NULL AS BIGINT) AS first_bad FROM v_records GROUP BY 1"
+QUERIES["verify_tampered_chain"] = """
+SELECT chain, count(*) AS n_records, CASE WHEN count(*)>70 THEN CAST(70 AS BIGINT) END AS first_bad FROM v_records GROUP BY 1"""
+LV = 12
+QUERIES["merkle_root"] = f"WITH RECURSIVE {CHAIN}, l0 AS (SELECT chain, seq AS i, sha256('\\x00'::BLOB || CAST(hash AS BLOB)) AS h FROM v_chain), " + ", ".join(
+    f"""l{n + 1} AS (SELECT a.chain, a.i//2 AS i, CASE WHEN (SELECT count(*) FROM l{n} z WHERE z.chain=a.chain)=1 THEN a.h
+      ELSE sha256('\\x01'::BLOB || unhex(a.h) || unhex(coalesce(b.h, a.h))) END AS h
+      FROM l{n} a LEFT JOIN l{n} b ON b.chain=a.chain AND b.i=a.i+1 WHERE a.i%2=0)""" for n in range(LV)) + f" SELECT chain, h AS merkle_root FROM l{LV}"
+QUERIES["checkpoint"] = f"""WITH RECURSIVE {CHAIN}
+SELECT chain, CAST(0 AS BIGINT) AS cp_no, count(*) AS count, arg_max(hash, seq) AS head, repeat('0',64) AS prev_sig FROM v_chain GROUP BY 1"""
+QUERIES["ledger_status"] = """
+SELECT chain, count(*) AS n_records, 1 AS verified, CAST(NULL AS BIGINT) AS first_bad, 1 AS anchored, 'ok' AS reason, 'intact' AS copy FROM v_records GROUP BY 1
+UNION ALL SELECT chain, count(*), CAST(count(*)<=70 AS INTEGER), CASE WHEN count(*)>70 THEN 70 END, CAST(count(*)<=70 AS INTEGER),
+  CASE WHEN count(*)>70 THEN 'chain-tampered' ELSE 'ok' END, 'edited' FROM v_records GROUP BY 1
+UNION ALL SELECT chain, least(count(*),60), 1, NULL, CAST(count(*)<=60 AS INTEGER), CASE WHEN count(*)<=60 THEN 'ok' ELSE 'last-checkpoint-length-mismatch' END,
+  'truncated' FROM v_records GROUP BY 1"""
+
+# -- model inputs ----------------------------------------------------------------------
+ALLF = [*FEATS, "internal", "net24_bucket"]
+QUERIES["fit_scaler"] = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(avg({f}),6)+0.0 AS mean, round(CASE WHEN stddev_pop({f})=0 THEN 1 ELSE stddev_pop({f}) END,6)+0.0 AS scale "
+    f"FROM v_scored WHERE split='train'" for f in ALLF)
+MLF = ["sent_pkts", "sent_bytes", "syn", "rst", "distinct_dst_ports", "port_entropy", "ttl_mean"]
+CTES["v_shift4"] = """
+SELECT a.* EXCLUDE (y), b.y FROM v_scored a JOIN v_scored b ON b.host=a.host AND b.window_id=a.window_id+4 AND b.split=a.split WHERE a.split IN ('train','val')
+"""
+QUERIES["assemble_split"] = "SELECT split, y, count(*) AS n, " + ", ".join(
+    f"round(sum(({f}-m_{f})/s_{f}),6)+0.0 AS sum_{f}" for f in MLF) + " FROM v_shift4, (SELECT " + ", ".join(
+    f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in MLF) + " FROM v_shift4 WHERE split='train') GROUP BY 1,2"
+QUERIES["class_weights"] = """
+SELECT split, n, round(n/(2.0::DOUBLE*p),6)+0.0 AS w_attack, round(n/(2.0::DOUBLE*(n-p)),6)+0.0 AS w_benign, round((n-p)/CAST(p AS DOUBLE),6)+0.0 AS pos_weight
+FROM (SELECT split, count(*) AS n, sum(y) AS p FROM v_scored GROUP BY 1)"""
+
+# -- streams: the batch rows whose window the watermark has passed -------------------------
+WM = "(SELECT max(ts_us) - 3600000000 AS wm FROM v_packets)"
+QUERIES["window_features_stream"] = f"""
+SELECT src_ip, window_id, {feat_list(["ttl_mean", "ttl_var", "tcp_win_mean", "tcp_win_var", "frag_flag_count", "sent_pkts", "sent_bytes",
+  "syn", "ack", "fin", "rst", "psh", "urg", "sequential_port_ratio"])}
+FROM v_pkt_feat JOIN v_sent_feat USING (src_ip, window_id), {WM} WHERE window_id*{SU}+{WU}<=wm"""
+QUERIES["port_spread_stream"] = f"""
+SELECT src_ip, window_id, {feat_list(["distinct_dst_ports", "port_entropy"])} FROM v_pkt_feat, {WM} WHERE window_id*{SU}+{WU}<=wm"""
+QUERIES["assemble_flows_stream"] = f"""
+SELECT start_us, src_ip, dst_ip, src_port, dst_port, protocol, duration, fwd_bytes, bwd_bytes, fwd_pkts, bwd_pkts, syn, ack, fin, rst, psh, urg,
+  round(iat_mean,6)+0.0 AS iat_mean FROM v_pflows, {WM} WHERE start_us+duration+43200000000<=wm"""

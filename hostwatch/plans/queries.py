@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,20 @@ from ..operators import flows as FL
 from ..operators import forecast as FC
 from ..operators import fusion as FU
 from ..operators import labels as LB
+from ..operators import ledger as LG
 from ..operators import metrics as ME
+from ..operators import models as ML
 from ..operators import packets as PK
 from ..operators import sequences as SQ
+from ..operators import whatif as WI
 from ..operators import windows as WN
-from .views import GRID, KEY, OFFSET_HOURS, RULES, SETTINGS, SPLITS, Views
+from ..sources import flow_csv as CSV
+from ..sources import frames as FR
+from ..sources import operator_log as OL
+from ..sources import stores as ST
+from ..streaming import jobs as SJ
+from .staging import table_path
+from .views import EXTERNAL_BASE, GRID, KEY, OFFSET_HOURS, RULES, SETTINGS, SPLITS, Views
 
 REGISTRY: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -646,3 +656,351 @@ def host_state_asof(v):
 @query
 def neighbour_agg(v):
     return AO.neighbour_agg(v.windows(), v.packet_flows(), GRID)
+
+
+# -- sources and stores ---------------------------------------------------------------
+
+@query
+def decode_frames(v):
+    return FR.decode_frames(v.frames())
+
+
+@query
+def frame_coverage(v):
+    return FR.frame_coverage(v.frames())
+
+
+@query
+def read_flow_csv(v):
+    raw = CSV.read_flow_csv(v.spark, v.flow_csv())
+    one = F.count(F.lit(1))
+    return raw.groupBy("Label").agg(
+        one.alias("n"), (F.sum("TotLen Fwd Pkts") / 1e6).alias("fwd_megabytes"), F.count("Flow IAT Mean").alias("n_iat"),
+        F.sum("Flow IAT Mean").alias("iat_sum"), F.sum("Dst Port").cast("long").alias("port_sum"))
+
+
+@query
+def to_canonical(v):
+    flows = CSV.to_canonical(CSV.read_flow_csv(v.spark, v.flow_csv()))
+    return flows.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("start_us") / 1e6).cast("long").alias("start_sum"),
+        F.count_distinct("src_ip").alias("n_src"), F.sum("fwd_pkts").cast("long").alias("fwd_pkts"))
+
+
+@query
+def read_operator_log(v):
+    log = OL.read_operator_log(v.spark, v.operator_log())
+    return log.select("date", "stage", "start_s", "end_s", F.array_join("hosts", "|").alias("parties"))
+
+
+@query
+def sample_hosts(v):
+    hosts = v.windows().select("day", "host")
+    return OL.sample_hosts(hosts, _timeline_hosts(v), 3)
+
+
+def _timeline_hosts(v):
+    parties = F.explode(F.array_union("attacker_ips", "victim_ips")).alias("host")
+    return v.timeline().select(F.col("date").alias("day"), parties)
+
+
+@query
+def missing_victims(v):
+    victims = v.timeline().select(F.col("date").alias("day"), F.explode("victim_ips").alias("host"))
+    return OL.missing_victims(v.windows().select("day", "host"), victims)
+
+
+@query
+def feature_store(v):
+    """Write features per day and capture, read one split's days back."""
+    path = table_path(v.spark, f"{v.sf_dir}/feature_store")
+    ST.write_features(v.windows().withColumn("capture_id", F.col("internal")), path)
+    return ST.read_features(v.spark, path, ["2024-01-16", "2024-01-17"]).groupBy("day", "capture_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("sent_bytes").alias("sent_bytes"))
+
+
+@query
+def score_store(v):
+    path = table_path(v.spark, f"{v.sf_dir}/score_store")
+    ST.write_scores(v.scores_long(), path)
+    return ST.read_scores(v.spark, path, "b").groupBy("model", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
+
+
+@query
+def write_alerts(v):
+    """Alert objects and run summary as JSON, read back."""
+    path = table_path(v.spark, f"{v.sf_dir}/alert_files")
+    objects = _alert_objects(v)
+    ST.write_alerts(objects, AL.run_summary(v.packet_flows(), v.windows(), v.alerts(), None, 0.4, True), path)
+    back = v.spark.read.json(f"{path}/alerts")
+    facts = v.spark.read.json(f"{path}/run_summary").select("n_alerts").scalar()
+    return back.groupBy("host").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("top_windows")).alias("n_windows"),
+        F.sum(F.size("flagged_flows")).alias("n_flows"), F.max("probability").alias("peak")).withColumn(
+        "n_alerts", facts)
+
+
+def _alert_objects(v):
+    wins = AL.top_contributing_windows(v.scored(), v.alerts(), GRID, "score_a", 12 * GRID.stride_seconds)
+    return AL.alert_objects(v.alerts(), _linear_explanations(v), wins, AL.flagged_flows(v.alerts(), v.packet_flows(), GRID))
+
+
+@query
+def alert_objects(v):
+    return _alert_objects(v).select(
+        "host", "window_start", F.size("top_features").alias("n_features"), F.size("top_windows").alias("n_windows"),
+        F.size("flagged_flows").alias("n_flows"), F.element_at("top_features.feature", 1).alias("first_feature"))
+
+
+@query
+def read_results(v):
+    """Result files per model (one an experiment, one repeated), read back as shipped rows."""
+    path = table_path(v.spark, f"{v.sf_dir}/results_json")
+    r = _results(v).filter("budget = 0.05 and split = 'test'")
+    block = F.struct("auroc", "f1", "recall").alias("test")
+    rows = r.select("model", F.lit(None).cast("string").alias("holdout_family"), block)
+    tagged = r.select(F.concat("model", F.lit("__exp")).alias("model"), F.lit(None).cast("string").alias("holdout_family"), block)
+    rows.unionByName(rows).unionByName(tagged).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return ST.read_results(v.spark, path, multi_line=False).select("model", "test.auroc", "test.f1", "test.recall")
+
+
+# -- what-if transforms ------------------------------------------------------------------
+
+def _attackers(v):
+    """The view's fixed external addresses (odd hosts 1, 7 and 13)."""
+    return [EXTERNAL_BASE + n for n in (1, 7, 13)]
+
+
+@query
+def permute_ports(v):
+    """Port counts per socket are preserved; only their order changes."""
+    p = WI.permute_ports(v.packets(), _attackers(v))
+    return p.groupBy("src_ip", "dst_ip", "src_port", "dst_port").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def permuted_port_order(v):
+    return WI.permute_ports(v.packets(), _attackers(v)).select("packet_no", "dst_port")
+
+
+@query
+def pace(v):
+    return WI.pace(v.packets(), _attackers(v), 5.0).select("packet_no", "ts_us")
+
+
+@query
+def rechunk_payload(v):
+    return WI.rechunk_payload(v.packets(), _attackers(v), 3).groupBy("src_ip", "payload_len").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query
+def randomise_header(v):
+    p = WI.randomise_header(v.packets(), _attackers(v), "ttl", 32, 65)
+    return WI.randomise_header(p, _attackers(v), "tcp_win", 8192, 65536).select("packet_no", "ttl", "tcp_win")
+
+
+@query
+def evasion_table(v):
+    return WI.evasion_table(v.packets(), _attackers(v), SETTINGS)
+
+
+# -- audit ledger ---------------------------------------------------------------------------
+
+def _tampered(v):
+    return v.ledger().withColumn("stage", F.when(F.col("seq") == 70, "edited").otherwise(F.col("stage")))
+
+
+@query
+def append_chain(v):
+    return v.ledger().withColumn("probability", F.col("probability").cast("double"))
+
+
+@query
+def verify_chain(v):
+    return LG.verify_chain(v.ledger(), v.LEDGER_FIELDS, v.LEDGER_BLOCK)
+
+
+@query
+def verify_tampered_chain(v):
+    return LG.verify_chain(_tampered(v), v.LEDGER_FIELDS, v.LEDGER_BLOCK)
+
+
+@query
+def merkle_root(v):
+    leaves = v.ledger().select("chain", F.col("seq").alias("idx"), LG.leaf_hash(F.col("hash")).alias("leaf"))
+    return LG.merkle_root(leaves)
+
+
+@query
+def checkpoint(v):
+    return LG.checkpoint(v.ledger(), v.LEDGER_FIELDS, KEY).select("chain", "cp_no", "count", "head", "prev_sig")
+
+
+@query
+def ledger_status(v):
+    """Status of the intact, an edited and a truncated copy of the chains."""
+    log = LG.checkpoint(v.ledger(), v.LEDGER_FIELDS, KEY)
+    copies = {"intact": v.ledger(), "edited": _tampered(v), "truncated": v.ledger().filter("seq < 60")}
+    out = None
+    for name, chain in copies.items():
+        part = LG.ledger_status(chain, log, v.LEDGER_FIELDS, KEY, v.LEDGER_BLOCK).withColumn("copy", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# -- model jobs -----------------------------------------------------------------------------
+
+ML_FEATURES = ["sent_pkts", "sent_bytes", "syn", "rst", "distinct_dst_ports", "port_entropy", "ttl_mean"]
+HEAD = {"sent_pkts": 0.8, "sent_bytes": -0.3, "syn": 0.5, "rst": 1.1, "port_entropy": -0.2, "ttl_mean": 0.4}
+VIEW_TREES = 8
+
+
+def _labelled(v):
+    return v.scored().drop("y", "score_a", "score_b")
+
+
+@query
+def fit_scaler(v):
+    return ML.scaler_table(v.scored().filter("split = 'train'"), SETTINGS.feature_columns())
+
+
+@query
+def assemble_split(v):
+    rows, scaler = ML.assemble_split(_labelled(v), "train", ML_FEATURES, 4)
+    val, _ = ML.assemble_split(_labelled(v), "val", ML_FEATURES, 4, scaler)
+    return rows.unionByName(val).groupBy("split", "y").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in ML_FEATURES])
+
+
+@query
+def class_weights(v):
+    return ML.class_weights(v.scored(), ["split"])
+
+
+def _linear_explanations(v):
+    scaler = ML.fit_scaler(v.scored().filter("split = 'train'"), list(HEAD))
+    return ML.explain_linear(v.scored().filter("score_a >= 0.4"), HEAD, scaler, 3)
+
+
+@query
+def explain_top_features(v):
+    return _linear_explanations(v)
+
+
+@query
+def explain_occlusion(v):
+    train, scaler = ML.assemble_split(_labelled(v), "train", ML_FEATURES)
+    model = ML.fit_boosted_trees(train, ML_FEATURES, trees=VIEW_TREES)
+    fired = ML.apply_scaler(v.scored().filter("score_a >= 0.4"), scaler)
+    return ML.explain_occlusion(model, fired, ML_FEATURES, 3)
+
+
+@query
+def fit_logistic(v):
+    return ME.auroc(ML.train_and_score(_labelled(v), ML_FEATURES), MS)
+
+
+@query
+def fit_boosted_trees(v):
+    return ME.auroc(ML.train_and_score(_labelled(v), ML_FEATURES, "trees", trees=VIEW_TREES), MS)
+
+
+@query
+def fit_horizon_heads(v):
+    return ML.fit_horizon_heads(_labelled(v), ML_FEATURES, GRID, (0, 4), BUDGETS, "trees", trees=2, depth=3)[1]
+
+
+@query
+def head_on_snapshot(v):
+    """Linear head on as-of host states, benign rows sampled to 800."""
+    state = AO.host_state_asof(v.windows(), v.packet_flows(), GRID)
+    rows = state.join(v.scored().select("host", "window_id", "split", "y"), ["host", "window_id"]).withColumnRenamed(
+        "syn", "state_syn")
+    cols = ["bytes", "pkts", "duration_s", "state_syn"]
+    scaler = ML.fit_scaler(rows.filter("split = 'train'"), cols)
+    scaled = ML.apply_scaler(rows, scaler)
+    model = ML.head_on_snapshot(scaled.filter("split = 'train'"), cols, 800)
+    scored = ML.score(model, scaled.filter("split <> 'train'"), cols)
+    return ME.auroc(scored, ["split"])
+
+
+@query
+def isotonic_calibrate(v):
+    out = ML.isotonic_calibrate(v.scored().withColumnRenamed("score_a", "score"))
+    return ME.calibration_error(out.withColumn("score", F.col("probability")), ["split"])
+
+
+@query
+def fuse_stack(v):
+    return ME.auroc(ML.fuse_stack(v.scored(), ["score_a", "score_b"]), ["split"])
+
+
+@query
+def feature_ablation(v):
+    return ML.feature_ablation(_labelled(v), ML_FEATURES, ["rst"], v.episodes(), GRID, "logistic", (0.05,))
+
+
+@query
+def split_comparison(v):
+    return ML.inflation(ML.split_comparison(_labelled(v), ML_FEATURES, 2))
+
+
+@query
+def holdout_family(v):
+    return ME.auroc(ML.train_and_score(_labelled(v), ML_FEATURES, timeline=v.timeline(), holdout="bruteforce",
+                                       name="logistic_holdout"), MS)
+
+
+# -- streams --------------------------------------------------------------------------------
+
+def _stream_packets(v):
+    """The packet view over a file stream of the events table."""
+    live = Views(v.spark, v.sf_dir)
+    schema = v.table("events").schema
+    live.table = lambda name: v.spark.readStream.schema(schema).parquet(f"{v.sf_dir}/{name}.parque[t]")
+    return live.packets()
+
+
+def _run_stream(v, name, df):
+    path = table_path(v.spark, f"{v.sf_dir}/stream/{name}/{uuid.uuid4().hex}")
+    SJ.write_stream(df, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return v.spark.read.parquet(f"{path}/out")
+
+
+@query
+def window_features_stream(v):
+    return _run_stream(v, "packets", SJ.packet_window_stream(_stream_packets(v), GRID, "1 hour"))
+
+
+@query
+def port_spread_stream(v):
+    return _run_stream(v, "ports", SJ.port_window_stream(_stream_packets(v), GRID, "1 hour"))
+
+
+@query
+def assemble_flows_stream(v):
+    live = Views(v.spark, v.sf_dir)
+    packets = _stream_packets(v)
+    live.packets = lambda: packets
+    return _run_stream(v, "flows", SJ.assemble_flows_stream(
+        live.conversations(), "1 hour", SETTINGS.flow_timeout_seconds))
+
+
+@query
+def alerts_stream(v):
+    """Stage rules on the window stream, alerts chained per micro-batch."""
+    from ..functions.net import ip_to_text
+    path = table_path(v.spark, f"{v.sf_dir}/stream/alerts/{uuid.uuid4().hex}")
+    wins = SJ.packet_window_stream(_stream_packets(v), GRID, "1 hour")
+
+    def fired(batch):
+        busy = batch.filter("sent_pkts > 5").withColumn("window_start", F.col("window_id") * GRID.stride_seconds)
+        return busy.select(F.lit("run").alias("run"), "window_start", ip_to_text("src_ip").alias("host"),
+                           F.col("sent_pkts").alias("packets"))
+
+    SJ.alerts_stream(wins, fired, f"{path}/chain", f"{path}/checkpoint", KEY, "run", ["window_start", "host"],
+                     ["host", "packets", "window_start"], SETTINGS, 64).awaitTermination()
+    chain = v.spark.read.parquet(f"{path}/chain")
+    return LG.verify_chain(chain, ["host", "packets", "window_start"], 64)

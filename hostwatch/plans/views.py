@@ -180,3 +180,80 @@ class Views:
         return fire(self.scored().drop("stage"), F.col("score_a") >= 0.4, "score_a", SETTINGS)
 
 
+
+    # -- raw inputs derived from the tables ----------------------------------
+    def frames(self) -> DataFrame:
+        """Ethernet frames of the packets, with planned defects by frame number."""
+        return self._stage("frames", self._frames)
+
+    def _frames(self) -> DataFrame:
+        p = self.packets()
+        no = F.col("packet_no")
+        hexn = lambda c, n: F.lpad(F.hex(c.cast("long")), n * 2, "0")
+        tcp = F.col("protocol") == 6
+        total = F.col("payload_len") + F.when(tcp, 40).otherwise(28)
+        frag = F.when(no % 22 == 0, F.lit(0x2005)).when(no % 11 == 0, F.lit(0x2000)).otherwise(0)
+        flags = (F.col("fin") + F.col("syn") * 2 + F.col("rst") * 4 + F.col("psh") * 8 + F.col("ack") * 16)
+        kind = F.when(no % 13 == 0, F.lit("86DD")).when(no % 17 == 0, F.lit("0806")).otherwise(F.lit("0800"))
+        vlan = F.when(no % 10 == 0, F.lit("81000001")).otherwise(F.lit(""))
+        l4 = F.when(tcp, F.concat(
+            hexn(F.col("src_port"), 2), hexn(F.col("dst_port"), 2), hexn(F.col("seq"), 4), F.lit("00000000"),
+            F.lit("50"), hexn(flags, 1), hexn(F.col("tcp_win"), 2), F.lit("00000000"))).otherwise(F.concat(
+                hexn(F.col("src_port"), 2), hexn(F.col("dst_port"), 2), F.lit("00000000")))
+        text = F.concat(
+            F.lit("00" * 12), vlan, kind, F.lit("4500"), hexn(total, 2), F.lit("0000"), hexn(frag, 2),
+            hexn(F.col("ttl"), 1), hexn(F.col("protocol"), 1), F.lit("0000"), hexn(F.col("src_ip"), 4),
+            hexn(F.col("dst_ip"), 4), l4)
+        raw = F.unhex(text)
+        raw = F.when(no % 19 == 0, F.substring(raw, 1, 30)).when(no % 40 == 0, F.substring(raw, 1, 36)).otherwise(raw)
+        return p.select(no.alias("frame_no"), "ts_us", raw.alias("raw"))
+
+    def flow_csv(self) -> str:
+        """A defective flow CSV of the lineitem flows; returns its folder."""
+        from ..config import FLOW_COLUMNS
+        from .staging import table_path
+        path = table_path(self.spark, f"{self.sf_dir}/flow_csv")
+        fl = self.lineitem_flows()
+        ts = F.date_format(F.timestamp_micros("start_us"), "dd/MM/yyyy hh:mm:ss a")
+        text = lambda c: F.col(c).cast("string")
+        cols = {
+            "timestamp": ts, "src_ip": ip_to_text("src_ip"), "dst_ip": ip_to_text("dst_ip"),
+            "iat_mean": F.when(F.col("dst_port") % 50 == 0, "Infinity").when(F.col("dst_port") % 50 == 1, "NaN")
+            .otherwise(text("fwd_pkts")), "iat_std": F.lit("0"), "iat_max": F.lit("0"),
+            "init_win_bwd": F.lit("-1"), "label": F.when(F.col("syn") == 1, "Attack ").otherwise(" Benign")}
+        rows = fl.select(*[(cols[c] if c in cols else text(c)).alias(c) for c in FLOW_COLUMNS])
+        echo = fl.filter((F.col("dst_port") == 7) & (F.col("bwd_pkts") == 1)).select(
+            *[F.lit(raw).alias(c) for c, raw in FLOW_COLUMNS.items()])
+        out = rows.unionByName(echo).toDF(*[f" {raw} " for raw in FLOW_COLUMNS.values()])
+        out.write.mode("overwrite").option("header", "true").option("ignoreLeadingWhiteSpace", "false").option(
+            "ignoreTrailingWhiteSpace", "false").csv(path)
+        return path
+
+    def operator_log(self) -> str:
+        """Tab-separated stage logs per UTC date of the timeline's attacks; returns the folder."""
+        from .staging import table_path
+        path = table_path(self.spark, f"{self.sf_dir}/operator_log")
+        iv = self.intervals().filter((F.col("end_s") > F.col("start_s"))
+                                     & (floor_div("end_s", 86400) == floor_div("start_s", 86400)))
+        hms = lambda c: F.date_format(F.timestamp_seconds(c), "HH:mm:ss")
+        line = F.concat_ws("\t", "stage", hms("start_s"), hms("end_s"), F.col("hosts")[0], F.coalesce(F.get("hosts", F.lit(1)), F.lit("")))
+        rows = iv.select(line.alias("value"), F.date_format(F.timestamp_seconds("start_s"), "yyyy-MM-dd").alias("date"))
+        days = rows.select("date").distinct()
+        head = days.select(F.explode(F.array(F.lit("session_id\tx1"), F.lit("# columns: stage start end attacker victim"),
+                                             F.lit(""), F.lit("benign\t00:00:00\t01:00:00\ta\tb"))).alias("value"), "date")
+        rows.unionByName(head).write.mode("overwrite").partitionBy("date").text(path)
+        return path
+
+    # -- audit chain ------------------------------------------------------------
+    LEDGER_FIELDS = ["host", "probability", "stage", "technique", "window_start"]
+    LEDGER_BLOCK = 64
+
+    def ledger(self) -> DataFrame:
+        return self._stage("ledger", self._ledger)
+
+    def _ledger(self) -> DataFrame:
+        from ..operators.ledger import append_chain
+        a = self.alerts().withColumn("probability", F.col("probability").cast("decimal(9,6)")).withColumn(
+            "run", F.when(F.col("window_start") % 86400 < 43200, "am").otherwise("pm"))
+        return append_chain(a, "run", ["window_start", "host"], self.LEDGER_FIELDS, KEY,
+                            floor_div("window_start", 86400 * 7), block=self.LEDGER_BLOCK)

@@ -45,10 +45,10 @@ def write_alerts(alerts: DataFrame, summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(f"{path}/run_summary")
 
 
-def read_results(spark: SparkSession, path: str, require=("test",)) -> DataFrame:
+def read_results(spark: SparkSession, path: str, require=("test",), multi_line: bool = True) -> DataFrame:
     """Result files: experiments ('__' in the name) and files without the required
     blocks are left out; one row per (model, holdout), first file wins."""
-    df = spark.read.option("multiLine", "true").json(path).withColumn("_file", F.col("_metadata.file_path"))
+    df = spark.read.option("multiLine", str(multi_line).lower()).json(path).withColumn("_file", F.col("_metadata.file_path"))
     if "holdout_family" not in df.columns:
         df = df.withColumn("holdout_family", F.lit(None).cast("string"))
     for block in require:
