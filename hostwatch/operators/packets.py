@@ -55,7 +55,7 @@ def _hist(i: int) -> Column:
     inside = size >= PAYLOAD_EDGES[i]
     if i + 1 < len(PAYLOAD_EDGES):
         inside = inside & (size < PAYLOAD_EDGES[i + 1])
-    return F.count_if(inside).alias(f"payload_hist_{i}")
+    return F.count_if(inside)
 
 
 def _var_pop(n: str, total: str, squares: str) -> Column:
@@ -65,26 +65,82 @@ def _var_pop(n: str, total: str, squares: str) -> Column:
     return ratio(exact, F.col(n).cast("double") * F.col(n).cast("double"))
 
 
-def _sequential_hits_between(subs: DataFrame, grid: Grid) -> DataFrame:
-    """(src_ip, window_id, seq_hits) for port steps that cross a sub-bin border.
-
-    Only present neighbours at most n_bins-1 bins apart share a window. Sub-bins are
-    blocked along time with a halo of n_bins-1 bins, so no task sees a whole source.
+def _packet_sums() -> dict[str, Column]:
+    ttl, win = F.col("ttl").cast("long"), F.when(F.col("protocol") == TCP, F.col("tcp_win").cast("long"))
+    return {
+        "n": F.count(F.lit(1)), "ttl_sum": F.sum(ttl), "ttl_sq": F.sum(ttl * ttl),
+        "win_n": F.count(win), "win_sum": F.sum(win), "win_sq": F.sum(win * win),
+        "frag_flag_count": F.sum(F.col("is_frag").cast("long")),
+        "retransmission_count": F.sum(F.col("is_retrans").cast("long")),
+        **{f"payload_hist_{i}": _hist(i) for i in range(len(PAYLOAD_EDGES))},
+    }
+
+
+def _sent_sums(server_ports) -> dict[str, Column]:
+    return {
+        "sent_pkts": F.count(F.lit(1)), "sent_bytes": F.sum(F.col("payload_len").cast("long")),
+        **{f: F.sum(F.col(f).cast("long")) for f in FLAGS},
+        "_syn_win": F.sum(F.when(F.col("syn") == 1, F.col("tcp_win").cast("long")).otherwise(0)),
+        "_server": F.count_if(is_server_port("src_port", server_ports)),
+    }
+
+
+def _window_sums(packets: DataFrame, grid: Grid, sums: dict[str, Column], sub_us: int | None) -> DataFrame:
+    """Sums and sequential-port hits per (src_ip, window_id) from one shuffle of the packets.
+
+    Packets are ordered inside (source, sub-bin). Sub-bin summaries are then ordered
+    inside blocks of bins with a halo of n_bins-1 bins, so neighbours that share a
+    window meet although no task ever sees a whole source. A port step across bins
+    counts in the windows that hold both packets: ids up to the earlier bin.
     """
+    sub_us = sub_us or grid.stride_us // 5
+    if grid.stride_us % sub_us:
+        raise ValueError("sub_us must divide the stride")
     reach = grid.n_bins - 1
-    block = floor_div("bin_id", _BLOCK_BINS)
+    w = Window.partitionBy("src_ip", "_sub").orderBy("ts_us", "packet_no")
+    px = packets.withColumn("_sub", floor_div("ts_us", sub_us))
+    px = px.select("*", F.lag("dst_port").over(w).alias("_prev"), F.lead("dst_port").over(w).alias("_next"))
+    subs = px.groupBy("src_ip", "_sub").agg(
+        *[c.alias(n) for n, c in sums.items()],
+        F.count_if(F.col("dst_port") - F.col("_prev") == 1).alias("_hits"),
+        F.max(F.when(F.col("_prev").isNull(), F.col("dst_port"))).alias("_first"),
+        F.max(F.when(F.col("_next").isNull(), F.col("dst_port"))).alias("_last"))
+    subs = subs.withColumn("bin_id", floor_div("_sub", grid.stride_us // sub_us))
+    own = floor_div("bin_id", _BLOCK_BINS)
     halo = floor_div(F.col("bin_id") + reach, _BLOCK_BINS)
-    rows = subs.select("src_ip", "sub_id", "bin_id", "first_port", "last_port", block.alias("_own"),
-                       F.explode(F.array_distinct(F.array(block, halo))).alias("_block"))
-    w = Window.partitionBy("src_ip", "_block").orderBy("sub_id")
-    hits = rows.select(
-        "src_ip", "bin_id", "_own", "_block",
-        F.lag("bin_id").over(w).alias("_pbin"),
-        (F.col("first_port") - F.lag("last_port").over(w)).alias("_step"),
-    ).filter((F.col("_own") == F.col("_block")) & (F.col("_step") == 1)
-             & (F.col("_pbin") >= F.col("bin_id") - reach))
-    return hits.select("src_ip", F.explode(F.sequence(F.col("bin_id") - reach, F.col("_pbin")))
-                       .alias("window_id"), F.lit(1).cast("long").alias("seq_hits"))
+    rows = subs.withColumn("_own", own).withColumn(
+        "_block", F.explode(F.array_distinct(F.array(F.col("_own"), halo))))
+    along = Window.partitionBy("src_ip", "_block").orderBy("_sub")
+    rows = rows.select("*", F.lag("bin_id").over(along).alias("_pbin"),
+                       (F.col("_first") - F.lag("_last").over(along) == 1).alias("_step"))
+    rows = rows.filter(F.col("_own") == F.col("_block"))
+    inside = F.coalesce(F.col("_step") & (F.col("_pbin") == F.col("bin_id")), F.lit(False))
+    crossing = F.coalesce(F.col("_step") & (F.col("_pbin") < F.col("bin_id")), F.lit(False))
+    bins = rows.groupBy("src_ip", "_block", "bin_id").agg(
+        *[F.sum(n).alias(n) for n in sums], F.sum(F.col("_hits") + inside.cast("long")).alias("_hits"),
+        F.max(F.when(crossing, F.col("_pbin"))).alias("_from"))
+    wins = bins.withColumn("window_id", F.explode(F.sequence(F.col("bin_id") - reach, F.col("bin_id"))))
+    return wins.groupBy("src_ip", "window_id").agg(
+        *[F.sum(n).alias(n) for n in sums],
+        F.sum(F.col("_hits") + F.coalesce((F.col("window_id") <= F.col("_from")).cast("long"), F.lit(0))).alias("_hits"))
+
+
+def _packet_columns() -> list[Column]:
+    n = F.col("n")
+    return [
+        (F.col("ttl_sum") / n).alias("ttl_mean"), _var_pop("n", "ttl_sum", "ttl_sq").alias("ttl_var"),
+        ratio(F.col("win_sum"), F.col("win_n")).alias("tcp_win_mean"),
+        _var_pop("win_n", "win_sum", "win_sq").alias("tcp_win_var"),
+        F.col("frag_flag_count"), F.col("retransmission_count"),
+        F.when(n >= 2, F.col("_hits") / (n - 1)).otherwise(F.lit(0.0)).alias("sequential_port_ratio"),
+        *[F.col(f"payload_hist_{i}") for i in range(len(PAYLOAD_EDGES))],
+    ]
+
+
+def _sent_columns() -> list[Column]:
+    return [F.col("sent_bytes"), F.col("sent_pkts"), *[F.col(f) for f in FLAGS],
+            ratio(F.col("_syn_win"), F.col("syn")).alias("syn_win_mean"),
+            (F.col("_server") / F.col("sent_pkts")).alias("server_port_ratio")]
 
 
 def port_window_features(packets: DataFrame, grid: Grid) -> DataFrame:
@@ -100,74 +156,40 @@ def port_window_features(packets: DataFrame, grid: Grid) -> DataFrame:
     return out.select("src_ip", "window_id", "distinct_dst_ports", entropy.alias("port_entropy"))
 
 
+def peer_window_features(packets: DataFrame, grid: Grid) -> DataFrame:
+    """distinct_dst_ips per (src_ip, window_id)."""
+    peers = packets.select("src_ip", floor_div("ts_us", grid.stride_us).alias("bin_id"), "dst_ip").distinct()
+    return (bins_to_windows(peers, grid).distinct().groupBy("src_ip", "window_id")
+            .agg(F.count(F.lit(1)).alias("distinct_dst_ips")))
+
+
 def packet_window_features(packets: DataFrame, grid: Grid, sub_us: int | None = None) -> DataFrame:
     """The 17 packet statistics per (src_ip, window_id)."""
-    sub_us = sub_us or grid.stride_us // 5
-    if grid.stride_us % sub_us:
-        raise ValueError("sub_us must divide the stride")
-    per_bin = grid.stride_us // sub_us
-    px = packets.select("src_ip", "ts_us", "packet_no", "dst_port", "protocol", "ttl", "tcp_win",
-                        "is_frag", "payload_len", "is_retrans",
-                        floor_div("ts_us", sub_us).alias("sub_id"))
-    w = Window.partitionBy("src_ip", "sub_id").orderBy("ts_us", "packet_no")
-    px = px.select("*", F.lag("dst_port").over(w).alias("_prev"), F.lead("dst_port").over(w).alias("_next"))
-    ttl, win = F.col("ttl").cast("long"), F.when(F.col("protocol") == TCP, F.col("tcp_win").cast("long"))
-    subs = px.groupBy("src_ip", "sub_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(ttl).alias("ttl_sum"), F.sum(ttl * ttl).alias("ttl_sq"),
-        F.count(win).alias("win_n"), F.sum(win).alias("win_sum"), F.sum(win * win).alias("win_sq"),
-        F.sum(F.col("is_frag").cast("long")).alias("frag_flag_count"),
-        F.sum(F.col("is_retrans").cast("long")).alias("retransmission_count"),
-        F.count_if(F.col("dst_port") - F.col("_prev") == 1).alias("seq_hits"),
-        F.max(F.when(F.col("_prev").isNull(), F.col("dst_port"))).alias("first_port"),
-        F.max(F.when(F.col("_next").isNull(), F.col("dst_port"))).alias("last_port"),
-        *[_hist(i) for i in range(len(PAYLOAD_EDGES))],
-    ).withColumn("bin_id", floor_div("sub_id", per_bin))
-
-    sums = ["n", "ttl_sum", "ttl_sq", "win_n", "win_sum", "win_sq", "frag_flag_count",
-            "retransmission_count", "seq_hits", *[f"payload_hist_{i}" for i in range(len(PAYLOAD_EDGES))]]
-    bins = subs.groupBy("src_ip", "bin_id").agg(*[F.sum(c).alias(c) for c in sums])
-    pieces = bins_to_windows(bins, grid).unionByName(
-        _sequential_hits_between(subs, grid), allowMissingColumns=True)
-    wf = pieces.groupBy("src_ip", "window_id").agg(*[F.sum(c).alias(c) for c in sums])
-
-    n = F.col("n")
-    ttl_mean, win_mean = F.col("ttl_sum") / n, ratio(F.col("win_sum"), F.col("win_n"))
-    wf = wf.select(
-        "src_ip", "window_id",
-        ttl_mean.alias("ttl_mean"),
-        _var_pop("n", "ttl_sum", "ttl_sq").alias("ttl_var"),
-        win_mean.alias("tcp_win_mean"),
-        _var_pop("win_n", "win_sum", "win_sq").alias("tcp_win_var"),
-        "frag_flag_count", "retransmission_count",
-        F.when(n >= 2, F.col("seq_hits") / (n - 1)).otherwise(F.lit(0.0)).alias("sequential_port_ratio"),
-        *[f"payload_hist_{i}" for i in range(len(PAYLOAD_EDGES))],
-    )
+    wf = _window_sums(packets, grid, _packet_sums(), sub_us).select("src_ip", "window_id", *_packet_columns())
     return wf.join(port_window_features(packets, grid), ["src_ip", "window_id"]).select(
         "src_ip", "window_id", *PACKET_FIELDS)
 
 
 def sent_window_features(packets: DataFrame, grid: Grid, server_ports=SERVER_PORTS) -> DataFrame:
-    """The 11 sent-side aggregates per (src_ip, window_id)."""
-    bin_id = floor_div("ts_us", grid.stride_us).alias("bin_id")
-    bins = packets.groupBy("src_ip", bin_id).agg(
-        F.count(F.lit(1)).alias("sent_pkts"),
-        F.sum(F.col("payload_len").cast("long")).alias("sent_bytes"),
-        *[F.sum(F.col(f).cast("long")).alias(f) for f in FLAGS],
-        F.sum(F.when(F.col("syn") == 1, F.col("tcp_win").cast("long")).otherwise(0)).alias("_syn_win"),
-        F.count_if(is_server_port("src_port", server_ports)).alias("_server"),
-    )
-    sums = ["sent_pkts", "sent_bytes", *FLAGS, "_syn_win", "_server"]
+    """The 11 sent-side aggregates per (src_ip, window_id): no order, so map-side sums only."""
+    sums = _sent_sums(server_ports)
+    bins = packets.groupBy("src_ip", floor_div("ts_us", grid.stride_us).alias("bin_id")).agg(
+        *[c.alias(n) for n, c in sums.items()])
     wf = bins_to_windows(bins, grid).groupBy("src_ip", "window_id").agg(*[F.sum(c).alias(c) for c in sums])
-    peers = packets.select("src_ip", bin_id, "dst_ip").distinct()
-    peers = (bins_to_windows(peers, grid).distinct().groupBy("src_ip", "window_id")
-             .agg(F.count(F.lit(1)).alias("distinct_dst_ips")))
-    wf = wf.join(peers, ["src_ip", "window_id"])
-    return wf.select(
-        "src_ip", "window_id", "sent_bytes", "sent_pkts", *FLAGS,
-        ratio(F.col("_syn_win"), F.col("syn")).alias("syn_win_mean"),
-        (F.col("_server") / F.col("sent_pkts")).alias("server_port_ratio"), "distinct_dst_ips",
-    ).select("src_ip", "window_id", *SENT_FIELDS)
+    wf = wf.join(peer_window_features(packets, grid), ["src_ip", "window_id"])
+    return wf.select("src_ip", "window_id", *_sent_columns(), "distinct_dst_ips").select(
+        "src_ip", "window_id", *SENT_FIELDS)
+
+
+def all_window_features(packets: DataFrame, grid: Grid, sub_us: int | None = None,
+                        server_ports=SERVER_PORTS) -> DataFrame:
+    """Both families of the same packets in one pass: what merging the two would give."""
+    sums = {**_packet_sums(), **_sent_sums(server_ports)}
+    wf = _window_sums(packets, grid, sums, sub_us).select(
+        "src_ip", "window_id", *_packet_columns(), *_sent_columns())
+    key = ["src_ip", "window_id"]
+    return (wf.join(port_window_features(packets, grid), key).join(peer_window_features(packets, grid), key)
+            .select(*key, *PACKET_FIELDS, *SENT_FIELDS))
 
 
 def merge_features(packet_wf: DataFrame, sent_wf: DataFrame) -> DataFrame:

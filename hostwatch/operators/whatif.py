@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FLAGS, PAYLOAD_EDGES, SEED, STAGES, UNCLASSIFIED, Settings
+from ..config import PAYLOAD_EDGES, SEED, STAGES, UNCLASSIFIED, Settings
 from ..functions.columns import floor_div
 from ..functions.crypto import portable_hash
 from ..functions.net import is_internal
 from ..functions.rules import infer_stage
 from .metrics import hash_order
 from .ordered import row_numbers
-from .packets import TCP, merge_features, packet_window_features, sent_window_features
+from .packets import TCP, all_window_features
 
 SOCKET = ["src_ip", "dst_ip", "src_port"]
 _SHIFT = 1 << 20          # packet_no room for the chunks of one payload
@@ -119,7 +119,7 @@ def evasion_table(packets: DataFrame, attackers, settings: Settings, variants=tu
         F.count_distinct("dst_ip", "dst_port").alias("reach"),
         F.count_distinct("dst_ip", "src_port", "dst_port").alias("sockets"))
     keyed = rows.withColumn("src_ip", F.col("variant_no") * F.lit(_VARIANT) + F.col("src_ip"))
-    wf = merge_features(packet_window_features(keyed, settings.grid), sent_window_features(keyed, settings.grid))
+    wf = all_window_features(keyed, settings.grid)
     wf = (wf.withColumn("variant_no", floor_div("src_ip", _VARIANT))
           .withColumn("src_ip", F.pmod("src_ip", F.lit(_VARIANT)))
           .withColumn("internal", is_internal("src_ip").cast("int"))
@@ -135,8 +135,3 @@ def evasion_table(packets: DataFrame, attackers, settings: Settings, variants=tu
     sent = F.when(F.col("pkts").isNotNull(), F.col("pkts")).otherwise(
         F.raise_error(F.lit("none of the attacker addresses sent a packet")).cast("long"))
     return out.withColumn("pkts", sent)
-
-
-def counterfactual_columns() -> list[str]:
-    return ["packet_no", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "ttl", "tcp_win",
-            "is_frag", "payload_len", "is_retrans", *FLAGS]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, META_FIELDS, PACKET_FIELDS, SENT_FIELDS, Grid, Settings
 from ..functions.crypto import net24_bucket, pseudonym
 from ..functions.net import ip_to_text, is_internal
-from .packets import merge_features, packet_window_features, sent_window_features
+from .packets import all_window_features
 
 
 def add_roles(df: DataFrame, key: bytes | None, ip: str = "src_ip") -> DataFrame:
@@ -45,9 +45,7 @@ def finish_features(merged: DataFrame, settings: Settings, key: bytes | None,
 def build_window_features(packets: DataFrame, settings: Settings = DEFAULTS, key: bytes | None = None,
                           **kwargs) -> DataFrame:
     """Packets to the full (host, window) feature matrix."""
-    merged = merge_features(packet_window_features(packets, settings.grid),
-                            sent_window_features(packets, settings.grid))
-    return finish_features(merged, settings, key, **kwargs)
+    return finish_features(all_window_features(packets, settings.grid), settings, key, **kwargs)
 
 
 def mask_flow_only(df: DataFrame) -> DataFrame:

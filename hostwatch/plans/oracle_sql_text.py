@@ -916,3 +916,6 @@ SELECT src_ip, window_id, {feat_list(["distinct_dst_ports", "port_entropy"])} FR
 QUERIES["assemble_flows_stream"] = f"""
 SELECT start_us, src_ip, dst_ip, src_port, dst_port, protocol, duration, fwd_bytes, bwd_bytes, fwd_pkts, bwd_pkts, syn, ack, fin, rst, psh, urg,
   round(iat_mean,6)+0.0 AS iat_mean FROM v_pflows, {WM} WHERE start_us+duration+43200000000<=wm"""
+QUERIES["alerts_stream"] = f"""
+SELECT 'run' AS chain, count(*) AS n_records, CAST(NULL AS BIGINT) AS first_bad FROM v_sent_feat, {WM}
+WHERE window_id*{SU}+{WU}<=wm AND sent_pkts>5"""

@@ -30,11 +30,17 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/staged/{spark.sparkContext.applicationId}/{digest}"
 
 
-def staged(spark: SparkSession, name: str, build) -> DataFrame:
-    """Read the staged table ``name``; the first use in an application writes it."""
+def staged_path(spark: SparkSession, name: str, write) -> str:
+    """Folder ``name``; the first use in an application fills it with ``write(path)``."""
     path = table_path(spark, name)
     token = (spark.sparkContext.applicationId, path)
     if token not in _written:
-        build().write.mode("overwrite").parquet(path)
+        write(path)
         _written.add(token)
-    return spark.read.parquet(path)
+    return path
+
+
+def staged(spark: SparkSession, name: str, build) -> DataFrame:
+    """The staged parquet table ``name``, built on first use."""
+    return spark.read.parquet(
+        staged_path(spark, name, lambda path: build().write.mode("overwrite").parquet(path)))

@@ -17,7 +17,7 @@ from ..operators import flows as FL
 from ..operators import labels as LB
 from ..operators import packets as PK
 from ..operators import windows as WN
-from .staging import staged
+from .staging import staged, staged_path
 
 INTERNAL_BASE = 167772160      # 10.0.0.0
 EXTERNAL_BASE = 3405803776     # 203.0.113.0
@@ -210,9 +210,10 @@ class Views:
 
     def flow_csv(self) -> str:
         """A defective flow CSV of the lineitem flows; returns its folder."""
+        return staged_path(self.spark, f"{self.sf_dir}/flow_csv", self._write_flow_csv)
+
+    def _write_flow_csv(self, path: str) -> None:
         from ..config import FLOW_COLUMNS
-        from .staging import table_path
-        path = table_path(self.spark, f"{self.sf_dir}/flow_csv")
         fl = self.lineitem_flows()
         ts = F.date_format(F.timestamp_micros("start_us"), "dd/MM/yyyy hh:mm:ss a")
         text = lambda c: F.col(c).cast("string")
@@ -227,12 +228,12 @@ class Views:
         out = rows.unionByName(echo).toDF(*[f" {raw} " for raw in FLOW_COLUMNS.values()])
         out.write.mode("overwrite").option("header", "true").option("ignoreLeadingWhiteSpace", "false").option(
             "ignoreTrailingWhiteSpace", "false").csv(path)
-        return path
 
     def operator_log(self) -> str:
         """Tab-separated stage logs per UTC date of the timeline's attacks; returns the folder."""
-        from .staging import table_path
-        path = table_path(self.spark, f"{self.sf_dir}/operator_log")
+        return staged_path(self.spark, f"{self.sf_dir}/operator_log", self._write_operator_log)
+
+    def _write_operator_log(self, path: str) -> None:
         iv = self.intervals().filter((F.col("end_s") > F.col("start_s"))
                                      & (floor_div("end_s", 86400) == floor_div("start_s", 86400)))
         hms = lambda c: F.date_format(F.timestamp_seconds(c), "HH:mm:ss")
@@ -242,7 +243,6 @@ class Views:
         head = days.select(F.explode(F.array(F.lit("session_id\tx1"), F.lit("# columns: stage start end attacker victim"),
                                              F.lit(""), F.lit("benign\t00:00:00\t01:00:00\ta\tb"))).alias("value"), "date")
         rows.unionByName(head).write.mode("overwrite").partitionBy("date").text(path)
-        return path
 
     # -- audit chain ------------------------------------------------------------
     LEDGER_FIELDS = ["host", "probability", "stage", "technique", "window_start"]
