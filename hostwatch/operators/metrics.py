@@ -33,15 +33,15 @@ def threshold_at_fpr(scores: DataFrame, keys: list[str], budgets=FPR_BUDGETS) ->
     the highest score, so nothing alerts. A key without benign rows fails.
     """
     hist = cumulative(score_histogram(scores, keys), keys, "score", ["neg"], descending=True)
-    totals = scores.groupBy(*keys).agg(F.sum(1 - F.col("y")).cast("long").alias("n_benign"))
+    n = F.sum(1 - F.col("y")).cast("long")
+    checked = F.when(n > 0, n).otherwise(
+        F.raise_error(F.lit("no benign rows: cannot set a threshold")).cast("long"))
+    totals = scores.groupBy(*keys).agg(checked.alias("n_benign"))
     hist = hist.join(totals, keys) if keys else hist.withColumn("n_benign", totals.select("n_benign").scalar())
     fits = lambda b: F.col("cum_neg") / F.col("n_benign") <= F.lit(float(b))
-    benign = F.when(F.max("n_benign") > 0, F.max("n_benign")).otherwise(
-        F.raise_error(F.lit("no benign rows: cannot set a threshold")).cast("long"))
-    per = hist.filter("n_benign is not null").groupBy(*keys).agg(
-        benign.alias("n_benign"), F.max("score").alias("_max"),
-        *[F.min(F.when(fits(b) | (F.col("n_benign") == 0), F.struct("score", "cum_neg"))).alias(f"_t{i}")
-          for i, b in enumerate(budgets)])
+    per = hist.groupBy(*keys).agg(
+        F.max("n_benign").alias("n_benign"), F.max("score").alias("_max"),
+        *[F.min(F.when(fits(b), F.struct("score", "cum_neg"))).alias(f"_t{i}") for i, b in enumerate(budgets)])
     above = F.col("_max") + F.greatest(F.abs("_max") * F.lit(2.3e-16), F.lit(5e-324))
     options = F.array(*[F.struct(
         F.lit(float(b)).alias("budget"), F.coalesce(F.col(f"_t{i}.score"), above).alias("threshold"),

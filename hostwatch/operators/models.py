@@ -21,14 +21,23 @@ from .labels import BENIGN, drop_family, shift_target
 LOGISTIC_C, LOGISTIC_ITER = 1.0, 500
 TREES, DEPTH, RATE, SUBSAMPLE, COLUMNS = 300, 6, 0.1, 0.8, "0.8"
 
+_FLAT = 1e-9              # relative deviation below which a feature is constant
+
 Scaler = dict[str, tuple[float, float]]
 
 
 def fit_scaler(train: DataFrame, features: list[str]) -> Scaler:
-    """Mean and population deviation per feature (one aggregate row); a zero deviation counts as 1."""
+    """Mean and population deviation per feature (one aggregate row).
+
+    A deviation that is zero up to rounding counts as 1.
+    """
     row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in features],
                     *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
-    return {c: (float(row[f"m_{c}"]), float(row[f"s_{c}"]) or 1.0) for c in features}
+    out = {}
+    for c in features:
+        mean, dev = float(row[f"m_{c}"]), float(row[f"s_{c}"])
+        out[c] = (mean, dev if dev > _FLAT * abs(mean) else 1.0)
+    return out
 
 
 def scaler_table(train: DataFrame, features: list[str]) -> DataFrame:
@@ -36,7 +45,7 @@ def scaler_table(train: DataFrame, features: list[str]) -> DataFrame:
     stats = F.array(*[F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"),
                                F.stddev_pop(c).alias("scale")) for c in features])
     out = train.agg(stats.alias("s")).select(F.inline("s"))
-    return out.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))
+    return out.withColumn("scale", F.when(F.col("scale") <= F.abs("mean") * _FLAT, 1.0).otherwise(F.col("scale")))
 
 
 def z(feature: str, scaler: Scaler) -> Column:

@@ -990,13 +990,13 @@ def assemble_flows_stream(v):
 
 @query
 def alerts_stream(v):
-    """Stage rules on the window stream, alerts chained per micro-batch."""
+    """Busy windows of the window stream as alerts, chained per micro-batch."""
     from ..functions.net import ip_to_text
     path = table_path(v.spark, f"{v.sf_dir}/stream/alerts/{uuid.uuid4().hex}")
     wins = SJ.packet_window_stream(_stream_packets(v), GRID, "1 hour")
 
     def fired(batch):
-        busy = batch.filter("sent_pkts > 5").withColumn("window_start", F.col("window_id") * GRID.stride_seconds)
+        busy = batch.filter("sent_pkts > 1").withColumn("window_start", F.col("window_id") * GRID.stride_seconds)
         return busy.select(F.lit("run").alias("run"), "window_start", ip_to_text("src_ip").alias("host"),
                            F.col("sent_pkts").alias("packets"))
 
