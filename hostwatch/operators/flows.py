@@ -33,7 +33,7 @@ def sessions(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
              chunk_us: int | None = None) -> DataFrame:
     """Add flow_no per endpoint pair; a quiet gap longer than the timeout starts a flow."""
     timeout_us = timeout_seconds * 1_000_000
-    chunk_us = chunk_us or max(30 * timeout_us, 1)
+    chunk_us = chunk_us or max(timeout_us // 12, 1_000_000)
     chunk, order = floor_div("ts_us", chunk_us), ["ts_us", "packet_no"]
     px = previous_row(with_pair(packets), PAIR, chunk, order, ["ts_us"])
     gap = F.col("ts_us") - F.col("prev_ts_us")

@@ -14,7 +14,7 @@ from ..config import ECE_BINS, FPR_BUDGETS, MIN_EPISODES_FOR_BAND, SEED, Grid
 from ..functions.columns import floor_div, ratio
 from ..functions.crypto import portable_hash
 from .labels import closed_windows
-from .ordered import cumulative, exact_percentiles, row_numbers
+from .ordered import checked_small, cumulative, exact_percentiles, row_numbers
 
 MODEL_SPLIT = ["model", "split"]
 HASH_BITS = 52
@@ -71,13 +71,13 @@ def classification(scores: DataFrame, thresholds: DataFrame, fit_keys: list[str]
                    by: list[str], tags: list[str]) -> DataFrame:
     """Confusion counts and rates per (by, tags) at given thresholds.
 
-    ``thresholds`` holds one row per (fit_keys, tags): its size is the number of
-    models times budgets, whatever the scores table holds, hence the broadcast.
+    ``thresholds`` holds one row per (fit_keys, tags), models times budgets whatever the
+    scores table holds; it is broadcast after a check of its size.
     """
     t = thresholds.select(*fit_keys, *tags, "threshold")
     hist = score_histogram(scores, by)
     hit = F.col("score") >= F.col("threshold")
-    part = hist.join(F.broadcast(t), fit_keys)
+    part = hist.join(checked_small(t), fit_keys)
     total = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0)).cast("long")
     out = part.groupBy(*by, *tags).agg(
         F.max("threshold").alias("threshold"), total("pos", hit).alias("tp"), total("neg", hit).alias("fp"),
@@ -168,9 +168,9 @@ def alerts_per_host_day(n_alerts: Column, n_windows: Column, grid: Grid) -> Colu
 
 
 def alerts_at(scores: DataFrame, thresholds: DataFrame, fit_keys: list[str], tags: list[str]) -> DataFrame:
-    """Rows that fire at each tag's threshold (threshold table broadcast as above)."""
+    """Rows that fire at each tag's threshold (threshold table as above)."""
     t = thresholds.select(*fit_keys, *tags, "threshold")
-    return scores.join(F.broadcast(t), fit_keys).filter(F.col("score") >= F.col("threshold"))
+    return scores.join(checked_small(t), fit_keys).filter(F.col("score") >= F.col("threshold"))
 
 
 def evaluate(scores: DataFrame, episodes: DataFrame, grid: Grid, budgets=FPR_BUDGETS,
@@ -229,7 +229,7 @@ def per_episode_report(scores: DataFrame, episodes: DataFrame, threshold: DataFr
     span = closed_windows(episodes, grid).select("split", "host", "episode_no", "start_s", "end_s", "window_id")
     key = ["model", "split", "host", "episode_no", "start_s", "end_s"]
     inside = scores.join(span, ["split", "host", "window_id"]).join(
-        F.broadcast(threshold.select("model", "threshold")), "model")
+        checked_small(threshold.select("model", "threshold")), "model")
     fired = F.col("score") >= F.col("threshold")
     per = inside.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_windows"), F.count_if(fired).alias("n_fired"),

@@ -203,29 +203,27 @@ def explain_linear(rows: DataFrame, coefficients: dict[str, float], scaler: Scal
     items = F.array(*[F.struct(
         (-F.abs(F.lit(w) * z(f, scaler))).alias("order"), F.lit(f).alias("feature"),
         z(f, scaler).alias("value"), (F.lit(w) * z(f, scaler)).alias("contribution")) for f, w in coefficients.items()])
-    top = F.slice(F.array_sort(items), 1, k)
-    return rows.select("host", "window_start", F.posexplode(top).alias("pos", "i")).select(
-        "host", "window_start", (F.col("pos") + 1).alias("rank"), "i.feature", "i.value", "i.contribution")
+    return _ranked(rows, items, k)
 
 
 def explain_occlusion(model: Model, scaled: DataFrame, features: list[str], k: int = 5) -> DataFrame:
-    """Top-k features by score change when the feature is set to its train mean (scaled 0)."""
-    full = score(model, scaled, features, "_full")
-    row_key = ["host", "window_id"]
-    base = full.select(*row_key, "window_start", *features, "_full")
-    without = F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")
-    probe = base.select(*row_key, "window_start", "_full", without, *features)
-    value = reduce(lambda acc, f: acc.when(F.col("feature") == f, F.col(f)), features[1:],
-                   F.when(F.col("feature") == features[0], F.col(features[0])))
-    probe = probe.withColumn("value", value)
-    probe = probe.select(*row_key, "window_start", "_full", "feature", "value", *[
-        F.when(F.col("feature") == f, F.lit(0.0)).otherwise(F.col(f)).alias(f) for f in features])
-    scored = score(model, probe, features, "_without").withColumn("contribution", F.col("_full") - F.col("_without"))
-    item = F.struct((-F.abs("contribution")).alias("order"), "feature", "value", "contribution")
-    # exactly one entry per feature and row
-    tops = scored.groupBy(*row_key, "window_start").agg(
-        F.slice(F.array_sort(F.collect_list(item)), 1, k).alias("top"))
-    return tops.select("host", "window_start", F.posexplode("top").alias("pos", "i")).select(
+    """Top-k features by score change when the feature is set to its train mean (scaled 0).
+
+    One more scored column per feature on the same row: no copies, no shuffle.
+    """
+    out = score(model, scaled, features, "_full").withColumn("_mean", F.lit(0.0))
+    for i, f in enumerate(features):
+        out = score(model, out, ["_mean" if c == f else c for c in features], f"_without_{i}")
+    items = F.array(*[F.struct(
+        (-F.abs(F.col("_full") - F.col(f"_without_{i}"))).alias("order"), F.lit(f).alias("feature"),
+        F.col(f).cast("double").alias("value"), (F.col("_full") - F.col(f"_without_{i}")).alias("contribution"))
+        for i, f in enumerate(features)])
+    return _ranked(out, items, k)
+
+
+def _ranked(rows: DataFrame, items: Column, k: int) -> DataFrame:
+    top = F.slice(F.array_sort(items), 1, k)
+    return rows.select("host", "window_start", F.posexplode(top).alias("pos", "i")).select(
         "host", "window_start", (F.col("pos") + 1).alias("rank"), "i.feature", "i.value", "i.contribution")
 
 

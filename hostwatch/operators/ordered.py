@@ -17,6 +17,17 @@ CHUNK = "_chunk"
 QUANTILE_CUTS = 128
 
 
+def checked_small(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Broadcast a table of settings; more than ``limit`` rows fail the query instead.
+
+    For threshold and anchor tables, whose rows number models x budgets or attackers.
+    """
+    size = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    ok = F.when(size <= limit, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"table is larger than the {limit} rows it may broadcast")).cast("boolean"))
+    return F.broadcast(df.withColumn("_fits", ok).filter("_fits").drop("_fits"))
+
+
 def previous_row(df: DataFrame, keys: list[str], chunk: Column, order: list[str],
                  values: list[str], prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<value>`` of the preceding row of the same key.

@@ -13,7 +13,7 @@ from ..functions.crypto import portable_hash
 from ..functions.net import is_internal
 from ..functions.rules import infer_stage
 from .metrics import hash_order
-from .ordered import row_numbers
+from .ordered import checked_small, row_numbers
 from .packets import TCP, all_window_features
 
 SOCKET = ["src_ip", "dst_ip", "src_port"]
@@ -40,7 +40,7 @@ def pace(packets: DataFrame, attackers, factor: float) -> DataFrame:
     """Stretch the attacker's timing about each attacking host's first packet."""
     first = packets.filter(sent_by(attackers)).groupBy("src_ip").agg(F.min("ts_us").alias("_t0"))
     # one row per attacker address in the argument list
-    out = packets.join(F.broadcast(first), "src_ip", "left")
+    out = packets.join(checked_small(first), "src_ip", "left")
     moved = F.col("_t0") + F.round((F.col("ts_us") - F.col("_t0")) * F.lit(float(factor))).cast("long")
     return out.withColumn("ts_us", F.coalesce(moved, F.col("ts_us"))).select(*packets.columns)
 

@@ -121,7 +121,7 @@ SELECT strftime(make_timestamp(d*86400000000), '%Y-%m-%d') AS date, d,
 FROM (SELECT *, CAST((src_ip+d)%6 AS INTEGER) AS idx FROM
   (SELECT src_ip, d, count(*) AS n, min(s) AS lo, max(s) AS hi, min(dst_ip) AS victim FROM
     (SELECT *, s//86400 AS d FROM (SELECT *, ts_us//1000000 - 14400 AS s FROM v_packets WHERE rst=1)) GROUP BY 1,2)
-  WHERE n>=2 AND src_ip%3=1)
+  WHERE src_ip%3=1)
 """
 CTES["v_parties"] = """
 SELECT attacker AS host, start_s, end_s, stage_rank FROM v_timeline

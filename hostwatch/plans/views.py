@@ -110,7 +110,7 @@ class Views:
 
     # -- timeline -----------------------------------------------------------
     def timeline(self) -> DataFrame:
-        """Per (local day, host) with several resets: one attack with HH:MM local bounds."""
+        """Per (local day, host) with resets: one attack with HH:MM local bounds."""
         return self._stage("timeline", self._timeline)
 
     def _timeline(self) -> DataFrame:
@@ -120,7 +120,7 @@ class Views:
             "src_ip", "dst_ip", local_s.alias("s"), day_no.alias("d"))
         g = p.groupBy("src_ip", "d").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"),
                                          F.max("s").alias("hi"), F.min("dst_ip").alias("victim"))
-        g = g.filter((F.col("n") >= 2) & (F.col("src_ip") % 3 == 1))
+        g = g.filter(F.col("src_ip") % 3 == 1)
         idx = ((F.col("src_ip") + F.col("d")) % 6).cast("int")
         pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), idx + 1)
         hhmm = lambda c: F.concat_ws(
