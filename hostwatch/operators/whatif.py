@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -102,17 +103,20 @@ def apply_variant(packets: DataFrame, attackers, variant: str) -> DataFrame:
     return reduce(lambda d, step: TRANSFORMS[step](d, attackers), VARIANTS[variant], packets)
 
 
-def evasion_table(packets: DataFrame, attackers, settings: Settings, variants=tuple(VARIANTS)) -> DataFrame:
+def evasion_table(packets: DataFrame, attackers, settings: Settings, variants=tuple(VARIANTS),
+                  cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Cost on the wire and effect on the features, one row per variant.
 
     Variants are unioned and measured in one grouped job: the variant number rides in
     the high bits of the source key. Only attacker rows feed the attacker's windows.
+    ``cut`` may write the transformed rows once; four aggregations read them.
     """
     variants = list(variants)
     own = packets.filter(sent_by(attackers))
     rows = reduce(DataFrame.unionByName, [
         apply_variant(own, attackers, v).withColumn("variant_no", F.lit(i).cast("long"))
         for i, v in enumerate(variants)])
+    rows = cut(rows)
     cost = rows.groupBy("variant_no").agg(
         ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("span_s"), F.count(F.lit(1)).alias("pkts"),
         F.sum(F.col("payload_len").cast("long")).alias("bytes"),

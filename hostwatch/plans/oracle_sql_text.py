@@ -120,8 +120,8 @@ SELECT strftime(make_timestamp(d*86400000000), '%Y-%m-%d') AS date, d,
   {ip_text('src_ip')} AS attacker, {ip_text('victim')} AS victim
 FROM (SELECT *, CAST((src_ip+d)%6 AS INTEGER) AS idx FROM
   (SELECT src_ip, d, count(*) AS n, min(s) AS lo, max(s) AS hi, min(dst_ip) AS victim FROM
-    (SELECT *, s//86400 AS d FROM (SELECT *, ts_us//1000000 - 14400 AS s FROM v_packets WHERE rst=1)) GROUP BY 1,2)
-  WHERE src_ip%3=1)
+    (SELECT *, s//86400 AS d FROM (SELECT *, ts_us//1000000 - 14400 AS s FROM v_packets WHERE rst=1 AND NOT {INTERNAL.format(c='src_ip')})) GROUP BY 1,2)
+)
 """
 CTES["v_parties"] = """
 SELECT attacker AS host, start_s, end_s, stage_rank FROM v_timeline
@@ -659,7 +659,7 @@ SELECT (SELECT count(*) FROM v_pflows) AS n_flows, (SELECT count(*) FROM v_windo
 
 # -- sequences and forecasts ----------------------------------------------------
 CTES["v_gaps"] = """
-SELECT host, window_id, split, lag(window_id) OVER (PARTITION BY host ORDER BY window_id) AS pw FROM v_scored WHERE sent_pkts%3<>0
+SELECT host, window_id, split, lag(window_id) OVER (PARTITION BY host ORDER BY window_id) AS pw FROM v_scored
 """
 QUERIES["gap_features"] = """
 SELECT host, window_id, CASE WHEN window_id-pw>0 THEN least(window_id-pw,12) ELSE 1 END AS gap, CAST(pw IS NOT NULL AS INTEGER) AS has_previous FROM v_gaps"""
@@ -768,9 +768,9 @@ QUERIES["missing_victims"] = """
 SELECT DISTINCT date AS day, victim AS host FROM v_timeline WHERE (date, victim) NOT IN (SELECT day, host FROM v_windows)"""
 QUERIES["feature_store"] = """
 SELECT day, internal AS capture_id, count(*) AS n, CAST(sum(sent_bytes) AS BIGINT) AS sent_bytes FROM v_windows
-WHERE day IN ('2024-01-16','2024-01-17') GROUP BY 1,2"""
+WHERE day BETWEEN '2024-01-01' AND '2024-01-30' GROUP BY 1,2"""
 QUERIES["score_store"] = """
-SELECT model, split, count(*) AS n, round(sum(score),6)+0.0 AS score_sum FROM v_long WHERE model='b' GROUP BY 1,2"""
+SELECT model, split, count(*) AS n, round(sum(score),6)+0.0 AS score_sum FROM v_long GROUP BY 1,2"""
 FLOWS_PER = f"""(SELECT a.host, a.window_start, least(count(f.start_us),5) AS nf FROM v_alerts a LEFT JOIN v_pflows f
   ON {ip_text('f.src_ip')}=a.host AND f.start_us>=a.window_start*1000000 AND f.start_us<(a.window_start+{W})*1000000 GROUP BY 1,2)"""
 WINS_PER = f"""(SELECT a.host, a.window_start, least(count(*),3) AS nw FROM v_alerts a JOIN v_scored s ON s.host=a.host

@@ -561,14 +561,13 @@ SEGMENT = 16
 
 @query
 def gap_features(v):
-    sparse = v.scored().filter("sent_pkts % 3 <> 0")
-    return SQ.gap_features(sparse, clamp=12).select(
+    return SQ.gap_features(v.scored(), clamp=12).select(
         "host", "window_id", "gap", F.col("has_previous").cast("int").alias("has_previous"))
 
 
 @query
 def gap_stats(v):
-    return SQ.gap_stats(v.scored().filter("sent_pkts % 3 <> 0"), ["split"])
+    return SQ.gap_stats(v.scored(), ["split"])
 
 
 def _segments(v):
@@ -712,10 +711,10 @@ def missing_victims(v):
 
 @query
 def feature_store(v):
-    """Write features per day and capture, read one split's days back."""
+    """Write features per day and capture, read every day back."""
     path = table_path(v.spark, f"{v.sf_dir}/feature_store")
     ST.write_features(v.windows().withColumn("capture_id", F.col("internal")), path)
-    return ST.read_features(v.spark, path, ["2024-01-16", "2024-01-17"]).groupBy("day", "capture_id").agg(
+    return ST.read_features(v.spark, path, [f"2024-01-{d:02d}" for d in range(1, 31)]).groupBy("day", "capture_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("sent_bytes").alias("sent_bytes"))
 
 
@@ -723,7 +722,7 @@ def feature_store(v):
 def score_store(v):
     path = table_path(v.spark, f"{v.sf_dir}/score_store")
     ST.write_scores(v.scores_long(), path)
-    return ST.read_scores(v.spark, path, "b").groupBy("model", "split").agg(
+    return ST.read_scores(v.spark, path).groupBy("model", "split").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
 
 
@@ -803,7 +802,8 @@ def randomise_header(v):
 
 @query
 def evasion_table(v):
-    return WI.evasion_table(v.packets(), _attackers(v), SETTINGS)
+    return WI.evasion_table(v.packets(), _attackers(v), SETTINGS,
+                            cut=lambda df: v._stage(f"variants/{uuid.uuid4().hex}", lambda: df))
 
 
 # -- audit ledger ---------------------------------------------------------------------------

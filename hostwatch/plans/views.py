@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import STAGES, Grid, Settings
 from ..functions.columns import epoch_us, floor_div
-from ..functions.net import ip_to_text
+from ..functions.net import ip_to_text, is_internal
 from ..operators import flows as FL
 from ..operators import labels as LB
 from ..operators import packets as PK
@@ -110,17 +110,16 @@ class Views:
 
     # -- timeline -----------------------------------------------------------
     def timeline(self) -> DataFrame:
-        """Per (local day, host) with resets: one attack with HH:MM local bounds."""
+        """Per (local day, external host) with resets: one attack with HH:MM local bounds."""
         return self._stage("timeline", self._timeline)
 
     def _timeline(self) -> DataFrame:
         local_s = floor_div("ts_us", 1_000_000) - OFFSET_HOURS * 3600
         day_no = floor_div(local_s, 86400)
-        p = self.packets().filter("rst = 1").select(
+        p = self.packets().filter(F.col("rst") == 1).filter(~is_internal("src_ip")).select(
             "src_ip", "dst_ip", local_s.alias("s"), day_no.alias("d"))
         g = p.groupBy("src_ip", "d").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"),
                                          F.max("s").alias("hi"), F.min("dst_ip").alias("victim"))
-        g = g.filter(F.col("src_ip") % 3 == 1)
         idx = ((F.col("src_ip") + F.col("d")) % 6).cast("int")
         pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), idx + 1)
         hhmm = lambda c: F.concat_ws(
