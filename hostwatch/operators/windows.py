@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, META_FIELDS, PACKET_FIELDS, SENT_FIELDS, Grid, Settings
+from ..config import DEFAULTS, META_FIELDS, PACKET_FIELDS, SENT_FIELDS, Settings
 from ..functions.crypto import net24_bucket, pseudonym
 from ..functions.net import ip_to_text, is_internal
 from .packets import all_window_features
@@ -53,10 +53,6 @@ def mask_flow_only(df: DataFrame) -> DataFrame:
     return df.select(*[F.lit(0.0).alias(c) if c in PACKET_FIELDS else F.col(c) for c in df.columns])
 
 
-def grid_start(grid: Grid) -> Column:
-    return F.col("window_id") * F.lit(grid.stride_seconds)
-
-
 def union_splits(df: DataFrame, split_map: DataFrame, split: str | None = None) -> DataFrame:
     """Rows of the days of a split (or of all splits, tagged)."""
     tagged = df.join(split_map, "day")

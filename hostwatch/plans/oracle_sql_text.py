@@ -919,3 +919,49 @@ SELECT start_us, src_ip, dst_ip, src_port, dst_port, protocol, duration, fwd_byt
 QUERIES["alerts_stream"] = f"""
 SELECT 'run' AS chain, count(*) AS n_records, CAST(NULL AS BIGINT) AS first_bad FROM v_sent_feat, {WM}
 WHERE window_id*{SU}+{WU}<=wm AND sent_pkts>1"""
+
+# -- intervals of four-windows-ahead targets -----------------------------------------------
+CTES["v_h4"] = """
+SELECT 'a' AS model, a.split, a.host, a.window_id, a.window_start, b.y, a.score_a AS score
+FROM v_scored a JOIN v_scored b ON b.host=a.host AND b.window_id=a.window_id+4
+"""
+CTES["v_h4thr"] = """
+SELECT min(score) AS threshold FROM (SELECT DISTINCT score FROM v_h4 WHERE split='val') c
+WHERE (SELECT count(*) FROM v_h4 b WHERE b.split='val' AND b.y=0 AND b.score>=c.score)
+  <= 0.05::DOUBLE*(SELECT count(*) FROM v_h4 b WHERE b.split='val' AND b.y=0)
+"""
+CTES["v_h4grp"] = f"""
+SELECT l.*, coalesce('episode:' || (SELECT max(episode_no) FROM v_episodes e WHERE e.host=l.host
+   AND l.window_start+4*{S} BETWEEN e.start_s AND e.end_s) || ':' || host, 'host:' || host) AS group_id FROM v_h4 l
+"""
+CTES["v_h4no"] = f"""
+SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY {phash(1337, 'group_id')}, group_id) AS group_no,
+  count(*) OVER (PARTITION BY model, split) AS n_groups FROM (SELECT DISTINCT model, split, group_id FROM v_h4grp)
+"""
+CTES["v_h4draws"] = f"""
+SELECT d.model, d.split, d.replicate, g.group_id, count(*) AS w FROM (
+  SELECT model, split, r AS replicate, {phash(1337, 'r', 'group_no')} % n_groups + 1 AS pick
+  FROM v_h4no, range(1, 41) t(r)) d JOIN v_h4no g ON g.model=d.model AND g.split=d.split AND g.group_no=d.pick
+GROUP BY 1,2,3,4
+"""
+CTES["v_h4re"] = """
+SELECT d.replicate, l.* FROM v_h4grp l JOIN v_h4draws d USING (model, split, group_id), range(0, 1000) c(i) WHERE c.i<d.w
+"""
+
+
+def _h4(statistic, budget, point, value):
+    return f"""
+SELECT '{statistic}' AS statistic, {budget} AS budget, p.model, p.split, round(p.point,6)+0.0 AS point, round(i.low,6)+0.0 AS low,
+  round(i.high,6)+0.0 AS high, 0.95::DOUBLE AS level, s.n_groups, 40 AS n_resamples, i.n_usable,
+  CAST(NULL AS VARCHAR) AS unavailable, 4 AS horizon
+FROM (SELECT model, split, max(n_groups) AS n_groups FROM v_h4no GROUP BY 1,2) s
+JOIN ({point}) p USING (model, split)
+JOIN (SELECT model, split, quantile_cont(value,0.025) AS low, quantile_cont(value,0.975) AS high, count(value) AS n_usable
+  FROM ({value}) GROUP BY 1,2) i USING (model, split)"""
+
+
+QUERIES["annotate_horizon"] = _h4(
+    "auroc", "CAST(NULL AS DOUBLE)", auc("model, split", "v_h4", "point"), auc(MSR, "v_h4re", "value")
+) + " UNION ALL " + _h4(
+    "f1", "0.05::DOUBLE", f1s("model, split", "v_h4, v_h4thr", "point", "threshold"),
+    f1s(MSR, "v_h4re, v_h4thr", "value", "threshold"))

@@ -29,7 +29,7 @@ from ..sources import operator_log as OL
 from ..sources import stores as ST
 from ..streaming import jobs as SJ
 from .staging import table_path
-from .views import EXTERNAL_BASE, GRID, KEY, OFFSET_HOURS, RULES, SETTINGS, SPLITS, Views
+from .views import EXTERNAL_BASE, GRID, KEY, RULES, SETTINGS, SPLITS, Views
 
 REGISTRY: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -269,6 +269,16 @@ def annotate_intervals(v):
     return BS.annotate_intervals(_grouped(v), fitted, RESAMPLES)
 
 
+@query
+def annotate_horizon(v):
+    """Intervals of four-windows-ahead targets, clustered by the episode of the label."""
+    rows = LB.shift_target(v.scored(), 4).select(
+        F.lit("a").alias("model"), "split", "host", "window_id", (F.col("stage") != "benign").cast("int").alias("y"),
+        F.col("score_a").alias("score"))
+    fitted = ME.threshold_at_fpr(rows.filter("split = 'val'"), ["model"], (0.05,))
+    return BS.annotate_horizon(rows, v.episodes(), fitted, GRID, 4, RESAMPLES)
+
+
 @query
 def align_scores(v):
     s = v.scores_long()
@@ -814,7 +824,7 @@ def _tampered(v):
 
 @query
 def append_chain(v):
-    return v.ledger().withColumn("probability", F.col("probability").cast("double"))
+    return v._ledger().withColumn("probability", F.col("probability").cast("double"))
 
 
 @query

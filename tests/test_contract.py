@@ -37,3 +37,16 @@ def test_every_oracle_has_a_query():
 def test_matches_sql(spark, con, name):
     status, _, _, note = compare(spark, con, SF, name, entry.queries(), entry.oracle_sql())
     assert status == "ok", note
+
+
+@pytest.mark.parametrize("name", ["window_features", "label_windows", "assemble_flows", "flows_to_windows", "threshold_at_fpr",
+                                  "auroc", "bootstrap_f1", "rank_fusion", "flagged_flows", "host_state_asof", "segment"])
+def test_plan_has_no_python_and_no_pairwise_join(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for word in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert word not in plan, word
+
+
+def test_top_k_prunes_before_the_shuffle(spark):
+    plan = entry.queries()["flagged_flows"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2

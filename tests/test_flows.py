@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from hostwatch.config import Grid
 from hostwatch.operators import flows as fl

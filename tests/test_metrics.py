@@ -191,3 +191,16 @@ def test_causal_fusion_ignores_later_rows(spark):
     pick = lambda df: {r.window_id: r.score for r in fu.causal_fusion(
         df.withColumnRenamed("score", "own"), ["own", "other"]).filter("split = 'val'").collect()}
     assert pick(base) == pick(more) == {0: pytest.approx(1 / 3), 1: pytest.approx(2 / 3), 2: 1.0}
+
+
+def test_horizon_must_be_whole(spark, grouped):
+    for k in (-1, 1.5, True):
+        with pytest.raises(ValueError):
+            bs.annotate_horizon(grouped, grouped, grouped, GRID, k)
+
+
+def test_broadcast_tables_are_counted(spark):
+    from hostwatch.operators.ordered import checked_small
+    assert checked_small(spark.range(5), 5).count() == 5
+    with pytest.raises(Exception, match="larger than"):
+        checked_small(spark.range(6), 5).count()
