@@ -51,4 +51,26 @@ g AS (SELECT norm, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)
 """
 
-SQL = {"op6_mixing": OP6, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}
+#: The control strings of the chat template.
+CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<image>", "<audio>", "<document>", "<part>")
+
+
+def _longer(text: str) -> str:
+    """Code points of ``text`` after escaping: one more per backslash and per control string."""
+    grown = [f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in ("\\", *CONTROL)]
+    return f"(length({text}) + {' + '.join(grown)})"
+
+
+OP4 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS no FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY no) AS said,
+    coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '') AS masked,
+    sum({_longer("role")} + {_longer("text")} + 20) AS formatted_chars,
+    sum(coalesce(len(regexp_extract_all(text, '{WORD}')), 0)) AS expanded_tokens FROM o GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(masked) AS loss_chars, sha256(masked) AS loss_sha256,
+    CAST(formatted_chars AS BIGINT) AS formatted_chars, CAST(expanded_tokens AS BIGINT) AS expanded_tokens FROM g
+"""
+
+SQL = {"op4_chat_format": OP4, "op6_mixing": OP6, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}
