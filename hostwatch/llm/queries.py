@@ -5,9 +5,10 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .chat_format import op4_chat_format
 from .exact_dedup import op9_exact_dedup
+from .fingerprints import op1_fingerprints
 from .language_id import op10_language_id
 from .line_dedup import op7_line_dedup
 from .mixing import op6_mixing
 from .sharding import op2_sharding
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_bpe, op4_chat_format, op6_mixing, op7_line_dedup, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_sharding, op3_bpe, op4_chat_format, op6_mixing, op7_line_dedup, op9_exact_dedup, op10_language_id)}
