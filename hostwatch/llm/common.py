@@ -78,3 +78,39 @@ def before(counts: DataFrame, keys: list[str], chunk: str, value: str, name: str
     zero = F.lit(0).cast(counts.schema[value].dataType)
     out = counts.withColumn("_in", F.coalesce(F.sum(value).over(inner), zero)).join(blocks, [*keys, "_block"])
     return out.withColumn(name, F.col("_in") + F.col("_base")).drop("_block", "_in", "_base")
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, values: list[str], cuts: int = 4096) -> DataFrame:
+    """Join every row with its key's row of ``table`` (one per key, with the key's number of rows).
+
+    Keys with more than 1/``cuts`` of all rows, at most ``cuts`` of them, are joined by broadcast, the others by shuffle.
+    """
+    limit = max(2, total // cuts + 1)
+    hot = F.broadcast(table.filter(F.col(count) >= limit).select(
+        key, F.lit(True).alias("hot_"), *[F.col(v).alias(f"hot_{v}") for v in values]))
+    cold = table.filter(F.col(count) < limit).select(key, *values)
+    tried = rows.join(hot, key, "left")
+    done = tried.filter("hot_").select(*rows.columns, *[F.col(f"hot_{v}").alias(v) for v in values])
+    rest = tried.filter(F.col("hot_").isNull()).select(*rows.columns).join(cold, key).select(*rows.columns, *values)
+    return done.unionByName(rest)
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """node, label for every node of ``links``: the least node that links reach. Written each round to cut lineage.
+
+    Every round takes the least label among the neighbours and then the label of that label; rounds go on until
+    nothing changes, however long a chain is.
+    """
+    edges = staged(links.select(F.col(a).alias("v"), F.col(b).alias("u")).unionByName(
+        links.select(F.col(b).alias("v"), F.col(a).alias("u"))).distinct(), "edges")
+    labels = staged(edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("near")).select(
+        "node", F.least("node", "near").alias("label")), "labels")
+    while True:
+        near = edges.join(labels.select(F.col("node").alias("u"), F.col("label").alias("other")), "u").groupBy(
+            F.col("v").alias("node")).agg(F.min("other").alias("other"))
+        step = labels.join(near, "node").select("node", "label", F.least("label", "other").alias("low"))
+        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jumped"))
+        step = staged(step.join(jump, "low").select("node", F.col("label").alias("old"), F.least("low", "jumped").alias("label")), "labels")
+        labels = step.select("node", "label")
+        if step.filter("old != label").limit(1).count() == 0:
+            return labels
