@@ -237,11 +237,12 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.mapInArrow(joined, f"{fields}decoded string")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with n_tokens, ids_sha256 and decoded_sha256."""
-    names = [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")]
+def digests(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """``docs`` without text, with n_tokens, ids_sha256 and decoded_sha256 (and ids)."""
+    added = ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
+    names = [c for c in docs.columns if c != "text" and c not in added]
     out = decode(encode(docs.select(*names, "text")))
-    return out.select(*names, F.size("ids").cast("long").alias("n_tokens"),
+    return out.select(*names, F.size("ids").cast("long").alias("n_tokens"), *(["ids"] if keep_ids else []),
                       F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "utf-8"), 256).alias("ids_sha256"),
                       F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 

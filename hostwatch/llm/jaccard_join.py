@@ -337,20 +337,45 @@ def walk_or_keep(postings: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id for every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, label, hash for every row of ``docs`` (doc_id, text).
+
+    ``label`` tells components apart (null: empty set), ``hash`` is that of the text.
+    """
     scanned = scan_sets(docs)
-    rows = scanned.filter(F.col("token").isNull()).select("doc_id", "n", "set_id")
+    rows = scanned.filter(F.col("token").isNull()).select("doc_id", "n", "set_id", "hash")
     labels = link_classes(docs, scanned)
     classes = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     classes = classes.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn(
         "label", F.coalesce("label", "set_id"))
     classes = common.staged(classes, "classes")
     least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    table = classes.join(least, "label").select("set_id", "rows", "component_id")
-    total = rows.count()
-    out = common.hot_join(rows.filter(F.col("set_id").isNotNull()), common.staged(table, "class-components"), "set_id", "rows", total, ["component_id"])
-    empty = rows.filter(F.col("set_id").isNull()).withColumn("component_id", F.col("doc_id"))
-    return out.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "set_id")
+    table = common.staged(classes.join(least, "label").select("set_id", "rows", "component_id", "label"), "class-components")
+    out = common.hot_join(rows.filter(F.col("set_id").isNotNull()), table, "set_id", "rows", rows.count(), ["component_id", "label"])
+    empty = rows.filter(F.col("set_id").isNull()).select("*", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
+    return out.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "label", "hash")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but those whose component keeps another one: the smallest doc_id stays, null after all others.
+
+    Documents without words are in no component and stay. Of rows repeated whole (doc_id and text) one stays.
+    """
+    found = common.staged(near_duplicates(docs.select("doc_id", "text")).filter(F.col("label").isNotNull()), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    stays = found.groupBy("label").agg(F.min(rank).alias("stays"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    gone = common.staged(found.join(stays, "label").select("doc_id", "hash", (rank == F.col("stays")).alias("is_kept")), "grouped")
+    lost = common.small(gone.filter(~F.col("is_kept")).select(F.col("doc_id").alias("lost_id_"), F.col("hash").alias("lost_hash_")).distinct(),
+                        1_000_000)
+    rows = docs.withColumn("hash_", text_hash())
+    out = rows.join(lost, (rows["hash_"] == lost["lost_hash_"]) & rows["doc_id"].eqNullSafe(lost["lost_id_"]), "left_anti")
+    again = gone.filter("is_kept").groupBy("doc_id", "hash").count().filter("count > 1").select(
+        F.col("doc_id").alias("again_id_"), F.col("hash").alias("again_hash_"))
+    again = common.small(again, 1_000_000)
+    if again.limit(1).count():
+        same = (out["hash_"] == again["again_hash_"]) & out["doc_id"].eqNullSafe(again["again_id_"])
+        once = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "hash_"])
+        out = out.join(again, same, "left_anti").unionByName(once)
+    return out.select(*docs.columns)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +32,22 @@ ORDERS = (1, 2, 3)
 EDGE = 32
 BATCH_CHARS = 4_000_000
 
-_letters: np.ndarray | None = None
-
 
 def letter_table() -> np.ndarray:
-    """True at every code point that is a letter; made once per worker."""
-    global _letters
-    if _letters is None:
-        _letters = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), dtype=bool, count=0x110000)
-    return _letters
+    """True at every code point that is a letter; made on the driver and sent along as bits."""
+    return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def unpacked(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
 
 
-def letters_of(text: str | None) -> np.ndarray:
+def letters_of(text: str | None, letters: np.ndarray) -> np.ndarray:
     """Code points of the lower-cased text, runs of other characters as one EDGE, EDGE at both ends; empty without letter."""
     if not text:
         return np.empty(0, np.uint64)
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letter_table()[points]
+    is_letter = letters[points]
     if not is_letter.any():
         return np.empty(0, np.uint64)
     cut = np.where(is_letter, points, EDGE).astype(np.uint64)
@@ -86,12 +86,15 @@ def ranked(numbers: np.ndarray, size: int) -> np.ndarray:
 def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram, n over all rows of ``docs`` (lang, text)."""
 
+    letters = np.packbits(letter_table()).tobytes()
+
     def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = unpacked(letters)
         for frame in frames:
             for lang, texts in frame.groupby("lang", sort=True)["text"]:
                 parts, chars = [], 0
                 for text in texts:
-                    points = letters_of(text)
+                    points = letters_of(text, table)
                     if len(points):
                         parts.append(grams(points))
                         chars += len(points)
@@ -130,8 +133,8 @@ class Ranker:
         for i, k in enumerate(self.names):
             self.places[i, np.searchsorted(self.grams, profiles[k])] = np.arange(len(profiles[k]))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        points = letters_of(text)
+    def predict(self, text: str | None, letters: np.ndarray) -> tuple[str, float]:
+        points = letters_of(text, letters)
         if not len(points) or not self.names:
             return UNKNOWN, 0.0
         own = ranked(grams(points), self.size)
@@ -143,22 +146,22 @@ class Ranker:
         return self.names[best], float(1.0 - away[best] / (self.size * len(own)))
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """``docs`` with lang_pred and score; nothing but the text is looked at."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    names = list(kept)
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all, if not given) with lang_pred and score; nothing but the text is looked at."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+    letters = np.packbits(letter_table()).tobytes()
 
-    def guess(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = unpacked(letters)
         ranker = Ranker(profiles, size)
-        for frame in frames:
-            frame = frame.copy()
-            found = [ranker.predict(t) for t in frame["text"]]
-            frame["lang_pred"] = pd.Series([x[0] for x in found], index=frame.index, dtype=object)
-            frame["score"] = pd.Series([x[1] for x in found], index=frame.index, dtype=float)
-            yield frame[[*names, "lang_pred", "score"]]
+        for batch in batches:
+            found = [ranker.predict(t, table) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names], pa.array([x[0] for x in found], pa.string()),
+                 pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.select(*kept).mapInPandas(guess, f"{fields}, lang_pred string, score double")
+    return docs.select(*names, *(["text"] if "text" not in names else [])).mapInArrow(guess, f"{fields}lang_pred string, score double")
 
 
 def held_out(mod: int, rest: int = 2):
@@ -172,19 +175,4 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
     profiles = learn(docs.filter(~held_out(4)).select("lang", "text"))
     rows = docs.select("doc_id", held_out(4).alias("held_out"), "text")
-    return slim(rows, profiles)
-
-
-def slim(rows: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: the text does not travel back from the workers."""
-
-    def guess(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranker = Ranker(profiles, size)
-        for frame in frames:
-            found = [ranker.predict(t) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"],
-                                "lang_pred": pd.Series([x[0] for x in found], index=frame.index, dtype=object),
-                                "score": pd.Series([x[1] for x in found], index=frame.index, dtype=float)})
-
-    return rows.select("doc_id", "held_out", "text").mapInPandas(
-        guess, "doc_id long, held_out boolean, lang_pred string, score double")
+    return predict(rows, profiles, keep=["doc_id", "held_out"])

@@ -30,6 +30,7 @@ from . import common
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
+SEED = 6
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -109,20 +110,32 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, p
         .select("source_no", F.col("filler.row_key").alias("filler_key")))
     rows = rows.join(filler, "source_no", "left")
     more = F.col("inside") | F.coalesce(F.col("row_key") == F.col("filler_key"), F.lit(False))
-    return rows.withColumn("taken", (F.col("size") * (F.col("whole") + more.cast("long"))).cast("long"))
+    rows = rows.withColumn("copies", F.col("whole") + more.cast("long"))
+    return rows.withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
 
 
-def mix_documents(docs: DataFrame, seed: int, keep: Sequence[str]) -> DataFrame:
-    """Columns ``keep`` of every document, with size, source_size, target, taken and copies."""
-    text = common.text_of()
-    # a digest of the row as key: rows that agree in it are equal
-    identity = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.encode(text, "utf-8")))
-    rows = common.staged(docs.select(*keep, common.word_count(F.col("text")).alias("size"), identity.alias("row_key"))
-                         .withColumn("u", uniform(F.col("row_key"), seed)), "mix-sizes")
-    return mix(rows)
+def row_key() -> Column:
+    """doc_id and a digest of the text: rows that agree in it are equal."""
+    digest = F.md5(F.encode(common.text_of(), "utf-8"))
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest)
+
+
+def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """``row`` (all columns of a document), with size, source_size, target, taken and copies."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", common.word_count(F.col("text")).alias("size"),
+                       row_key().alias("row_key"))
+    return mix(common.staged(rows.withColumn("u", uniform(F.col("row_key"), seed)), "mix-sizes"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself: every document as often as it is taken."""
+    out = mix_documents(docs, seed).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1."""
-    return mix_documents(common.documents(spark, sf_dir), 6, ["doc_id", "source"]).select(
-        "doc_id", "size", "source_size", "target", "taken")
+    docs = common.documents(spark, sf_dir)
+    rows = common.staged(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), row_key().alias("row_key"))
+                         .withColumn("u", uniform(F.col("row_key"), SEED)), "mix-sizes")
+    return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
