@@ -9,7 +9,8 @@ from .fingerprints import op1_fingerprints
 from .jaccard_join import op5_jaccard_join
 from .language_id import op10_language_id
 from .line_dedup import op7_line_dedup
+from .lm_scoring import op8_lm_scoring
 from .mixing import op6_mixing
 from .sharding import op2_sharding
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_sharding, op3_bpe, op4_chat_format, op5_jaccard_join, op6_mixing, op7_line_dedup, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_sharding, op3_bpe, op4_chat_format, op5_jaccard_join, op6_mixing, op7_line_dedup, op8_lm_scoring, op9_exact_dedup, op10_language_id)}
