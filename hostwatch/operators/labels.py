@@ -26,6 +26,13 @@ def rank_stage(rank: Column, stages=STAGES) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in stages]), rank + 1)
 
 
+def assign_split(df: DataFrame, split_map: DataFrame, day: str = "day") -> DataFrame:
+    """Add the ``split`` of every row's day; a day that the map does not name raises, no row is lost."""
+    out = df.join(split_map.select(F.col("day").alias(day), "split"), day, "left")
+    unknown = F.raise_error(F.concat(F.lit("no split for day "), F.coalesce(F.col(day), F.lit("NULL")))).cast("string")
+    return out.withColumn("split", F.coalesce("split", unknown))
+
+
 def attack_intervals(timeline: DataFrame, offset_hours: int) -> DataFrame:
     """Timeline rows to UTC intervals with the set of parties (attackers and victims)."""
     return timeline.select(
@@ -43,7 +50,7 @@ def attacker_episodes(timeline: DataFrame, offset_hours: int, split_map: DataFra
         local_to_epoch("date", "end", offset_hours).alias("end_s"))
     if split_map is None:
         return ep
-    return ep.join(split_map.withColumnRenamed("day", "date"), "date")
+    return assign_split(ep, split_map, "date")
 
 
 def overlap_windows(intervals: DataFrame, grid: Grid) -> DataFrame:
@@ -81,12 +88,12 @@ def label_windows(wf: DataFrame, intervals: DataFrame, grid: Grid, stages=STAGES
 def shift_target(labelled: DataFrame, k: int) -> DataFrame:
     """Replace ``stage`` by the same host's stage k windows later; no such window, no row.
 
-    Windows have gaps, so this joins on window_id; the right side is made unique first.
+    Windows have gaps, so this joins on window_id; of several rows for one window the gravest stage counts.
     """
     if k == 0:
         return labelled
-    future = (labelled.select("host", (F.col("window_id") - k).alias("window_id"), F.col("stage").alias("_s"))
-              .groupBy("host", "window_id").agg(F.max("_s").alias("stage")))
+    future = (labelled.select("host", (F.col("window_id") - k).alias("window_id"), stage_rank(F.col("stage")).alias("_r"))
+              .groupBy("host", "window_id").agg(rank_stage(F.max("_r")).alias("stage")))
     return labelled.drop("stage").join(future, ["host", "window_id"])
 
 

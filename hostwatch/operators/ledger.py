@@ -4,7 +4,9 @@ A hash chain is sequential, so records are chained in blocks of a fixed number o
 records: inside a block every record commits to the one before it; the heads of
 the blocks form a chain of their own, block by block, until one block is left. A
 run that fits one block is one plain chain. Appending folds bounded blocks in
-parallel, verifying is a row-wise job.
+parallel. Verifying checks every record, that numbers have no gap, and the stored
+heads of the blocks, so an absent block is named whether it was first, last or
+between others.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from pyspark.sql import functions as F
 from ..config import GENESIS
 from ..functions.columns import floor_div
 from ..functions.crypto import hmac_sha256_hex, pseudonym_plain
-from .ordered import row_numbers
+from .ordered import previous_row, row_numbers
 
 BLOCK = 256
+LEVEL_FIELDS = ["block_head", "source_block"]
+_LEVELS = 4               # levels of block heads: 256^5 records
 _FAN_LEVELS = 8           # Merkle levels folded per step: 256 leaves
 ANCHOR_DOMAIN = b"hostwatch-checkpoint-anchor"
 
-# check_anchor reasons
+# Reasons of a failed check, as published.
 OK, MISSING, UNSIGNED, BAD_SIGNATURE = "ok", "checkpoint-log-missing-or-empty", "checkpoint-unsigned", "checkpoint-signature-invalid"
 CHAIN_BROKEN, LENGTH_MISMATCH, MISMATCH = "checkpoint-log-chain-broken", "last-checkpoint-length-mismatch", "chain-does-not-match-checkpoint"
 TAMPERED, NO_CHAIN, OK_EMPTY = "chain-tampered", "no-chain", "ok-empty"
@@ -96,19 +100,63 @@ def heads(chain: DataFrame) -> DataFrame:
     return chain.groupBy("chain").agg(F.count(F.lit(1)).alias("count"), F.max_by("hash", "seq").alias("head"))
 
 
-def verify_chain(chain: DataFrame, fields: list[str], block: int = BLOCK) -> DataFrame:
-    """Per chain: record count and the first bad sequence number (NULL when intact)."""
+def _row_faults(chain: DataFrame, fields: list[str], block: int) -> DataFrame:
+    """(chain, _bad): sequence numbers of records that do not match their hash, their predecessor or their place."""
     before, after = _content_parts(fields)
     df = chain.withColumn("_block", floor_div("seq", block))
     w = Window.partitionBy("chain", "_block").orderBy("seq")
-    expected = F.coalesce(F.lag("hash").over(w), F.when(
-        F.col("seq") % block == 0, _block_start(F.col("chain"), F.col("_block"))))
-    df = df.withColumn("_expected", expected).withColumn("_step", F.col("seq") - F.lag("seq").over(w))
+    at_start = F.col("seq") % block == 0
+    expected = F.coalesce(F.lag("hash").over(w), F.when(at_start, _block_start(F.col("chain"), F.col("_block"))))
+    missing = F.coalesce(F.lag("seq").over(w) + 1, F.col("_block") * block)
+    df = df.withColumn("_expected", expected).withColumn("_missing", missing)
     good = (F.coalesce(F.col("prev") == F.col("_expected"), F.lit(False))
-            & (F.col("hash") == _record_hash(F.col("prev"), before, after))
-            & (F.coalesce("_step", F.lit(1)) == 1))
-    return df.groupBy("chain").agg(
-        F.count(F.lit(1)).alias("n_records"), F.min(F.when(~F.coalesce(good, F.lit(False)), F.col("seq"))).alias("first_bad"))
+            & F.coalesce(F.col("hash") == _record_hash(F.col("prev"), before, after), F.lit(False)))
+    # a gap is reported at the first number that is absent, a repeated number at itself
+    bad = F.when(F.col("_missing") < F.col("seq"), F.col("_missing")).when(
+        ~good | (F.col("_missing") > F.col("seq")), F.col("seq"))
+    return df.select("chain", "_block", "seq", bad.alias("_bad"))
+
+
+def _block_faults(rows: DataFrame, block: int) -> DataFrame:
+    """(chain, _bad): first absent number where a block is missing or ends short of the next one."""
+    blocks = rows.groupBy("chain", "_block").agg(F.max("seq").alias("_end"))
+    # one row per block; the chain's blocks are cut into stretches so that no task orders all of them
+    carried = previous_row(blocks, ["chain"], floor_div("_block", 1 << 14), ["_block"], ["_end"])
+    first = F.coalesce(F.col("prev__end") + 1, F.lit(0).cast("long"))
+    return carried.filter(first != F.col("_block") * block).select("chain", F.least(first, F.col("_block") * block).alias("_bad"))
+
+
+def verify_chain(chain: DataFrame, fields: list[str], block: int = BLOCK, levels: DataFrame | None = None) -> DataFrame:
+    """Per chain: record count and the first bad or absent sequence number (NULL when intact).
+
+    Every chain must number its records 0, 1, 2, ... without a gap. ``levels`` (see ``head_levels``) tells as well
+    what is missing at the end: each recorded block head must be the hash of that block's last record.
+    """
+    rows = _row_faults(chain, fields, block)
+    faults = rows.select("chain", "_bad").filter(F.col("_bad").isNotNull()).unionByName(_block_faults(rows, block))
+    counts = chain.groupBy("chain").agg(F.count(F.lit(1)).alias("n_records"))
+    if levels is not None:
+        faults = faults.unionByName(_head_faults(chain, levels, block))
+        counts = levels.select("chain").distinct().join(counts, "chain", "full").fillna({"n_records": 0})
+    worst = faults.groupBy("chain").agg(F.min("_bad").alias("first_bad"))
+    return counts.join(worst, "chain", "left").select("chain", "n_records", "first_bad")
+
+
+def _head_faults(chain: DataFrame, levels: DataFrame, block: int) -> DataFrame:
+    """(chain, _bad): start of every block whose recorded head is not found, at any level, as record numbers."""
+    heads_now = block_heads(chain, block).select("chain", F.lit(1).alias("level"), F.col("block_no").alias("source_block"), "block_head")
+    heads_up = block_heads(levels.select(F.struct("chain", "level").alias("chain"), "block_no", "seq", "hash"), block).select(
+        "chain.chain", (F.col("chain.level") + 1).alias("level"), F.col("block_no").alias("source_block"), "block_head")
+    found = heads_now.unionByName(heads_up).withColumnRenamed("block_head", "_now")
+    wide = levels.join(found, ["chain", "level", "source_block"], "left")
+    lost = wide.filter(~F.col("block_head").eqNullSafe(F.col("_now"))).select(
+        "chain", (F.col("source_block") * F.pow(F.lit(float(block)), F.col("level")).cast("long")).alias("_bad"))
+    own = None
+    for level in range(1, _LEVELS + 1):
+        part = _row_faults(levels.filter(F.col("level") == level), LEVEL_FIELDS, block).filter(F.col("_bad").isNotNull()).select(
+            "chain", (F.col("_bad") * F.lit(block ** level)).cast("long").alias("_bad"))
+        own = part if own is None else own.unionByName(part)
+    return lost.unionByName(own)
 
 
 def leaf_hash(line: Column) -> Column:
@@ -199,13 +247,13 @@ def check_anchor(chain: DataFrame, log: DataFrame, fields: list[str], key: bytes
 
 
 def ledger_status(chain: DataFrame, log: DataFrame, fields: list[str], key: bytes, block: int = BLOCK,
-                  chains: DataFrame | None = None) -> DataFrame:
+                  chains: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
     """Per chain: records, verified, first bad record, anchored, overall reason.
 
     A chain without records and without a checkpoint is a failure, not a pass.
     """
     anchor = check_anchor(chain, log, fields, key, chains)
-    out = anchor.join(verify_chain(chain, fields, block), "chain", "left").fillna({"n_records": 0})
+    out = anchor.join(verify_chain(chain, fields, block, levels), "chain", "left").fillna({"n_records": 0})
     n, bad = F.col("n_records"), F.col("first_bad")
     reason = (F.when(bad.isNotNull(), TAMPERED)
               .when((n == 0) & (F.col("anchor_reason") == MISSING), NO_CHAIN)
@@ -219,14 +267,21 @@ def block_heads(chain: DataFrame, block: int = BLOCK) -> DataFrame:
     return chain.groupBy("chain", "block_no").agg(F.max_by("hash", "seq").alias("block_head"))
 
 
-def chain_levels(chain: DataFrame, key: bytes, block: int = BLOCK) -> list[DataFrame]:
-    """The chain of block heads, the chain of its heads, ... until one block is left."""
-    longest = chain.groupBy("chain").agg(F.max("block_no").alias("b")).agg(F.max("b")).first()[0] or 0
-    levels, current = [], chain
-    while longest > 0:
+def head_levels(chain: DataFrame, key: bytes, block: int = BLOCK) -> DataFrame:
+    """The chain of block heads, the chain of its heads, ... until one block is left; at least one level.
+
+    level, chain, block_no, seq, source_block, block_head, prev, hash: kept beside the chain, one row per block.
+    Only the number of blocks of the longest chain comes to the driver.
+    """
+    longest = chain.agg(F.max("block_no")).first()[0] or 0
+    out, current, level = None, chain, 0
+    while level == 0 or longest > 0:
+        level += 1
+        if level > _LEVELS:
+            raise ValueError(f"chain needs more than {_LEVELS} levels; take larger blocks")
         up = block_heads(current, block).withColumn("source_block", F.col("block_no"))
-        current = append_chain(up, "chain", ["source_block"], ["block_head", "source_block"], key,
-                               floor_div("source_block", 1 << 16), block=block)
-        levels.append(current)
+        current = append_chain(up, "chain", ["source_block"], LEVEL_FIELDS, key, floor_div("source_block", 1 << 16), block=block)
+        part = current.withColumn("level", F.lit(level))
+        out = part if out is None else out.unionByName(part)
         longest //= block
-    return levels
+    return out

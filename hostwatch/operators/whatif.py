@@ -1,11 +1,14 @@
-"""Counterfactual packet transforms: only rows the attacker itself sends change."""
+"""Counterfactual packet transforms: only packets sent by an attacker change.
+
+``attackers`` is a table of source addresses (``src_ip``), joined once; its size does not matter.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PAYLOAD_EDGES, SEED, STAGES, UNCLASSIFIED, Settings
@@ -14,7 +17,7 @@ from ..functions.crypto import portable_hash
 from ..functions.net import is_internal
 from ..functions.rules import infer_stage
 from .metrics import hash_order
-from .ordered import checked_small, row_numbers
+from .ordered import row_numbers
 from .packets import TCP, all_window_features
 
 SOCKET = ["src_ip", "dst_ip", "src_port"]
@@ -22,40 +25,55 @@ _SHIFT = 1 << 20          # packet_no room for the chunks of one payload
 _VARIANT = 1 << 32        # source key room for the variant number
 
 
-def sent_by(attackers) -> Column:
-    return F.col("src_ip").isin([int(a) for a in attackers])
+OWN = "_own"              # true on packets that an attacker sent
+
+
+def marked(packets: DataFrame, attackers: DataFrame) -> DataFrame:
+    known = attackers.select("src_ip").distinct().withColumn(OWN, F.lit(True))
+    return packets.join(known, "src_ip", "left").select(*packets.columns, F.coalesce(OWN, F.lit(False)).alias(OWN))
+
 
+def permute_ports(packets: DataFrame, attackers: DataFrame, seed=SEED) -> DataFrame:
+    """Permute destination ports inside each of an attacker's sockets."""
+    return _permute_ports(marked(packets, attackers), seed).drop(OWN)
 
-def permute_ports(packets: DataFrame, attackers, seed=SEED) -> DataFrame:
-    """Permute destination ports inside each of the attacker's sockets."""
-    own = packets.filter(sent_by(attackers))
+
+def _permute_ports(packets: DataFrame, seed=SEED) -> DataFrame:
+    own = packets.filter(OWN)
     span = 3_600_000_000
     placed = row_numbers(own, SOCKET, floor_div("ts_us", span), [F.col("ts_us"), F.col("packet_no")], "_pos")
     ports = hash_order(own.select(*SOCKET, "packet_no", F.col("dst_port").alias("_port")), SOCKET, seed,
                        ["packet_no"], "_pos").drop("packet_no")
     moved = placed.join(ports, [*SOCKET, "_pos"]).withColumn("dst_port", F.col("_port")).drop("_pos", "_port")
-    return packets.filter(~sent_by(attackers)).unionByName(moved.select(*packets.columns))
+    return packets.filter(~F.col(OWN)).unionByName(moved.select(*packets.columns))
+
+
+def pace(packets: DataFrame, attackers: DataFrame, factor: float) -> DataFrame:
+    """Stretch an attacker's timing about its first packet."""
+    return _pace(marked(packets, attackers), factor).drop(OWN)
 
 
-def pace(packets: DataFrame, attackers, factor: float) -> DataFrame:
-    """Stretch the attacker's timing about each attacking host's first packet."""
-    first = packets.filter(sent_by(attackers)).groupBy("src_ip").agg(F.min("ts_us").alias("_t0"))
-    # one row per attacker address in the argument list
-    out = packets.join(checked_small(first), "src_ip", "left")
+def _pace(packets: DataFrame, factor: float) -> DataFrame:
+    first = packets.filter(OWN).groupBy("src_ip").agg(F.min("ts_us").alias("_t0"))
+    out = packets.join(first, "src_ip", "left")
     moved = F.col("_t0") + F.round((F.col("ts_us") - F.col("_t0")) * F.lit(float(factor))).cast("long")
     return out.withColumn("ts_us", F.coalesce(moved, F.col("ts_us"))).select(*packets.columns)
 
 
-def rechunk_payload(packets: DataFrame, attackers, target_bin: int = 3) -> DataFrame:
-    """Split the attacker's payloads above a histogram bin into the fewest near-equal chunks in it.
+def rechunk_payload(packets: DataFrame, attackers: DataFrame, target_bin: int = 3) -> DataFrame:
+    """Cut payloads of attackers that exceed a size bin into as few chunks as fit it, equal but for one byte.
 
-    Bytes are exact; chunks keep time and flags; a chunk that would miss the bin fails.
+    No byte is added or lost, time and flags repeat; sizes that cannot be cut so raise.
     """
+    return _rechunk_payload(marked(packets, attackers), target_bin).drop(OWN)
+
+
+def _rechunk_payload(packets: DataFrame, target_bin: int = 3) -> DataFrame:
     if not 0 <= target_bin < len(PAYLOAD_EDGES) - 1:
         raise ValueError(f"target bin {target_bin} is outside the payload edges")
     lo, hi = PAYLOAD_EDGES[target_bin], PAYLOAD_EDGES[target_bin + 1]
     size = F.col("payload_len").cast("long")
-    chunks = F.when(sent_by(attackers) & (size >= hi), floor_div(size - 1, hi - 1) + 1).otherwise(F.lit(1))
+    chunks = F.when(F.col(OWN) & (size >= hi), floor_div(size - 1, hi - 1) + 1).otherwise(F.lit(1))
     df = packets.withColumn("_n", chunks).withColumn(
         "_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     part = F.floor(size / F.col("_n")) + (F.col("_k") < size % F.col("_n")).cast("long")
@@ -65,11 +83,15 @@ def rechunk_payload(packets: DataFrame, attackers, target_bin: int = 3) -> DataF
         "packet_no", F.col("packet_no") * F.lit(_SHIFT) + F.col("_k")).drop("_n", "_k")
 
 
-def randomise_header(packets: DataFrame, attackers, field: str, low: int, high: int, seed=SEED) -> DataFrame:
-    """Uniform TTL or TCP window in [low, high) on the attacker's own packets."""
+def randomise_header(packets: DataFrame, attackers: DataFrame, field: str, low: int, high: int, seed=SEED) -> DataFrame:
+    """Uniform TTL or TCP window in [low, high) on packets that attackers sent."""
+    return _randomise_header(marked(packets, attackers), field, low, high, seed).drop(OWN)
+
+
+def _randomise_header(packets: DataFrame, field: str, low: int, high: int, seed=SEED) -> DataFrame:
     if field not in ("ttl", "tcp_win"):
         raise ValueError("field must be 'ttl' or 'tcp_win'")
-    mask = sent_by(attackers)
+    mask = F.col(OWN)
     if field == "tcp_win":
         mask = mask & (F.col("protocol") == TCP)
     drawn = F.lit(low) + portable_hash(f"{seed}:{field}", "packet_no") % F.lit(high - low)
@@ -78,12 +100,12 @@ def randomise_header(packets: DataFrame, attackers, field: str, low: int, high:
 
 # Variant names, their steps in order, default ranges.
 TRANSFORMS = {
-    "port_random": lambda d, a: permute_ports(d, a),
-    "pad_payload": lambda d, a: rechunk_payload(d, a, 3),
-    "ttl_random": lambda d, a: randomise_header(d, a, "ttl", 32, 65),
-    "win_random": lambda d, a: randomise_header(d, a, "tcp_win", 8192, 65536),
-    "pace_5x": lambda d, a: pace(d, a, 5.0),
-    "pace_15x": lambda d, a: pace(d, a, 15.0),
+    "port_random": _permute_ports,
+    "pad_payload": lambda d: _rechunk_payload(d, 3),
+    "ttl_random": lambda d: _randomise_header(d, "ttl", 32, 65),
+    "win_random": lambda d: _randomise_header(d, "tcp_win", 8192, 65536),
+    "pace_5x": lambda d: _pace(d, 5.0),
+    "pace_15x": lambda d: _pace(d, 15.0),
 }
 VARIANTS = {
     "baseline": (),
@@ -97,13 +119,17 @@ VARIANTS = {
 }
 
 
-def apply_variant(packets: DataFrame, attackers, variant: str) -> DataFrame:
+def apply_variant(packets: DataFrame, attackers: DataFrame, variant: str) -> DataFrame:
+    return _apply_variant(marked(packets, attackers), variant).drop(OWN)
+
+
+def _apply_variant(packets: DataFrame, variant: str) -> DataFrame:
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant!r}; have {sorted(VARIANTS)}")
-    return reduce(lambda d, step: TRANSFORMS[step](d, attackers), VARIANTS[variant], packets)
+    return reduce(lambda d, step: TRANSFORMS[step](d), VARIANTS[variant], packets)
 
 
-def evasion_table(packets: DataFrame, attackers, settings: Settings, variants=tuple(VARIANTS),
+def evasion_table(packets: DataFrame, attackers: DataFrame, settings: Settings, variants=tuple(VARIANTS),
                   cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Cost on the wire and effect on the features, one row per variant.
 
@@ -112,9 +138,9 @@ def evasion_table(packets: DataFrame, attackers, settings: Settings, variants=tu
     ``cut`` may write the transformed rows once; four aggregations read them.
     """
     variants = list(variants)
-    own = packets.filter(sent_by(attackers))
+    own = packets.join(attackers.select("src_ip").distinct(), "src_ip", "left_semi").withColumn(OWN, F.lit(True))
     rows = reduce(DataFrame.unionByName, [
-        apply_variant(own, attackers, v).withColumn("variant_no", F.lit(i).cast("long"))
+        _apply_variant(own, v).drop(OWN).withColumn("variant_no", F.lit(i).cast("long"))
         for i, v in enumerate(variants)])
     rows = cut(rows)
     cost = rows.groupBy("variant_no").agg(

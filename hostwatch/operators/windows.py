@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, META_FIELDS, PACKET_FIELDS, SENT_FIELDS, Settings
 from ..functions.crypto import net24_bucket, pseudonym
 from ..functions.net import ip_to_text, is_internal
+from .labels import assign_split
 from .packets import all_window_features
 
 
@@ -55,7 +56,7 @@ def mask_flow_only(df: DataFrame) -> DataFrame:
 
 def union_splits(df: DataFrame, split_map: DataFrame, split: str | None = None) -> DataFrame:
     """Rows of the days of a split (or of all splits, tagged)."""
-    tagged = df.join(split_map, "day")
+    tagged = assign_split(df, split_map)
     return tagged if split is None else tagged.filter(F.col("split") == split)
 
 

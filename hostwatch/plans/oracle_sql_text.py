@@ -116,7 +116,7 @@ CTES["v_timeline"] = f"""
 SELECT strftime(make_timestamp(d*86400000000), '%Y-%m-%d') AS date, d,
   (['FTP-BruteForce','DoS-Hulk','Infiltration','Botnet-Ares','Web-XSS','DDoS-LOIC'])[idx+1] AS name,
   (['recon','initial_access','lateral_movement','c2','exfiltration','impact'])[idx+1] AS stage, idx+1 AS stage_rank,
-  (lo//60)*60 + 14400 AS start_s, (hi//60)*60 + 14400 AS end_s,
+  (lo//60)*60 + 14400 AS start_s, (hi//60)*60 + 60 + 14400 AS end_s,
   {ip_text('src_ip')} AS attacker, {ip_text('victim')} AS victim
 FROM (SELECT *, CAST((src_ip+d)%6 AS INTEGER) AS idx FROM
   (SELECT src_ip, d, count(*) AS n, min(s) AS lo, max(s) AS hi, min(dst_ip) AS victim FROM
@@ -128,8 +128,10 @@ SELECT attacker AS host, start_s, end_s, stage_rank FROM v_timeline
 UNION ALL SELECT victim, start_s, end_s, stage_rank FROM v_timeline WHERE victim<>attacker
 """
 CTES["v_splits"] = """
-SELECT strftime(make_date(2024,1,CAST(d AS INTEGER)), '%Y-%m-%d') AS day,
-  CASE WHEN d<=15 THEN 'train' WHEN d<=22 THEN 'val' ELSE 'test' END AS split FROM range(1,32) t(d)
+SELECT strftime(make_timestamp(d*86400000000), '%Y-%m-%d') AS day, CASE WHEN (d-lo+1)*31 <= 15*(hi-lo+1) THEN 'train'
+  WHEN (d-lo+1)*31 <= 22*(hi-lo+1) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT lo, hi, unnest(range(lo, hi+1)) AS d FROM (SELECT min(d) AS lo, max(d) AS hi FROM
+  (SELECT window_start//86400 AS d FROM v_windows UNION ALL SELECT d FROM v_timeline)))
 """
 CTES["v_labelled"] = f"""
 SELECT w.*, s.split, (['benign','recon','initial_access','lateral_movement','c2','exfiltration','impact'])[
@@ -469,8 +471,8 @@ QUERIES["union_splits"] = """
 SELECT split, count(*) AS n_rows, count(DISTINCT day) AS n_days, CAST(sum(sent_bytes) AS BIGINT) AS sent_bytes
 FROM v_windows JOIN v_splits USING (day) GROUP BY 1"""
 QUERIES["split_overlap"] = """
-SELECT host || '@' || window_id AS item, CAST(2 AS BIGINT) AS n_splits FROM v_windows WHERE day='2024-01-16'
-UNION ALL SELECT '2024-01-16', 2"""
+SELECT host || '@' || window_id AS item, CAST(2 AS BIGINT) AS n_splits FROM v_windows JOIN v_splits USING (day) WHERE split='val'
+UNION ALL SELECT DISTINCT day, 2 FROM v_windows JOIN v_splits USING (day) WHERE split='val'"""
 
 # -- packet statistics, flows ---------------------------------------------------
 def some(*names):
@@ -756,9 +758,9 @@ QUERIES["to_canonical"] = """
 SELECT strftime(make_timestamp(start_us), '%Y-%m') AS month, count(*) AS n, CAST(sum(start_us//1000000) AS BIGINT) AS start_sum,
   count(DISTINCT src_ip) AS n_src, CAST(sum(fwd_pkts) AS BIGINT) AS fwd_pkts FROM v_lflows GROUP BY 1"""
 QUERIES["read_operator_log"] = """
-SELECT strftime(make_timestamp(start_s*1000000), '%Y-%m-%d') AS date, stage, start_s, end_s,
+SELECT strftime(make_timestamp(d*86400000000), '%Y-%m-%d') AS date, stage, greatest(start_s, d*86400) AS start_s, least(end_s, (d+1)*86400) AS end_s,
   CASE WHEN attacker=victim THEN attacker ELSE attacker || '|' || victim END AS parties
-FROM v_timeline WHERE end_s>start_s AND end_s//86400=start_s//86400"""
+FROM (SELECT * EXCLUDE (d), unnest(range(start_s//86400, (end_s-1)//86400+1)) AS d FROM v_timeline)"""
 CTES["v_tlhosts"] = "SELECT date AS day, attacker AS host FROM v_timeline UNION SELECT date, victim FROM v_timeline"
 QUERIES["sample_hosts"] = f"""
 SELECT DISTINCT day, host, 'timeline' AS reason FROM v_windows JOIN v_tlhosts USING (day, host)
@@ -768,7 +770,7 @@ QUERIES["missing_victims"] = """
 SELECT DISTINCT date AS day, victim AS host FROM v_timeline WHERE (date, victim) NOT IN (SELECT day, host FROM v_windows)"""
 QUERIES["feature_store"] = """
 SELECT day, internal AS capture_id, count(*) AS n, CAST(sum(sent_bytes) AS BIGINT) AS sent_bytes FROM v_windows
-WHERE day BETWEEN '2024-01-01' AND '2024-01-30' GROUP BY 1,2"""
+GROUP BY 1,2"""
 QUERIES["score_store"] = """
 SELECT model, split, count(*) AS n, round(sum(score),6)+0.0 AS score_sum FROM v_long GROUP BY 1,2"""
 FLOWS_PER = f"""(SELECT a.host, a.window_start, least(count(f.start_us),5) AS nf FROM v_alerts a LEFT JOIN v_pflows f
@@ -794,7 +796,7 @@ QUERIES["read_results"] = """
 SELECT model, round(auroc,6)+0.0 AS auroc, round(f1,6)+0.0 AS f1, round(recall,6)+0.0 AS recall FROM v_results WHERE budget=0.05 AND split='test'"""
 
 # -- what-if transforms ---------------------------------------------------------------
-CTES["v_att"] = "SELECT unnest([3405803777, 3405803783, 3405803789]) AS ip"
+CTES["v_att"] = f"SELECT DISTINCT src_ip AS ip FROM v_packets WHERE rst=1 AND NOT {INTERNAL.format(c='src_ip')}"
 ATT = "src_ip IN (SELECT ip FROM v_att)"
 CTES["v_perm"] = f"""
 SELECT p.* EXCLUDE (pos) REPLACE (q.dst_port AS dst_port) FROM
@@ -875,6 +877,11 @@ QUERIES["append_chain"] = f"WITH RECURSIVE {CHAIN} SELECT * FROM v_chain"
 QUERIES["verify_chain"] = "SELECT chain, count(*) AS n_records, CAST(NULL AS BIGINT) AS first_bad FROM v_records GROUP BY 1"
 QUERIES["verify_tampered_chain"] = """
 SELECT chain, count(*) AS n_records, CASE WHEN count(*)>70 THEN CAST(70 AS BIGINT) END AS first_bad FROM v_records GROUP BY 1"""
+QUERIES["verify_spliced_chain"] = """
+WITH n AS (SELECT chain, count(*) AS n FROM v_records GROUP BY 1)
+SELECT chain, n - greatest(0, least(n - 64, 64)) AS n_records, CASE WHEN n > 64 THEN CAST(64 AS BIGINT) END AS first_bad, 'removed' AS copy FROM n
+UNION ALL SELECT chain, n - least(n, 64), CAST(0 AS BIGINT), 'front' FROM n
+UNION ALL SELECT chain, n, CAST(0 AS BIGINT), 'exchanged' FROM n"""
 LV = 12
 QUERIES["merkle_root"] = f"WITH RECURSIVE {CHAIN}, l0 AS (SELECT chain, seq AS i, sha256('\\x00'::BLOB || CAST(hash AS BLOB)) AS h FROM v_chain), " + ", ".join(
     f"""l{n + 1} AS (SELECT a.chain, a.i//2 AS i, CASE WHEN (SELECT count(*) FROM l{n} z WHERE z.chain=a.chain)=1 THEN a.h

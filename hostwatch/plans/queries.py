@@ -337,8 +337,8 @@ def union_splits(v):
 
 @query
 def split_overlap(v):
-    """Windows tagged by a split map that wrongly lists one day twice."""
-    twice = v.split_map().unionByName(v.split_map().filter("day = '2024-01-16'").withColumn("split", F.lit("train")))
+    """Windows tagged by a split map that wrongly lists every validation day twice."""
+    twice = v.split_map().unionByName(v.split_map().filter("split = 'val'").withColumn("split", F.lit("train")))
     return WN.split_overlap(v.windows().join(twice, "day"))
 
 
@@ -724,7 +724,7 @@ def feature_store(v):
     """Write features per day and capture, read every day back."""
     path = table_path(v.spark, f"{v.sf_dir}/feature_store")
     ST.write_features(v.windows().withColumn("capture_id", F.col("internal")), path)
-    return ST.read_features(v.spark, path, [f"2024-01-{d:02d}" for d in range(1, 31)]).groupBy("day", "capture_id").agg(
+    return ST.read_features(v.spark, path).groupBy("day", "capture_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("sent_bytes").alias("sent_bytes"))
 
 
@@ -777,8 +777,9 @@ def read_results(v):
 # -- what-if transforms ------------------------------------------------------------------
 
 def _attackers(v):
-    """The view's fixed external addresses (odd hosts 1, 7 and 13)."""
-    return [EXTERNAL_BASE + n for n in (1, 7, 13)]
+    """Addresses of all attackers of the timeline."""
+    from ..functions import net
+    return v.timeline().select(F.explode("attacker_ips").alias("ip")).select(net.text_to_ip("ip").alias("src_ip")).distinct()
 
 
 @query
@@ -837,6 +838,22 @@ def verify_tampered_chain(v):
     return LG.verify_chain(_tampered(v), v.LEDGER_FIELDS, v.LEDGER_BLOCK)
 
 
+@query
+def verify_spliced_chain(v):
+    """Copies of the chains with a block removed, the front removed, and two blocks exchanged; heads kept beside them."""
+    chain, size = v.ledger(), v.LEDGER_BLOCK
+    levels = v._stage("ledger_heads", lambda: LG.head_levels(v.ledger(), KEY, size))
+    other = F.when(F.col("block_no") == 0, 1).when(F.col("block_no") == 1, 0).otherwise(F.col("block_no"))
+    moved = (other - F.col("block_no")) * size
+    copies = {"removed": chain.filter("block_no <> 1"), "front": chain.filter("block_no <> 0"),
+              "exchanged": chain.withColumn("seq", F.col("seq") + moved).withColumn("block_no", other.cast("long"))}
+    out = None
+    for name, copy in copies.items():
+        part = LG.verify_chain(copy, v.LEDGER_FIELDS, size, levels).withColumn("copy", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def merkle_root(v):
     leaves = v.ledger().select("chain", F.col("seq").alias("idx"), LG.leaf_hash(F.col("hash")).alias("leaf"))

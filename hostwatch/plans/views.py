@@ -123,12 +123,13 @@ class Views:
         idx = ((F.col("src_ip") + F.col("d")) % 6).cast("int")
         pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), idx + 1)
         hhmm = lambda c: F.concat_ws(
-            ":", F.lpad((floor_div(c % 86400, 3600)).cast("string"), 2, "0"),
+            ":", F.lpad((floor_div(c, 3600)).cast("string"), 2, "0"),
             F.lpad(floor_div(c % 3600, 60).cast("string"), 2, "0"))
         return g.select(
             F.date_format(F.date_from_unix_date(F.col("d").cast("int")), "yyyy-MM-dd").alias("date"),
             pick(ATTACK_NAMES).alias("name"), pick(STAGES[1:]).alias("stage"),
-            hhmm(F.col("lo")).alias("start"), hhmm(F.col("hi")).alias("end"),
+            hhmm(F.col("lo") - F.col("d") * 86400).alias("start"),
+            hhmm(F.col("hi") - F.col("d") * 86400 + 60).alias("end"),      # the minute of the last reset counts whole
             F.array(ip_to_text("src_ip")).alias("attacker_ips"),
             F.array(ip_to_text("victim")).alias("victim_ips"))
 
@@ -136,9 +137,15 @@ class Views:
         return LB.attack_intervals(self.timeline(), OFFSET_HOURS)
 
     def split_map(self) -> DataFrame:
-        rows = [(f"2024-01-{d:02d}", "train" if d <= 15 else "val" if d <= 22 else "test")
-                for d in range(1, 32)]
-        return self.spark.createDataFrame(rows, "day string, split string")
+        """Every day from the first to the last of windows and timeline: 15 of 31 parts train, 7 validation, 9 test."""
+        days = self.windows().select(floor_div("window_start", 86400).alias("d")).unionByName(
+            self.timeline().select(F.unix_date(F.to_date("date")).cast("long").alias("d")))
+        span = days.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo IS NOT NULL")
+        part = (F.col("d") - F.col("lo") + 1) * 31
+        whole = F.col("hi") - F.col("lo") + 1
+        return span.select("lo", "hi", F.explode(F.sequence("lo", "hi")).alias("d")).select(
+            F.date_format(F.date_from_unix_date(F.col("d").cast("int")), "yyyy-MM-dd").alias("day"),
+            F.when(part <= 15 * whole, "train").when(part <= 22 * whole, "val").otherwise("test").alias("split"))
 
     def episodes(self) -> DataFrame:
         """Attacker episodes with a dense number in (start, host) order of the timeline."""
@@ -152,7 +159,7 @@ class Views:
 
     def labelled(self) -> DataFrame:
         df = LB.label_windows(self.windows(), self.intervals(), GRID)
-        return df.join(self.split_map(), "day")
+        return LB.assign_split(df, self.split_map())
 
     def scored(self) -> DataFrame:
         """Labelled windows with two fixed logistic scores, rounded to 6 places."""
@@ -229,15 +236,21 @@ class Views:
             "ignoreTrailingWhiteSpace", "false").csv(path)
 
     def operator_log(self) -> str:
-        """Tab-separated stage logs per UTC date of the timeline's attacks; returns the folder."""
+        """Tab-separated stage logs per UTC date of the timeline's attacks; returns the folder.
+
+        An attack that crosses midnight has one line in the log of each of its dates.
+        """
         return staged_path(self.spark, f"{self.sf_dir}/operator_log", self._write_operator_log)
 
     def _write_operator_log(self, path: str) -> None:
-        iv = self.intervals().filter((F.col("end_s") > F.col("start_s"))
-                                     & (floor_div("end_s", 86400) == floor_div("start_s", 86400)))
-        hms = lambda c: F.date_format(F.timestamp_seconds(c), "HH:mm:ss")
-        line = F.concat_ws("\t", "stage", hms("start_s"), hms("end_s"), F.col("hosts")[0], F.coalesce(F.get("hosts", F.lit(1)), F.lit("")))
-        rows = iv.select(line.alias("value"), F.date_format(F.timestamp_seconds("start_s"), "yyyy-MM-dd").alias("date"))
+        iv = self.intervals().withColumn("d", F.explode(F.sequence(floor_div("start_s", 86400), floor_div(F.col("end_s") - 1, 86400))))
+        two = lambda c: F.lpad(c.cast("string"), 2, "0")
+        hms = lambda s: F.concat_ws(":", two(floor_div(s, 3600)), two(floor_div(s % 3600, 60)), two(s % 60))
+        midnight = F.col("d") * 86400
+        begin = F.greatest(F.col("start_s") - midnight, F.lit(0).cast("long"))
+        end = F.least(F.col("end_s") - midnight, F.lit(86400).cast("long"))
+        line = F.concat_ws("\t", "stage", hms(begin), hms(end), F.col("hosts")[0], F.coalesce(F.get("hosts", F.lit(1)), F.lit("")))
+        rows = iv.select(line.alias("value"), F.date_format(F.date_from_unix_date(F.col("d").cast("int")), "yyyy-MM-dd").alias("date"))
         days = rows.select("date").distinct()
         head = days.select(F.explode(F.array(F.lit("session_id\tx1"), F.lit("# columns: stage start end attacker victim"),
                                              F.lit(""), F.lit("benign\t00:00:00\t01:00:00\ta\tb"))).alias("value"), "date")

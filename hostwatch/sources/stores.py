@@ -18,10 +18,12 @@ def missing_captures(wanted: DataFrame, spark: SparkSession, path: str, keys=("d
     return wanted.join(spark.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
 
 
-def read_features(spark: SparkSession, path: str, days) -> DataFrame:
-    """Partition-pruned read; a day without any rows raises."""
-    days = [str(d) for d in days]
+def read_features(spark: SparkSession, path: str, days=None) -> DataFrame:
+    """Partition-pruned read of ``days`` (default: all there are); a named day without any rows raises."""
     df = spark.read.option("inferSchema", "false").parquet(path).withColumn("day", F.col("day").cast("string"))
+    if days is None:
+        return df
+    days = [str(d) for d in days]
     df = df.filter(F.col("day").isin(days))
     have = {r[0] for r in df.select("day").distinct().collect()}  # at most len(days) values
     absent = [d for d in days if d not in have]

@@ -51,6 +51,11 @@ def packets(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
+
+def senders(packets, *addresses):
+    return packets.sparkSession.createDataFrame([(a,) for a in addresses], "src_ip long")
+
+
 STAGES = ["benign", "recon", "initial_access", "lateral_movement", "c2", "exfiltration", "impact", "unclassified"]
 GOLDEN = {
     "baseline": (389.96, 5480, 4257060, 1081, 1581, 80, 1.0, 750, 1050000, [0, 14, 0, 29, 0, 14, 0, 23]),
@@ -62,7 +67,7 @@ GOLDEN = {
 
 def test_golden_figures_and_invariants(packets):
     assert packets.count() == 5620
-    got = {r.variant: r for r in wi.evasion_table(packets, [A, B], Settings()).collect()}
+    got = {r.variant: r for r in wi.evasion_table(packets, senders(packets, A, B), Settings()).collect()}
     for name, (span, pkts, size, reach, sockets, wins, seq, peak_p, peak_b, stages) in GOLDEN.items():
         r = got[name]
         assert r.span_s == pytest.approx(span)
@@ -81,20 +86,20 @@ def test_golden_figures_and_invariants(packets):
 
 def test_only_attacker_rows_change(packets):
     for step in wi.TRANSFORMS.values():
-        out = step(packets, [A])
+        out = step(packets, senders(packets, A))
         mine = lambda d: d.filter(F.col("src_ip") != A).drop("packet_no")
         assert mine(out).exceptAll(mine(packets)).isEmpty() and mine(packets).exceptAll(mine(out)).isEmpty()
 
 
 def test_refusals(packets):
     with pytest.raises(Exception, match="sent a packet"):
-        wi.evasion_table(packets, [1], Settings(), ("baseline",)).collect()
+        wi.evasion_table(packets, senders(packets, 1), Settings(), ("baseline",)).collect()
     with pytest.raises(Exception, match="cannot land"):   # 1460 halves to 730, below bin 5's 1024
-        wi.rechunk_payload(packets.withColumn("payload_len", F.lit(1460).cast("long")), [A], 5).agg(
+        wi.rechunk_payload(packets.withColumn("payload_len", F.lit(1460).cast("long")), senders(packets, A), 5).agg(
             F.sum("payload_len")).collect()
     with pytest.raises(ValueError):
-        wi.rechunk_payload(packets, [A], 7)
+        wi.rechunk_payload(packets, senders(packets, A), 7)
     with pytest.raises(ValueError):
-        wi.apply_variant(packets, [A], "nope")
+        wi.apply_variant(packets, senders(packets, A), "nope")
     with pytest.raises(ValueError):
-        wi.randomise_header(packets, [A], "seq", 0, 1)
+        wi.randomise_header(packets, senders(packets, A), "seq", 0, 1)
