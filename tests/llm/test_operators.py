@@ -261,11 +261,14 @@ def scored(rows):
     return collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows)
 
 
-def test_lm_scoring(spark, docs, odd):
-    got = rows_of(QUERIES["op8_lm_scoring"](spark, SF))
+def test_lm_scoring(spark, odd):
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = rows_of(QUERIES["op8_lm_scoring"](spark, sf))
     assert scored(got) == collections.Counter(base_scores(docs))
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert sum(r["score"] > r["base_score"] for r in held) > 0.9 * len(held)
     assert scored(rows_of(QUERIES["op8_lm_scoring"](spark, odd))) == collections.Counter(base_scores([r[:2] for r in ROWS]))
 
 
