@@ -9,6 +9,7 @@ from ..config import DEFAULTS, STAGES, UNCLASSIFIED, Grid, Settings
 from ..functions.columns import floor_div, require_columns
 from ..functions.net import ip_to_text, looks_like_ip
 from ..functions.rules import infer_stage, map_technique
+from .ordered import per_key
 
 ALERT_FIELDS = ("host", "window_start", "probability", "stage", "technique", "technique_name")
 
@@ -25,7 +26,7 @@ def fire(scored: DataFrame, condition: Column, score: str, settings: Settings =
 
 def apply_thresholds(scores: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """Flag scores at or above their key's threshold; a key without one fails the query."""
-    joined = scores.join(thresholds.select(*keys, "threshold"), keys, "left")
+    joined = scores.join(per_key(thresholds.select(*keys, "threshold")), keys, "left")
     known = F.when(F.col("threshold").isNotNull(), F.col("threshold")).otherwise(
         F.raise_error(F.concat(F.lit("no threshold for "), F.concat_ws("/", *keys))).cast("double"))
     return joined.withColumn("threshold", known).withColumn("alert", F.col("score") >= F.col("threshold"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import average_ranks
-from .ordered import cumulative
+from .ordered import cumulative, per_key
 
 
 def align_scores(a: DataFrame, b: DataFrame, keys=("split", "host", "window_id")) -> DataFrame:
@@ -33,7 +33,7 @@ def rank_fusion(rows: DataFrame, members: list[str], keys=("split",), name: str
     out = rows
     for m in members:
         out = average_ranks(out, keys, m, f"_rank_{m}")
-    out = out.join(sizes, keys)
+    out = out.join(per_key(sizes), keys)
     for m in members:
         out = out.withColumn(f"_pct_{m}", F.col(f"_rank_{m}") / F.col("_size"))
     fused = fuse_mean(out, [f"_pct_{m}" for m in members], name)

@@ -14,7 +14,7 @@ from ..config import ECE_BINS, FPR_BUDGETS, MIN_EPISODES_FOR_BAND, SEED, Grid
 from ..functions.columns import floor_div, ratio
 from ..functions.crypto import portable_hash
 from .labels import closed_windows
-from .ordered import checked_small, cumulative, exact_percentiles, row_numbers
+from .ordered import ROWS_PER_CHUNK, cumulative, exact_percentiles, per_key, row_numbers
 
 MODEL_SPLIT = ["model", "split"]
 HASH_BITS = 52
@@ -37,7 +37,7 @@ def threshold_at_fpr(scores: DataFrame, keys: list[str], budgets=FPR_BUDGETS) ->
     checked = F.when(n > 0, n).otherwise(
         F.raise_error(F.lit("no benign rows: cannot set a threshold")).cast("long"))
     totals = scores.groupBy(*keys).agg(checked.alias("n_benign"))
-    hist = hist.join(totals, keys) if keys else hist.withColumn("n_benign", totals.select("n_benign").scalar())
+    hist = hist.join(per_key(totals), keys) if keys else hist.withColumn("n_benign", totals.select("n_benign").scalar())
     fits = lambda b: F.col("cum_neg") / F.col("n_benign") <= F.lit(float(b))
     per = hist.groupBy(*keys).agg(
         F.max("n_benign").alias("n_benign"), F.max("score").alias("_max"),
@@ -72,12 +72,12 @@ def classification(scores: DataFrame, thresholds: DataFrame, fit_keys: list[str]
     """Confusion counts and rates per (by, tags) at given thresholds.
 
     ``thresholds`` holds one row per (fit_keys, tags), models times budgets whatever the
-    scores table holds; it is broadcast after a check of its size.
+    scores table holds; it is broadcast.
     """
     t = thresholds.select(*fit_keys, *tags, "threshold")
     hist = score_histogram(scores, by)
     hit = F.col("score") >= F.col("threshold")
-    part = hist.join(checked_small(t), fit_keys)
+    part = hist.join(per_key(t), fit_keys)
     total = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0)).cast("long")
     out = part.groupBy(*by, *tags).agg(
         F.max("threshold").alias("threshold"), total("pos", hit).alias("tp"), total("neg", hit).alias("fp"),
@@ -170,7 +170,7 @@ def alerts_per_host_day(n_alerts: Column, n_windows: Column, grid: Grid) -> Colu
 def alerts_at(scores: DataFrame, thresholds: DataFrame, fit_keys: list[str], tags: list[str]) -> DataFrame:
     """Rows that fire at each tag's threshold (threshold table as above)."""
     t = thresholds.select(*fit_keys, *tags, "threshold")
-    return scores.join(checked_small(t), fit_keys).filter(F.col("score") >= F.col("threshold"))
+    return scores.join(per_key(t), fit_keys).filter(F.col("score") >= F.col("threshold"))
 
 
 def evaluate(scores: DataFrame, episodes: DataFrame, grid: Grid, budgets=FPR_BUDGETS,
@@ -204,17 +204,18 @@ def multiplicity_report(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hash_order(df: DataFrame, keys: list[str], seed, id_cols: list[str], name: str = "row_no",
-               chunks_log2: int = 7) -> DataFrame:
-    """Number the rows of each key in a seeded pseudo-random order, over uniform hash chunks."""
+               rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Number the rows of each key in a seeded pseudo-random order, over uniform hash chunks whose number grows with the rows."""
+    size = df.select(F.greatest(F.lit(128), F.ceil(F.count(F.lit(1)) / F.lit(rows_per_chunk)))).scalar()
     df = df.withColumn("_h", portable_hash(seed, *id_cols))
-    chunk = floor_div("_h", 1 << (HASH_BITS - chunks_log2))
+    chunk = F.floor(F.col("_h") / (F.lit(float(1 << HASH_BITS)) / size)).cast("long")
     return row_numbers(df, keys, chunk, [F.col("_h"), *[F.col(c) for c in id_cols]], name).drop("_h")
 
 
 def random_baseline(scores: DataFrame, budget_per_key: DataFrame, keys: list[str], seed=SEED) -> DataFrame:
     """Fire the same number of alerts at random rows (``n_alerts`` per key)."""
     numbered = hash_order(scores, keys, seed, ["host", "window_id"])
-    return numbered.join(budget_per_key.select(*keys, "n_alerts"), keys).filter(
+    return numbered.join(per_key(budget_per_key.select(*keys, "n_alerts")), keys).filter(
         F.col("row_no") <= F.col("n_alerts")).drop("n_alerts", "row_no")
 
 
@@ -229,7 +230,7 @@ def per_episode_report(scores: DataFrame, episodes: DataFrame, threshold: DataFr
     span = closed_windows(episodes, grid).select("split", "host", "episode_no", "start_s", "end_s", "window_id")
     key = ["model", "split", "host", "episode_no", "start_s", "end_s"]
     inside = scores.join(span, ["split", "host", "window_id"]).join(
-        checked_small(threshold.select("model", "threshold")), "model")
+        per_key(threshold.select("model", "threshold")), "model")
     fired = F.col("score") >= F.col("threshold")
     per = inside.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_windows"), F.count_if(fired).alias("n_fired"),

@@ -4,8 +4,7 @@ A plain ``Window.partitionBy(key).orderBy(t)`` puts a whole key on one task. Her
 every key is cut into chunks of its order axis. Rows are windowed inside their
 chunk, one summary row per chunk is carried along the key, and the two are joined
 on (key, chunk). The chunk summaries are the only thing a single task sees per
-key, and their number is bounded by the order axis (span / chunk width, or the
-number of quantile cuts), never by the row count.
+key: one row per chunk width of the order axis, or per about a million rows.
 """
 
 from __future__ import annotations
@@ -15,17 +14,15 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 QUANTILE_CUTS = 128
+ROWS_PER_CHUNK = 1_000_000
 
 
-def checked_small(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Broadcast a table of settings; more than ``limit`` rows fail the query instead.
+def per_key(df: DataFrame) -> DataFrame:
+    """Broadcast a table with one row per key of a grouping (models, splits, budgets): settings, not data.
 
-    For threshold and anchor tables, whose rows number models x budgets or attackers.
+    Joining it by shuffle would send all rows of a key to one task.
     """
-    size = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    ok = F.when(size <= limit, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"table is larger than the {limit} rows it may broadcast")).cast("boolean"))
-    return F.broadcast(df.withColumn("_fits", ok).filter("_fits").drop("_fits"))
+    return F.broadcast(df)
 
 
 def previous_row(df: DataFrame, keys: list[str], chunk: Column, order: list[str],
@@ -80,17 +77,22 @@ def row_numbers(df: DataFrame, keys: list[str], chunk: Column, order: list, name
 
 
 def with_quantile_chunk(df: DataFrame, column: str, name: str, cuts: int = QUANTILE_CUTS) -> DataFrame:
-    """Add the chunk number of a value: how many quantile cuts lie at or below it.
+    """Add a chunk number that does not decrease along a numeric column, about ``ROWS_PER_CHUNK`` rows each.
 
-    The cuts are one scalar subquery (an array of ``cuts`` numbers), so chunks are
-    balanced whatever the distribution is, and equal values share a chunk.
+    ``cuts`` quantiles part the column; with more rows than they can hold, each part is divided again by value. Cuts
+    and row count are one scalar subquery, and equal values share a chunk.
     """
     probs = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    points = df.select(F.array_distinct(
-        F.percentile_approx(column, probs, F.lit(10 * cuts))).alias("p")).scalar()
+    points = df.select(F.struct(
+        F.array_distinct(F.percentile_approx(column, probs, F.lit(10 * cuts))).alias("p"), F.min(column).alias("lo"),
+        F.max(column).alias("hi"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(cuts * ROWS_PER_CHUNK))).alias("parts"))).scalar()
     df = df.withColumn("_cuts", points)
-    below = F.size(F.filter("_cuts", lambda p: p <= F.col(column)))
-    return df.withColumn(name, F.coalesce(below, F.lit(0)).cast("int")).drop("_cuts")
+    value, parts = F.col(column), F.col("_cuts.parts")
+    below = F.coalesce(F.size(F.filter("_cuts.p", lambda p: p <= value)), F.lit(0))
+    low = F.coalesce(F.get("_cuts.p", below - 1), F.col("_cuts.lo"))
+    high = F.coalesce(F.get("_cuts.p", below), F.col("_cuts.hi"))
+    inner = F.when(high > low, F.least(parts - 1, F.floor((value - low) / (high - low) * parts))).otherwise(F.lit(0))
+    return df.withColumn(name, (below * parts + F.greatest(F.lit(0), inner)).cast("long")).drop("_cuts")
 
 
 def cumulative(df: DataFrame, keys: list[str], column: str, sums: list[str],
@@ -145,7 +147,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], column: str,
     counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
     cum = cumulative(counts, keys, column, ["_n"], prefix="_cum")
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    cum = cum.join(size, keys) if keys else cum.withColumn(
+    cum = cum.join(per_key(size), keys) if keys else cum.withColumn(
         "_size", size.select("_size").scalar())
     first, last = F.col("_cum_n") - F.col("_n"), F.col("_cum_n") - 1
     aggs = []

@@ -722,7 +722,7 @@ def missing_victims(v):
 @query
 def feature_store(v):
     """Write features per day and capture, read every day back."""
-    path = table_path(v.spark, f"{v.sf_dir}/feature_store")
+    path = table_path(v.spark, f"{v.version}/feature_store")
     ST.write_features(v.windows().withColumn("capture_id", F.col("internal")), path)
     return ST.read_features(v.spark, path).groupBy("day", "capture_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("sent_bytes").alias("sent_bytes"))
@@ -730,7 +730,7 @@ def feature_store(v):
 
 @query
 def score_store(v):
-    path = table_path(v.spark, f"{v.sf_dir}/score_store")
+    path = table_path(v.spark, f"{v.version}/score_store")
     ST.write_scores(v.scores_long(), path)
     return ST.read_scores(v.spark, path).groupBy("model", "split").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
@@ -739,7 +739,7 @@ def score_store(v):
 @query
 def write_alerts(v):
     """Alert objects and run summary as JSON, read back."""
-    path = table_path(v.spark, f"{v.sf_dir}/alert_files")
+    path = table_path(v.spark, f"{v.version}/alert_files")
     objects = _alert_objects(v)
     ST.write_alerts(objects, AL.run_summary(v.packet_flows(), v.windows(), v.alerts(), None, 0.4, True), path)
     back = v.spark.read.json(f"{path}/alerts")
@@ -765,7 +765,7 @@ def alert_objects(v):
 @query
 def read_results(v):
     """Result files per model (one an experiment, one repeated), read back as shipped rows."""
-    path = table_path(v.spark, f"{v.sf_dir}/results_json")
+    path = table_path(v.spark, f"{v.version}/results_json")
     r = _results(v).filter("budget = 0.05 and split = 'test'")
     block = F.struct("auroc", "f1", "recall").alias("test")
     rows = r.select("model", F.lit(None).cast("string").alias("holdout_family"), block)
@@ -986,12 +986,12 @@ def _stream_packets(v):
     """The packet view over a file stream of the events table."""
     live = Views(v.spark, v.sf_dir)
     schema = v.table("events").schema
-    live.table = lambda name: v.spark.readStream.schema(schema).parquet(f"{v.sf_dir}/{name}.parque[t]")
+    live.table = lambda name: v.spark.readStream.schema(schema).parquet(f"{v.version}/{name}.parque[t]")
     return live.packets()
 
 
 def _run_stream(v, name, df):
-    path = table_path(v.spark, f"{v.sf_dir}/stream/{name}/{uuid.uuid4().hex}")
+    path = table_path(v.spark, f"{v.version}/stream/{name}/{uuid.uuid4().hex}")
     SJ.write_stream(df, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return v.spark.read.parquet(f"{path}/out")
 
@@ -1019,7 +1019,7 @@ def assemble_flows_stream(v):
 def alerts_stream(v):
     """Busy windows of the window stream as alerts, chained per micro-batch."""
     from ..functions.net import ip_to_text
-    path = table_path(v.spark, f"{v.sf_dir}/stream/alerts/{uuid.uuid4().hex}")
+    path = table_path(v.spark, f"{v.version}/stream/alerts/{uuid.uuid4().hex}")
     wins = SJ.packet_window_stream(_stream_packets(v), GRID, "1 hour")
 
     def fired(batch):

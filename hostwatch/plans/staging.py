@@ -7,7 +7,6 @@ the folder the session names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,14 +14,20 @@ _written: set[tuple[str, str]] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="hostwatch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """``spark.checkpoint.dir`` of the session, else a folder in its warehouse: both are shared on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/staged-tables"
+
+
+def input_fingerprint(spark: SparkSession, folder: str) -> str:
+    """Digest of names, sizes and times of the files below an input folder: changed input gives other staged tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]
 
 
 def table_path(spark: SparkSession, name: str) -> str:

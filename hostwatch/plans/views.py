@@ -6,6 +6,7 @@ rows, so the same view can be written once here and once as SQL.
 
 from __future__ import annotations
 
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from ..operators import flows as FL
 from ..operators import labels as LB
 from ..operators import packets as PK
 from ..operators import windows as WN
-from .staging import staged, staged_path
+from .staging import input_fingerprint, staged, staged_path
 
 INTERNAL_BASE = 167772160      # 10.0.0.0
 EXTERNAL_BASE = 3405803776     # 203.0.113.0
@@ -39,12 +40,14 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        settings = hashlib.sha256(repr((SETTINGS, KEY, OFFSET_HOURS)).encode()).hexdigest()[:16]
+        self.version = f"{self.sf_dir}/{input_fingerprint(spark, self.sf_dir)}/{settings}"
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _stage(self, name: str, build) -> DataFrame:
-        return staged(self.spark, f"{self.sf_dir}/{name}", build)
+        return staged(self.spark, f"{self.version}/{name}", build)
 
     # -- packets and flows --------------------------------------------------
     def packets(self) -> DataFrame:
@@ -216,7 +219,7 @@ class Views:
 
     def flow_csv(self) -> str:
         """A defective flow CSV of the lineitem flows; returns its folder."""
-        return staged_path(self.spark, f"{self.sf_dir}/flow_csv", self._write_flow_csv)
+        return staged_path(self.spark, f"{self.version}/flow_csv", self._write_flow_csv)
 
     def _write_flow_csv(self, path: str) -> None:
         from ..config import FLOW_COLUMNS
@@ -240,7 +243,7 @@ class Views:
 
         An attack that crosses midnight has one line in the log of each of its dates.
         """
-        return staged_path(self.spark, f"{self.sf_dir}/operator_log", self._write_operator_log)
+        return staged_path(self.spark, f"{self.version}/operator_log", self._write_operator_log)
 
     def _write_operator_log(self, path: str) -> None:
         iv = self.intervals().withColumn("d", F.explode(F.sequence(floor_div("start_s", 86400), floor_div(F.col("end_s") - 1, 86400))))

@@ -63,7 +63,7 @@ def test_verify_finds_the_first_bad_record(chain):
     hit = (F.col("seq") == 6) & (F.col("chain") == "r1")
     assert bad(chain.withColumn("stage", F.when(hit, "x").otherwise(F.col("stage"))))["r1"] == 6
     assert bad(chain.withColumn("hash", F.when(hit, "0").otherwise(F.col("hash"))))["r1"] == 6
-    assert bad(chain.filter(~hit))["r1"] == 7
+    assert bad(chain.filter(~hit))["r1"] == 6
     assert bad(chain.withColumn("hash", F.when(hit, None).otherwise(F.col("hash"))))["r1"] == 6
 
 
@@ -113,12 +113,24 @@ def test_empty_ledger_is_a_failure(spark, chain):
 
 
 def test_block_levels_end_in_one_block(spark, chain):
-    levels = lg.chain_levels(chain, KEY, BLOCK)
-    assert len(levels) == 1 and bad_levels(levels[0]) == {"r1": None, "r2": None}
+    levels = lg.head_levels(chain, KEY, BLOCK)
+    assert {r.level for r in levels.select("level").distinct().collect()} == {1}
+    assert {r.chain: r.first_bad for r in lg.verify_chain(levels, lg.LEVEL_FIELDS, BLOCK).collect()} == {"r1": None, "r2": None}
 
 
-def bad_levels(level):
-    return {r.chain: r.first_bad for r in lg.verify_chain(level, ["block_head", "source_block"], BLOCK).collect()}
+def test_absent_blocks_are_named(spark, chain):
+    from pyspark.sql import functions as F
+    levels = lg.head_levels(chain, KEY, BLOCK)
+
+    def first_bad(copy, heads=levels):
+        return {r.chain: r.first_bad for r in lg.verify_chain(copy, FIELDS, BLOCK, heads).collect()}["r1"]
+
+    last = chain.filter("chain = 'r1'").agg(F.max("block_no")).first()[0]
+    assert first_bad(chain) is None
+    assert first_bad(chain.filter("block_no <> 1")) == BLOCK and first_bad(chain.filter("block_no <> 1"), None) == BLOCK
+    assert first_bad(chain.filter("block_no <> 0"), None) == 0 and first_bad(chain.filter("seq <> 2"), None) == 2
+    assert first_bad(chain.filter(F.col("block_no") != last)) == last * BLOCK
+    assert first_bad(chain.filter("chain <> 'r1'")) == 0
 
 
 def test_keys(spark):

@@ -20,14 +20,9 @@ def scores(spark, ys, ss, model="m", split="val", host="h"):
 
 
 def literal_threshold(y, s, budget):
-    chosen = np.nextafter(max(s), np.inf)
-    benign = [b for b, t in zip(s, y) if not t]
-    for thr in sorted(set(s), reverse=True):
-        if sum(b >= thr for b in benign) / len(benign) <= budget:
-            chosen = thr
-        else:
-            break
-    return chosen
+    """Least score whose benign share at or above it is within the budget, else the next double above all scores."""
+    benign = np.array(s)[np.array(y) == 0]
+    return min((t for t in s if np.mean(benign >= t) <= budget), default=np.nextafter(max(s), np.inf))
 
 
 def literal_auroc(y, s):
@@ -199,8 +194,31 @@ def test_horizon_must_be_whole(spark, grouped):
             bs.annotate_horizon(grouped, grouped, grouped, GRID, k)
 
 
-def test_broadcast_tables_are_counted(spark):
-    from hostwatch.operators.ordered import checked_small
-    assert checked_small(spark.range(5), 5).count() == 5
-    with pytest.raises(Exception, match="larger than"):
-        checked_small(spark.range(6), 5).count()
+def test_chunks_grow_with_the_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from hostwatch.operators import ordered
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001 / 3.0).alias("v"), F.lit(1).alias("n")).dropDuplicates(["v"])
+    want = {r.v: i + 1 for i, r in enumerate(df.orderBy("v").collect())}
+    for rows in (10 ** 6, 5):
+        monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", rows)
+        cut = ordered.with_quantile_chunk(df, "v", "c", 8).orderBy("v").collect()
+        assert [r.c for r in cut] == sorted(r.c for r in cut) and (len({r.c for r in cut}) > 200) == (rows == 5)
+        assert {r.v: r.cum_n for r in ordered.cumulative(df, [], "v", ["n"]).collect()} == want
+        assert sorted(r.row_no for r in me.hash_order(df, [], 3, ["v"], rows_per_chunk=rows).collect()) == list(range(1, 3001))
+
+
+def test_no_shuffle_by_model_or_split_alone(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = scores(spark, [0, 1, 0, 1], [.1, .2, .3, .4]).withColumn("score_b", me.F.col("score"))
+        from hostwatch.operators import alerts as al
+        from hostwatch.operators import fusion as fu
+        t = me.threshold_at_fpr(df, ["model"], (0.1,))
+        for out in (fu.rank_fusion(df, ["score", "score_b"], name="f"), al.apply_thresholds(df, t, ["model"]), me.alerts_at(df, t, ["model"], ["budget"])):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            # a sort-merge join names its keys first: never one key of few values
+            keys = [x.split("[", 1)[1].split("]")[0] for x in plan.splitlines() if "SortMergeJoin" in x]
+            assert not [k for k in keys if k.split("#")[0] in ("model", "split") and "," not in k]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
