@@ -51,8 +51,9 @@ def fingerprint(leaves: Column) -> Column:
     return F.concat(root, F.lit(":"), leaves)
 
 
-def leaf_set(leaves: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(leaves, F.lit("[0-9A-F]{16}"), F.lit(0)))
+def leaf_set(text: Column) -> Column:
+    """Distinct leaf hashes of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)), lambda x: F.xxhash64(x)))
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -95,7 +96,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, text, leaves, edited, edited_leaves, next_leaves for every row of ``docs`` (doc_id, text).
+    """doc_id, text, edited, next_leaves for every row of ``docs`` (doc_id, text).
 
     The edited text: the last third (rounded down) of the code points gives way to as many first ones of the next
     document by descending doc_id. Texts are dealt out once, by (doc_id, hash of the text); a document hands only the
@@ -108,26 +109,24 @@ def with_edits(docs: DataFrame) -> DataFrame:
     order = neighbours(found.select("doc_id", "h", "n_chars"))
     asked = order.select(F.col("next.doc_id").alias("asked_id"), F.col("next.h").alias("asked_h"),
                          F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), common.div(F.col("n_chars"), 3).alias("k"))
-    rows = rows.withColumn("leaves", tree(F.col("text")))
     handed = rows.join(asked, rows["doc_id"].eqNullSafe(asked["asked_id"]) & (rows["h"] == asked["asked_h"])).select(
-        "for_id", "for_h", "k", F.col("leaves").alias("next_leaves"),
+        "for_id", "for_h", "k", leaf_set(F.col("text")).alias("next_leaves"),
         F.substring(F.col("text"), F.lit(1), F.col("k").cast("int")).alias("prefix"))
     if found.filter("rows > 1").limit(1).count():
         handed = handed.dropDuplicates(["for_id", "for_h"])
     out = rows.join(handed, rows["doc_id"].eqNullSafe(handed["for_id"]) & (rows["h"] == handed["for_h"]))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.char_length("text") - F.col("k")).cast("int")), F.col("prefix"))
-    return out.select("doc_id", "text", "leaves", "next_leaves", edited.alias("edited")).withColumn(
-        "edited_leaves", tree(F.col("edited")))
+    return out.select("doc_id", "text", "next_leaves", edited.alias("edited"))
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     out = with_edits(common.documents(spark, sf_dir).select("doc_id", "text"))
     out = out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"),
-                     F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "leaves", "edited_leaves",
-                     leaf_set(F.col("leaves")).alias("own"), leaf_set(F.col("edited_leaves")).alias("own_edited"),
-                     leaf_set(F.col("next_leaves")).alias("of_next"))
+                     F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+                     tree(F.col("text")).alias("leaves"), tree(F.col("edited")).alias("edited_leaves"),
+                     leaf_set(F.col("text")).alias("own"), leaf_set(F.col("edited")).alias("own_edited"), "next_leaves")
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("leaves")).alias("fingerprint"),
                       fingerprint(F.col("edited_leaves")).alias("edited_fingerprint"),
                       likeness(F.col("own"), F.col("own_edited")).alias("near_edited"),
-                      likeness(F.col("own"), F.col("of_next")).alias("near_next"))
+                      likeness(F.col("own"), F.col("next_leaves")).alias("near_next"))
