@@ -47,21 +47,26 @@ def keyed_state(stream: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("group_size"), F.max(preference(F.col("n_chars"), F.col("doc_id"), F.col("locator"))).alias("keep"))
 
 
+#: Settings of the stateful query: state on disk, each store closed when its task has committed.
+STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+
+
 def run_stream(stream: DataFrame, checkpoint: str) -> None:
     """Run the stateful dedup over all input that is there now; state stays in ``checkpoint``."""
-    spark = stream.sparkSession
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    conf = stream.sparkSession.conf
+    old = {k: conf.get(k, None) for k in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        conf.set(key, value)
     try:
         query = (keyed_state(stream).writeStream.outputMode("update").format("noop")
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+        for key, value in old.items():
+            if value is None:
+                conf.unset(key)
+            else:
+                conf.set(key, value)
 
 
 def state_table(spark, checkpoint: str) -> DataFrame:
