@@ -31,18 +31,15 @@ def line_key(line: Column) -> Column:
     return common.lower_ascii(F.btrim(line, F.lit(common.SPACES)))
 
 
-def key_hash(line: Column) -> Column:
-    key = line_key(line)
+def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h"), F.hash(key).alias("c"))
 
 
 def long_lines(docs: DataFrame, least_chars: int) -> DataFrame:
     """Distinct long line keys of every row: doc_id, salt, h, c."""
-    lines = docs.select("doc_id", "salt", F.array_distinct(F.transform(
-        F.filter(F.split(common.text_of(), "\n"), lambda x: F.char_length(x) >= least_chars),
-        lambda x: F.when(F.char_length(line_key(x)) >= least_chars, key_hash(x)))).alias("keys"))
-    return lines.select("doc_id", "salt", F.explode("keys").alias("key")).filter(F.col("key").isNotNull()).select(
-        "doc_id", "salt", "key.h", "key.c")
+    keys = F.transform(F.filter(F.split(common.text_of(), "\n"), lambda x: F.char_length(x) >= least_chars), line_key)
+    keys = F.transform(F.filter(keys, lambda k: F.char_length(k) >= least_chars), key_hash)
+    return docs.select("doc_id", "salt", F.explode(F.array_distinct(keys)).alias("key")).select("doc_id", "salt", "key.h", "key.c")
 
 
 class LineRuns:
@@ -145,8 +142,9 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     out = docs.withColumn("_docsalt", salt)
     out = out.join(lost, out["doc_id"].eqNullSafe(lost["_id"]) & (out["_docsalt"] == lost["_salt"]), "left")
     split = F.split(common.text_of(), "\n")
-    kept = F.filter(split, lambda x: ~((F.char_length(line_key(x)) >= least_chars)
-                                       & F.array_contains(F.col("_lost"), key_hash(x))))
+    pairs = F.transform(split, lambda x: F.struct(x.alias("line"), F.when(F.char_length(x) >= least_chars, line_key(x)).alias("key")))
+    kept = F.transform(F.filter(pairs, lambda p: p["key"].isNull() | (F.char_length(p["key"]) < least_chars)
+                                | ~F.array_contains(F.col("_lost"), key_hash(p["key"]))), lambda p: p["line"])
     out = out.withColumn("_lines", F.when(F.col("_lost").isNotNull(), kept))
     n_lines = F.char_length(common.text_of()) - F.char_length(F.replace(common.text_of(), F.lit("\n"), F.lit(""))) + 1
     n_kept = F.coalesce(F.size(F.col("_lines")), F.lit(0))
