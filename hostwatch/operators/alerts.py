@@ -93,8 +93,8 @@ def hosts_pseudonymised(hosts: DataFrame) -> DataFrame:
 def flagged_flows(alerts: DataFrame, flows: DataFrame, grid: Grid, top: int = 5) -> DataFrame:
     """Per alert the largest flows the host started inside the window.
 
-    Flows are keyed to the windows that cover their start, cut to the top k per
-    (host, window), and only then joined to the alerts.
+    Flows are keyed to the windows that cover their start; those of windows without an
+    alert go before the others are cut to the top k per (host, window).
     """
     last = floor_div("start_us", grid.stride_us)
     fl = flows.select(
@@ -102,10 +102,11 @@ def flagged_flows(alerts: DataFrame, flows: DataFrame, grid: Grid, top: int = 5)
         (F.col("fwd_bytes") + F.col("bwd_bytes")).alias("bytes"), "syn",
         F.col("duration").alias("duration_us"), "start_us",
         F.explode(F.sequence(last - (grid.n_bins - 1), last)).alias("window_id"))
+    keys = alerts.select("host", "window_id", "window_start")
+    fl = fl.join(keys.select("host", "window_id").distinct(), ["host", "window_id"], "left_semi")
     order = [F.col("bytes").desc(), "start_us", "dst_port", "protocol", "syn", "duration_us"]
     ranked = fl.withColumn("rank", F.row_number().over(
         Window.partitionBy("host", "window_id").orderBy(*order))).filter(F.col("rank") <= top)
-    keys = alerts.select("host", "window_id", "window_start")
     return keys.join(ranked, ["host", "window_id"]).drop("start_us")
 
 

@@ -1,5 +1,10 @@
 """SQL text: CTES are views, QUERIES the registered results."""
 
+from __future__ import annotations
+
+import hashlib
+import hmac
+
 CTES: dict[str, str] = {}
 QUERIES: dict[str, str] = {}
 
@@ -883,12 +888,25 @@ SELECT chain, n - greatest(0, least(n - 64, 64)) AS n_records, CASE WHEN n > 64
 UNION ALL SELECT chain, n - least(n, 64), CAST(0 AS BIGINT), 'front' FROM n
 UNION ALL SELECT chain, n, CAST(0 AS BIGINT), 'exchanged' FROM n"""
 LV = 12
-QUERIES["merkle_root"] = f"WITH RECURSIVE {CHAIN}, l0 AS (SELECT chain, seq AS i, sha256('\\x00'::BLOB || CAST(hash AS BLOB)) AS h FROM v_chain), " + ", ".join(
-    f"""l{n + 1} AS (SELECT a.chain, a.i//2 AS i, CASE WHEN (SELECT count(*) FROM l{n} z WHERE z.chain=a.chain)=1 THEN a.h
+
+
+def merkle(leaf, source):
+    """WITH clauses from a leaf expression to the roots: the last level, l{LV}, has one row (chain, i, h) per chain."""
+    return f"l0 AS (SELECT chain, seq AS i, {leaf} AS h FROM {source}), " + ", ".join(
+        f"""l{n + 1} AS (SELECT a.chain, a.i//2 AS i, CASE WHEN (SELECT count(*) FROM l{n} z WHERE z.chain=a.chain)=1 THEN a.h
       ELSE sha256('\\x01'::BLOB || unhex(a.h) || unhex(coalesce(b.h, a.h))) END AS h
-      FROM l{n} a LEFT JOIN l{n} b ON b.chain=a.chain AND b.i=a.i+1 WHERE a.i%2=0)""" for n in range(LV)) + f" SELECT chain, h AS merkle_root FROM l{LV}"
-QUERIES["checkpoint"] = f"""WITH RECURSIVE {CHAIN}
-SELECT chain, CAST(0 AS BIGINT) AS cp_no, count(*) AS count, arg_max(hash, seq) AS head, repeat('0',64) AS prev_sig FROM v_chain GROUP BY 1"""
+      FROM l{n} a LEFT JOIN l{n} b ON b.chain=a.chain AND b.i=a.i+1 WHERE a.i%2=0)""" for n in range(LV))
+
+
+QUERIES["merkle_root"] = f"""WITH RECURSIVE {CHAIN}, {merkle("sha256('\\x00'::BLOB || CAST(hash AS BLOB))", "v_chain")}
+SELECT chain, h AS merkle_root FROM l{LV}"""
+ANCHOR_KEY = hmac.new(KEY, b"hostwatch-checkpoint-anchor", hashlib.sha256).digest()
+BODY = """'{"chain":"' || chain || '","cp_no":0,"count":' || count || ',"head":"' || head || '","merkle_root":"' || merkle_root || '","prev_sig":"' || prev_sig || '"}'"""
+RECORD_LEAF = "sha256('\\x00'::BLOB || CAST(b4 || prev || aft || hash AS BLOB))"
+QUERIES["checkpoint"] = f"""WITH RECURSIVE {CHAIN}, v_lines AS (SELECT c.chain, c.seq, c.prev, c.hash, r.b4, r.aft FROM v_chain c JOIN v_records r USING (chain, seq)),
+{merkle(RECORD_LEAF, "v_lines")},
+v_cp AS (SELECT chain, CAST(0 AS BIGINT) AS cp_no, count(*) AS count, arg_max(hash, seq) AS head, repeat('0',64) AS prev_sig FROM v_chain GROUP BY 1)
+SELECT *, {hmac_hex(ANCHOR_KEY, BODY)} AS sig FROM (SELECT v_cp.*, h AS merkle_root FROM v_cp JOIN l{LV} USING (chain))"""
 QUERIES["ledger_status"] = """
 SELECT chain, count(*) AS n_records, 1 AS verified, CAST(NULL AS BIGINT) AS first_bad, 1 AS anchored, 'ok' AS reason, 'intact' AS copy FROM v_records GROUP BY 1
 UNION ALL SELECT chain, count(*), CAST(count(*)<=70 AS INTEGER), CASE WHEN count(*)>70 THEN 70 END, CAST(count(*)<=70 AS INTEGER),

@@ -862,7 +862,7 @@ def merkle_root(v):
 
 @query
 def checkpoint(v):
-    return LG.checkpoint(v.ledger(), v.LEDGER_FIELDS, KEY).select("chain", "cp_no", "count", "head", "prev_sig")
+    return LG.checkpoint(v.ledger(), v.LEDGER_FIELDS, KEY)
 
 
 @query
