@@ -776,6 +776,8 @@ SELECT DISTINCT date AS day, victim AS host FROM v_timeline WHERE (date, victim)
 QUERIES["feature_store"] = """
 SELECT day, internal AS capture_id, count(*) AS n, CAST(sum(sent_bytes) AS BIGINT) AS sent_bytes FROM v_windows
 GROUP BY 1,2"""
+QUERIES["missing_captures"] = """
+SELECT DISTINCT day, internal AS capture_id FROM v_windows WHERE day = (SELECT max(day) FROM v_windows)"""
 QUERIES["score_store"] = """
 SELECT model, split, count(*) AS n, round(sum(score),6)+0.0 AS score_sum FROM v_long GROUP BY 1,2"""
 FLOWS_PER = f"""(SELECT a.host, a.window_start, least(count(f.start_us),5) AS nf FROM v_alerts a LEFT JOIN v_pflows f

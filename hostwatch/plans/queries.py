@@ -728,6 +728,17 @@ def feature_store(v):
         F.count(F.lit(1)).alias("n"), F.sum("sent_bytes").alias("sent_bytes"))
 
 
+@query
+def missing_captures(v):
+    """A resumed run: captures of the last day have no features yet."""
+    path = table_path(v.spark, f"{v.version}/resumed_store")
+    wins = v.windows().withColumn("capture_id", F.col("internal"))
+    last = wins.agg(F.max("day")).scalar()
+    ST.write_features(wins.filter(F.col("day") < last), path)
+    return ST.missing_captures(wins.select("day", "capture_id").distinct(), v.spark, path).select(
+        "day", F.col("capture_id").cast("int").alias("capture_id"))
+
+
 @query
 def score_store(v):
     path = table_path(v.spark, f"{v.version}/score_store")
