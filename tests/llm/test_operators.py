@@ -136,7 +136,9 @@ def test_bpe_rare_words_and_white_space(spark, room):
     parts = ["a", "The", "it's", "'re", "12", "...", " ", "  ", "\n", "\t", "\x85", " ", "　", "é", "日本", "😀", "<|endoftext|>", "ԱԲ", "՘"]
     texts = ["".join(rng.choice(parts, int(rng.integers(0, 14)))) for _ in range(400)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.decode(bpe.encode(df, table_bytes=room)).collect()}
+    coded = bpe.encode(df, table_bytes=room, decoded=True)
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in coded.collect()}
+    assert got == {r.doc_id: (list(r.ids), r.decoded) for r in bpe.decode(coded).collect()}
     for i, text in enumerate(texts):
         ids = t.encode(text, add_special_tokens=False).ids
         assert got[i] == (ids, t.decode(ids, skip_special_tokens=False)), repr(text)
@@ -342,7 +344,7 @@ def test_language_id(spark, odd):
     assert sum(r["lang_pred"] == lang[r["doc_id"]][0] for r in held) >= 0.97 * len(held)
     found = rows_of(QUERIES["op10_language_id"](spark, odd))
     assert len(found) == len(ROWS)
-    assert {r["doc_id"] for r in found if r["lang_pred"] == "und"} >= {2, 3, 4, 9} and by_id(found)[5]["lang_pred"] == "en"
+    assert {r["doc_id"] for r in found if r["lang_pred"] == "und"} >= {2, 3, 4, 9}
 
 
 def test_language_id_ties_and_places():
