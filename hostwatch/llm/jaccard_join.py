@@ -173,9 +173,12 @@ def post_prefixes(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray) -> Da
 
 
 def may_link(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sets of n <= m shingles sharing the ones at positions i and j can link."""
+    """Whether sets of n <= m shingles can link if the ones at positions i and j are the first that they share.
+
+    Then all shared ones lie from there on. A pair that links passes at its first shared shingle, whatever it does at others.
+    """
     least = -(-4 * (n + m) // 9)
-    return (5 * n >= 4 * m) & (i < n - (8 * n + 8) // 9 + 1) & (np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1 >= least)
+    return (5 * n >= 4 * m) & (np.minimum(n - i, m - j) >= least)
 
 
 def walk_lists(postings: DataFrame) -> DataFrame:
@@ -255,9 +258,12 @@ def linked(shared, n, m):
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of every set of a long list with the list's leaders."""
+    """Pairs of every set of a long list with the list's leaders.
+
+    The shingle stands early in sets with few rare ones, which are nearest to what the list's sets have in common.
+    """
     ranks = [F.xxhash64("set_id", F.lit(r)) for r in range(LEADERS)]
-    leaders = lists.groupBy("token").agg(*[F.min(F.struct(h.alias("h"), "set_id", "n")).alias(f"l{r}") for r, h in enumerate(ranks)])
+    leaders = lists.groupBy("token").agg(*[F.min(F.struct("pos", h.alias("h"), "set_id", "n")).alias(f"l{r}") for r, h in enumerate(ranks)])
     leaders = common.small(leaders.select("token", F.array_distinct(F.array(*[F.struct(
         F.col(f"l{r}.set_id").alias("id"), F.col(f"l{r}.n").alias("n")) for r in range(LEADERS)])).alias("leaders")))
     pairs = lists.join(leaders, "token").select("set_id", "n", F.explode("leaders").alias("leader"))
@@ -276,11 +282,9 @@ def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
     lists = common.staged(lists.join(mixed, "token"), "mixed-lists")
     few = common.small(lists.filter("label != most").select("token", *[F.col(c).alias(f"{c}_") for c in ("set_id", "n", "pos", "label")]))
     both = lists.join(few, "token").filter("label != label_ AND set_id != set_id_ AND (label = most OR set_id < set_id_)")
-    first = (F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("set_id") < F.col("set_id_")))
     n, m = F.least("n", "n_"), F.greatest("n", "n_")
-    i, j = F.when(first, F.col("pos")).otherwise(F.col("pos_")), F.when(first, F.col("pos_")).otherwise(F.col("pos"))
-    keep = ((5 * n >= 4 * m) & (i < n - common.div(8 * n + 8, 9) + 1)
-            & (9 * (F.least(i, j) + F.least(n - i, m - j)) >= 4 * (n + m)))
+    left = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_"))
+    keep = (5 * n >= 4 * m) & (9 * left >= 4 * (n + m))
     return both.filter(keep).select(F.col("set_id_").alias("x"), F.col("n_").alias("x_n"), F.col("set_id").alias("y"),
                                     F.col("n").alias("y_n")).distinct()
 
@@ -341,6 +345,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ``label`` tells components apart (null: empty set), ``hash`` is that of the text.
     """
+    common.bounded_batches(docs.sparkSession)
     scanned = scan_sets(docs)
     rows = scanned.filter(F.col("token").isNull()).select("doc_id", "n", "set_id", "hash")
     labels = link_classes(docs, scanned)
