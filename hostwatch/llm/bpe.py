@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words by the split pattern of byte-level BPE, in Spark. The distinct words of the whole corpus,
+Texts are split into words by the split pattern of byte-level BPE, in tasks. The distinct words of the whole corpus,
 with their counts, form a table; each word is encoded once there. A document's ids are the ids of its words in their
 positions. Decoding joins ids to the byte pieces of the vocabulary (a fixed, small table) and concatenates them.
 
@@ -8,8 +8,10 @@ Word table by size: the most frequent words whose table stays within ``table_byt
 lookup per distinct word of a batch replaces a shuffle of every word of the corpus. The other words are rare; their
 occurrences are joined to the table by word with a shuffle and put back by position. Both ways give the same ids.
 
-The split runs in Spark where all characters of a text lie in ranges on which the pattern is known to agree with the
-tokenizers library, and in the library's own splitter for other texts and for those that hold a special token.
+Splitting: a blank between two characters that are no white space always begins a word and no word goes past it, so
+such texts are cut at blanks and each distinct part is split once in a task. Texts with other white space beside a
+blank are split whole. Texts that hold a special token, or characters outside ranges on which the pattern is known to
+agree with the tokenizers library, are split by the library itself.
 
 Null text is empty: no ids, decoded as an empty text. Very long texts are one row like any other. Columns of the
 names ``ids`` and ``decoded`` give way.
@@ -22,17 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: White space and the ranges of characters split in Spark.
-SPACE = r"\t\n\x0B\f\r \x85\xA0  "
-PLAIN = r"\x00-՗‐-‮‰-⁞ぁ-ゖァ-ヺ一-鿯가-힣"
-SPLIT = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
-         rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: The split pattern of byte-level BPE, and the characters on which two implementations of it agree.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ODD = r"[^\x00-\u0557\u2010-\u202E\u2030-\u205E\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]"
+FLUSH = 80_000
+ROWS = 256
 TABLE_BYTES = 192 << 20
 
 
@@ -74,34 +75,74 @@ def split_by_library(tokenizer, special: list[str], text: str) -> list[str]:
     return words
 
 
-def with_words(docs: DataFrame, path: str, special: list[str]) -> DataFrame:
-    """``docs`` (columns but text kept as they are) with ``words`` in place of text."""
-    text = common.text_of()
-    plain = ~text.rlike(f"[^{PLAIN}]")
-    for token in special:
-        plain = plain & ~text.contains(token)
-    others = [c for c in docs.columns if c != "text"]
-    docs = docs.select(*others, text.alias("text"), plain.alias("plain_"))
-    here = docs.filter("plain_").select(*others, F.regexp_extract_all("text", F.lit(SPLIT), F.lit(0)).alias("words"))
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+class Numbering(dict):
+    """Numbers parts of texts as they come, in one list for several dictionaries."""
+
+    def __init__(self, parts: list[str], before: str):
+        super().__init__()
+        self.parts, self.before = parts, before
+
+    def __missing__(self, part: str) -> int:
+        self[part] = number = len(self.parts)
+        self.parts.append(self.before + part)
+        return number
+
+
+class Splitter:
+    """Cuts texts into numbered parts, and parts into words; each distinct part is split once."""
+
+    def __init__(self, path: str, special: list[str]):
+        import regex
+        self.path, self.special, self.tokenizer = path, special, None
+        self.pattern, self.odd, self.wide = regex.compile(SPLIT), regex.compile(ODD), regex.compile(r" \s|\s ")
+        self.parts: list[str] = []
+        self.after_blank, self.exact, self.whole = Numbering(self.parts, " "), Numbering(self.parts, ""), set()
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.int64)
+        if self.odd.search(text) or any(t in text for t in self.special):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+                self.tokenizer = Tokenizer.from_file(self.path)
+            words = split_by_library(self.tokenizer, self.special, text)
+            self.whole.update(words)
+        elif self.wide.search(text):
+            words = self.pattern.findall(text)
+        else:
+            first, *rest = text.split(" ")
+            out = np.fromiter(map(self.after_blank.__getitem__, rest), np.int64, len(rest))
+            return np.insert(out, 0, self.exact[first]) if first else out
+        return np.fromiter(map(self.exact.__getitem__, words), np.int64, len(words))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-        tokenizer = None
-        for batch in batches:
-            if batch.num_rows:
-                tokenizer = tokenizer or Tokenizer.from_file(path)
-                words = [split_by_library(tokenizer, special, t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(words, pa.list_(pa.string()))],
-                                                 [*others, "words"])
+    def words(self, low: int) -> Iterator[list[str]]:
+        """Words of each part from number ``low`` on."""
+        for k in range(low, len(self.parts)):
+            yield [self.parts[k]] if self.parts[k] in self.whole else self.pattern.findall(self.parts[k])
 
-    there = docs.filter(~F.col("plain_")).select(*others, "text").mapInArrow(split, f"{fields}words array<string>")
-    return here.unionByName(there)
 
+def word_table(docs: DataFrame, path: str, special: dict[str, int]) -> DataFrame:
+    """word, n, ids: every distinct word of all texts, encoded once."""
 
-def word_table(words: DataFrame, path: str, special: dict[str, int]) -> DataFrame:
-    """word, n, ids: every distinct word, encoded once."""
-    counts = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, totals = Splitter(path, list(special)), np.zeros(0, np.int64)
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS):
+                found = np.concatenate([splitter.numbers(t) for t in batch.column("text").slice(low, ROWS).to_pylist()])
+                own = np.bincount(found, minlength=len(splitter.parts))
+                own[:len(totals)] += totals
+                totals = own
+                if len(splitter.parts) > FLUSH:
+                    yield counted(splitter, totals)
+                    splitter, totals = Splitter(path, list(special)), np.zeros(0, np.int64)
+        yield counted(splitter, totals)
+
+    def counted(splitter: Splitter, totals: np.ndarray) -> pa.RecordBatch:
+        n: dict[str, int] = {}
+        for words, times in zip(splitter.words(0), totals.tolist()):
+            for word in words:
+                n[word] = n.get(word, 0) + times
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -114,15 +155,20 @@ def word_table(words: DataFrame, path: str, special: dict[str, int]) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))],
                                              ["word", "n", "ids"])
 
-    return common.staged(counts.mapInArrow(encode, "word string, n long, ids array<int>"), "words")
+    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    coded = common.staged(counts.mapInArrow(encode, "word string, n long, ids array<int>"), "words")
+    return coded.withColumn("key", F.xxhash64("word"))
 
 
 def frequent_words(table: DataFrame, table_bytes: int) -> tuple[DataFrame, bool]:
-    """The most frequent words within ``table_bytes``, and whether these are all."""
-    cost = F.octet_length("word") + 8 + 4 * F.size("ids")
-    whole = table.agg(F.sum(cost)).first()[0] or 0
-    if whole <= table_bytes:
-        return table, True
+    """The most frequent words within ``table_bytes``, and whether these are all. Words that share a key are left out."""
+    cost = 12 + 4 * F.size("ids")
+    whole, words, keys = table.agg(F.sum(cost), F.count(F.lit(1)), F.count_distinct("key")).first()
+    if words > keys:
+        shared = table.groupBy("key").count().filter("count > 1")
+        table = table.join(F.broadcast(shared) if words - keys < 1000 else shared, "key", "left_anti")
+    if (whole or 0) <= table_bytes:
+        return table, words == keys
     # counts by powers of 1.25: about a hundred rows
     step = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
     by_count = table.groupBy(step.alias("step")).agg(F.sum(cost).alias("bytes")).collect()
@@ -146,52 +192,45 @@ def offsets_of(lists: pa.Array) -> np.ndarray:
     return lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
 
 
-def encode(docs: DataFrame, path: str | None = None, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """``docs`` without text, with ``ids``."""
+def encode(docs: DataFrame, path: str | None = None, table_bytes: int = TABLE_BYTES, decoded: bool = False) -> DataFrame:
+    """``docs`` without text, with ``ids``; with ``decoded`` also the text that they decode to.
+
+    Decoding in the same tasks spares a second Python worker for each; rows with rare words are decoded afterwards.
+    """
+    common.bounded_batches(docs.sparkSession)
     path = path or tokenizer_path()
-    special = Vocabulary(path).special
-    others = [c for c in docs.columns if c not in ("text", "ids")]
-    words = with_words(docs.select(*others, "text"), path, list(special))
-    table = word_table(with_words(docs.select("text"), path, list(special)), path, special)
+    vocabulary = Vocabulary(path)
+    special, others = vocabulary.special, [c for c in docs.columns if c not in ("text", "ids", *(["decoded"] if decoded else []))]
+    table = word_table(docs, path, special)
     frequent, complete = frequent_words(table, table_bytes)
-    sent = docs.sparkSession.sparkContext.broadcast(ipc_bytes(frequent.select("word", "ids").toArrow()))
+    sent = docs.sparkSession.sparkContext.broadcast(lookup_arrays(frequent))
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
-        names = only_chunk(known.column("word"), pa.string())
-        lists = only_chunk(known.column("ids"), pa.list_(pa.int32()))
-        flat, at = lists.flatten().to_numpy(), offsets_of(lists)
+        keys, length, flat = sent.value
+        at = np.concatenate(([0], np.cumsum(length, dtype=np.int32)))
+        parts, pieces = None, Pieces(vocabulary.pieces) if decoded and complete else None
         for batch in batches:
-            column = batch.column("words")
-            coded = column.flatten().dictionary_encode()
-            found = pc.index_in(coded.dictionary, value_set=names)
-            missing = np.asarray(pc.is_null(found))
-            place = pc.fill_null(found, 0).to_numpy().astype(np.int64)
-            own = coded.indices.to_numpy()
-            start = np.where(missing, 0, at[:-1][place] if len(names) else 0)
-            length = np.where(missing, 1, np.diff(at)[place] if len(names) else 1)
-            ids = flat[spans(start[own], length[own])] if len(names) else np.zeros(len(own), np.int32)
-            ends = np.concatenate(([0], np.cumsum(length[own])))
-            borders = offsets_of(column)
-            if missing.any():
-                # a word that is not here takes one place, numbered down from -1 within its row
-                lost = missing[own]
-                before = np.concatenate(([0], np.cumsum(lost)))
-                row = np.repeat(np.arange(len(column)), np.diff(borders))
-                ids = ids.copy()
-                ids[ends[:-1][lost]] = -(before[1:][lost] - before[borders[:-1]][row[lost]])
-                rare = pa.ListArray.from_arrays(pa.array(before[borders], pa.int32()), column.flatten().filter(pa.array(lost)))
-            else:
-                rare = pa.ListArray.from_arrays(pa.array(np.zeros(len(column) + 1), pa.int32()), pa.array([], pa.string()))
-            out = pa.ListArray.from_arrays(pa.array(ends[borders], pa.int32()), pa.array(ids, pa.int32()))
-            extra = [] if complete else [rare]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], out, *extra],
-                                             [*others, "ids", *["rare_" for _ in extra]])
-
-    schema = f"{fields}ids array<int>" + ("" if complete else ", rare_ array<string>")
-    out = words.mapInArrow(look_up, schema)
-    return out if complete else put_back(out, table)
+            for low in range(0, batch.num_rows, ROWS):
+                if parts is None or len(parts.splitter.parts) > FLUSH:
+                    parts = PartIds(Splitter(path, list(special)), keys, at, flat)
+                own = batch.slice(low, ROWS)
+                found = [parts.splitter.numbers(t) for t in own.column("text").to_pylist()]
+                parts.grow()
+                ids, rare = zip(*(parts.of(x) for x in found))
+                arrays = [*[own.column(c) for c in others], pa.array(ids, pa.list_(pa.int32()))]
+                if pieces:
+                    arrays.append(pa.array(map(pieces.text, ids), pa.string()))
+                elif not complete:
+                    arrays.append(pa.array(rare, pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    extra = {"decoded": "string"} if decoded and complete else {} if complete else {"rare_": "array<string>"}
+    names = [*others, "ids", *extra]
+    out = docs.select(*others, "text").mapInArrow(look_up, f"{fields}ids array<int>" + "".join(f", {k} {v}" for k, v in extra.items()))
+    if complete:
+        return out
+    return decode(put_back(out, table), path) if decoded else put_back(out, table)
 
 
 def put_back(partial: DataFrame, table: DataFrame) -> DataFrame:
@@ -204,35 +243,94 @@ def put_back(partial: DataFrame, table: DataFrame) -> DataFrame:
     return out.withColumn("ids", F.when(F.col("found_").isNull(), F.col("ids")).otherwise(ids)).drop("key_", "rare_", "found_")
 
 
-def only_chunk(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
-    return column.chunk(0) if column.num_chunks else pa.array([], kind)
-
-
-def ipc_bytes(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    table = table.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+def lookup_arrays(frequent: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted word hashes, the number of ids of each, and all ids."""
+    found = frequent.select("key", "ids").toArrow().combine_chunks()
+    if not found.num_rows:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+    keys, lists = found.column("key").chunk(0).to_numpy(), found.column("ids").chunk(0)
+    order = np.argsort(keys)
+    at, flat = offsets_of(lists), lists.flatten().to_numpy()
+    length = np.diff(at)[order]
+    ids = flat[spans(at[:-1][order], length)]
+    return keys[order], length.astype(np.int32), ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32)
+
+
+def word_key(word: str) -> int:
+    """The key that the word table has from Spark's xxhash64."""
+    import xxhash
+    value = xxhash.xxh64_intdigest(word.encode("utf-8"), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+class PartIds:
+    """Ids of all numbered parts, looked up once for each part; words without a key are named by negative numbers."""
+
+    def __init__(self, splitter: Splitter, keys: np.ndarray, at: np.ndarray, flat: np.ndarray):
+        self.splitter, self.keys, self.at, self.flat = splitter, keys, at, flat
+        self.lost: list[str] = []
+        self.ids, self.start = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def grow(self) -> None:
+        sizes, words = [], []
+        for own in self.splitter.words(len(self.start) - 1):
+            sizes.append(len(own))
+            words.extend(own)
+        if not sizes:
+            return
+        own = np.fromiter(map(word_key, words), np.int64, len(words))
+        place = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
+        missing = self.keys[place] != own if len(self.keys) else np.ones(len(own), bool)
+        place[missing] = 0
+        begin = np.where(missing, 0, self.at[place])
+        length = np.where(missing, 1, self.at[place + 1] - self.at[place]) if len(self.keys) else np.ones(len(own), np.int64)
+        ends = np.cumsum(length)
+        more = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        known = np.repeat(~missing, length)
+        more[known] = self.flat[spans(begin[~missing], length[~missing])]
+        more[~known] = -np.arange(len(self.lost) + 1, len(self.lost) + 1 + int(missing.sum()))
+        self.lost.extend(w for w, gone in zip(words, missing) if gone)
+        count = np.cumsum(sizes)
+        self.start = np.concatenate((self.start, self.start[-1] + np.concatenate(([0], ends))[count]))
+        self.ids = np.concatenate((self.ids, more))
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """Ids of a text; its missing words in order, each numbered down from -1 in the ids."""
+        ids = self.ids[spans(self.start[numbers], self.start[numbers + 1] - self.start[numbers])]
+        gone = ids < 0
+        if not self.lost or not gone.any():
+            return ids, []
+        rare = [self.lost[-i - 1] for i in ids[gone].tolist()]
+        ids[gone] = -np.arange(1, len(rare) + 1)
+        return ids, rare
+
+
+class Pieces:
+    """The byte pieces of all ids, in one array: ids are joined to their pieces by place."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.length = np.array([len(p) for p in pieces], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def text(self, ids: np.ndarray) -> str:
+        return self.data[spans(self.start[ids], self.length[ids])].tobytes().decode("utf-8", "replace")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     """``coded`` with ``decoded``: the pieces of its ids, joined by id and concatenated."""
+    common.bounded_batches(coded.sparkSession)
     pieces = Vocabulary(path or tokenizer_path()).pieces
     others = [c for c in coded.columns if c != "decoded"]
     fields = "".join(f"`{c}` {coded.schema[c].dataType.simpleString()}, " for c in others)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        length = np.array([len(p) for p in pieces], np.int64)
-        start = np.cumsum(length) - length
+        table = Pieces(pieces)
         for batch in batches:
             column = batch.column("ids")
-            ids = column.flatten().to_numpy()
-            raw = data[spans(start[ids], length[ids])].tobytes()
-            ends = np.concatenate(([0], np.cumsum(length[ids])))[offsets_of(column)]
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(texts, pa.string())], [*others, "decoded"])
+            ids, at = column.flatten().to_numpy(), offsets_of(column)
+            texts = pa.array((table.text(ids[a:b]) for a, b in zip(at[:-1], at[1:])), pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], texts], [*others, "decoded"])
 
     return coded.mapInArrow(joined, f"{fields}decoded string")
 
@@ -241,7 +339,7 @@ def digests(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
     """``docs`` without text, with n_tokens, ids_sha256 and decoded_sha256 (and ids)."""
     added = ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
     names = [c for c in docs.columns if c != "text" and c not in added]
-    out = decode(encode(docs.select(*names, "text")))
+    out = encode(docs.select(*names, "text"), decoded=True)
     return out.select(*names, F.size("ids").cast("long").alias("n_tokens"), *(["ids"] if keep_ids else []),
                       F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "utf-8"), 256).alias("ids_sha256"),
                       F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
