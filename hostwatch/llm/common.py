@@ -14,6 +14,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Most bytes in a batch that Spark hands to a Python worker; long documents would else fill one of 64 MB several times over.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch, unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = "".join(c for c in spark.conf.get(key) if c.isdigit())
+    if int(now or 0) > BATCH_BYTES or not int(now or 0):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
