@@ -280,6 +280,18 @@ def test_lm_base_score_of_rare_words(spark, docs):
     assert scored(rows_of(out)) == collections.Counter(base_scores(docs[:60]))
 
 
+def test_lm_training_windows_hold_every_subword(spark, docs):
+    df = spark.createDataFrame([*docs[:20], (1000, LONG), (1001, None), (1002, "")], "doc_id long, text string")
+    got = lm_scoring.count_corpus(df, bpe.tokenizer_path()).collect()
+    windows = [r.ids for r in got if r.kind == "window"]
+    assert max(map(len, windows)) == lm_scoring.WINDOW + 1 and min(map(len, windows)) == 2
+    pieces = collections.Counter()
+    for r in got:
+        if r.kind == "piece":
+            pieces[r.key] += r.n
+    assert collections.Counter(i for w in windows for i in w[1:]) == pieces
+
+
 def test_lm_gradients_and_window_plan():
     begins = np.zeros(50257, bool)
     begins[:20] = True
