@@ -280,6 +280,14 @@ def test_lm_base_score_of_rare_words(spark, docs):
     assert scored(rows_of(out)) == collections.Counter(base_scores(docs[:60]))
 
 
+def test_lm_score_of_rare_words(spark, docs):
+    df = spark.createDataFrame([*docs[:60], (2000, None), (2001, "unseen unseen word")], "doc_id long, text string")
+    want, got = (by_id(rows_of(lm_scoring.score_documents(df, language_id.held_out(7), table_words=n))) for n in (lm_scoring.TABLE_WORDS, 100))
+    assert got.keys() == want.keys()
+    for d in want:
+        assert got[d]["score"] == pytest.approx(want[d]["score"], rel=1e-6), d
+
+
 def test_lm_training_windows_hold_every_subword(spark, docs):
     df = spark.createDataFrame([*docs[:20], (1000, LONG), (1001, None), (1002, "")], "doc_id long, text string")
     got = lm_scoring.count_corpus(df, bpe.tokenizer_path()).collect()
