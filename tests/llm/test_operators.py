@@ -300,6 +300,19 @@ def test_lm_training_windows_hold_every_subword(spark, docs):
     assert collections.Counter(i for w in windows for i in w[1:]) == pieces
 
 
+def test_lm_round_is_one_pass(spark, docs):
+    df = spark.createDataFrame(docs[:20], "doc_id long, text string")
+    path = bpe.tokenizer_path()
+    got = lm_scoring.count_corpus(df, path).cache()
+    counts = {r.key: r.n for r in got.filter("kind = 'piece'").groupBy("key").sum("n").toDF("key", "n").collect()}
+    layout = lm_scoring.Layout(counts, lm_scoring.word_beginnings(path), lm_scoring.end_id(path))
+    windows = got.filter("kind = 'window'").select("ids", "key")
+    own = lm_scoring.padded(windows.orderBy("key", "ids").toArrow().column("ids").combine_chunks(), layout)
+    want = lm_scoring.train(lm_scoring.as_floats(lm_scoring.new_weights(layout)), layout, own, lm_scoring.RATE)
+    fitted = lm_scoring.fit(windows, layout, 1)
+    assert all(np.allclose(fitted[k], want[k], atol=1e-4) for k in want)
+
+
 def test_lm_gradients_and_window_plan():
     begins = np.zeros(50257, bool)
     begins[:20] = True
