@@ -947,6 +947,17 @@ QUERIES["alerts_stream"] = f"""
 SELECT 'run' AS chain, count(*) AS n_records, CAST(NULL AS BIGINT) AS first_bad FROM v_sent_feat, {WM}
 WHERE window_id*{SU}+{WU}<=wm AND sent_pkts>1"""
 
+# -- closed streams: all batch rows, none dropped --------------------------------------------
+QUERIES["window_features_stream_closed"] = f"""
+SELECT src_ip, window_id, {feat_list(["ttl_mean", "ttl_var", "tcp_win_mean", "tcp_win_var", "frag_flag_count", "sent_pkts", "sent_bytes",
+  "syn", "ack", "fin", "rst", "psh", "urg", "sequential_port_ratio"])}, CAST(0 AS BIGINT) AS n_dropped_late
+FROM v_pkt_feat JOIN v_sent_feat USING (src_ip, window_id)"""
+QUERIES["port_spread_stream_closed"] = f"""
+SELECT src_ip, window_id, {feat_list(["distinct_dst_ports", "port_entropy"])}, CAST(0 AS BIGINT) AS n_dropped_late FROM v_pkt_feat"""
+QUERIES["assemble_flows_stream_closed"] = """
+SELECT start_us, src_ip, dst_ip, src_port, dst_port, protocol, duration, fwd_bytes, bwd_bytes, fwd_pkts, bwd_pkts, syn, ack, fin, rst, psh, urg,
+  round(iat_mean,6)+0.0 AS iat_mean, CAST(0 AS BIGINT) AS n_dropped_late FROM v_pflows"""
+
 # -- intervals of four-windows-ahead targets -----------------------------------------------
 CTES["v_h4"] = """
 SELECT 'a' AS model, a.split, a.host, a.window_id, a.window_start, b.y, a.score_a AS score

@@ -1026,6 +1026,32 @@ def assemble_flows_stream(v):
         live.conversations(), "1 hour", SETTINGS.flow_timeout_seconds))
 
 
+def _run_closed(v, name, make, packets, span_us):
+    """The stream with its tail; rows dropped as late stand beside every row."""
+    path = table_path(v.spark, f"{v.version}/stream/{name}/{uuid.uuid4().hex}")
+    dropped = SJ.write_closed_stream(make, packets, path, 3_600_000_000, span_us)
+    return v.spark.read.parquet(f"{path}/out").withColumn("n_dropped_late", F.lit(dropped).cast("long"))
+
+
+@query
+def window_features_stream_closed(v):
+    return _run_closed(v, "packets_closed", lambda p: SJ.packet_window_stream(p, GRID, "1 hour"), _stream_packets(v), GRID.window_us)
+
+
+@query
+def port_spread_stream_closed(v):
+    return _run_closed(v, "ports_closed", lambda p: SJ.port_window_stream(p, GRID, "1 hour"), _stream_packets(v), GRID.window_us)
+
+
+@query
+def assemble_flows_stream_closed(v):
+    live = Views(v.spark, v.sf_dir)
+    packets = _stream_packets(v)
+    live.packets = lambda: packets
+    return _run_closed(v, "flows_closed", lambda p: SJ.assemble_flows_stream(p, "1 hour", SETTINGS.flow_timeout_seconds),
+                       live.conversations(), SETTINGS.flow_timeout_seconds * 1_000_000)
+
+
 @query
 def alerts_stream(v):
     """Busy windows of the window stream as alerts, chained per micro-batch."""
