@@ -99,7 +99,7 @@ def _randomise_header(packets: DataFrame, field: str, low: int, high: int, seed=
 
 
 # Variant names, their steps in order, default ranges.
-TRANSFORMS = {
+_STEPS = {
     "port_random": _permute_ports,
     "pad_payload": lambda d: _rechunk_payload(d, 3),
     "ttl_random": lambda d: _randomise_header(d, "ttl", 32, 65),
@@ -107,6 +107,15 @@ TRANSFORMS = {
     "pace_5x": lambda d: _pace(d, 5.0),
     "pace_15x": lambda d: _pace(d, 15.0),
 }
+#: Public registry: each transform takes (packets, attackers); other packets come back as they were.
+TRANSFORMS = {
+    "port_random": permute_ports,
+    "pad_payload": lambda packets, attackers: rechunk_payload(packets, attackers, 3),
+    "ttl_random": lambda packets, attackers: randomise_header(packets, attackers, "ttl", 32, 65),
+    "win_random": lambda packets, attackers: randomise_header(packets, attackers, "tcp_win", 8192, 65536),
+    "pace_5x": lambda packets, attackers: pace(packets, attackers, 5.0),
+    "pace_15x": lambda packets, attackers: pace(packets, attackers, 15.0),
+}
 VARIANTS = {
     "baseline": (),
     "port_random": ("port_random",),
@@ -126,7 +135,7 @@ def apply_variant(packets: DataFrame, attackers: DataFrame, variant: str) -> Dat
 def _apply_variant(packets: DataFrame, variant: str) -> DataFrame:
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant!r}; have {sorted(VARIANTS)}")
-    return reduce(lambda d, step: TRANSFORMS[step](d), VARIANTS[variant], packets)
+    return reduce(lambda d, step: _STEPS[step](d), VARIANTS[variant], packets)
 
 
 def evasion_table(packets: DataFrame, attackers: DataFrame, settings: Settings, variants=tuple(VARIANTS),
