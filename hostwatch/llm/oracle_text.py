@@ -73,4 +73,29 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(masked) AS loss_ch
     CAST(formatted_chars AS BIGINT) AS formatted_chars, CAST(expanded_tokens AS BIGINT) AS expanded_tokens FROM g
 """
 
-SQL = {"op4_chat_format": OP4, "op6_mixing": OP6, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, doc_id, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) | (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+    | (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 4 ELSE 0 END)
+    | (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    | (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS m FROM d),
+c AS (SELECT part, m, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN lab USING (doc_id) GROUP BY ALL),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, b)),
+o AS (SELECT p.l || q.l || r.l || s.l || u.l AS filter_order, [p.b, q.b, r.b, s.b, u.b] AS b FROM x p, x q, x r, x s, x u
+    WHERE p.b | q.b | r.b | s.b | u.b = 31),
+st AS (SELECT filter_order, step, b[step] AS own, list_sum(list_slice(b, 1, step)) - b[step] AS earlier FROM o, unnest([1, 2, 3, 4, 5]) k(step)),
+r AS (SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER ((m & (own | earlier)) = 0), 0) AS kept, coalesce(sum(n) FILTER ((m & earlier) = 0 AND (m & own) > 0), 0) AS removed,
+    coalesce(sum(n) FILTER ((m & earlier) > 0 AND (m & own) > 0), 0) AS redundant, coalesce(sum(n) FILTER (m = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER ((m & earlier) = 0 AND (m & own) > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER ((m & earlier) = 0 AND (m & own) > 0), 0) AS toxic_lost
+    FROM c, (SELECT filter_order, step, own, earlier::BIGINT AS earlier FROM st) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+SQL = {"op4_chat_format": OP4, "op6_mixing": OP6, "op7_line_dedup": OP7, "op9_exact_dedup": OP9, "op12_filter_audit": OP12}
