@@ -13,8 +13,9 @@ from .line_dedup import op7_line_dedup
 from .lm_scoring import op8_lm_scoring
 from .mixing import op6_mixing
 from .sharding import op2_sharding
+from .token_alignment import op11_token_alignment
 from .toxicity import op13_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_sharding, op3_bpe, op4_chat_format, op5_jaccard_join, op6_mixing, op7_line_dedup, op8_lm_scoring,
-    op9_exact_dedup, op10_language_id, op12_filter_audit, op13_toxicity)}
+    op9_exact_dedup, op10_language_id, op11_token_alignment, op12_filter_audit, op13_toxicity)}
