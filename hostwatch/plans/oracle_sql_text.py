@@ -932,31 +932,19 @@ QUERIES["class_weights"] = """
 SELECT split, n, round(n/(2.0::DOUBLE*p),6)+0.0 AS w_attack, round(n/(2.0::DOUBLE*(n-p)),6)+0.0 AS w_benign, round((n-p)/CAST(p AS DOUBLE),6)+0.0 AS pos_weight
 FROM (SELECT split, count(*) AS n, sum(y) AS p FROM v_scored GROUP BY 1)"""
 
-# -- streams: the batch rows whose window the watermark has passed -------------------------
-WM = "(SELECT max(ts_us) - 3600000000 AS wm FROM v_packets)"
-QUERIES["window_features_stream"] = f"""
-SELECT src_ip, window_id, {feat_list(["ttl_mean", "ttl_var", "tcp_win_mean", "tcp_win_var", "frag_flag_count", "sent_pkts", "sent_bytes",
-  "syn", "ack", "fin", "rst", "psh", "urg", "sequential_port_ratio"])}
-FROM v_pkt_feat JOIN v_sent_feat USING (src_ip, window_id), {WM} WHERE window_id*{SU}+{WU}<=wm"""
-QUERIES["port_spread_stream"] = f"""
-SELECT src_ip, window_id, {feat_list(["distinct_dst_ports", "port_entropy"])} FROM v_pkt_feat, {WM} WHERE window_id*{SU}+{WU}<=wm"""
-QUERIES["assemble_flows_stream"] = f"""
+# -- streams of a closed source: all batch rows, none dropped --------------------------------
+_STREAMS = {
+    "window_features_stream": f"SELECT src_ip, window_id, {feat_list(FEATS)} {{}} FROM v_pkt_feat JOIN v_sent_feat USING (src_ip, window_id)",
+    "port_spread_stream": f"SELECT src_ip, window_id, {feat_list(['distinct_dst_ports', 'port_entropy'])} {{}} FROM v_pkt_feat",
+    "assemble_flows_stream": """
 SELECT start_us, src_ip, dst_ip, src_port, dst_port, protocol, duration, fwd_bytes, bwd_bytes, fwd_pkts, bwd_pkts, syn, ack, fin, rst, psh, urg,
-  round(iat_mean,6)+0.0 AS iat_mean FROM v_pflows, {WM} WHERE start_us+duration+43200000000<=wm"""
-QUERIES["alerts_stream"] = f"""
-SELECT 'run' AS chain, count(*) AS n_records, CAST(NULL AS BIGINT) AS first_bad FROM v_sent_feat, {WM}
-WHERE window_id*{SU}+{WU}<=wm AND sent_pkts>1"""
-
-# -- closed streams: all batch rows, none dropped --------------------------------------------
-QUERIES["window_features_stream_closed"] = f"""
-SELECT src_ip, window_id, {feat_list(["ttl_mean", "ttl_var", "tcp_win_mean", "tcp_win_var", "frag_flag_count", "sent_pkts", "sent_bytes",
-  "syn", "ack", "fin", "rst", "psh", "urg", "sequential_port_ratio"])}, CAST(0 AS BIGINT) AS n_dropped_late
-FROM v_pkt_feat JOIN v_sent_feat USING (src_ip, window_id)"""
-QUERIES["port_spread_stream_closed"] = f"""
-SELECT src_ip, window_id, {feat_list(["distinct_dst_ports", "port_entropy"])}, CAST(0 AS BIGINT) AS n_dropped_late FROM v_pkt_feat"""
-QUERIES["assemble_flows_stream_closed"] = """
-SELECT start_us, src_ip, dst_ip, src_port, dst_port, protocol, duration, fwd_bytes, bwd_bytes, fwd_pkts, bwd_pkts, syn, ack, fin, rst, psh, urg,
-  round(iat_mean,6)+0.0 AS iat_mean, CAST(0 AS BIGINT) AS n_dropped_late FROM v_pflows"""
+  round(iat_mean,6)+0.0 AS iat_mean {} FROM v_pflows"""}
+for _name, _sql in _STREAMS.items():
+    QUERIES[_name] = _sql.format("")
+    QUERIES[f"{_name}_closed"] = _sql.format(", CAST(0 AS BIGINT) AS n_dropped_late")
+QUERIES["alerts_stream"] = """
+SELECT 'run' AS chain, stage, technique, count(*) AS n_alerts, round(sum(probability),6)+0.0 AS probability, min(window_start) AS first_start,
+  max(window_start) AS last_start, (SELECT count(*) FROM v_alerts) AS n_records, CAST(NULL AS BIGINT) AS first_bad FROM v_alerts GROUP BY stage, technique"""
 
 # -- intervals of four-windows-ahead targets -----------------------------------------------
 CTES["v_h4"] = """

@@ -29,7 +29,7 @@ from ..sources import operator_log as OL
 from ..sources import stores as ST
 from ..streaming import jobs as SJ
 from .staging import table_path
-from .views import EXTERNAL_BASE, GRID, KEY, RULES, SETTINGS, SPLITS, Views
+from .views import EXTERNAL_BASE, GRID, KEY, RULES, SETTINGS, SPLITS, Views, score_a
 
 REGISTRY: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -1001,70 +1001,76 @@ def _stream_packets(v):
     return live.packets()
 
 
-def _run_stream(v, name, df):
+def _run_closed(v, name, make, packets, span_us):
+    """The stream with its tail; rows dropped as late stand beside every row."""
     path = table_path(v.spark, f"{v.version}/stream/{name}/{uuid.uuid4().hex}")
-    SJ.write_stream(df, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return v.spark.read.parquet(f"{path}/out")
+    dropped = SJ.write_closed_stream(make, packets, path, 3_600_000_000, span_us)
+    return v.spark.read.parquet(f"{path}/out").withColumn("n_dropped_late", F.lit(dropped).cast("long"))
+
+
+def _window_stream(v, name):
+    return _run_closed(v, name, lambda p: SJ.packet_window_stream(p, GRID, "1 hour"), _stream_packets(v), GRID.window_us)
+
+
+def _port_stream(v, name):
+    return _run_closed(v, name, lambda p: SJ.port_window_stream(p, GRID, "1 hour"), _stream_packets(v), GRID.window_us)
+
+
+def _flow_stream(v, name):
+    live = Views(v.spark, v.sf_dir)
+    packets = _stream_packets(v)
+    live.packets = lambda: packets
+    return _run_closed(v, name, lambda p: SJ.assemble_flows_stream(p, "1 hour", SETTINGS.flow_timeout_seconds),
+                       live.conversations(), SETTINGS.flow_timeout_seconds * 1_000_000)
 
 
 @query
 def window_features_stream(v):
-    return _run_stream(v, "packets", SJ.packet_window_stream(_stream_packets(v), GRID, "1 hour"))
+    return _window_stream(v, "packets").drop("n_dropped_late")
 
 
 @query
 def port_spread_stream(v):
-    return _run_stream(v, "ports", SJ.port_window_stream(_stream_packets(v), GRID, "1 hour"))
+    return _port_stream(v, "ports").drop("n_dropped_late")
 
 
 @query
 def assemble_flows_stream(v):
-    live = Views(v.spark, v.sf_dir)
-    packets = _stream_packets(v)
-    live.packets = lambda: packets
-    return _run_stream(v, "flows", SJ.assemble_flows_stream(
-        live.conversations(), "1 hour", SETTINGS.flow_timeout_seconds))
-
-
-def _run_closed(v, name, make, packets, span_us):
-    """The stream with its tail; rows dropped as late stand beside every row."""
-    path = table_path(v.spark, f"{v.version}/stream/{name}/{uuid.uuid4().hex}")
-    dropped = SJ.write_closed_stream(make, packets, path, 3_600_000_000, span_us)
-    return v.spark.read.parquet(f"{path}/out").withColumn("n_dropped_late", F.lit(dropped).cast("long"))
+    return _flow_stream(v, "flows").drop("n_dropped_late")
 
 
 @query
 def window_features_stream_closed(v):
-    return _run_closed(v, "packets_closed", lambda p: SJ.packet_window_stream(p, GRID, "1 hour"), _stream_packets(v), GRID.window_us)
+    return _window_stream(v, "packets_closed")
 
 
 @query
 def port_spread_stream_closed(v):
-    return _run_closed(v, "ports_closed", lambda p: SJ.port_window_stream(p, GRID, "1 hour"), _stream_packets(v), GRID.window_us)
+    return _port_stream(v, "ports_closed")
 
 
 @query
 def assemble_flows_stream_closed(v):
-    live = Views(v.spark, v.sf_dir)
-    packets = _stream_packets(v)
-    live.packets = lambda: packets
-    return _run_closed(v, "flows_closed", lambda p: SJ.assemble_flows_stream(p, "1 hour", SETTINGS.flow_timeout_seconds),
-                       live.conversations(), SETTINGS.flow_timeout_seconds * 1_000_000)
+    return _flow_stream(v, "flows_closed")
 
 
 @query
 def alerts_stream(v):
-    """Busy windows of the window stream as alerts, chained per micro-batch."""
-    from ..functions.net import ip_to_text
+    """Windows of the stream scored, fired with stage and technique and chained per micro-batch, end row included."""
+    from ..operators.alerts import fire
     path = table_path(v.spark, f"{v.version}/stream/alerts/{uuid.uuid4().hex}")
-    wins = SJ.packet_window_stream(_stream_packets(v), GRID, "1 hour")
 
     def fired(batch):
-        busy = batch.filter("sent_pkts > 1").withColumn("window_start", F.col("window_id") * GRID.stride_seconds)
-        return busy.select(F.lit("run").alias("run"), "window_start", ip_to_text("src_ip").alias("host"),
-                           F.col("sent_pkts").alias("packets"))
-
-    SJ.alerts_stream(wins, fired, f"{path}/chain", f"{path}/checkpoint", KEY, "run", ["window_start", "host"],
-                     ["host", "packets", "window_start"], SETTINGS, 64).awaitTermination()
+        rows = WN.finish_features(batch, SETTINGS, KEY).withColumn("score_a", score_a())
+        return fire(rows, F.col("score_a") >= 0.4, "score_a", SETTINGS).withColumn(
+            "probability", F.col("probability").cast("decimal(9,6)")).withColumn("run", F.lit("run"))
+
+    SJ.write_closed_stream(
+        lambda p: SJ.packet_window_stream(p, GRID, "1 hour"), _stream_packets(v), path, 3_600_000_000, GRID.window_us,
+        lambda wins: SJ.alerts_stream(wins, fired, f"{path}/chain", f"{path}/checkpoint", KEY, "run", ["window_start", "host"],
+                                      v.LEDGER_FIELDS, SETTINGS, v.LEDGER_BLOCK))
     chain = v.spark.read.parquet(f"{path}/chain")
-    return LG.verify_chain(chain, ["host", "packets", "window_start"], 64)
+    kinds = chain.groupBy("chain", "stage", "technique").agg(
+        F.count(F.lit(1)).alias("n_alerts"), F.sum("probability").cast("double").alias("probability"),
+        F.min("window_start").alias("first_start"), F.max("window_start").alias("last_start"))
+    return kinds.join(LG.verify_chain(chain, v.LEDGER_FIELDS, v.LEDGER_BLOCK), "chain")

@@ -36,6 +36,14 @@ SPLITS = ("train", "val", "test")
 ATTACK_NAMES = ("FTP-BruteForce", "DoS-Hulk", "Infiltration", "Botnet-Ares", "Web-XSS", "DDoS-LOIC")
 
 
+def logistic(z):
+    return F.round(1 / (1 + F.exp(-z)), 6)
+
+
+def score_a():
+    return logistic(F.col("rst") * 0.9 + F.col("sent_pkts") * 0.1 - F.col("sent_bytes") * 0.0005 - 2.0)
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -169,12 +177,10 @@ class Views:
         return self._stage("scored", self._scored)
 
     def _scored(self) -> DataFrame:
-        logistic = lambda z: F.round(1 / (1 + F.exp(-z)), 6)
         c = F.col
-        za = c("rst") * 0.9 + c("sent_pkts") * 0.1 - c("sent_bytes") * 0.0005 - 2.0
         zb = c("distinct_dst_ports") * 0.3 + c("syn") * 0.25 - c("ttl_mean") * 0.05 - 0.5
         return self.labelled().select("*", (c("stage") != "benign").cast("int").alias("y"),
-                                      logistic(za).alias("score_a"), logistic(zb).alias("score_b"))
+                                      score_a().alias("score_a"), logistic(zb).alias("score_b"))
 
     def scores_long(self) -> DataFrame:
         """(model, split, host, window_id, window_start, y, score): the score store's schema."""
