@@ -395,7 +395,7 @@ SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY {phash(1337, 'gr
 CTES["v_draws"] = f"""
 SELECT d.model, d.split, d.replicate, g.group_id, count(*) AS w FROM (
   SELECT model, split, r AS replicate, {phash(1337, 'r', 'group_no')} % n_groups + 1 AS pick
-  FROM v_groupno, range(1, 41) t(r)) d JOIN v_groupno g ON g.model=d.model AND g.split=d.split AND g.group_no=d.pick
+  FROM v_groupno, range(1, 1001) t(r)) d JOIN v_groupno g ON g.model=d.model AND g.split=d.split AND g.group_no=d.pick
 GROUP BY 1,2,3,4
 """
 CTES["v_resampled"] = """
@@ -407,7 +407,7 @@ def boot(by, value_sql, point_sql):
     cols = ", ".join(by)
     return f"""
 SELECT {", ".join("s." + b for b in by)}, round(p.point,6)+0.0 AS point, round(i.low,6)+0.0 AS low, round(i.high,6)+0.0 AS high,
-  0.95::DOUBLE AS level, s.n_groups, 40 AS n_resamples, i.n_usable
+  0.95::DOUBLE AS level, s.n_groups, 1000 AS n_resamples, i.n_usable
 FROM (SELECT model, split, max(n_groups) AS n_groups FROM v_groupno GROUP BY 1,2) s
 JOIN ({point_sql}) p USING (model, split) JOIN (
   SELECT {cols}, quantile_cont(value,0.025) AS low, quantile_cont(value,0.975) AS high, count(value) AS n_usable
@@ -439,7 +439,7 @@ QUERIES["annotate_intervals"] = f"""
 SELECT 'auroc' AS statistic, CAST(NULL AS DOUBLE) AS budget, *, CAST(NULL AS VARCHAR) AS unavailable FROM ({QUERIES["bootstrap_auroc"]})
 UNION ALL BY NAME
 SELECT 'f1' AS statistic, i.budget, p.model, p.split, round(p.point,6)+0.0 AS point, round(i.low,6)+0.0 AS low,
-  round(i.high,6)+0.0 AS high, 0.95::DOUBLE AS level, s.n_groups, 40 AS n_resamples, i.n_usable, CAST(NULL AS VARCHAR) AS unavailable
+  round(i.high,6)+0.0 AS high, 0.95::DOUBLE AS level, s.n_groups, 1000 AS n_resamples, i.n_usable, CAST(NULL AS VARCHAR) AS unavailable
 FROM (SELECT model, split, max(n_groups) AS n_groups FROM v_groupno GROUP BY 1,2) s
 JOIN ({f1s(MSB, "v_long JOIN v_valthr USING (model)", "point", "threshold")}) p USING (model, split)
 JOIN (SELECT {MSB}, quantile_cont(value,0.025) AS low, quantile_cont(value,0.975) AS high, count(value) AS n_usable
@@ -946,48 +946,59 @@ QUERIES["alerts_stream"] = """
 SELECT 'run' AS chain, stage, technique, count(*) AS n_alerts, round(sum(probability),6)+0.0 AS probability, min(window_start) AS first_start,
   max(window_start) AS last_start, (SELECT count(*) FROM v_alerts) AS n_records, CAST(NULL AS BIGINT) AS first_bad FROM v_alerts GROUP BY stage, technique"""
 
-# -- intervals of four-windows-ahead targets -----------------------------------------------
-CTES["v_h4"] = """
-SELECT 'a' AS model, a.split, a.host, a.window_id, a.window_start, b.y, a.score_a AS score
-FROM v_scored a JOIN v_scored b ON b.host=a.host AND b.window_id=a.window_id+4
+# -- intervals of targets 0, 1, 4 and 8 windows ahead ---------------------------------------
+for _k in (0, 1, 4, 8):
+    CTES[f"v_h{_k}"] = f"""
+SELECT l.* EXCLUDE (y), b.y FROM v_long l JOIN v_scored b ON b.host=l.host AND b.window_id=l.window_id+{_k}
 """
-CTES["v_h4thr"] = """
-SELECT min(score) AS threshold FROM (SELECT DISTINCT score FROM v_h4 WHERE split='val') c
-WHERE (SELECT count(*) FROM v_h4 b WHERE b.split='val' AND b.y=0 AND b.score>=c.score)
-  <= 0.05::DOUBLE*(SELECT count(*) FROM v_h4 b WHERE b.split='val' AND b.y=0)
+    CTES[f"v_h{_k}cand"] = f"""
+SELECT model, score, sum(sum(1-y)) OVER (PARTITION BY model ORDER BY score DESC) AS n_false, sum(sum(1-y)) OVER (PARTITION BY model) AS n_benign
+FROM v_h{_k} WHERE split='val' GROUP BY model, score
 """
-CTES["v_h4grp"] = f"""
+    CTES[f"v_h{_k}thr"] = f"""
+SELECT model, budget, coalesce(min(score) FILTER (n_false/CAST(n_benign AS DOUBLE)<=budget), max(score)+1e-16) AS threshold
+FROM v_h{_k}cand, v_budgets GROUP BY 1,2
+"""
+    CTES[f"v_h{_k}grp"] = f"""
 SELECT l.*, coalesce('episode:' || (SELECT max(episode_no) FROM v_episodes e WHERE e.host=l.host
-   AND l.window_start+4*{S} BETWEEN e.start_s AND e.end_s) || ':' || host, 'host:' || host) AS group_id FROM v_h4 l
+   AND l.window_start+{_k}*{S} BETWEEN e.start_s AND e.end_s) || ':' || host, 'host:' || host) AS group_id FROM v_h{_k} l
 """
-CTES["v_h4no"] = f"""
+    CTES[f"v_h{_k}no"] = f"""
 SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY {phash(1337, 'group_id')}, group_id) AS group_no,
-  count(*) OVER (PARTITION BY model, split) AS n_groups FROM (SELECT DISTINCT model, split, group_id FROM v_h4grp)
+  count(*) OVER (PARTITION BY model, split) AS n_groups FROM (SELECT DISTINCT model, split, group_id FROM v_h{_k}grp)
 """
-CTES["v_h4draws"] = f"""
+    CTES[f"v_h{_k}draws"] = f"""
 SELECT d.model, d.split, d.replicate, g.group_id, count(*) AS w FROM (
   SELECT model, split, r AS replicate, {phash(1337, 'r', 'group_no')} % n_groups + 1 AS pick
-  FROM v_h4no, range(1, 41) t(r)) d JOIN v_h4no g ON g.model=d.model AND g.split=d.split AND g.group_no=d.pick
+  FROM v_h{_k}no, range(1, 1001) t(r)) d JOIN v_h{_k}no g ON g.model=d.model AND g.split=d.split AND g.group_no=d.pick
 GROUP BY 1,2,3,4
 """
-CTES["v_h4re"] = """
-SELECT d.replicate, l.* FROM v_h4grp l JOIN v_h4draws d USING (model, split, group_id), range(0, 1000) c(i) WHERE c.i<d.w
+    CTES[f"v_h{_k}re"] = f"""
+SELECT d.replicate, l.* FROM v_h{_k}grp l JOIN v_h{_k}draws d USING (model, split, group_id), range(0, 1000) c(i) WHERE c.i<d.w
 """
 
 
-def _h4(statistic, budget, point, value):
+def _horizon(k, statistic, by, point, value):
+    cols, budget = ", ".join(by), "i.budget" if "budget" in by else "CAST(NULL AS DOUBLE)"
     return f"""
 SELECT '{statistic}' AS statistic, {budget} AS budget, p.model, p.split, round(p.point,6)+0.0 AS point, round(i.low,6)+0.0 AS low,
-  round(i.high,6)+0.0 AS high, 0.95::DOUBLE AS level, s.n_groups, 40 AS n_resamples, i.n_usable,
-  CAST(NULL AS VARCHAR) AS unavailable, 4 AS horizon
-FROM (SELECT model, split, max(n_groups) AS n_groups FROM v_h4no GROUP BY 1,2) s
+  round(i.high,6)+0.0 AS high, 0.95::DOUBLE AS level, s.n_groups, 1000 AS n_resamples, i.n_usable,
+  CAST(NULL AS VARCHAR) AS unavailable, {k} AS horizon
+FROM (SELECT model, split, max(n_groups) AS n_groups FROM v_h{k}no GROUP BY 1,2) s
 JOIN ({point}) p USING (model, split)
-JOIN (SELECT model, split, quantile_cont(value,0.025) AS low, quantile_cont(value,0.975) AS high, count(value) AS n_usable
-  FROM ({value}) GROUP BY 1,2) i USING (model, split)"""
+JOIN (SELECT {cols}, quantile_cont(value,0.025) AS low, quantile_cont(value,0.975) AS high, count(value) AS n_usable
+  FROM ({value}) GROUP BY ALL) i USING ({cols})"""
+
+
+QUERIES["annotate_horizon"] = " UNION ALL ".join(
+    _horizon(k, "auroc", ["model", "split"], auc("model, split", f"v_h{k}", "point"), auc(MSR, f"v_h{k}re", "value")) + " UNION ALL "
+    + _horizon(k, "f1", ["model", "split", "budget"], f1s(MSB, f"v_h{k} JOIN v_h{k}thr USING (model)", "point", "threshold"),
+               f1s(MSB + ", replicate", f"v_h{k}re JOIN v_h{k}thr USING (model)", "value", "threshold")) for k in (0, 1, 4, 8))
+
+
+def _gap(by, src, name):
+    mean = lambda y: f"avg(score) FILTER (y={y})"
+    return f"SELECT {by}, {mean(1)} - {mean(0)} AS {name} FROM {src} GROUP BY {by}"
 
 
-QUERIES["annotate_horizon"] = _h4(
-    "auroc", "CAST(NULL AS DOUBLE)", auc("model, split", "v_h4", "point"), auc(MSR, "v_h4re", "value")
-) + " UNION ALL " + _h4(
-    "f1", "0.05::DOUBLE", f1s("model, split", "v_h4, v_h4thr", "point", "threshold"),
-    f1s(MSR, "v_h4re, v_h4thr", "value", "threshold"))
+QUERIES["bootstrap_callable"] = boot(["model", "split"], _gap(MSR, "v_resampled", "value"), _gap("model, split", "v_long", "point"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +89,8 @@ def alerts(v):
 
 BUDGETS = (0.01, 0.05)
 MS = ["model", "split"]
-RESAMPLES = 40
+RESAMPLES = 1000
+HORIZON_STEPS = (0, 1, 4, 8)
 
 
 def _results(v):
@@ -269,14 +271,36 @@ def annotate_intervals(v):
     return BS.annotate_intervals(_grouped(v), fitted, RESAMPLES)
 
 
+@query
+def bootstrap_callable(v):
+    """A statistic given as a Python function of (y, score, weight): mean score of attacks less that of benign windows."""
+    def gap(y, score, weight):
+        attacks, others = weight * (y == 1), weight * (y == 0)
+        if not attacks.sum() or not others.sum():
+            return None
+        return (attacks * score).sum() / attacks.sum() - (others * score).sum() / others.sum()
+
+    return BS.callable_bootstrap(_grouped(v), MS, gap, RESAMPLES).drop("unavailable")
+
+
+def _horizon_rows(v, k):
+    """Both models' scores with the label k windows ahead, or the window's own for 0."""
+    rows = LB.shift_target(v.scored(), k) if k else v.scored()
+    rows = rows.withColumn("y", (F.col("stage") != "benign").cast("int"))
+    keep = ["split", "host", "window_id", "y"]
+    return rows.select(F.lit("a").alias("model"), *keep, F.col("score_a").alias("score")).unionByName(
+        rows.select(F.lit("b").alias("model"), *keep, F.col("score_b").alias("score")))
+
+
 @query
 def annotate_horizon(v):
-    """Intervals of four-windows-ahead targets, clustered by the episode of the label."""
-    rows = LB.shift_target(v.scored(), 4).select(
-        F.lit("a").alias("model"), "split", "host", "window_id", (F.col("stage") != "benign").cast("int").alias("y"),
-        F.col("score_a").alias("score"))
-    fitted = ME.threshold_at_fpr(rows.filter("split = 'val'"), ["model"], (0.05,))
-    return BS.annotate_horizon(rows, v.episodes(), fitted, GRID, 4, RESAMPLES)
+    """Intervals for every horizon, model and budget, clustered by the episode of the label."""
+    out = []
+    for k in HORIZON_STEPS:
+        rows = v._stage(f"horizon_rows_{k}", lambda k=k: _horizon_rows(v, k))
+        fitted = ME.threshold_at_fpr(rows.filter("split = 'val'"), ["model"], BUDGETS)
+        out.append(BS.annotate_horizon(rows, v.episodes(), fitted, GRID, k, RESAMPLES))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query

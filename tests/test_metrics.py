@@ -148,6 +148,26 @@ def test_weights_equal_concatenating_resampled_rows(spark, grouped):
     assert (f.low, f.high) == pytest.approx((np.percentile(f1s, 2.5), np.percentile(f1s, 97.5)))
 
 
+def test_more_replicates_than_lanes_and_any_function(spark, grouped):
+    """Replicates beyond one row of weights, and a Python statistic equal to the built-in one."""
+    keys, n_rep = ["model", "split"], bs.LANES + 7
+
+    def area(y, score, weight):
+        pos, neg = weight * (y == 1), weight * (y == 0)
+        if not pos.sum() or not neg.sum():
+            return None
+        order = (score[:, None] > score).astype(float) + (score[:, None] == score) / 2
+        return pos @ order @ neg / (pos.sum() * neg.sum())
+
+    names = ["point", "low", "high", "n_groups", "n_resamples", "n_usable"]
+    a, b = bs.auroc_interval(grouped, keys, n_rep).first(), bs.callable_bootstrap(grouped, keys, area, n_rep).first()
+    assert [a[c] for c in names] == pytest.approx([b[c] for c in names])
+    mean = lambda w: F.sum(w * F.col("score")) / F.sum(w)
+    c = bs.cluster_bootstrap(grouped, keys, mean, n_rep).first()
+    d = bs.callable_bootstrap(grouped, keys, lambda y, score, weight: (score * weight).sum() / weight.sum(), n_rep).first()
+    assert [c[x] for x in names] == pytest.approx([d[x] for x in names]) and c.n_usable == n_rep
+
+
 def test_bootstrap_refusals(spark, grouped):
     keys = ["model", "split"]
     one = bs.auroc_interval(grouped.withColumn("group_id", F.lit("x")), keys, 5).first()
