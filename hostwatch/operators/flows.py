@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FLAGS, FLOW_TIMEOUT_SECONDS, MISSING_INIT_WIN, NET24_BUCKETS, SERVER_PORTS, Grid
@@ -43,29 +43,59 @@ def sessions(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
                          {"flow_no": F.col("iat_us").isNull().cast("long")})
 
 
-def assemble_flows(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
-                   chunk_us: int | None = None) -> DataFrame:
-    """Bidirectional flows in the canonical 23 columns; first packet sets direction.
+def flow_pieces(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS, chunk_us: int | None = None) -> DataFrame:
+    """One summary per (endpoint pair, chunk of time): what a flow needs to know of those packets.
 
-    All aggregates are partial-able and kept per endpoint (lo / hi); which side is
-    forward is only decided on the finished flow row.
+    A chunk is no wider than the timeout, so its packets belong to one flow; neighbours can be merged when only first
+    and last time are known. Packets are shuffled once and never read again. Chunks of at most 2,000 s keep the sum of squared
+    gaps in a LONG: gaps in a chunk add up to its width at most.
     """
-    px = sessions(packets, timeout_seconds, chunk_us)
+    timeout_us = timeout_seconds * 1_000_000
+    chunk_us = min(chunk_us or max(timeout_us // 12, 1_000_000), timeout_us, 2_000_000_000)
+    px = with_pair(packets).withColumn("chunk", floor_div("ts_us", max(1, chunk_us)))
+    order = Window.partitionBy(*PAIR, "chunk").orderBy("ts_us", "packet_no")
+    px = px.withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(order))
     at = F.struct("ts_us", "packet_no")
     lo, size = F.col("from_lo"), F.col("payload_len").cast("long")
     syn_lo, syn_hi = lo & (F.col("syn") == 1), ~lo & (F.col("syn") == 1)
-    flows = px.groupBy(*PAIR, "flow_no").agg(
+    return px.groupBy(*PAIR, "chunk").agg(
         F.min_by(F.struct("from_lo", "src_ip", "src_port", "dst_ip", "dst_port"), at).alias("first"),
-        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("_end_us"),
+        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
         F.sum(F.when(lo, size).otherwise(0)).alias("lo_bytes"),
         F.sum(F.when(~lo, size).otherwise(0)).alias("hi_bytes"),
         F.count_if(lo).alias("lo_pkts"), F.count_if(~lo).alias("hi_pkts"),
         *[F.sum(F.col(f).cast("long")).alias(f) for f in FLAGS],
-        F.avg("iat_us").alias("iat_mean"), F.stddev_pop("iat_us").alias("iat_std"),
-        F.max("iat_us").cast("double").alias("iat_max"),
-        F.min_by(F.when(syn_lo, F.col("tcp_win")), F.when(syn_lo, at)).alias("lo_win"),
-        F.min_by(F.when(syn_hi, F.col("tcp_win")), F.when(syn_hi, at)).alias("hi_win"),
-    )
+        F.sum(F.col("_gap") * F.col("_gap")).alias("gap_sq"), F.max("_gap").alias("gap_max"),
+        F.min(F.when(syn_lo, F.struct(at.alias("at"), "tcp_win"))).alias("lo_syn"),
+        F.min(F.when(syn_hi, F.struct(at.alias("at"), "tcp_win"))).alias("hi_syn"))
+
+
+def assemble_flows(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
+                   chunk_us: int | None = None) -> DataFrame:
+    """Bidirectional flows in the canonical 23 columns; first packet sets direction.
+
+    Pieces are numbered along their pair and merged: all aggregates are partial-able and kept per
+    endpoint (lo / hi); which side is forward is only decided on the finished flow row.
+    """
+    timeout_us = timeout_seconds * 1_000_000
+    pieces = flow_pieces(packets, timeout_seconds, chunk_us)
+    # a task sees one piece per chunk of a pair, whatever the pair's packets
+    along = Window.partitionBy(*PAIR).orderBy("chunk")
+    gap = F.col("start_us") - F.lag("end_us").over(along)
+    pieces = pieces.withColumn("_join", F.when(gap <= timeout_us, gap))
+    pieces = pieces.withColumn("flow_no", F.sum(F.col("_join").isNull().cast("long")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    flows = pieces.groupBy(*PAIR, "flow_no").agg(
+        F.min_by("first", "chunk").alias("first"), F.min("start_us").alias("start_us"), F.max("end_us").alias("_end_us"),
+        *[F.sum(c).alias(c) for c in ("lo_bytes", "hi_bytes", "lo_pkts", "hi_pkts", *FLAGS)],
+        F.greatest(F.max("gap_max"), F.max("_join")).cast("double").alias("iat_max"),
+        (F.coalesce(F.sum(wide("gap_sq")), F.lit(0)) + F.coalesce(F.sum(wide("_join") * wide("_join")), F.lit(0))).alias("_sq"),
+        F.min("lo_syn")["tcp_win"].alias("lo_win"), F.min("hi_syn")["tcp_win"].alias("hi_win"))
+    # gaps add up to the duration: their variance is exact up to the last division
+    gaps, span = (F.col("lo_pkts") + F.col("hi_pkts") - 1), F.col("_end_us") - F.col("start_us")
+    exact = gaps.cast("decimal(12,0)") * F.col("_sq").cast("decimal(26,0)") - span.cast("decimal(19,0)") * span.cast("decimal(19,0)")
+    flows = flows.withColumn("iat_mean", ratio(span, gaps)).withColumn(
+        "iat_std", F.when(gaps > 0, F.sqrt(F.greatest(exact.cast("double"), F.lit(0.0))) / gaps))
 
     def side(fwd: bool, name: str) -> Column:
         same, other = (f"lo_{name}", f"hi_{name}") if fwd else (f"hi_{name}", f"lo_{name}")
@@ -86,39 +116,122 @@ def assemble_flows(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECON
     )
 
 
+_STRETCH = 4096          # windows that one task puts in order
+_SPREAD = ("fwd_bytes", "fwd_pkts", *FLAGS)
+_COUNTED = ("n", "win_n", "win_sum", "server")
+
+
+def _window_span(flows: DataFrame, grid: Grid) -> DataFrame:
+    """Add _timed, _end, and the first and last window that each flow meets (_lo.._hi); flows that meet none go."""
+    start, dur = F.col("start_us"), F.col("duration")
+    timed = dur.isNotNull() & ~F.isnan(dur) & (F.abs(dur) < float("inf")) & (dur > 0)
+    first = floor_div(start, grid.stride_us) - (grid.n_bins - 1)
+    out = flows.withColumn("_timed", timed).withColumn("_end", F.when(timed, start + dur.cast("long")))
+    out = out.withColumn("_lo", first).withColumn("_hi", F.when(
+        F.col("_timed"), floor_div(F.col("_end") - 1, grid.stride_us)).otherwise(first + (grid.n_bins - 1)))
+    return out.filter(~F.col("_timed") | (F.col("_end") > start))
+
+
+def _peer_steps(spans: DataFrame) -> DataFrame:
+    """(src_ip, window_id, peers): where the number of distinct destinations of a source goes up or down.
+
+    The spans of one (source, destination) are reduced to the longest per first window; each then counts
+    for the windows beyond all earlier ones. Earlier ones are looked at inside a stretch of windows and, for the rest, as one
+    number per stretch.
+    """
+    pair = ["src_ip", "dst_ip"]
+    rows = spans.groupBy(*pair, F.col("_lo").alias("lo")).agg(F.max("_hi").alias("hi")).withColumn("_s", floor_div("lo", _STRETCH))
+    ahead = Window.partitionBy(*pair).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*pair, "_s").agg(F.max("hi").alias("_far")).select(*pair, "_s", F.max("_far").over(ahead).alias("_far"))
+    local = Window.partitionBy(*pair, "_s").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_near", F.max("hi").over(local)).join(carried, [*pair, "_s"])
+    begin = F.greatest("lo", F.col("_near") + 1, F.col("_far") + 1)
+    rows = rows.select("src_ip", begin.alias("b"), "hi").filter("b <= hi")
+    return rows.select("src_ip", F.inline(F.array(
+        F.struct(F.col("b").alias("window_id"), F.lit(1).cast("long").alias("peers")),
+        F.struct((F.col("hi") + 1).alias("window_id"), F.lit(-1).cast("long").alias("peers")))))
+
+
 def flows_to_windows(flows: DataFrame, grid: Grid, server_ports=SERVER_PORTS,
                      average_sentinel: bool = False) -> DataFrame:
     """Sent-side features of flow input, spread over windows by time overlap.
 
     Zero, missing or non-finite durations count in full in each covering window.
     ``average_sentinel`` keeps -1 ("no SYN seen") in the SYN window mean.
+
+    Difference arrays: a flow gives one row for each window that it covers in part (at most n_bins at
+    either end, and one more) and two for all windows that it covers whole: its rate is added at the first of them and taken away
+    behind the last. Rates are decimals, so what is added is taken away exactly. Running sums over the windows of a source give what holds
+    in each, stretch by stretch; only the result has a row per window.
     """
-    start, dur = F.col("start_us"), F.col("duration")
-    timed = dur.isNotNull() & ~F.isnan(dur) & (F.abs(dur) < float("inf")) & (dur > 0)
-    end = start + dur.cast("long")
-    last = floor_div(start, grid.stride_us)
-    ids = F.when(timed, F.sequence(floor_div(start - grid.window_us, grid.stride_us),
-                                   floor_div(end, grid.stride_us) + 1)
-                 ).otherwise(F.sequence(last - (grid.n_bins - 1), last))
-    win = F.col("init_win_fwd")
-    ex = flows.select(
-        "src_ip", "dst_ip", start, dur, timed.alias("_timed"), end.alias("_end"),
-        "fwd_bytes", "fwd_pkts", *FLAGS,
+    start, dur, size, stride = F.col("start_us"), F.col("duration"), grid.window_us, grid.stride_us
+    win = F.col("init_win_fwd").cast("long")
+    spans = _window_span(flows.select(
+        "src_ip", "dst_ip", "start_us", "duration", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in _SPREAD],
         (win if average_sentinel else F.when(win >= 0, win)).alias("_win"),
-        is_server_port("src_port", server_ports).cast("int").alias("_server"),
-        F.explode(ids).alias("window_id"))
-    w0 = F.col("window_id") * F.lit(grid.stride_us)
-    overlap = F.least(F.col("_end"), w0 + grid.window_us) - F.greatest(start, w0)
-    ex = ex.withColumn("_frac", F.when(F.col("_timed"), overlap / dur).otherwise(F.lit(1.0))).filter("_frac > 0")
-    frac = F.col("_frac")
-    return ex.groupBy("src_ip", "window_id").agg(
-        F.sum(F.col("fwd_bytes") * frac).alias("sent_bytes"),
-        F.sum(F.col("fwd_pkts") * frac).alias("sent_pkts"),
-        *[F.sum(F.col(f) * frac).alias(f) for f in FLAGS],
-        F.greatest(F.coalesce(F.avg("_win"), F.lit(0.0)), F.lit(0.0)).alias("syn_win_mean"),
-        F.avg("_server").alias("server_port_ratio"),
-        F.count_distinct("dst_ip").alias("distinct_dst_ips"),
-    )
+        is_server_port("src_port", server_ports).cast("long").alias("server")), grid)
+    spans = spans.withColumn("_a", floor_div(start + (stride - 1), stride)).withColumn("_b", floor_div(F.col("_end") - size, stride))
+    whole = F.coalesce(F.col("_timed") & (F.col("_a") <= F.col("_b")), F.lit(False))
+    seq = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    edge = F.when(whole, F.concat(seq(F.col("_lo"), F.col("_a") - 1), seq(F.col("_b") + 1, F.col("_hi")))).otherwise(
+        F.sequence("_lo", "_hi"))
+    kinds = F.transform(edge, lambda w: F.struct(w.alias("window_id"), F.lit(0).alias("sign")))
+    ends = F.array(F.struct(F.col("_a").alias("window_id"), F.lit(1).alias("sign")),
+                   F.struct((F.col("_b") + 1).alias("window_id"), F.lit(-1).alias("sign")))
+    rows = spans.select("*", F.inline(F.when(whole, F.concat(kinds, ends)).otherwise(kinds)))
+    w0, sign = F.col("window_id") * F.lit(stride), F.col("sign")
+    overlap = F.least(F.col("_end"), w0 + size) - F.greatest(start, w0)
+    frac = F.when(F.col("_timed"), overlap / dur).otherwise(F.lit(1.0))
+    here = lambda c: F.sum(F.when(sign == 0, c))
+    step = lambda c: F.sum(F.when(sign != 0, c * sign))
+    rate = lambda c: (F.col(c) * (F.lit(float(size)) / dur)).cast("decimal(28,12)")
+    counts = {"n": F.lit(1).cast("long"), "win_n": F.col("_win").isNotNull().cast("long"),
+              "win_sum": F.coalesce("_win", F.lit(0)).cast("long"), "server": F.col("server")}
+    zero = F.lit(0).cast("long")
+    at = rows.groupBy("src_ip", "window_id").agg(
+        *[F.coalesce(here(F.col(c) * frac), F.lit(0.0)).alias(f"p_{c}") for c in _SPREAD],
+        *[F.coalesce(here(v), zero).alias(f"p_{c}") for c, v in counts.items()],
+        *[F.coalesce(F.sum(F.when(sign != 0, rate(c) * sign)), F.lit(0)).cast("decimal(38,12)").alias(f"d_{c}") for c in _SPREAD],
+        *[F.coalesce(step(v), zero).alias(f"d_{c}") for c, v in counts.items()])
+    every = at.unionByName(_peer_steps(spans).groupBy("src_ip", "window_id").agg(F.sum("peers").alias("d_peers")), allowMissingColumns=True)
+    steps = [*_SPREAD, *_COUNTED, "peers"]
+    return _running_windows(every.fillna(0), steps, [*_SPREAD, *_COUNTED])
+
+
+def _running_windows(every: DataFrame, steps: list[str], points: list[str]) -> DataFrame:
+    """Rows per window from steps (d_*), which hold until the next step, and points (p_*), which hold in one window."""
+    both = [*[f"d_{c}" for c in steps], *[f"p_{c}" for c in points]]
+    every = every.withColumn("_s", floor_div("window_id", _STRETCH))
+    # every stretch has a row at its first window, from which what came before goes on
+    opening = every.select("src_ip", "_s").distinct().select(
+        "src_ip", (F.col("_s") * _STRETCH).alias("window_id"), *[F.lit(0).cast(every.schema[c].dataType).alias(c) for c in both], "_s")
+    every = every.unionByName(opening).groupBy("src_ip", "_s", "window_id").agg(*[F.sum(c).alias(c) for c in both])
+    local, along = Window.partitionBy("src_ip", "_s").orderBy("window_id"), Window.partitionBy("src_ip").orderBy("_s")
+    sums = every.groupBy("src_ip", "_s").agg(*[F.sum(f"d_{c}").alias(f"t_{c}") for c in steps])
+    upto, until = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select("src_ip", "_s", F.lead("_s").over(along).alias("_next"),
+                       *[F.coalesce(F.sum(f"t_{c}").over(upto), F.lit(0)).alias(f"b_{c}") for c in steps],
+                       *[F.sum(f"t_{c}").over(until).alias(f"u_{c}") for c in steps])
+    own = every.withColumn("_to", F.coalesce(F.lead("window_id").over(local), (F.col("_s") + 1) * _STRETCH)).select(
+        "*", *[F.sum(f"d_{c}").over(local.rowsBetween(Window.unboundedPreceding, 0)).alias(f"r_{c}") for c in steps])
+    own = own.join(sums.drop(*[f"u_{c}" for c in steps], "_next"), ["src_ip", "_s"])
+    held = {c: F.col(f"b_{c}") + F.col(f"r_{c}") for c in steps}
+    ids = F.when(held["n"] > 0, F.sequence("window_id", F.col("_to") - 1)).otherwise(F.array("window_id"))
+    first = lambda c: F.when(F.col("_at") == 0, F.col(f"p_{c}")).otherwise(F.lit(0))
+    own = own.select("src_ip", *[v.alias(f"h_{c}") for c, v in held.items()], *[f"p_{c}" for c in points],
+                     F.posexplode(ids).alias("_at", "_id"))
+    own = own.select("src_ip", F.col("_id").alias("window_id"), F.col("h_peers").alias("peers"), *[
+        (F.col(f"h_{c}").cast("double" if c in _SPREAD else "long") + first(c)).alias(c) for c in points])
+    # whole stretches without a step, while something still holds
+    gaps = sums.filter((F.col("u_n") > 0) & (F.col("_next") > F.col("_s") + 1)).select(
+        "*", F.explode(F.sequence(F.col("_s") + 1, F.col("_next") - 1)).alias("_g"))
+    gaps = gaps.select("*", F.explode(F.sequence(F.col("_g") * _STRETCH, (F.col("_g") + 1) * _STRETCH - 1)).alias("window_id")).select(
+        "src_ip", "window_id", F.col("u_peers").alias("peers"), *[F.col(f"u_{c}").cast("double" if c in _SPREAD else "long").alias(c) for c in points])
+    rows = own.unionByName(gaps).filter("n > 0")
+    return rows.select(
+        "src_ip", "window_id", F.col("fwd_bytes").alias("sent_bytes"), F.col("fwd_pkts").alias("sent_pkts"), *FLAGS,
+        F.greatest(ratio(F.col("win_sum"), F.col("win_n")), F.lit(0.0)).alias("syn_win_mean"),
+        ratio(F.col("server"), F.col("n")).alias("server_port_ratio"), F.col("peers").alias("distinct_dst_ips"))
 
 
 def role_features(flows: DataFrame, key: bytes, server_ports=SERVER_PORTS,

@@ -77,6 +77,54 @@ def test_sentinel_window(spark):
     assert fl.flows_to_windows(df, GRID, average_sentinel=True).filter("window_id = 0").first().syn_win_mean == 49.0
 
 
+def exploded(flows, grid):
+    """A row for every (flow, window): the plain form of the spread."""
+    out = {}
+    for f in flows:
+        timed = f[5] is not None and 0 < f[5] < float("inf")
+        first = f[0] // grid.stride_us - grid.n_bins - 1
+        last = (f[0] + int(f[5]) if timed else f[0]) // grid.stride_us + 1
+        for w in range(first, last + 1):
+            a, b = w * grid.stride_us, w * grid.stride_us + grid.window_us
+            share = (min(f[0] + int(f[5]), b) - max(f[0], a)) / f[5] if timed else float(a <= f[0] < b)
+            if share > 0:
+                out.setdefault((f[1], w), []).append((share, f))
+    return out
+
+
+def test_spread_equals_a_row_per_window(spark):
+    r = random.Random(5)
+    rows = []
+    for _ in range(300):
+        dur = r.choice([0.0, None, float("nan"), 0.4, 3.0 * S, 14.9 * S, 15.0 * S, 20.0 * S, 61.0 * S, 700.5 * S, 90_000.0 * S])
+        rows.append((r.randrange(2000) * S // 2, r.randint(1, 3), r.randint(1, 4), r.choice([443, 5000]), 80, dur, r.random() * 1e6,
+                     r.randint(1, 50), r.randint(0, 1), 0, 0, 0, 1, 0, r.choice([-1, 100, 9000])))
+    got = {(x.src_ip, x.window_id): x for x in fl.flows_to_windows(spark.createDataFrame(rows, FLOW), GRID).collect()}
+    want = exploded(rows, GRID)
+    assert got.keys() == want.keys()
+    for key, own in want.items():
+        x, wins = got[key], [f[14] for _, f in own if f[14] >= 0]
+        assert x.sent_bytes == pytest.approx(sum(s * f[6] for s, f in own), abs=1e-6) and x.psh == pytest.approx(sum(s for s, _ in own))
+        assert x.sent_pkts == pytest.approx(sum(s * f[7] for s, f in own), abs=1e-6) and x.distinct_dst_ips == len({f[2] for _, f in own})
+        assert x.syn_win_mean == pytest.approx(sum(wins) / len(wins) if wins else 0)
+        assert x.server_port_ratio == pytest.approx(sum(f[3] == 443 for _, f in own) / len(own))
+
+
+def test_year_long_flow(spark):
+    year = 365 * 86400.0 * S
+    w = fl.flows_to_windows(spark.createDataFrame([flow(100 * S, year, 1e9), flow(100 * S + int(year) // 2, 5.0 * S, dst=3)], FLOW), GRID)
+    from pyspark.sql import functions as F
+    n, size, most, ids = w.agg(F.count("*"), F.sum("sent_bytes"), F.max("distinct_dst_ips"), F.count_distinct("window_id")).first()
+    assert n == ids == 365 * 86400 // 5 + 2 and most == 2 and size == pytest.approx(3 * (1e9 + 100))
+
+
+def test_packets_are_shuffled_once(spark, tmp_path):
+    """One exchange carries packets, one their summaries; nothing is joined."""
+    packets(spark, [packet(0, 0), packet(1, S)]).write.parquet(str(tmp_path / "p"))
+    plan = fl.assemble_flows(spark.read.parquet(str(tmp_path / "p")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan and plan.count("FileScan") == 1
+
+
 def test_role_features(spark):
     ten = 167772160
     rows = [(ten + 1, ten + 2, 22, 5000), (ten + 1, ten + 2, 6000, 22), (ten + 3, ten + 1, 1, 443), (ten + 3, ten + 1, 1, 80)]
