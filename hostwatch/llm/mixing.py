@@ -15,8 +15,12 @@ The order is never sorted whole: Q is cut into buckets per source, sums of bucke
 target falls, and only that bucket is ordered. A hot source is split over its buckets. Tables of one row per source
 are broadcast only after their rows were counted.
 
-Null text or one without words: size 0, taken 0. A null source is a source of its own, last in order. Equal rows tie
-on u and are ordered by size and doc_id. Empty table: empty result. Reruns agree, as u depends on the row alone.
+Repeated rows (equal doc_id, text and source) are numbered 0, 1, 2, ...; the number is part of their key, so each has a chance of
+its own, copies lie in buckets of their own and the boundary may fall between two of them. They are numbered inside the parts of
+the table and the parts carried on by counts, so no task gathers them.
+
+Null text or one without words: size 0, taken 0. A null source is a source of its own, last in order. Rows that tie on rank
+are ordered by size and key. Empty table: empty result. Reruns agree, as u depends on the row and its number alone.
 """
 
 from __future__ import annotations
@@ -115,16 +119,30 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, p
 
 
 def row_key() -> Column:
-    """doc_id and a digest of the text: rows that agree in it are equal."""
+    """doc_id and a digest of the text: rows that agree in it and in source are repeated rows."""
     digest = F.md5(F.encode(common.text_of(), "utf-8"))
     return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest)
 
 
+def numbered(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """``rows`` (row_key and more) staged, with a row_key of its own for every repeated row, and u."""
+    rows = common.staged(rows.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
+    of_source = F.concat("row_key", F.coalesce(F.concat(F.lit("|s"), F.col("source").cast("string")), F.lit("|")))
+    own = rows.select(of_source.alias("row_key"), "_row", F.shiftright("_row", 33).alias("_part"))
+    parts = own.groupBy("row_key", "_part").agg(F.count(F.lit(1)).alias("n"))
+    repeated = parts.groupBy("row_key").agg(F.sum("n").alias("all")).filter("`all` > 1").select("row_key")
+    base = common.before(parts.join(repeated, "row_key"), ["row_key"], "_part", "n", "base").select("row_key", "_part", "base")
+    inside = Window.partitionBy("row_key", "_part").orderBy("_row")
+    copies = own.join(base, ["row_key", "_part"]).select("_row", (F.col("base") + F.row_number().over(inside) - 1).alias("_copy"))
+    out = rows.join(common.small(copies.filter("_copy > 0")), "_row", "left")
+    key = F.concat("row_key", F.coalesce(F.concat(F.lit("#"), F.col("_copy").cast("string")), F.lit("")))
+    return out.withColumn("row_key", key).drop("_row", "_copy").withColumn("u", uniform(F.col("row_key"), seed))
+
+
 def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``row`` (all columns of a document), with size, source_size, target, taken and copies."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", common.word_count(F.col("text")).alias("size"),
-                       row_key().alias("row_key"))
-    return mix(common.staged(rows.withColumn("u", uniform(F.col("row_key"), seed)), "mix-sizes"))
+    return mix(numbered(docs.select(F.struct(*docs.columns).alias("row"), "source", common.word_count(F.col("text")).alias("size"),
+                                    row_key().alias("row_key")), seed))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -136,6 +154,5 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1."""
     docs = common.documents(spark, sf_dir)
-    rows = common.staged(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), row_key().alias("row_key"))
-                         .withColumn("u", uniform(F.col("row_key"), SEED)), "mix-sizes")
-    return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+    rows = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), row_key().alias("row_key"))
+    return mix(numbered(rows)).select("doc_id", "size", "source_size", "target", "taken")

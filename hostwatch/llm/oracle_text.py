@@ -8,8 +8,10 @@ SPACES = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP6 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size,
-    coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) AS row_key FROM documents),
+WITH e AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size,
+    coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) AS own_key FROM documents),
+d AS (SELECT *, own_key || CASE WHEN copy > 0 THEN '#' || copy ELSE '' END AS row_key
+    FROM (SELECT *, row_number() OVER (PARTITION BY own_key, source) - 1 AS copy FROM e)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs,
     row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
 c AS (SELECT *, CASE no % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,

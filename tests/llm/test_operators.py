@@ -218,6 +218,26 @@ def test_mixing(spark, docs, odd):
     assert len(rows_of(QUERIES["op6_mixing"](spark, odd))) == len(ROWS)
 
 
+def test_mixing_of_repeated_rows(spark, tmp_path):
+    """A row a thousand times over: the boundary falls between its copies, and SQL gives the same rows."""
+    import duckdb
+
+    from hostwatch.llm.oracle_text import SQL
+    same = " ".join(f"w{i}" for i in range(10))
+    rows = [(1, same, "en", "b")] * 1000 + [(1, same, "en", None)] * 3 + [(i, f"{i} " * (3 + i % 9), "en", "a") for i in range(2, 400)]
+    folder = write(spark, tmp_path, rows)
+    got = QUERIES["op6_mixing"](spark, folder).collect()
+    assert len(got) == len(rows)
+    for source, size in (("b", 10_000), (None, 30)):
+        own = [r for r in got if r.source_size == size]
+        taken, target = sum(r.taken for r in own), own[0].target
+        assert abs(taken - target) <= 10 and len({r.taken for r in own}) <= 2
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    cell = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    assert collections.Counter(map(cell, got)) == collections.Counter(map(cell, con.execute(SQL["op6_mixing"]).fetchall()))
+
+
 def test_mix_targets_reshare_until_none_is_above(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 400, "é": 0, "z": 3}
     df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long")
