@@ -90,7 +90,9 @@ def format_conversations(rows: DataFrame, visitor: PartVisitor | None = None) ->
         "turn", "role", F.array_join(F.transform("parts", lambda p: p["shown"]), "").alias("content"),
         F.filter("parts", lambda p: ~p["kind"].eqNullSafe("text")).alias("attached"),
         F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["tokens"]).alias("tokens")).alias("t"))
-    turns = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    # turns that tie are ordered by their text as it was given, not as it is escaped
+    given = lambda t: F.struct(t["turn"], t["role"], unescaped(t["content"]).alias("raw"), t["content"], t["attached"], t["tokens"])
+    turns = flat.groupBy("conv_id").agg(F.array_sort(F.transform(F.collect_list("t"), given)).alias("turns"))
     turns = turns.withColumn("shown", F.transform("turns", lambda t: F.concat(
         F.lit(OPEN), escaped(t["role"]), F.lit(ROLE_END), t["content"], F.lit(CLOSE))))
     # where each turn's content ends in the formatted string

@@ -11,7 +11,9 @@ After the last batch, keys found in ``least`` documents or more lose all lines e
 its lines are joined by broadcast, and at most 4096 keys can be that frequent.
 
 Null or empty text: one empty line, kept. Null doc_id: smaller than any other; rows of equal doc_id count as
-documents of their own and keep or lose a line alike. Empty table: empty result.
+documents of their own and keep or lose a line alike. Empty table: empty result. A very long text is one row; its lines are
+matched with its own lost keys in groups, so the work is lines times the root of the lost keys. The tables of the runs
+are dropped from the catalog at the end, also after a failure.
 """
 
 from __future__ import annotations
@@ -117,18 +119,21 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     lines = common.staged(long_lines(docs.select("doc_id", "text", salt.alias("salt")), least_chars), "lines")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = LineRuns(spark, buckets, fan)
-    cuts = batch_bounds(lines, batches)
-    edges = [None, *cuts, None]
-    for low, high in reversed(list(zip(edges[:-1], edges[1:]))):
-        part = lines
-        if low is not None:
-            part = part.filter(F.col("doc_id") > low)
-        if high is not None:
-            part = part.filter(F.col("doc_id") <= high)
-        if low is None:
-            part = part.unionByName(lines.filter(F.col("doc_id").isNull())) if high is not None else lines
-        runs.add(part)
-    found = common.staged(runs.rows().filter(F.col("docs") >= least_docs), "repeated-lines")
+    try:
+        cuts = batch_bounds(lines, batches)
+        edges = [None, *cuts, None]
+        for low, high in reversed(list(zip(edges[:-1], edges[1:]))):
+            part = lines
+            if low is not None:
+                part = part.filter(F.col("doc_id") > low)
+            if high is not None:
+                part = part.filter(F.col("doc_id") <= high)
+            if low is None:
+                part = part.unionByName(lines.filter(F.col("doc_id").isNull())) if high is not None else lines
+            runs.add(part)
+        found = common.staged(runs.rows().filter(F.col("docs") >= least_docs), "repeated-lines")
+    finally:
+        runs.close()
     total = found.agg(F.sum("docs")).first()[0] or 0
     hot_docs = max(1, total // HOT_KEYS + 1)
     hot = F.broadcast(found.filter(F.col("docs") >= hot_docs).select("h", "c", "holder", F.lit(True).alias("hot")))
@@ -141,10 +146,15 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
         F.collect_set(F.struct("h", "c")).alias("_lost"))
     out = docs.withColumn("_docsalt", salt)
     out = out.join(lost, out["doc_id"].eqNullSafe(lost["_id"]) & (out["_docsalt"] == lost["_salt"]), "left")
+    # a text's lost keys in about as many groups as the root of their number: a line looks through one group only
+    groups = F.least(F.lit(4096), F.floor(F.sqrt(F.size("_lost"))).cast("int"))
+    out = out.withColumn("_lost", F.when(F.col("_lost").isNotNull(), F.transform(
+        F.sequence(F.lit(0), groups - 1), lambda i: F.filter("_lost", lambda k: F.pmod(k["h"], groups) == i))))
+    is_lost = lambda k: F.array_contains(F.get("_lost", F.pmod(k["h"], F.size("_lost")).cast("int")), k)
     split = F.split(common.text_of(), "\n")
     pairs = F.transform(split, lambda x: F.struct(x.alias("line"), F.when(F.char_length(x) >= least_chars, line_key(x)).alias("key")))
     kept = F.transform(F.filter(pairs, lambda p: p["key"].isNull() | (F.char_length(p["key"]) < least_chars)
-                                | ~F.array_contains(F.col("_lost"), key_hash(p["key"]))), lambda p: p["line"])
+                                | ~is_lost(key_hash(p["key"]))), lambda p: p["line"])
     out = out.withColumn("_lines", F.when(F.col("_lost").isNotNull(), kept))
     n_lines = F.char_length(common.text_of()) - F.char_length(F.replace(common.text_of(), F.lit("\n"), F.lit(""))) + 1
     n_kept = F.coalesce(F.size(F.col("_lines")), F.lit(0))

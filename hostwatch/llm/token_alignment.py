@@ -3,7 +3,8 @@
 Tokenizer A is byte-level BPE, B has pieces with byte fallback and puts a blank before the text; both encode blank + text.
 Common ends are found by galloping intersection: the shorter list of ends drives, and every end of it is searched in
 the longer list by doubling steps from the last place and then by halves. The common places slice both id lists into
-groups; the differences of their ranks are the ranges that overlap, so a group of m and n ids has m * n links.
+groups; the differences of their ranks are the ranges that overlap, so a group of m and n ids has m * n links. New parts of
+texts are laid end to end, so one search runs through the ends of many parts; all else is array arithmetic.
 
 Parts. A blank between two characters that are no white space ends a token of both tokenizers, so a text is cut there and
 every distinct part of a block of documents is encoded and aligned once; other texts (white space beside a blank, a blank
@@ -25,11 +26,9 @@ by one. Input columns with the names of results give way.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import Numbering, byte_characters, spans
+from .bpe import SPLIT, Numbering, Pieces, byte_characters, spans
 
-PARTS, CHARS, ROWS = 60_000, 4_000_000, 128
+PARTS, CHARS, ROWS, TOGETHER = 120_000, 6_000_000, 128, 64
 TABLE_PAIRS = 12_000_000
+#: Runs of white space as long as this go to the library of the file's own format: the faster one cannot match very long ones.
+RUN = 2000
 #: Groups with more links than this are listed by distinct ids.
 LISTED = 64
+#: Marks a text that is one part: no part of another text begins with a blank.
+LONE = " "
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 #: Fixed value: how B writes a blank.
 MARK = "▁"
@@ -59,12 +62,15 @@ def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
     """Places of the values that both ascending lists hold."""
     at, n, mine, theirs = 0, len(long), [], []
     for place, value in enumerate(short):
-        step, high = 1, at
-        while high < n and long[high] < value:
-            at, high, step = high + 1, high + step, 2 * step
-        at = bisect_left(long, value, at, min(high, n))
         if at == n:
             break
+        if long[at] < value:
+            step, high = 1, at
+            while high < n and long[high] < value:
+                at, high, step = high + 1, high + step, 2 * step
+            at = bisect_left(long, value, at, min(high, n))
+            if at == n:
+                break
         if long[at] == value:
             mine.append(place)
             theirs.append(at)
@@ -84,42 +90,151 @@ class Tokenizers:
     """Both tokenizers with the bytes of their ids."""
 
     def __init__(self, path_a: str, path_b: str):
+        import regex
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.slow, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.slow.encode_special_tokens = True
+        self.slow.no_truncation()
+        self.slow.no_padding()
+        spec = self.slow
         of = byte_characters()
-        self.bytes_a = [bytes(of.get(c, 63) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
+        self.bytes_a = [bytes(of.get(c, 63) for c in spec.id_to_token(i) or "") for i in range(spec.get_vocab_size())]
+        special = spec.get_added_tokens_decoder()
+        self.run = regex.compile(rf"\s{{{RUN}}}")
+        # the file's vocabulary, run by the library that takes least time for it; ids follow the order of the merges
+        self.a = tiktoken.Encoding("a", pat_str=SPLIT, special_tokens={}, mergeable_ranks={
+            x: i for i, x in enumerate(self.bytes_a) if i not in special})
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode("utf-8"))
-        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-
-    def encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of blank + part by both; None where the joined bytes of either differ."""
-        of_a = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        of_b = self.b.encode(parts, num_threads=1)
-        for part, x, b in zip(parts, of_a, of_b):
-            data, a = b" " + part.encode("utf-8"), x.ids
-            same = b"".join([self.bytes_a[i] for i in a]) == data and b"".join([self.bytes_b[i] for i in b]) == data
-            yield (a, b) if same else None
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both between one common end and the next."""
-        at_a, at_b = common_ends(list(accumulate([self.size_a[i] for i in a])), list(accumulate([self.size_b[i] for i in b])))
-        out, i, j = [], 0, 0
-        for x, y in zip(at_a, at_b):
-            out.append((a[i:x + 1], b[j:y + 1]))
-            i, j = x + 1, y + 1
-        return out
+        self.pieces_a, self.pieces_b = Pieces(self.bytes_a), Pieces(self.bytes_b)
+        # ids in decimal with room for the sign behind each
+        self.shown = Pieces([f"{i},".encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))])
+
+    def ids_a(self, text: str) -> list[int]:
+        if len(text) > RUN and self.run.search(text):
+            return self.slow.encode(text, add_special_tokens=False).ids
+        return self.a.encode_ordinary(text)
+
+    def encode(self, parts: list[str], whole: list[bool] | None = None) -> "Aligned":
+        """Both tokenizers' ids of blank + part, aligned. Parts that are no whole texts are encoded ``TOGETHER`` at a time."""
+        texts, sizes, low = [], [], 0
+        alone = whole or [True] * len(parts)
+        for i in range(len(parts) + 1):
+            if i == len(parts) or alone[i] or i - low == TOGETHER:
+                if i > low:
+                    texts.append(" ".join(parts[low:i]))
+                    sizes.append(i - low)
+                low = i
+                if i < len(parts) and alone[i]:
+                    texts.append(parts[i])
+                    sizes.append(1)
+                    low = i + 1
+        data = [b" " + p.encode("utf-8") for p in parts]
+        return Aligned(self, data, texts, sizes)
+
+
+def flat_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, and how many each list has."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+class Aligned:
+    """Many parts aligned at once, as if they were one text: groups by their first ids, links and digits by part."""
+
+    def __init__(self, tokenizers: Tokenizers, data: list[bytes], texts: list[str], sizes: list[int]):
+        number = np.array(sizes, np.int64)
+        of_a, of_b = [tokenizers.ids_a(" " + t) for t in texts], tokenizers.b.encode(texts, num_threads=1)
+        bytes_of = np.fromiter(map(len, data), np.int64, len(data))
+        good = self._same(tokenizers, [b" " + t.encode("utf-8") for t in texts], of_a, of_b)
+        self.good = np.repeat(good, number)
+        if not good.all():
+            of_a, of_b = ([x if ok else [] for x, ok in zip(ids, good.tolist())] for ids in (of_a, of_b))
+        self.a, self.b = flat_ids(of_a)[0], flat_ids(of_b)[0]
+        ends_a, ends_b = np.cumsum(tokenizers.pieces_a.length[self.a]), np.cumsum(tokenizers.pieces_b.length[self.b])
+        places = common_ends(ends_a.tolist(), ends_b.tolist())
+        last_a, last_b = (np.array(x, np.int64) for x in places)
+        self.ends = ends_a[last_a]
+        self.size_a, self.size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        self.first_a, self.first_b = last_a + 1 - self.size_a, last_b + 1 - self.size_b
+        part_ends = np.cumsum(np.where(self.good, bytes_of, 0))
+        self.part = np.searchsorted(part_ends, self.ends)
+        # a part without bytes ends where the one before does
+        self.n_a, self.n_b = (np.bincount(self.part, s, len(data)).astype(np.int64) for s in (self.size_a, self.size_b))
+        self.n_groups = np.bincount(self.part, minlength=len(data))
+        links = self.size_a * self.size_b
+        total = np.concatenate(([0], np.cumsum(links)))
+        upto = np.concatenate(([0], np.cumsum(self.n_groups)))
+        self.n_links = total[upto[1:]] - total[upto[:-1]]
+        self.links = links
+        self.pieces = tokenizers.shown
+
+    @staticmethod
+    def _same(tokenizers: Tokenizers, data: list[bytes], of_a: list[list[int]], of_b: list[list[int]]) -> np.ndarray:
+        """Whether the joined bytes of both are those of each text."""
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        want, starts = np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - sizes
+        good = np.ones(len(data), bool)
+        for ids, pieces, pieces_of in ((of_a, tokenizers.pieces_a, tokenizers.bytes_a), (of_b, tokenizers.pieces_b, tokenizers.bytes_b)):
+            flat, number = flat_ids(ids)
+            found = differences(pieces.length[flat], number)
+            good &= found == sizes
+            if good.all():
+                same = pieces.data[spans(pieces.start[flat], pieces.length[flat])] == want
+                if not same.all():
+                    good &= np.logical_and.reduceat(same, starts)
+            else:                                  # lengths differ somewhere: part by part
+                texts = (b"".join(pieces_of[i] for i in x) for x in ids)
+                good &= np.fromiter((x == d for x, d in zip(texts, data)), bool, len(data))
+        return good
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Linked id pairs: part, key and how many links; small groups link by link, large ones by distinct pair."""
+        small = np.flatnonzero(self.links <= LISTED)
+        of = np.repeat(small, self.links[small])
+        within = np.arange(len(of)) - np.repeat(np.cumsum(self.links[small]) - self.links[small], self.links[small])
+        x, y = np.divmod(within, self.size_b[of])
+        part, key = self.part[of], self.a[self.first_a[of] + x] << 16 | self.b[self.first_b[of] + y]
+        times = np.ones(len(key), np.int64)
+        large = np.flatnonzero(self.links > LISTED)
+        if not len(large):
+            return part, key, times
+        parts, keys, counts = [part], [key], [times]
+        for g in large.tolist():
+            (ids_a, m), (ids_b, n) = (np.unique(ids[first:first + size], return_counts=True) for ids, first, size in (
+                (self.a, self.first_a[g], self.size_a[g]), (self.b, self.first_b[g], self.size_b[g])))
+            keys.append((ids_a[:, None] << 16 | ids_b).ravel())
+            counts.append((m[:, None] * n).ravel())
+            parts.append(np.full(len(keys[-1]), self.part[g]))
+        part, key, times = (np.concatenate(c) for c in (parts, keys, counts))
+        order = np.argsort(part, kind="stable")
+        return part[order], key[order], times[order]
+
+    def digits(self) -> list[bytes]:
+        """Ids of each part as ``a1,a2|b1;a3|b2,b3;``."""
+        count = len(self.a) + len(self.b)
+        ids, sign = np.empty(count, np.int64), np.full(count, ord(","), np.uint8)
+        group_a, group_b = (np.repeat(np.arange(len(self.links)), s) for s in (self.size_a, self.size_b))
+        at_a = np.arange(len(self.a)) + self.first_b[group_a]
+        at_b = np.arange(len(self.b)) + (self.first_a + self.size_a)[group_b]
+        ids[at_a], ids[at_b] = self.a, self.b
+        sign[at_a[self.first_a + self.size_a - 1]] = ord("|")
+        sign[at_b[self.first_b + self.size_b - 1]] = ord(";")
+        size = self.pieces.length[ids]
+        out = self.pieces.data[spans(self.pieces.start[ids], size)]
+        ends = np.cumsum(size)
+        out[ends - 1] = sign
+        shown, cuts = out.tobytes(), np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(self.n_a + self.n_b)))].tolist()
+        return [shown[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
 
 
 def cut(text: str, whole) -> list[str]:
-    """Parts of a text: without the blank before each."""
-    return [text] if whole.search(" " + text) else text.split(" ")
+    """Parts of a text, without the blank before each; a text that is one part bears a mark in front."""
+    return [LONE + text] if whole.search(" " + text) else text.split(" ")
 
 
 class Block:
@@ -128,42 +243,31 @@ class Block:
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers, self.parts, self.chars, self.done = tokenizers, [], 0, 0
         self.number = Numbering(self.parts, "")
-        self.a, self.b, self.groups, self.links, self.pairs = (array("q") for _ in range(5))
-        self.key, self.times, self.shown, self.bad = array("q"), array("q"), [], set()
+        self.by_part: dict[str, list[np.ndarray]] = {c: [] for c in ("n_a", "n_b", "n_groups", "n_links", "pairs", "key", "times")}
+        self.shown: list[bytes] = []
+        self.bad: set[int] = set()
         self.rows: list[pa.Array] = []
         self.docs: list[np.ndarray] = []
         self.digests: list[str] = []
 
     def align_parts(self) -> None:
         new = self.parts[self.done:]
+        if not new:
+            return
         self.chars += sum(map(len, new))
-        for number, both in enumerate(self.tokenizers.encode(new), self.done):
-            if both is None:
-                self.bad.add(number)
-                found = []
-            else:
-                found = self.tokenizers.groups(*both)
-            links, listed, shown = 0, len(self.key), []
-            for a, b in found:
-                size = len(a) * len(b)
-                links += size
-                if size <= LISTED:
-                    self.key.extend([x << 16 | y for x in a for y in b])
-                    self.times.extend([1] * size)
-                else:
-                    of_b = Counter(b).items()
-                    for x, m in Counter(a).items():
-                        self.key.extend([x << 16 | y for y, _ in of_b])
-                        self.times.extend([m * n for _, n in of_b])
-                shown.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-            self.a.append(len(both[0]) if both else 0)
-            self.b.append(len(both[1]) if both else 0)
-            self.groups.append(len(found))
-            self.links.append(links)
-            self.pairs.append(len(self.key) - listed)
-            self.shown.append(";".join(shown))
+        lone = [p[:1] == LONE for p in new]
+        found = self.tokenizers.encode([p[1:] if x else p for p, x in zip(new, lone)], lone)
+        self.bad.update((np.flatnonzero(~found.good) + self.done).tolist())
+        part, key, times = found.pairs()
+        for c, values in (("n_a", found.n_a), ("n_b", found.n_b), ("n_groups", found.n_groups), ("n_links", found.n_links),
+                          ("pairs", np.bincount(part, minlength=len(new))), ("key", key), ("times", times)):
+            self.by_part[c].append(values.astype(np.int64))
+        self.shown.extend(found.digits())
         self.done = len(self.parts)
 
+    def values(self, column: str) -> np.ndarray:
+        return np.concatenate(self.by_part[column]) if self.by_part[column] else np.empty(0, np.int64)
+
     def add(self, texts: list[str | None], rows: pa.Array, whole) -> None:
         numbers = [[self.number[p] for p in cut(t, whole)] if t else [] for t in texts]
         self.align_parts()
@@ -171,7 +275,8 @@ class Block:
             if self.bad and not self.bad.isdisjoint(own):
                 own = []
             self.docs.append(np.array(own, np.int32))
-            self.digests.append(hashlib.sha256(";".join([self.shown[i] for i in own]).encode()).hexdigest() if own else "")
+            # the last part ends with a sign between groups, which the whole does not have
+            self.digests.append(hashlib.sha256(b"".join([self.shown[i] for i in own])[:-1]).hexdigest() if own else "")
         self.rows.append(rows)
 
     def full(self) -> bool:
@@ -179,8 +284,9 @@ class Block:
 
     def row(self, name: str) -> pa.RecordBatch:
         """The block as one row."""
-        keys, place = np.unique(np.frombuffer(self.key, np.int64), return_inverse=True)
-        size, at = np.array(self.pairs, np.int64), np.concatenate(([0], np.cumsum(self.pairs, dtype=np.int64)))
+        keys, place = np.unique(self.values("key"), return_inverse=True)
+        size = self.values("pairs")
+        at = np.cumsum(size) - size
         held, scratch = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for own in self.docs:
             own = np.unique(own)
@@ -189,14 +295,9 @@ class Block:
             held[linked[scratch[linked] == order]] += 1
         lengths = np.array([len(d) for d in self.docs], np.int64)
         flat = np.concatenate(self.docs) if len(self.docs) else np.empty(0, np.int32)
-
-        def sums(values: array) -> np.ndarray:
-            return differences(np.frombuffer(values, np.int64)[flat], lengths)
-
         lists = {"rows": pa.concat_arrays(self.rows), "digests": pa.array(self.digests, pa.string()), "lengths": lengths, "numbers": flat,
-                 **{c: sums(v) for c, v in (("n_a", self.a), ("n_b", self.b), ("n_groups", self.groups), ("n_links", self.links))},
-                 "pairs": size, "places": place.astype(np.int32), "times": np.frombuffer(self.times, np.int64),
-                 "keys": keys, "held": held}
+                 **{c: differences(self.values(c)[flat], lengths) for c in ("n_a", "n_b", "n_groups", "n_links")},
+                 "pairs": size, "places": place.astype(np.int32), "times": self.values("times"), "keys": keys, "held": held}
         columns = [pa.array([name])]
         for values in lists.values():
             values = values if isinstance(values, pa.Array) else pa.array(values)
@@ -313,12 +414,18 @@ def aligned_groups(docs: DataFrame, keep: list[str] | None = None, paths: tuple[
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     kind = pa.list_(pa.struct([("end", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 
-    def align_text(tokenizers: Tokenizers, text: str | None) -> list[dict]:
-        both = next(tokenizers.encode([text])) if text else None
-        out, end = [], 0
-        for a, b in tokenizers.groups(*both) if both else ():
-            end += sum(tokenizers.size_a[i] for i in a)
-            out.append({"end": end, "a": a, "b": b})
+    def align_texts(tokenizers: Tokenizers, texts: list[str | None]) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in texts]
+        at = [i for i, t in enumerate(texts) if t]
+        if not at:
+            return out
+        found = tokenizers.encode([texts[i] for i in at])
+        begin = np.cumsum(differences(tokenizers.pieces_a.length[found.a], found.n_a))
+        begin = np.concatenate(([0], begin)).tolist()
+        for g, part in enumerate(found.part.tolist()):
+            i, j = found.first_a[g], found.first_b[g]
+            out[at[part]].append({"end": int(found.ends[g]) - begin[part], "a": found.a[i:i + found.size_a[g]].tolist(),
+                                  "b": found.b[j:j + found.size_b[g]].tolist()})
         return out
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +433,7 @@ def aligned_groups(docs: DataFrame, keep: list[str] | None = None, paths: tuple[
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS):
                 own = batch.slice(low, ROWS)
-                found = pa.array([align_text(tokenizers, t) for t in own.column("text_").to_pylist()], kind)
+                found = pa.array(align_texts(tokenizers, own.column("text_").to_pylist()), kind)
                 yield pa.RecordBatch.from_arrays([*[own.column(c) for c in keep], found], [*keep, "groups"])
 
     rows = docs.select(*keep, F.col("text").alias("text_"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,7 @@ from .test_operators import ROWS, SF, docs, none, odd  # noqa: F401
 
 TRICKY = ["", " ", "a ", " a", "a  b", "a\n b", "a \nb", "a\nb", "x\t y", "a▁b c", "a b▁", "<s> </s> <unk> <|endoftext|> <0x41>", "a\x00b c",
           "日本語 テキスト 😀😀 한국어 😀", "é café", "\u0085 a", "a b  c", "a  b", "a᠎ b", "\x1c a \x1f", "ﬁ ½ Å",
-          "don't we'll I'm it's 'tis 's", "1234567 3.14 $%& ###", "a" * 3000, "      many     blanks   ", "\n\n\n", "ab " * 500 + "cd", None]
+          "don't we'll I'm it's 'tis 's", "1234567 3.14 $%& ###", "a" * 3000, "      many     blanks   ", "\n\n\n", "ab " * 500 + "cd", "x" + " " * 2500 + "y\n" + "\n" * 300_000 + "z", None]
 
 
 @pytest.fixture(scope="module")
@@ -26,19 +27,22 @@ def both():
 
 def brute(tokenizers, rows):
     """{(doc_id, text): result} from whole texts, with ends as sets and every link listed."""
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(ta.tokenizer_paths()[0])
+    library.encode_special_tokens = True
     found, counts = [], collections.Counter()
     for doc, text in rows:
         own = None
         if text:
-            a = tokenizers.a.encode(" " + text, add_special_tokens=False).ids
+            a = library.encode(" " + text, add_special_tokens=False).ids
             b = tokenizers.b.encode(text)
             data = (" " + text).encode()
             if all(b"".join(t[i] for i in ids) == data for t, ids in ((tokenizers.bytes_a, a), (tokenizers.bytes_b, b))):
                 ends = []
-                for ids, size in ((a, tokenizers.size_a), (b, tokenizers.size_b)):
+                for ids, pieces in ((a, tokenizers.bytes_a), (b, tokenizers.bytes_b)):
                     at, own_ends = 0, []
                     for i in ids:
-                        at += size[i]
+                        at += len(pieces[i])
                         own_ends.append(at)
                     ends.append(own_ends)
                 cuts = sorted(set(ends[0]) & set(ends[1]))
@@ -108,13 +112,10 @@ def test_gallop(a, b):
 
 
 def test_large_groups_by_distinct_ids(both):
-    block = ta.Block(both)
-    a, b = [1, 2] * 20, [3] * 30
-    both_groups, both_encode = both.groups, both.encode
-    try:
-        both.groups, both.encode = (lambda x, y: [(x, y)]), (lambda parts: iter([(a, b)]))
-        block.parts.append("x")
-        block.align_parts()
-    finally:
-        both.groups, both.encode = both_groups, both_encode
-    assert list(zip(block.key, block.times)) == [(1 << 16 | 3, 600), (2 << 16 | 3, 600)] and block.links[0] == 1200
+    """One group of many ids: distinct pairs with the number of their links."""
+    found = both.encode(["x", "y"])
+    found.a, found.b = np.array([1, 2] * 20 + [7]), np.array([3] * 30 + [8])
+    found.part, found.first_a, found.first_b = np.array([0, 1]), np.array([0, 40]), np.array([0, 30])
+    found.size_a, found.size_b, found.links = np.array([40, 1]), np.array([30, 1]), np.array([1200, 1])
+    part, key, times = found.pairs()
+    assert list(zip(part, key, times)) == [(0, 1 << 16 | 3, 600), (0, 2 << 16 | 3, 600), (1, 7 << 16 | 8, 1)]

@@ -251,11 +251,30 @@ def test_mixed_documents_keep_their_columns(spark, odd):
     assert out.columns == docs.columns and out.count() > 0
 
 
+def test_tied_turns_are_ordered_by_their_text(spark):
+    texts = ["<s>", "<a", "</s>", "[INST]", "z"]
+    rows = [(1, 0, "user", t) for t in texts]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.read_back(chat_format.format_conversations(df.select(
+        "conv_id", "turn", "role", chat_format.text_part(common.F.col("text")).alias("parts")))).first()
+    assert [t["content"] for t in out.turns] == sorted(texts)
+
+
 def check_lines(rows, texts):
     want = collections.Counter((d, n, gone, brute.sha(kept)) for (d, _), (kept, n, gone) in zip(texts, brute.kept_lines(texts)))
     assert collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in rows) == want
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    """Texts of many lost lines; no run is left in the catalog."""
+    lines = [f"shared line number {i} of the texts" for i in range(20_000)]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([(d, text + f"\nown {d}") for d in (1, 2, 3)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_lines(df).collect()}
+    assert got == {1: ("own 1", 20_000), 2: ("own 2", 20_000), 3: (text + "\nown 3", 0)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 def test_line_dedup(spark, docs, odd):
     check_lines(rows_of(QUERIES["op7_line_dedup"](spark, SF)), docs)
     check_lines(rows_of(QUERIES["op7_line_dedup"](spark, odd)), [r[:2] for r in ROWS])
