@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 from hostwatch.llm import bpe, common, jaccard_join, language_id, line_dedup, mixing
 
 
+#: Least score of a text that fits a learned language: none of its n-grams is in any profile at 0.
+LEAST_FIT = 1e-9
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (``und``: null text or no letter) go; all others stay as they are."""
+    """Documents without a language go: null texts, those without a letter, and those as far as can be from every
+    learned language. Where no row is labelled, documents with a letter stay. All others stay as they are."""
     profiles = language_id.learn(docs.filter(~language_id.held_out(4)).select("lang", "text"))
+    if not profiles:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = language_id.predict(docs.select(F.struct(*docs.columns).alias("row_"), "text"), profiles, keep=["row_"])
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select("row_.*")
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_FIT)).select("row_.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
