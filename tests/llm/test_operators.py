@@ -32,6 +32,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, si
 def write(spark, folder, rows):
     full = [(*r, None if r[1] is None else len(r[1]), "s", 1, "l", 2, 3) for r in rows]
     spark.createDataFrame(full, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    labels = [(0, 1, 0, "x"), (1, 0, 1, "x"), (1, 1, 0, "x"), (None, 1, 1, "x"), (5, None, None, "x"), (8, 7, 1, "x"), (99, 1, 1, "x")]
+    spark.createDataFrame(labels if rows else [], "doc_id long, quality int, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
     return str(folder)
 
 
