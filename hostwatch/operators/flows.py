@@ -43,6 +43,28 @@ def sessions(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
                          {"flow_no": F.col("iat_us").isNull().cast("long")})
 
 
+SUMS = ("lo_bytes", "hi_bytes", "lo_pkts", "hi_pkts", *FLAGS)
+
+
+def piece_width(timeout_seconds: int, chunk_us: int | None = None) -> int:
+    """Microseconds of a chunk: no more than the timeout and 2,000 s."""
+    timeout_us = timeout_seconds * 1_000_000
+    return max(1, min(chunk_us or max(timeout_us // 12, 1_000_000), timeout_us, 2_000_000_000))
+
+
+def piece_sums() -> list[Column]:
+    """Aggregates of the packets of a piece that need no order."""
+    at, lo, size = F.struct("ts_us", "packet_no"), F.col("from_lo"), F.col("payload_len").cast("long")
+    syn_lo, syn_hi = lo & (F.col("syn") == 1), ~lo & (F.col("syn") == 1)
+    return [
+        F.min_by(F.struct("from_lo", "src_ip", "src_port", "dst_ip", "dst_port"), at).alias("first"),
+        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
+        F.sum(F.when(lo, size).otherwise(0)).alias("lo_bytes"), F.sum(F.when(~lo, size).otherwise(0)).alias("hi_bytes"),
+        F.count_if(lo).alias("lo_pkts"), F.count_if(~lo).alias("hi_pkts"), *[F.sum(F.col(f).cast("long")).alias(f) for f in FLAGS],
+        F.min(F.when(syn_lo, F.struct(at.alias("at"), "tcp_win"))).alias("lo_syn"),
+        F.min(F.when(syn_hi, F.struct(at.alias("at"), "tcp_win"))).alias("hi_syn")]
+
+
 def flow_pieces(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS, chunk_us: int | None = None) -> DataFrame:
     """One summary per (endpoint pair, chunk of time): what a flow needs to know of those packets.
 
@@ -50,24 +72,11 @@ def flow_pieces(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
     and last time are known. Packets are shuffled once and never read again. Chunks of at most 2,000 s keep the sum of squared
     gaps in a LONG: gaps in a chunk add up to its width at most.
     """
-    timeout_us = timeout_seconds * 1_000_000
-    chunk_us = min(chunk_us or max(timeout_us // 12, 1_000_000), timeout_us, 2_000_000_000)
-    px = with_pair(packets).withColumn("chunk", floor_div("ts_us", max(1, chunk_us)))
+    px = with_pair(packets).withColumn("chunk", floor_div("ts_us", piece_width(timeout_seconds, chunk_us)))
     order = Window.partitionBy(*PAIR, "chunk").orderBy("ts_us", "packet_no")
     px = px.withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(order))
-    at = F.struct("ts_us", "packet_no")
-    lo, size = F.col("from_lo"), F.col("payload_len").cast("long")
-    syn_lo, syn_hi = lo & (F.col("syn") == 1), ~lo & (F.col("syn") == 1)
     return px.groupBy(*PAIR, "chunk").agg(
-        F.min_by(F.struct("from_lo", "src_ip", "src_port", "dst_ip", "dst_port"), at).alias("first"),
-        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
-        F.sum(F.when(lo, size).otherwise(0)).alias("lo_bytes"),
-        F.sum(F.when(~lo, size).otherwise(0)).alias("hi_bytes"),
-        F.count_if(lo).alias("lo_pkts"), F.count_if(~lo).alias("hi_pkts"),
-        *[F.sum(F.col(f).cast("long")).alias(f) for f in FLAGS],
-        F.sum(F.col("_gap") * F.col("_gap")).alias("gap_sq"), F.max("_gap").alias("gap_max"),
-        F.min(F.when(syn_lo, F.struct(at.alias("at"), "tcp_win"))).alias("lo_syn"),
-        F.min(F.when(syn_hi, F.struct(at.alias("at"), "tcp_win"))).alias("hi_syn"))
+        *piece_sums(), F.sum(F.col("_gap") * F.col("_gap")).alias("gap_sq"), F.max("_gap").alias("gap_max"))
 
 
 def assemble_flows(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
@@ -85,12 +94,16 @@ def assemble_flows(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECON
     pieces = pieces.withColumn("_join", F.when(gap <= timeout_us, gap))
     pieces = pieces.withColumn("flow_no", F.sum(F.col("_join").isNull().cast("long")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    flows = pieces.groupBy(*PAIR, "flow_no").agg(
+    return finish_flows(pieces.groupBy(*PAIR, "flow_no").agg(
         F.min_by("first", "chunk").alias("first"), F.min("start_us").alias("start_us"), F.max("end_us").alias("_end_us"),
-        *[F.sum(c).alias(c) for c in ("lo_bytes", "hi_bytes", "lo_pkts", "hi_pkts", *FLAGS)],
+        *[F.sum(c).alias(c) for c in SUMS],
         F.greatest(F.max("gap_max"), F.max("_join")).cast("double").alias("iat_max"),
         (F.coalesce(F.sum(wide("gap_sq")), F.lit(0)) + F.coalesce(F.sum(wide("_join") * wide("_join")), F.lit(0))).alias("_sq"),
-        F.min("lo_syn")["tcp_win"].alias("lo_win"), F.min("hi_syn")["tcp_win"].alias("hi_win"))
+        F.min("lo_syn")["tcp_win"].alias("lo_win"), F.min("hi_syn")["tcp_win"].alias("hi_win")))
+
+
+def finish_flows(flows: DataFrame) -> DataFrame:
+    """The canonical columns of merged flows: forward is the side that sent the first packet."""
     # gaps add up to the duration: their variance is exact up to the last division
     gaps, span = (F.col("lo_pkts") + F.col("hi_pkts") - 1), F.col("_end_us") - F.col("start_us")
     exact = gaps.cast("decimal(12,0)") * F.col("_sq").cast("decimal(26,0)") - span.cast("decimal(19,0)") * span.cast("decimal(19,0)")

@@ -936,9 +936,7 @@ FROM (SELECT split, count(*) AS n, sum(y) AS p FROM v_scored GROUP BY 1)"""
 _STREAMS = {
     "window_features_stream": f"SELECT src_ip, window_id, {feat_list(FEATS)} {{}} FROM v_pkt_feat JOIN v_sent_feat USING (src_ip, window_id)",
     "port_spread_stream": f"SELECT src_ip, window_id, {feat_list(['distinct_dst_ports', 'port_entropy'])} {{}} FROM v_pkt_feat",
-    "assemble_flows_stream": """
-SELECT start_us, src_ip, dst_ip, src_port, dst_port, protocol, duration, fwd_bytes, bwd_bytes, fwd_pkts, bwd_pkts, syn, ack, fin, rst, psh, urg,
-  round(iat_mean,6)+0.0 AS iat_mean {} FROM v_pflows"""}
+    "assemble_flows_stream": QUERIES["assemble_flows"].replace("FROM", "{} FROM", 1)}
 for _name, _sql in _STREAMS.items():
     QUERIES[_name] = _sql.format("")
     QUERIES[f"{_name}_closed"] = _sql.format(", CAST(0 AS BIGINT) AS n_dropped_late")

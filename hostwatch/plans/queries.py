@@ -430,10 +430,11 @@ def time_order(v):
 
 @query
 def assemble_flows(v):
-    flows = FL.assemble_flows(v.conversations(), SETTINGS.flow_timeout_seconds)
-    for c in ("duration", "iat_mean", "iat_std", "iat_max"):  # microseconds shown as seconds
-        flows = flows.withColumn(c, F.col(c) / 1e6)
-    return flows
+    return _in_seconds(FL.assemble_flows(v.conversations(), SETTINGS.flow_timeout_seconds))
+
+
+def _in_seconds(flows):
+    return flows.withColumns({c: F.col(c) / 1e6 for c in ("duration", "iat_mean", "iat_std", "iat_max")})
 
 
 @query
@@ -1044,8 +1045,8 @@ def _flow_stream(v, name):
     live = Views(v.spark, v.sf_dir)
     packets = _stream_packets(v)
     live.packets = lambda: packets
-    return _run_closed(v, name, lambda p: SJ.assemble_flows_stream(p, "1 hour", SETTINGS.flow_timeout_seconds),
-                       live.conversations(), SETTINGS.flow_timeout_seconds * 1_000_000)
+    return _in_seconds(_run_closed(v, name, lambda p: SJ.assemble_flows_stream(p, "1 hour", SETTINGS.flow_timeout_seconds),
+                                   live.conversations(), SETTINGS.flow_timeout_seconds * 2_000_000))
 
 
 @query
