@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import common
 from .bpe import SPLIT, Numbering, Pieces, byte_characters, spans
 
-PARTS, CHARS, ROWS, TOGETHER = 120_000, 6_000_000, 128, 64
+PARTS, CHARS, ROWS, TOGETHER = 90_000, 6_000_000, 128, 64
 TABLE_PAIRS = 12_000_000
 #: Runs of white space as long as this go to the library of the file's own format: the faster one cannot match very long ones.
 RUN = 2000
@@ -297,12 +297,25 @@ class Block:
         flat = np.concatenate(self.docs) if len(self.docs) else np.empty(0, np.int32)
         lists = {"rows": pa.concat_arrays(self.rows), "digests": pa.array(self.digests, pa.string()), "lengths": lengths, "numbers": flat,
                  **{c: differences(self.values(c)[flat], lengths) for c in ("n_a", "n_b", "n_groups", "n_links")},
-                 "pairs": size, "places": place.astype(np.int32), "times": self.values("times"), "keys": keys, "held": held}
-        columns = [pa.array([name])]
+                 "pairs": size.astype(np.int32), "places": place.astype(np.int32), "times": self.values("times"), "keys": keys}
+        columns = []
         for values in lists.values():
             values = values if isinstance(values, pa.Array) else pa.array(values)
             columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-        return pa.RecordBatch.from_arrays(columns, ["block", *lists])
+        whole = pa.RecordBatch.from_arrays(columns, list(lists))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(whole)
+        # the body is one value to Spark's readers, which would hold lists of so many numbers several times over
+        return pa.RecordBatch.from_arrays(
+            [pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), whole.column("keys"),
+             pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held))], ["block", "body", "keys", "held"])
+
+
+def read_body(body: bytes):
+    """Access to the lists of a block by name."""
+    whole = pa.ipc.open_stream(body).read_next_batch()
+    return lambda c: whole.column(c).flatten()
 
 
 def differences(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -314,10 +327,7 @@ def differences(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def blocks(docs: DataFrame, keep: list[str], paths: tuple[str, str]) -> DataFrame:
     """All documents as blocks, staged. A task makes a block after the other and holds one at a time."""
-    kept = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = (f"block string, rows array<struct<{kept}>>, digests array<string>, lengths array<long>, numbers array<int>, n_a array<long>, "
-              "n_b array<long>, n_groups array<long>, n_links array<long>, pairs array<long>, places array<int>, times array<long>, "
-              "keys array<long>, held array<long>")
+    schema = "block string, body binary, keys array<long>, held array<long>"
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -350,30 +360,29 @@ def align(docs: DataFrame, keep: list[str] | None = None, paths: tuple[str, str]
     made = blocks(docs, keep, paths or tokenizer_paths())
     table = common.staged(pair_counts(made).filter("n > 1"), "pairs")
     most = table.groupBy(F.shiftright("key", 16).cast("int").alias("a")).agg(F.max("n").alias("most"))
-    return (count_sent if table.count() <= table_pairs else count_joined)(made, table, most, keep)
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return (count_sent if table.count() <= table_pairs else count_joined)(made, table, most, keep, kept)
 
 
-def results(made: DataFrame, keep: list[str], counts) -> DataFrame:
+def results(made: DataFrame, keep: list[str], kept: str, counts) -> DataFrame:
     """Rows of documents from blocks; ``counts`` gives each distinct pair's count and whether it is its A id's highest."""
-    kept = "".join(f"`{c}` {made.schema['rows'].dataType.elementType[c].dataType.simpleString()}, " for c in keep)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                of = lambda c: batch.column(c).slice(i, 1).flatten()
+                of = read_body(batch.column("body")[i].as_py())
                 pairs, lengths, times = (of(c).to_numpy() for c in ("pairs", "lengths", "times"))
-                n, best = counts(of)
+                n, best = counts(of("keys").to_numpy(), batch, i)
                 place, numbers = of("places").to_numpy(), of("numbers").to_numpy()
                 by_part = [differences(times * x[place], pairs)[numbers] for x in (best.astype(np.int64), n)]
-                rows = of("rows")
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.flatten(), *[of(c) for c in RESULTS[:4]], *[pa.array(differences(x, lengths)) for x in by_part], of("digests")],
-                    [*keep, *RESULTS])
+                    [*of("rows").flatten(), *[of(c) for c in RESULTS[:4]], *[pa.array(differences(x, lengths)) for x in by_part],
+                     of("digests")], [*keep, *RESULTS])
 
     return made.mapInArrow(total, f"{kept}" + ", ".join(f"{c} long" for c in RESULTS[:-1]) + f", {RESULTS[-1]} string")
 
 
-def count_sent(made: DataFrame, table: DataFrame, most: DataFrame, keep: list[str]) -> DataFrame:
+def count_sent(made: DataFrame, table: DataFrame, most: DataFrame, keep: list[str], kept: str) -> DataFrame:
     """Counts from a table that every task gets."""
     found = table.orderBy("key").toArrow().combine_chunks()
     keys, n = (found.column(c).to_numpy() for c in ("key", "n"))
@@ -383,27 +392,27 @@ def count_sent(made: DataFrame, table: DataFrame, most: DataFrame, keep: list[st
     small = n.astype(np.int32) if not len(n) or n.max() < 1 << 31 else n
     sent = made.sparkSession.sparkContext.broadcast((keys.astype(np.uint32), small, top))
 
-    def counts(of) -> tuple[np.ndarray, np.ndarray]:
+    def counts(own: np.ndarray, batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
         keys, n, top = sent.value
-        own = of("keys").to_numpy()
         out = np.ones(len(own), np.int64)
         if len(keys):
             at = np.minimum(np.searchsorted(keys, own.astype(np.uint32)), len(keys) - 1)
             out = np.where(keys[at] == own, n[at], out).astype(np.int64)
         return out, out == top[own >> 16]
 
-    return results(made.drop("held"), keep, counts)
+    return results(made.select("body"), keep, kept, counts)
 
 
-def count_joined(made: DataFrame, table: DataFrame, most: DataFrame, keep: list[str]) -> DataFrame:
+def count_joined(made: DataFrame, table: DataFrame, most: DataFrame, keep: list[str], kept: str) -> DataFrame:
     """Counts joined to the distinct pairs of every block by a shuffle, back in their places."""
     tops = F.broadcast(most)                       # at most one row for each id of A's vocabulary
     own = made.select("block", F.posexplode("keys").alias("place", "key")).join(table, "key", "left").fillna(1, ["n"])
     own = own.withColumn("a", F.shiftright("key", 16).cast("int")).join(tops, "a", "left").fillna(1, ["most"])
     own = own.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "n", (F.col("n") == F.col("most")).alias("best")))).alias("of_"))
-    both = made.drop("held").join(own, "block", "left").withColumns(
+    both = made.select("block", "body").join(own, "block", "left").withColumns(
         {"n_": F.coalesce("of_.n", F.array().cast("array<bigint>")), "best_": F.coalesce("of_.best", F.array().cast("array<boolean>"))}).drop("of_")
-    return results(both, keep, lambda of: (of("n_").to_numpy(), of("best_").to_numpy(zero_copy_only=False)))
+    of = lambda batch, i, c: batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+    return results(both, keep, kept, lambda own, batch, i: (of(batch, i, "n_"), of(batch, i, "best_")))
 
 
 def aligned_groups(docs: DataFrame, keep: list[str] | None = None, paths: tuple[str, str] | None = None) -> DataFrame:
