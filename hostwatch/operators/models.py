@@ -187,9 +187,14 @@ def head_on_snapshot(rows: DataFrame, features: list[str], n_benign: int, seed=S
 
 def isotonic_calibrate(rows: DataFrame, column: str = "score", fit_split: str = "val",
                        name: str = "probability") -> DataFrame:
-    """Monotone calibration fitted on one split, clipped outside; never used for thresholds."""
-    est = IsotonicRegression(featuresCol=column, labelCol="y", predictionCol=name)
-    return est.fit(rows.filter(F.col("split") == fit_split).withColumn("y", F.col("y").cast("double"))).transform(rows)
+    """Monotone calibration fitted on one split, clipped outside; never used for thresholds.
+
+    The fit ends in one pass over what it is given: one weighted row per distinct score, not per window.
+    """
+    est = IsotonicRegression(featuresCol=column, labelCol="y", predictionCol=name, weightCol="weight")
+    per_score = rows.filter(F.col("split") == fit_split).groupBy(column).agg(
+        F.avg(F.col("y").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return est.fit(per_score).transform(rows)
 
 
 def fuse_stack(rows: DataFrame, members: list[str], fit_split: str = "val", name: str = "score") -> DataFrame:

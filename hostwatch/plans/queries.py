@@ -422,10 +422,9 @@ def merge_features(v):
 @query
 def time_order(v):
     """Stable time order of each capture's packets as an explicit position."""
-    from ..functions.columns import floor_div
-    from ..operators.ordered import row_numbers
-    p = v.packets().select("src_ip", "ts_us", "packet_no")
-    return row_numbers(p, [], floor_div("ts_us", 86_400_000_000), [F.col("ts_us"), F.col("packet_no")], "position")
+    from ..operators.ordered import row_numbers, with_quantile_chunk
+    p = with_quantile_chunk(v.packets().select("src_ip", "ts_us", "packet_no"), "ts_us", "part")
+    return row_numbers(p, [], F.col("part"), [F.col("ts_us"), F.col("packet_no")], "position").drop("part")
 
 
 @query
@@ -972,7 +971,10 @@ def fit_boosted_trees(v):
 
 @query
 def fit_horizon_heads(v):
-    return ML.fit_horizon_heads(_labelled(v), ML_FEATURES, GRID, (0, 4), BUDGETS, "trees", trees=2, depth=3)[1]
+    """Heads of every horizon and both variants, written to the versioned store and read back from it."""
+    path = table_path(v.spark, f"{v.version}/heads/{uuid.uuid4().hex}")
+    ST.write_heads(*ML.fit_horizon_heads(_labelled(v), ML_FEATURES, GRID, HORIZON_STEPS, BUDGETS, "trees", trees=2, depth=3), path)
+    return ST.read_thresholds(v.spark, path)
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hostwatch.config import Grid
 from hostwatch.operators import metrics as me
 from hostwatch.operators import models as ml
+from hostwatch.sources import stores as st
 
 GRID = Grid()
 FEATS = ["p", "q", "flat"]
@@ -72,6 +73,31 @@ def test_horizon_heads_have_their_own_thresholds(labelled):
     assert rows["full", 15].seconds_ahead == 75 and rows["full", 0].val_auroc > .8
 
 
+def test_store_of_heads_and_thresholds(spark, labelled, tmp_path):
+    """Versions are kept apart, heads score as before, a missing key raises."""
+    path = str(tmp_path / "heads")
+    heads, table = ml.fit_horizon_heads(labelled, FEATS, GRID, (0, 15), (.05, .2), "logistic")
+    with pytest.raises(FileNotFoundError):
+        st.read_thresholds(spark, path)
+    assert st.write_heads(heads, table, path) == 1
+    assert st.write_heads(heads, table.withColumn("threshold", F.col("threshold") + 1), path) == 2
+    want = {(r.variant, r.k, r.budget): r.threshold for r in table.collect()}
+    assert len(want) == 8
+    for (variant, k, budget), threshold in want.items():
+        assert st.threshold_for(spark, path, variant, k, budget, 1) == pytest.approx(threshold)
+        assert st.threshold_for(spark, path, variant, k, budget) == pytest.approx(threshold + 1)
+    with pytest.raises(KeyError, match="full/4"):
+        st.threshold_for(spark, path, "full", 4, .05)
+    with pytest.raises(KeyError, match="flow/1"):
+        st.read_head(spark, path, "flow", 1)
+    with pytest.raises(FileNotFoundError):
+        st.read_thresholds(spark, path, 7)
+    rows = ml.assemble_split(labelled, "train", FEATS)[0]
+    a, b = (ml.score(m, rows, FEATS).agg(F.sum("score")).first()[0] for m in (heads["full", 0], st.read_head(spark, path, "full", 0)))
+    assert a == pytest.approx(b)
+
+
+
 def test_explanations(spark, labelled):
     train, scaler = ml.assemble_split(labelled, "train", FEATS)
     lin = ml.explain_linear(labelled, {"p": 2.0, "q": -1.0, "flat": 5.0}, scaler, 2).filter("rank = 1").collect()
