@@ -155,8 +155,8 @@ def word_table(docs: DataFrame, path: str, special: dict[str, int]) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))],
                                              ["word", "n", "ids"])
 
-    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    coded = common.staged(counts.mapInArrow(encode, "word string, n long, ids array<int>"), "words")
+    counts = docs.select("text").mapInArrow(common.releasing(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    coded = common.staged(counts.mapInArrow(common.releasing(encode), "word string, n long, ids array<int>"), "words")
     return coded.withColumn("key", F.xxhash64("word"))
 
 
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, path: str | None = None, table_bytes: int = TABLE_BY
 
     extra = {"decoded": "string"} if decoded and complete else {} if complete else {"rare_": "array<string>"}
     names = [*others, "ids", *extra]
-    out = docs.select(*others, "text").mapInArrow(look_up, f"{fields}ids array<int>" + "".join(f", {k} {v}" for k, v in extra.items()))
+    out = docs.select(*others, "text").mapInArrow(common.releasing(look_up), f"{fields}ids array<int>" + "".join(f", {k} {v}" for k, v in extra.items()))
     if complete:
         return out
     return decode(put_back(out, table), path) if decoded else put_back(out, table)
@@ -332,7 +332,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
             texts = pa.array((table.text(ids[a:b]) for a, b in zip(at[:-1], at[1:])), pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], texts], [*others, "decoded"])
 
-    return coded.mapInArrow(joined, f"{fields}decoded string")
+    return coded.mapInArrow(common.releasing(joined), f"{fields}decoded string")
 
 
 def digests(docs: DataFrame, keep_ids: bool = False) -> DataFrame:

@@ -26,6 +26,28 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def release_memory() -> None:
+    """Give what a Python worker no longer uses back to the system: workers stay for tasks of later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:                 # a C library without it
+        pass
+
+
+def releasing(function):
+    """``function`` over batches, after whose last batch memory is given back."""
+    def run(batches):
+        yield from function(batches)
+        release_memory()
+    return run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

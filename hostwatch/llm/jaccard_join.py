@@ -169,7 +169,7 @@ def post_prefixes(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray) -> Da
                     pa.array((np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)),
                     pa.array(order >= top + np.uint64(first_long))], ["token", "set_id", "n", "pos", "long"])
 
-    return docs.select("text").mapInArrow(post, "token long, set_id long, n int, pos int, long boolean")
+    return docs.select("text").mapInArrow(common.releasing(post), "token long, set_id long, n int, pos int, long boolean")
 
 
 def may_link(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -219,7 +219,7 @@ def walk_lists(postings: DataFrame) -> DataFrame:
 
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = postings.repartition(parts, "token").sortWithinPartitions("token", "n", "set_id", "pos")
-    return ordered.mapInArrow(walk, "token long, set_id long, n int, pos int, other long")
+    return ordered.mapInArrow(common.releasing(walk), "token long, set_id long, n int, pos int, other long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = hubs.unionByName(others).repartition(parts, "hub", "block").sortWithinPartitions("hub", "block", F.col("other").asc_nulls_first())
-    return common.staged(met.mapInArrow(compare, "hub long, other long, hub_n long, other_n long, shared long"), "verified")
+    return common.staged(met.mapInArrow(common.releasing(compare), "hub long, other long, hub_n long, other_n long, shared long"), "verified")
 
 
 def linked(shared, n, m):

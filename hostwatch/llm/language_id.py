@@ -108,7 +108,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         values, counts = counted(np.concatenate(parts))
         return pd.DataFrame({"lang": lang, "gram": values.astype(np.int64), "n": counts.astype(np.int64)})
 
-    return docs.select("lang", "text").mapInPandas(add_up, "lang string, gram long, n long").groupBy("lang", "gram").agg(
+    return docs.select("lang", "text").mapInPandas(common.releasing(add_up), "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
 
 
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
                 [*[batch.column(c) for c in names], pa.array([x[0] for x in found], pa.string()),
                  pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.select(*names, *(["text"] if "text" not in names else [])).mapInArrow(guess, f"{fields}lang_pred string, score double")
+    return docs.select(*names, *(["text"] if "text" not in names else [])).mapInArrow(common.releasing(guess), f"{fields}lang_pred string, score double")
 
 
 def held_out(mod: int, rest: int = 2):

@@ -345,7 +345,7 @@ def blocks(docs: DataFrame, keep: list[str], paths: tuple[str, str]) -> DataFram
             yield block.row(f"{TaskContext.get().partitionId()}-{made}")
 
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row_"), F.col("text").alias("text_"))
-    return common.staged(rows.mapInArrow(fill, schema), "alignment")
+    return common.staged(rows.mapInArrow(common.releasing(fill), schema), "alignment")
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
@@ -379,7 +379,7 @@ def results(made: DataFrame, keep: list[str], kept: str, counts) -> DataFrame:
                     [*of("rows").flatten(), *[of(c) for c in RESULTS[:4]], *[pa.array(differences(x, lengths)) for x in by_part],
                      of("digests")], [*keep, *RESULTS])
 
-    return made.mapInArrow(total, f"{kept}" + ", ".join(f"{c} long" for c in RESULTS[:-1]) + f", {RESULTS[-1]} string")
+    return made.mapInArrow(common.releasing(total), f"{kept}" + ", ".join(f"{c} long" for c in RESULTS[:-1]) + f", {RESULTS[-1]} string")
 
 
 def count_sent(made: DataFrame, table: DataFrame, most: DataFrame, keep: list[str], kept: str) -> DataFrame:
@@ -446,7 +446,7 @@ def aligned_groups(docs: DataFrame, keep: list[str] | None = None, paths: tuple[
                 yield pa.RecordBatch.from_arrays([*[own.column(c) for c in keep], found], [*keep, "groups"])
 
     rows = docs.select(*keep, F.col("text").alias("text_"))
-    return rows.mapInArrow(find, f"{kept}groups array<struct<end: bigint, a: array<int>, b: array<int>>>")
+    return rows.mapInArrow(common.releasing(find), f"{kept}groups array<struct<end: bigint, a: array<int>, b: array<int>>>")
 
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:

@@ -258,7 +258,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
                     [*[own.column(c) for c in names], pa.array(found, pa.float64()),
                      pa.array((found >= cut).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
 
-    return docs.select(*names, *(["text"] if "text" not in names else [])).mapInArrow(rate, f"{fields}score double, predicted int")
+    return docs.select(*names, *(["text"] if "text" not in names else [])).mapInArrow(common.releasing(rate), f"{fields}score double, predicted int")
 
 
 def in_fold(mod: int, rest: int):
