@@ -130,6 +130,7 @@ def finish_flows(flows: DataFrame) -> DataFrame:
 
 
 _STRETCH = 4096          # windows that one task puts in order
+_SHORT = 32              # a flow that covers fewer windows whole gives each of them its own row
 _SPREAD = ("fwd_bytes", "fwd_pkts", *FLAGS)
 _COUNTED = ("n", "win_n", "win_sum", "server")
 
@@ -173,9 +174,9 @@ def flows_to_windows(flows: DataFrame, grid: Grid, server_ports=SERVER_PORTS,
     ``average_sentinel`` keeps -1 ("no SYN seen") in the SYN window mean.
 
     Difference arrays: a flow gives one row for each window that it covers in part (at most n_bins at
-    either end, and one more) and two for all windows that it covers whole: its rate is added at the first of them and taken away
-    behind the last. Rates are decimals, so what is added is taken away exactly. Running sums over the windows of a source give what holds
-    in each, stretch by stretch; only the result has a row per window.
+    either end, and one more) and two for all windows that it covers whole, if they are 32 or more: its rate is added at the first of
+    them and taken away behind the last. Whether a window is covered follows from whole numbers, so rounding adds no row. Running sums over
+    the windows of a source give what holds in each, stretch by stretch; only the result has a row per window.
     """
     start, dur, size, stride = F.col("start_us"), F.col("duration"), grid.window_us, grid.stride_us
     win = F.col("init_win_fwd").cast("long")
@@ -184,7 +185,7 @@ def flows_to_windows(flows: DataFrame, grid: Grid, server_ports=SERVER_PORTS,
         (win if average_sentinel else F.when(win >= 0, win)).alias("_win"),
         is_server_port("src_port", server_ports).cast("long").alias("server")), grid)
     spans = spans.withColumn("_a", floor_div(start + (stride - 1), stride)).withColumn("_b", floor_div(F.col("_end") - size, stride))
-    whole = F.coalesce(F.col("_timed") & (F.col("_a") <= F.col("_b")), F.lit(False))
+    whole = F.coalesce(F.col("_timed") & (F.col("_b") - F.col("_a") >= _SHORT), F.lit(False))
     seq = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
     edge = F.when(whole, F.concat(seq(F.col("_lo"), F.col("_a") - 1), seq(F.col("_b") + 1, F.col("_hi")))).otherwise(
         F.sequence("_lo", "_hi"))
@@ -197,14 +198,14 @@ def flows_to_windows(flows: DataFrame, grid: Grid, server_ports=SERVER_PORTS,
     frac = F.when(F.col("_timed"), overlap / dur).otherwise(F.lit(1.0))
     here = lambda c: F.sum(F.when(sign == 0, c))
     step = lambda c: F.sum(F.when(sign != 0, c * sign))
-    rate = lambda c: (F.col(c) * (F.lit(float(size)) / dur)).cast("decimal(28,12)")
+    rate = lambda c: (F.col(c) * (F.lit(float(size)) / dur))
     counts = {"n": F.lit(1).cast("long"), "win_n": F.col("_win").isNotNull().cast("long"),
               "win_sum": F.coalesce("_win", F.lit(0)).cast("long"), "server": F.col("server")}
     zero = F.lit(0).cast("long")
     at = rows.groupBy("src_ip", "window_id").agg(
         *[F.coalesce(here(F.col(c) * frac), F.lit(0.0)).alias(f"p_{c}") for c in _SPREAD],
         *[F.coalesce(here(v), zero).alias(f"p_{c}") for c, v in counts.items()],
-        *[F.coalesce(F.sum(F.when(sign != 0, rate(c) * sign)), F.lit(0)).cast("decimal(38,12)").alias(f"d_{c}") for c in _SPREAD],
+        *[F.coalesce(F.sum(F.when(sign != 0, rate(c) * sign)), F.lit(0.0)).alias(f"d_{c}") for c in _SPREAD],
         *[F.coalesce(step(v), zero).alias(f"d_{c}") for c, v in counts.items()])
     every = at.unionByName(_peer_steps(spans).groupBy("src_ip", "window_id").agg(F.sum("peers").alias("d_peers")), allowMissingColumns=True)
     steps = [*_SPREAD, *_COUNTED, "peers"]
