@@ -129,7 +129,7 @@ def finish_flows(flows: DataFrame) -> DataFrame:
     )
 
 
-_STRETCH = 4096          # windows that one task puts in order
+_STRETCH = 4096          # windows in one list
 _SHORT = 32              # a flow that covers fewer windows whole gives each of them its own row
 _SPREAD = ("fwd_bytes", "fwd_pkts", *FLAGS)
 _COUNTED = ("n", "win_n", "win_sum", "server")
@@ -146,24 +146,17 @@ def _window_span(flows: DataFrame, grid: Grid) -> DataFrame:
     return out.filter(~F.col("_timed") | (F.col("_end") > start))
 
 
-def _peer_steps(spans: DataFrame) -> DataFrame:
-    """(src_ip, window_id, peers): where the number of distinct destinations of a source goes up or down.
+def _peer_spans(spans: DataFrame) -> DataFrame:
+    """(src_ip, b, hi): windows b..hi in which a source meets a destination; those of one destination do not overlap.
 
-    The spans of one (source, destination) are reduced to the longest per first window; each then counts
-    for the windows beyond all earlier ones. Earlier ones are looked at inside a stretch of windows and, for the rest, as one
-    number per stretch.
+    Spans are reduced to the longest per (source, destination, first window) before they are put in order, so a task
+    holds a row per window of a pair at most; each then counts for the windows beyond all earlier ones.
     """
     pair = ["src_ip", "dst_ip"]
-    rows = spans.groupBy(*pair, F.col("_lo").alias("lo")).agg(F.max("_hi").alias("hi")).withColumn("_s", floor_div("lo", _STRETCH))
-    ahead = Window.partitionBy(*pair).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy(*pair, "_s").agg(F.max("hi").alias("_far")).select(*pair, "_s", F.max("_far").over(ahead).alias("_far"))
-    local = Window.partitionBy(*pair, "_s").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_near", F.max("hi").over(local)).join(carried, [*pair, "_s"])
-    begin = F.greatest("lo", F.col("_near") + 1, F.col("_far") + 1)
-    rows = rows.select("src_ip", begin.alias("b"), "hi").filter("b <= hi")
-    return rows.select("src_ip", F.inline(F.array(
-        F.struct(F.col("b").alias("window_id"), F.lit(1).cast("long").alias("peers")),
-        F.struct((F.col("hi") + 1).alias("window_id"), F.lit(-1).cast("long").alias("peers")))))
+    rows = spans.groupBy(*pair, F.col("_lo").alias("lo")).agg(F.max("_hi").alias("hi"))
+    earlier = Window.partitionBy(*pair).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.greatest("lo", F.max("hi").over(earlier) + 1)
+    return rows.select("src_ip", begin.alias("b"), "hi").filter("b <= hi")
 
 
 def flows_to_windows(flows: DataFrame, grid: Grid, server_ports=SERVER_PORTS,
@@ -175,8 +168,8 @@ def flows_to_windows(flows: DataFrame, grid: Grid, server_ports=SERVER_PORTS,
 
     Difference arrays: a flow gives one row for each window that it covers in part (at most n_bins at
     either end, and one more) and two for all windows that it covers whole, if they are 32 or more: its rate is added at the first of
-    them and taken away behind the last. Whether a window is covered follows from whole numbers, so rounding adds no row. Running sums over
-    the windows of a source give what holds in each, stretch by stretch; only the result has a row per window.
+    them and taken away behind the last. Whether a window is covered follows from whole numbers, so rounding adds no row. Only sources
+    with such long flows (or long spans of a destination) need running sums; they are added to the rows of single windows.
     """
     start, dur, size, stride = F.col("start_us"), F.col("duration"), grid.window_us, grid.stride_us
     win = F.col("init_win_fwd").cast("long")
@@ -189,65 +182,52 @@ def flows_to_windows(flows: DataFrame, grid: Grid, server_ports=SERVER_PORTS,
     seq = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
     edge = F.when(whole, F.concat(seq(F.col("_lo"), F.col("_a") - 1), seq(F.col("_b") + 1, F.col("_hi")))).otherwise(
         F.sequence("_lo", "_hi"))
-    kinds = F.transform(edge, lambda w: F.struct(w.alias("window_id"), F.lit(0).alias("sign")))
-    ends = F.array(F.struct(F.col("_a").alias("window_id"), F.lit(1).alias("sign")),
-                   F.struct((F.col("_b") + 1).alias("window_id"), F.lit(-1).alias("sign")))
-    rows = spans.select("*", F.inline(F.when(whole, F.concat(kinds, ends)).otherwise(kinds)))
-    w0, sign = F.col("window_id") * F.lit(stride), F.col("sign")
-    overlap = F.least(F.col("_end"), w0 + size) - F.greatest(start, w0)
-    frac = F.when(F.col("_timed"), overlap / dur).otherwise(F.lit(1.0))
-    here = lambda c: F.sum(F.when(sign == 0, c))
-    step = lambda c: F.sum(F.when(sign != 0, c * sign))
-    rate = lambda c: (F.col(c) * (F.lit(float(size)) / dur))
     counts = {"n": F.lit(1).cast("long"), "win_n": F.col("_win").isNotNull().cast("long"),
               "win_sum": F.coalesce("_win", F.lit(0)).cast("long"), "server": F.col("server")}
     zero = F.lit(0).cast("long")
-    at = rows.groupBy("src_ip", "window_id").agg(
-        *[F.coalesce(here(F.col(c) * frac), F.lit(0.0)).alias(f"p_{c}") for c in _SPREAD],
-        *[F.coalesce(here(v), zero).alias(f"p_{c}") for c, v in counts.items()],
-        *[F.coalesce(F.sum(F.when(sign != 0, rate(c) * sign)), F.lit(0.0)).alias(f"d_{c}") for c in _SPREAD],
-        *[F.coalesce(step(v), zero).alias(f"d_{c}") for c, v in counts.items()])
-    every = at.unionByName(_peer_steps(spans).groupBy("src_ip", "window_id").agg(F.sum("peers").alias("d_peers")), allowMissingColumns=True)
-    steps = [*_SPREAD, *_COUNTED, "peers"]
-    return _running_windows(every.fillna(0), steps, [*_SPREAD, *_COUNTED])
-
-
-def _running_windows(every: DataFrame, steps: list[str], points: list[str]) -> DataFrame:
-    """Rows per window from steps (d_*), which hold until the next step, and points (p_*), which hold in one window."""
-    both = [*[f"d_{c}" for c in steps], *[f"p_{c}" for c in points]]
-    every = every.withColumn("_s", floor_div("window_id", _STRETCH))
-    # every stretch has a row at its first window, from which what came before goes on
-    opening = every.select("src_ip", "_s").distinct().select(
-        "src_ip", (F.col("_s") * _STRETCH).alias("window_id"), *[F.lit(0).cast(every.schema[c].dataType).alias(c) for c in both], "_s")
-    every = every.unionByName(opening).groupBy("src_ip", "_s", "window_id").agg(*[F.sum(c).alias(c) for c in both])
-    local, along = Window.partitionBy("src_ip", "_s").orderBy("window_id"), Window.partitionBy("src_ip").orderBy("_s")
-    sums = every.groupBy("src_ip", "_s").agg(*[F.sum(f"d_{c}").alias(f"t_{c}") for c in steps])
-    upto, until = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select("src_ip", "_s", F.lead("_s").over(along).alias("_next"),
-                       *[F.coalesce(F.sum(f"t_{c}").over(upto), F.lit(0)).alias(f"b_{c}") for c in steps],
-                       *[F.sum(f"t_{c}").over(until).alias(f"u_{c}") for c in steps])
-    own = every.withColumn("_to", F.coalesce(F.lead("window_id").over(local), (F.col("_s") + 1) * _STRETCH)).select(
-        "*", *[F.sum(f"d_{c}").over(local.rowsBetween(Window.unboundedPreceding, 0)).alias(f"r_{c}") for c in steps])
-    own = own.join(sums.drop(*[f"u_{c}" for c in steps], "_next"), ["src_ip", "_s"])
-    held = {c: F.col(f"b_{c}") + F.col(f"r_{c}") for c in steps}
-    ids = F.when(held["n"] > 0, F.sequence("window_id", F.col("_to") - 1)).otherwise(F.array("window_id"))
-    first = lambda c: F.when(F.col("_at") == 0, F.col(f"p_{c}")).otherwise(F.lit(0))
-    own = own.select("src_ip", *[v.alias(f"h_{c}") for c, v in held.items()], *[f"p_{c}" for c in points],
-                     F.posexplode(ids).alias("_at", "_id"))
-    own = own.select("src_ip", F.col("_id").alias("window_id"), F.col("h_peers").alias("peers"), *[
-        (F.col(f"h_{c}").cast("double" if c in _SPREAD else "long") + first(c)).alias(c) for c in points])
-    # whole stretches without a step, while something still holds
-    gaps = sums.filter((F.col("u_n") > 0) & (F.col("_next") > F.col("_s") + 1)).select(
-        "*", F.explode(F.sequence(F.col("_s") + 1, F.col("_next") - 1)).alias("_g"))
-    gaps = gaps.select("*", F.explode(F.sequence(F.col("_g") * _STRETCH, (F.col("_g") + 1) * _STRETCH - 1)).alias("window_id")).select(
-        "src_ip", "window_id", F.col("u_peers").alias("peers"), *[F.col(f"u_{c}").cast("double" if c in _SPREAD else "long").alias(c) for c in points])
-    rows = own.unionByName(gaps).filter("n > 0")
-    return rows.select(
+
+    rows = spans.select("*", F.explode(edge).alias("window_id"))
+    w0 = F.col("window_id") * F.lit(stride)
+    frac = F.when(F.col("_timed"), (F.least(F.col("_end"), w0 + size) - F.greatest(start, w0)) / dur).otherwise(F.lit(1.0))
+    rows = rows.select("src_ip", "window_id", *[(F.col(c) * frac).alias(c) for c in _SPREAD],
+                       *[v.alias(c) for c, v in counts.items()], zero.alias("peers"))
+
+    def up_and_down(first, behind, values: dict[str, Column]) -> Column:
+        """Two rows: the values at window ``first``, and their opposites at window ``behind``."""
+        return F.inline(F.array(*[F.struct(at.alias("window_id"), *[(v * sign).alias(c) for c, v in values.items()])
+                                  for at, sign in ((first, 1), (behind, -1))]))
+
+    rate = {c: F.col(c) * (F.lit(float(size)) / dur) for c in _SPREAD}
+    steps = spans.filter(whole).select("src_ip", up_and_down(F.col("_a"), F.col("_b") + 1, {**rate, **counts, "peers": zero}))
+    peers, short = _peer_spans(spans), F.col("hi") - F.col("b") < _SHORT
+    nothing = {**{c: F.lit(0.0) for c in _SPREAD}, **{c: zero for c in _COUNTED}}
+    one = F.lit(1).cast("long")
+    steps = steps.unionByName(peers.filter(~short).select("src_ip", up_and_down(F.col("b"), F.col("hi") + 1, {**nothing, "peers": one})))
+    met = peers.filter(short).select("src_ip", F.explode(F.sequence("b", "hi")).alias("window_id"),
+                                     *[v.alias(c) for c, v in nothing.items()], one.alias("peers"))
+    out = rows.unionByName(met).unionByName(_running_windows(steps, [*_SPREAD, *_COUNTED, "peers"]))
+    out = out.groupBy("src_ip", "window_id").agg(*[F.sum(c).alias(c) for c in (*_SPREAD, *_COUNTED, "peers")]).filter("n > 0")
+    return out.select(
         "src_ip", "window_id", F.col("fwd_bytes").alias("sent_bytes"), F.col("fwd_pkts").alias("sent_pkts"), *FLAGS,
         F.greatest(ratio(F.col("win_sum"), F.col("win_n")), F.lit(0.0)).alias("syn_win_mean"),
         ratio(F.col("server"), F.col("n")).alias("server_port_ratio"), F.col("peers").alias("distinct_dst_ips"))
 
 
+def _running_windows(steps: DataFrame, columns: list[str]) -> DataFrame:
+    """What holds in each window, from steps that hold until the next one; windows in which nothing holds have no row.
+
+    Steps are summed per (source, window) before a source's are put in order: a task holds a row per window at most.
+    """
+    along = Window.partitionBy("src_ip").orderBy("window_id")
+    every = steps.groupBy("src_ip", "window_id").agg(*[F.sum(c).alias(c) for c in columns])
+    held = every.select("src_ip", "window_id", (F.lead("window_id").over(along) - 1).alias("_to"),
+                        *[F.sum(c).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in columns])
+    held = held.filter("(n > 0 OR peers > 0) AND _to >= window_id").select(   # no list is longer than a stretch
+        "*", F.explode(F.sequence(floor_div("window_id", _STRETCH), floor_div("_to", _STRETCH))).alias("_s"))
+    low, high = F.greatest("window_id", F.col("_s") * _STRETCH), F.least("_to", F.col("_s") * _STRETCH + (_STRETCH - 1))
+    return held.select("src_ip", F.explode(F.sequence(low, high)).alias("window_id"), *columns)
+
+
 def role_features(flows: DataFrame, key: bytes, server_ports=SERVER_PORTS,
                   buckets: int = NET24_BUCKETS) -> DataFrame:
     """Per host: internal flag, /24 bucket, share of its own ports that are server ports."""
