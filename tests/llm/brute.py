@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import re
+import unicodedata
 import zlib
 
+import xxhash
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -95,3 +99,56 @@ def targets(sizes):
         left -= sum(out[s] for s in over)
         free -= over
     return out
+
+
+def branches_of(text):
+    """Sections of a text as sets of (digest, leaves): the tree of op1 in plain Python."""
+    paragraphs, found = [[]], []
+    for leaf in re.findall(r"[^.!?\n]{1,48}[.!?\n]*|[.!?\n]+", text):
+        paragraphs[-1].append(sha(leaf))
+        if leaf.endswith("\n\n") or (leaf.endswith("\n") and xxhash.xxh64_intdigest(leaf.encode(), 42) % 8 == 0):
+            found.append(paragraphs)
+            paragraphs = [[]]
+        elif leaf.endswith("\n"):
+            paragraphs.append([])
+    found.append(paragraphs)
+    return [(sha("".join(sha("".join(p)) for p in s)), tuple(x[:16] for p in s for x in p)) for s in found]
+
+
+def likeness(one, other):
+    a, b = set(branches_of(one)), set(branches_of(other))
+    same = sum(len(x) for _, x in a & b)
+    here, there = ({leaf for _, x in s for leaf in x} for s in (a - b, b - a))
+    whole = 2 * same + len(here) + len(there)
+    return 2 * (same + len(here & there)) / whole if whole else 1.0
+
+
+def language_ranks(text):
+    """n-grams of one to three letters of a text in order of frequency, then of code points."""
+    grams = collections.Counter()
+    for letters, word in itertools.groupby((text or "").lower(), lambda c: unicodedata.category(c)[0] == "L"):
+        if not letters:
+            continue
+        points = [32, *map(ord, word), 32]
+        grams.update((0, 0, p) for p in points[1:-1])
+        grams.update((0, a, b) for a, b in zip(points, points[1:]))
+        grams.update(zip(points, points[1:], points[2:]))
+    return grams
+
+
+def languages(rows, size, held):
+    """doc_id -> (language, score) of rows (doc_id, text, lang), by profiles of those not held out."""
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    learned = collections.defaultdict(collections.Counter)
+    for d, text, lang in rows:
+        if lang is not None and not held(d):
+            learned[lang].update(language_ranks(text))
+    learned = {k: c for k, c in learned.items() if c}
+    places = {k: {g: i for i, g in enumerate(order(c))} for k, c in learned.items()}
+    out = {}
+    for d, text, _ in rows:
+        own = order(language_ranks(text))
+        away = {k: sum(min(abs(p[g] - i), size) if g in p else size for i, g in enumerate(own)) for k, p in places.items()}
+        best = min(sorted(away), key=away.get) if own and away else "und"
+        out[d] = (best, 1 - away[best] / (size * len(own)) if own and away else 0.0)
+    return out

@@ -76,6 +76,8 @@ def test_fingerprints(spark, docs, odd):
         assert got[d]["n_chars"] == len(text) and got[d]["edited_sha256"] == brute.sha(edited)
         assert prints.setdefault(text, got[d]["fingerprint"]) == got[d]["fingerprint"]
         assert prints.setdefault(edited, got[d]["edited_fingerprint"]) == got[d]["edited_fingerprint"]
+        assert got[d]["near_edited"] == pytest.approx(brute.likeness(text, edited))
+        assert got[d]["near_next"] == pytest.approx(brute.likeness(text, order[(i + 1) % len(order)][1]))
     assert len(set(prints.values())) == len(prints)
     assert sum(r["near_edited"] > 0.5 for r in got.values()) > 0.8 * len(got)
     found = rows_of(QUERIES["op1_fingerprints"](spark, odd))
@@ -409,6 +411,36 @@ def test_exact_dedup_parts_texts_whose_digests_collide(spark, odd):
     assert sorted(r.group_size for r in out) == sorted(n for n in norm.values() for _ in range(n)) and sum(r.kept for r in out) == len(norm)
 
 
+def test_exact_dedup_resumes_after_a_stop(spark, tmp_path):
+    """A second run on the same checkpoint reads new files alone and goes on from the state on disk."""
+    prints, checkpoint = str(tmp_path / "prints"), str(tmp_path / "state")
+
+    def add(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        exact_dedup.fingerprints(df, common.F.struct(common.F.lit("f").alias("file"), common.F.col("doc_id").alias("row"))).write.mode("append").parquet(prints)
+
+    def run():
+        schema = spark.read.parquet(prints).schema
+        exact_dedup.run_stream(spark.readStream.schema(schema).parquet(prints), checkpoint)
+        return sorted((r.group_size, -r.keep.minus_id) for r in exact_dedup.state_table(spark, checkpoint).collect())
+
+    add([(7, "same text"), (3, "same text"), (5, "other")])
+    assert run() == [(1, 5), (2, 3)]
+    assert run() == [(1, 5), (2, 3)]
+    add([(2, "sametext"), (9, "same  text"), (1, "new")])
+    assert run() == [(1, 1), (1, 5), (4, 9)]
+
+
+@pytest.mark.parametrize("odd_rows", [False, True])
+def test_language_id_against_plain_ranks(spark, odd, odd_rows):
+    sf = odd if odd_rows else SF
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute.languages(rows, language_id.PROFILE, lambda d: brute.in_fold(d, 4))
+    for r in rows_of(QUERIES["op10_language_id"](spark, sf)):
+        if r["doc_id"] is not None:             # two odd rows have no id
+            assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1]), r
+
+
 def test_language_id(spark, odd):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: (r.lang, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
