@@ -168,6 +168,21 @@ def test_more_replicates_than_lanes_and_any_function(spark, grouped):
     assert [c[x] for x in names] == pytest.approx([d[x] for x in names]) and c.n_usable == n_rep
 
 
+def test_draws_are_no_rows_and_pass_no_driver(spark, grouped):
+    """Draws are counted in many tasks, in stretches of groups, never exploded to rows nor broadcast; they follow the portable hash."""
+    keys, n_rep = ["model", "split"], 1000
+    plan = bs.draw_counts(grouped, keys, n_rep)._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(1, 1000" not in plan and f", {bs._DRAW_TASKS})" in plan and "SortMergeJoin" in plan
+    size, lane = 23, 1
+    pairs = spark.range(1, size + 1).select("id", F.explode(F.sequence(F.lit(51), F.lit(57))).alias("r"))
+    text = F.concat_ws(":", F.lit("7"), F.col("r").cast("string"), F.col("id").cast("string"))
+    number = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long") % size
+    found = {(d.no, d.r): d["count"] for d in pairs.groupBy(number.alias("no"), "r").count().collect()}
+    whole = bs._drawn(7, lane, size, 0, size, 57)
+    assert {(g, lane * bs.LANES + j + 1): n for (g, j), n in np.ndenumerate(whole) if n} == found
+    assert (np.concatenate([bs._drawn(7, lane, size, 0, 10, 57), bs._drawn(7, lane, size, 10, size, 57)]) == whole).all()
+
+
 def test_bootstrap_refusals(spark, grouped):
     keys = ["model", "split"]
     one = bs.auroc_interval(grouped.withColumn("group_id", F.lit("x")), keys, 5).first()
