@@ -118,6 +118,14 @@ def test_year_long_flow(spark):
     assert n == ids == 365 * 86400 // 5 + 2 and most == 2 and size == pytest.approx(3 * (1e9 + 100))
 
 
+def test_flows_are_spread_after_the_shuffle(spark, tmp_path):
+    """Flows are shuffled, not their windows: rows of single windows are made and summed in one task."""
+    spark.createDataFrame([flow(7 * S, 61.0 * S)], FLOW).write.parquet(str(tmp_path / "f"))
+    plan = fl.flows_to_windows(spark.read.parquet(str(tmp_path / "f")), GRID)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Exchange")]
+    assert "Generate explode(sequence(_first" in above and "HashAggregate" in above
+
+
 def test_packets_are_shuffled_once(spark, tmp_path):
     """One exchange carries packets, one their summaries; nothing is joined."""
     packets(spark, [packet(0, 0), packet(1, S)]).write.parquet(str(tmp_path / "p"))
