@@ -11,29 +11,44 @@ from ..functions.times import parse_timestamp
 
 # Texts that count as an empty cell.
 EMPTY_TEXTS = ("", "#N/A", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+# Texts that are surely a number, and texts that surely are none (a letter or sign that no number has, or two dots).
+NUMBER = r"^[+-]?[0-9]{1,300}(\.[0-9]{1,300})?$"
+NO_NUMBER = r"[^\x00-\x20\x7F-\uFFFF0-9+\-.a-fA-FxXpPiInNtTyY]|\..*\."
 
 
-def _cell(name: str) -> Column:
-    text = F.trim(F.col(f"`{name}`"))
+def _cell(raw: Column) -> Column:
+    text = F.trim(raw)
     return F.when(text.isin(list(EMPTY_TEXTS)), F.lit(None)).otherwise(text)
 
 
+def is_number(text: Column) -> Column:
+    """True where the cast to double gives a number or an infinity, else false.
+
+    A failed cast costs an exception, so it is tried only on texts whose characters leave it open.
+    """
+    value = text.try_cast("double")
+    return F.when(text.isNull(), False).when(text.rlike(NUMBER), True).when(text.rlike(NO_NUMBER), False).otherwise(
+        value.isNotNull() & ~F.isnan(value))
+
+
 def read_flow_csv(spark: SparkSession, path: str, label: str = FLOW_COLUMNS["label"],
                   adoption_ratio: float = NUMERIC_ADOPTION_RATIO) -> DataFrame:
     """Strip header names, drop repeated header rows, adopt numeric columns, infinities to NULL.
 
-    One aggregate over the file decides which columns are numeric (a row of ratios).
+    One aggregate over the file decides which columns are numeric (a row per column). It goes over the cells as rows of a
+    (column, cell): an expression for each of many columns makes a method that the JVM does not compile.
     """
     raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"')
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     if label not in raw.columns:
         raise ValueError(f"{path} has no {label!r} column after header cleanup")
     rows = raw.filter(F.coalesce(F.trim(F.col(f"`{label}`")), F.lit("")) != label)
-    cells = rows.select(*[_cell(c).alias(c) for c in rows.columns])
+    cells = rows.select(*[_cell(F.col(f"`{c}`")).alias(c) for c in rows.columns])
+    each = rows.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in rows.columns])).alias("at", "raw"))
+    each = each.select("at", _cell(F.col("raw")).alias("cell"))
+    counts = each.groupBy("at").agg(F.try_divide(F.count_if(is_number(F.col("cell"))), F.count("cell")).alias("ratio")).collect()
+    ratios = {c: None for c in rows.columns} | {rows.columns[r["at"]]: r["ratio"] for r in counts}
     parsed = lambda c: F.col(f"`{c}`").try_cast("double")
-    ratios = cells.agg(*[
-        F.try_divide(F.count(F.when(parsed(c).isNotNull() & ~F.isnan(parsed(c)), 1)), F.count(F.col(f"`{c}`"))).alias(c)
-        for c in cells.columns]).first()
     finite = lambda c: F.when(F.abs(parsed(c)) < float("inf"), parsed(c))
     return cells.select(*[
         (finite(c) if ratios[c] is not None and ratios[c] >= adoption_ratio else F.col(f"`{c}`")).alias(c)
