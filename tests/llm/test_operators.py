@@ -7,6 +7,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hostwatch.llm import (bpe, chat_format, common, exact_dedup, fingerprints, jaccard_join, language_id, line_dedup, lm_scoring,
@@ -343,6 +344,36 @@ def test_lm_training_windows_hold_every_subword(spark, docs):
     assert collections.Counter(i for w in windows for i in w[1:]) == pieces
 
 
+def test_lm_counting_encodes_few_words_at_once_and_gives_memory_back(spark, monkeypatch):
+    """Encoded words take much room until their ids are read; a worker that stays must not keep it."""
+    class Tokenizer:
+        most = 0
+
+        def encode_batch(self, texts, add_special_tokens):
+            self.most = max(self.most, len(texts))
+            return [type("Encoded", (), {"ids": [ord(x) for x in t]}) for t in texts]
+
+    words, pieces = lm_scoring.Words(), lm_scoring.Pieces(bpe.tokenizer_path())
+    words.of(" ".join(f"w{i}" for i in range(20_000)))
+    pieces.tokenizer = Tokenizer()
+    pieces.grow(words)
+    assert pieces.tokenizer.most <= lm_scoring.TOGETHER < 20_000 and len(pieces.start) == len(words) + 1
+    assert pieces.of(np.array([20_000]))[0].tolist() == [ord(x) for x in " w19999"]
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):  # noqa: N802
+            return function
+
+    released = []
+    monkeypatch.setattr(common, "release_memory", lambda: released.append(1))
+    rows = list(lm_scoring.count_corpus(Docs(), bpe.tokenizer_path())(iter([pa.RecordBatch.from_pydict(
+        {"doc_id": list(range(600)), "text": ["some words"] * 600})])))
+    assert released == [1] and sum(r.num_rows for r in rows if r.column("kind")[0].as_py() == "window") == 600
+
+
 def test_lm_round_is_one_pass(spark, docs):
     df = spark.createDataFrame(docs[:20], "doc_id long, text string")
     path = bpe.tokenizer_path()
