@@ -60,14 +60,14 @@ def flow(start, dur, size=100.0, win=-1, dst=2):
 
 
 def test_long_flow_is_spread_not_dumped(spark):
-    w = fl.flows_to_windows(spark.createDataFrame([flow(100 * S, 40.0 * S, 40000.0)], FLOW), GRID)
+    w = fl.fl.flows_to_windows(spark.createDataFrame([flow(100 * S, 40.0 * S, 40000.0)], FLOW), GRID)
     sizes = [r.sent_bytes for r in w.collect()]
     assert max(sizes) < 20000 and sum(sizes) == pytest.approx(3 * 40000)
 
 
 @pytest.mark.parametrize("dur", [0.0, None, float("nan"), float("inf"), -5.0])
 def test_untimed_flow_counts_in_full(spark, dur):
-    w = fl.flows_to_windows(spark.createDataFrame([flow(7 * S, dur)], FLOW), GRID)
+    w = fl.fl.flows_to_windows(spark.createDataFrame([flow(7 * S, dur)], FLOW), GRID)
     assert sorted((r.window_id, r.sent_bytes) for r in w.collect()) == [(-1, 100.0), (0, 100.0), (1, 100.0)]
 
 
@@ -99,7 +99,7 @@ def test_spread_equals_a_row_per_window(spark):
         dur = r.choice([0.0, None, float("nan"), 0.4, 3.0 * S, 14.9 * S, 15.0 * S, 20.0 * S, 61.0 * S, 700.5 * S, 90_000.0 * S])
         rows.append((r.randrange(2000) * S // 2, r.randint(1, 3), r.randint(1, 4), r.choice([443, 5000]), 80, dur, r.random() * 1e6,
                      r.randint(1, 50), r.randint(0, 1), 0, 0, 0, 1, 0, r.choice([-1, 100, 9000])))
-    got = {(x.src_ip, x.window_id): x for x in fl.flows_to_windows(spark.createDataFrame(rows, FLOW), GRID).collect()}
+    got = {(x.src_ip, x.window_id): x for x in fl.fl.flows_to_windows(spark.createDataFrame(rows, FLOW), GRID).collect()}
     want = exploded(rows, GRID)
     assert got.keys() == want.keys()
     for key, own in want.items():
@@ -112,7 +112,7 @@ def test_spread_equals_a_row_per_window(spark):
 
 def test_year_long_flow(spark):
     year = 365 * 86400.0 * S
-    w = fl.flows_to_windows(spark.createDataFrame([flow(100 * S, year, 1e9), flow(100 * S + int(year) // 2, 5.0 * S, dst=3)], FLOW), GRID)
+    w = fl.fl.flows_to_windows(spark.createDataFrame([flow(100 * S, year, 1e9), flow(100 * S + int(year) // 2, 5.0 * S, dst=3)], FLOW), GRID)
     from pyspark.sql import functions as F
     n, size, most, ids = w.agg(F.count("*"), F.sum("sent_bytes"), F.max("distinct_dst_ips"), F.count_distinct("window_id")).first()
     assert n == ids == 365 * 86400 // 5 + 2 and most == 2 and size == pytest.approx(3 * (1e9 + 100))
@@ -121,7 +121,7 @@ def test_year_long_flow(spark):
 def test_flows_are_spread_after_the_shuffle(spark, tmp_path):
     """Flows are shuffled, not their windows: rows of single windows are made and summed in one task."""
     spark.createDataFrame([flow(7 * S, 61.0 * S)], FLOW).write.parquet(str(tmp_path / "f"))
-    plan = fl.flows_to_windows(spark.read.parquet(str(tmp_path / "f")), GRID)._jdf.queryExecution().executedPlan().toString()
+    plan = fl.fl.flows_to_windows(spark.read.parquet(str(tmp_path / "f")), GRID)._jdf.queryExecution().executedPlan().toString()
     above = plan[:plan.index("Exchange")]
     assert "Generate explode(sequence(_first" in above and "HashAggregate" in above
 
@@ -139,3 +139,30 @@ def test_role_features(spark):
     df = spark.createDataFrame(rows, "src_ip long, dst_ip long, src_port int, dst_port int")
     got = {r.host: r for r in fl.role_features(df, b"k").collect()}
     assert got["10.0.0.1"].server_port_ratio == 0.75 and got["10.0.0.1"].internal == 1
+
+
+def test_flow_window_features_hash_networks_once_and_skip_empty_steps(spark):
+    """The keyed hash is taken per /24 network, not in every row; without long flows nothing looks for steps of them."""
+    from pyspark.sql import functions as F
+
+    from hostwatch.operators.windows import add_roles, network_buckets
+    from hostwatch.plans.queries import flow_window_features
+    from hostwatch.plans.views import GRID, KEY, Views
+    rows = spark.createDataFrame([(x,) for x in (167772160, 167772161, 3405803776, 2 ** 33 + 5, 5, 0, -1, None, None)], "src_ip long")
+    want = add_roles(rows, KEY)
+    got = add_roles(rows, KEY, networks=network_buckets(rows, KEY)).select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+    plan = flow_window_features(Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan
+
+    def flow(hours):
+        return (1, 2, 0, hours * 3_600_000_000.0, *[1.0] * 2, *[0] * 6, 7, 443)
+    names = "src_ip long, dst_ip long, start_us long, duration double, fwd_bytes double, fwd_pkts double, syn int, ack int, fin int, rst int, " \
+            "psh int, urg int, init_win_fwd int, src_port int"
+    for hours, sorts, windows in ((5, 1, 5), (200, 3, 102)):
+        out = fl.flows_to_windows(spark.createDataFrame([flow(hours)], names), GRID)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == sorts
+        assert out.agg(F.min("distinct_dst_ips"), F.max("distinct_dst_ips"), F.count("*")).first() == (1, 1, windows)
+    nothing = fl.flows_to_windows(spark.createDataFrame([], names), GRID)
+    assert nothing.count() == 0
