@@ -134,6 +134,38 @@ def test_word_keys_are_those_of_spark(spark):
     assert {r.w: r.k for r in df.collect()} == {w: bpe.word_key(w) for w in words}
 
 
+def test_bpe_all_ways_of_splitting_and_encoding_agree():
+    """Plain parts are words without the pattern; what tiktoken encodes has the library's ids; lists are made from whole arrays."""
+    from tokenizers import Tokenizer
+    path = bpe.tokenizer_path()
+    special, library, rng = bpe.Vocabulary(path).special, Tokenizer.from_file(path), np.random.default_rng(5)
+    splitter = bpe.Splitter(path, list(special))
+    plain = "Wort 42 straße 日本語の文 end"
+    splitter.numbers(plain)
+    pattern, splitter.pattern = splitter.pattern, None
+    assert [w for x in splitter.words(0) for w in x] == [*pattern.findall(plain)[1:], "Wort"]
+    splitter.pattern = pattern
+    splitter.numbers("It's (not) here, x1 ²3 a٣")
+    assert all(words == [p] if p in splitter.whole else words == pattern.findall(p) for p, words in zip(splitter.parts, splitter.words(0)))
+    for text in ("a  b", "a \nb", "a\n b", "a \tb", "a\x85 b", "a \u2003b"):
+        own = bpe.Splitter(path, list(special))
+        assert [own.parts[k] for k in own.numbers(text)] == own.pattern.findall(text), repr(text)
+    marks = ["a", "Wort", "'s", "'RE", "42", "٣", "..", "é", "ß", "日本", "😀", "\n", "\t", "\x85", "\u2003", "ԱԲ", "՘", "\x00", " "]
+    entries = [*special, *marks, *(" " + m for m in marks), *("".join(rng.choice(marks, 5)) for _ in range(500)), "long" * 50]
+    coded = bpe.Encoder(path, special).ids(entries)
+    assert coded == [x.ids for x in library.encode_batch(entries, add_special_tokens=False)]
+    lists = [np.array(x, np.int32) for x in ([1, 2], [], [3])]
+    assert bpe.int_lists(lists).to_pylist() == [[1, 2], [], [3]] and bpe.int_lists([]).to_pylist() == []
+
+
+def test_bpe_lookup_arrays_hold_every_entry_in_order_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "FLUSH", 7)
+    want = {int(k): list(range(k % 5)) for k in np.random.default_rng(4).integers(-10 ** 18, 10 ** 18, 500)}
+    keys, at, flat = bpe.lookup_arrays(spark.createDataFrame(list(want.items()), "key long, ids array<int>").repartition(3))
+    assert keys.tolist() == sorted(want) and at.dtype == np.int32 and flat.dtype == np.uint16
+    assert {int(k): flat[a:b].tolist() for k, a, b in zip(keys, at, at[1:])} == want
+
+
 @pytest.mark.parametrize("room", [0, 200, 1 << 20])
 def test_bpe_rare_words_and_white_space(spark, room):
     from tokenizers import Tokenizer
