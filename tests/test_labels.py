@@ -90,3 +90,26 @@ def test_episode_groups_follow_the_label(spark):
     assert at(1)["a", 19] == "episode:0:a"
     with pytest.raises(ValueError):
         lb.episode_groups(rows, ep, GRID, -1)
+
+
+def test_windows_of_intervals_pass_no_driver(spark, tmp_path):
+    """A small file of intervals may open out to millions of windows: they are shuffled, whatever the file's size."""
+    from pyspark.sql import functions as F
+
+    from hostwatch.operators import metrics as me
+    rows = [("10.0.0.9", w, "test", "a", 0, "benign", 0.5, w * GRID.stride_seconds) for w in range(40)]
+    spark.createDataFrame(rows, "host string, window_id long, split string, model string, y int, stage string, score double, "
+                                "window_start long").write.parquet(str(tmp_path / "w"))
+    spark.createDataFrame([("10.0.0.9", "test", "x", "scan", 5, 25, 5)], "host string, split string, name string, stage string, "
+                          "start_s long, end_s long, episode_no long").write.parquet(str(tmp_path / "e"))
+    wins, eps = (spark.read.parquet(str(tmp_path / x)) for x in "we")
+    limits = wins.select("model").distinct().withColumn("threshold", F.lit(0.5))
+    many = {"label_windows": lb.label_windows(wins.drop("stage"), eps.withColumn("hosts", F.array("host")), GRID),
+            "shift_target": lb.shift_target(wins, 2), "label_agreement": lb.label_agreement(wins, (1,)),
+            "episode_groups": lb.episode_groups(wins, eps, GRID), "first_alerts": me.first_alerts(wins, eps, GRID, ["model"]),
+            "per_episode_report": me.per_episode_report(wins, eps, limits, GRID)}
+    for name, df in many.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan, name
+        assert plan.count("BroadcastHashJoin") == (name == "per_episode_report"), name
+    assert many["first_alerts"].first().first_alert == 5 and many["per_episode_report"].first().n_windows == 5
