@@ -183,6 +183,37 @@ def test_draws_are_no_rows_and_pass_no_driver(spark, grouped):
     assert (np.concatenate([bs._drawn(7, lane, size, 0, 10, 57), bs._drawn(7, lane, size, 10, size, 57)]) == whole).all()
 
 
+def test_draws_are_bytes_shared_by_keys_and_budgets(spark, grouped, monkeypatch):
+    """A draw count is a byte; keys with as many groups share the draws; all intervals of a (model, split) take those made once."""
+    keys, n_rep = ["model", "split"], 60
+    rows = grouped.unionByName(grouped.withColumn("model", F.lit("n"))).unionByName(
+        grouped.filter("group_id <> 'g0'").withColumn("model", F.lit("o")))
+    lanes = bs._draw_lanes(rows, keys, n_rep, 7)
+    assert lanes.schema["_w"].dataType.elementType.typeName() == "byte"
+    found = {}
+    for r in bs.draw_counts(rows, keys, n_rep, 7).collect():
+        found.setdefault(r.model, set()).add((r.replicate, r.group_id, r.weight))
+    assert found["m"] == found["n"] != found["o"] and all(sum(w for *_, w in found[x]) == n * n_rep for x, n in (("m", 8), ("o", 7)))
+
+    limits = spark.createDataFrame([(x, b, t) for x in "mno" for b, t in ((.01, .7), (.05, .5))], "model string, budget double, threshold double")
+    made, plain = [], bs._draw_lanes
+    monkeypatch.setattr(bs, "_draw_lanes", lambda *a: made.append(1) or plain(*a))
+    whole = bs.annotate_intervals(rows, limits, n_rep)
+    assert len(made) == 1
+    alone = bs.f1_interval(rows.join(limits, "model"), [*keys, "budget"], n_rep)
+    names = ["model", "budget", "point", "low", "high", "n_groups", "n_usable"]
+    assert sorted(whole.filter("statistic = 'f1'").select(names).collect()) == sorted(alone.select(names).collect())
+    areas, own = whole.filter("statistic = 'auroc'"), bs.auroc_interval(rows, keys, n_rep)
+    assert sorted(areas.select("model", "low", "high").collect()) == sorted(own.select("model", "low", "high").collect())
+
+
+def test_values_of_replicates_are_made_once(spark, grouped):
+    """The point estimate is taken from the pass that gives the replicates."""
+    mean = lambda y, score, weight: (score * weight).sum() / weight.sum()
+    for out in (bs.auroc_interval(grouped, ["model", "split"], 5), bs.callable_bootstrap(grouped, ["model", "split"], mean, 5)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+
+
 def test_bootstrap_refusals(spark, grouped):
     keys = ["model", "split"]
     one = bs.auroc_interval(grouped.withColumn("group_id", F.lit("x")), keys, 5).first()
